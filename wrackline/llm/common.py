@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20, max
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if i > start and (held + n > max_bytes or i - start >= max_rows):
