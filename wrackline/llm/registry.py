@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup
+from . import byte_bpe, decontaminate, exact_dedup, token_counts
 
 
 def queries() -> dict:
     return {
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+        "op8_token_counts": token_counts.op8_token_counts,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
