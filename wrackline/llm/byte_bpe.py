@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import id_and_text, map_text, table
 
 LONG = 256
-#: Words in one recursive query, and words remembered in a worker before all are forgotten.
+#: Words in one recursive query, and words remembered in a worker before a new generation begins, which takes over what is still met.
 CHUNK, REMEMBERED = 10_000, 250_000
 
 #: The key of a row is word << 12 | position, so the next token of a word has the next key. A turn gives each word that has a pair its
@@ -87,6 +87,7 @@ class ByteBpe:
         self.byte = [self.ranks[bytes([b])] for b in range(256)]
         self.words = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         merges = [(self.ranks[t[:i]] << 20 | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self._table("merges", pa.table({"pair": pa.array([m[0] for m in merges], pa.int64()), "merged": pa.array([m[1] for m in merges], pa.int64())}))
@@ -114,8 +115,11 @@ class ByteBpe:
         """For every text, its words in order: number of tokens, ids joined by a space, decoded bytes."""
         cut = [self.words(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         new = [w for w in sorted(set().union(*cut)) if w not in self.known]
+        if self.older:
+            self.known.update((w, self.older[w]) for w in new if w in self.older)
+            new = [w for w in new if w not in self.known]
         for i in range(0, len(new), CHUNK):
             self._learn(new[i : i + CHUNK])
         return [[self.known[w] for w in words] for words in cut]

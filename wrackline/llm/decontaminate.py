@@ -15,7 +15,6 @@ carried; an empty benchmark leaves every document clean; other columns are not r
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -23,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import id_and_text, stored, table, text_chunks
 
@@ -111,8 +111,7 @@ def _scan(docs: DataFrame, windows: list[tuple[bytes, list[str]]]) -> DataFrame:
             types = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_pydict({c: part.column(c) for c in fields} | {k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kept}, {_HITS}")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *T._parse_datatype_string(_HITS).fields]))
 
 
 def scan_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, part_windows: int = PART_WINDOWS) -> DataFrame:

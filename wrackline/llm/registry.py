@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, token_counts
+from . import byte_bpe, decontaminate, exact_dedup, language_id, simhash, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_simhash": simhash.op1_simhash,
+        "op4_language_id": language_id.op4_language_id,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
         "op8_token_counts": token_counts.op8_token_counts,

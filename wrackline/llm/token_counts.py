@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text, map_text, table
 
 LIMIT = 2048
-#: Words remembered in a worker; all are forgotten when there are more.
+#: Words remembered in a worker; at that many a new generation begins, which takes over from the last one what is still met.
 REMEMBERED = 400_000
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -86,6 +86,7 @@ class WordCounter:
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True))) if specials else None
         self.marks = tuple(specials)
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def word(self, word: str) -> int:
         raw = word.encode()
@@ -101,10 +102,12 @@ class WordCounter:
             return sum([known[w] for w in words])
         except KeyError:
             if len(known) > REMEMBERED:
-                known.clear()
+                self.older, known = known, {}
+                self.known = known
             for w in words:
                 if w not in known:
-                    known[w] = self.word(w)
+                    n = self.older.get(w)
+                    known[w] = self.word(w) if n is None else n
             return sum([known[w] for w in words])
 
     def count(self, text: str | None) -> int:
