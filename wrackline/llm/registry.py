@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, simhash, token_counts
+from . import byte_bpe, decontaminate, exact_dedup, language_id, secrets, simhash, token_counts
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
         "op8_token_counts": token_counts.op8_token_counts,
+        "op9_secrets": secrets.op9_secrets,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
