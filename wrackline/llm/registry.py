@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, secrets, simhash, token_counts
+from . import byte_bpe, decontaminate, exact_dedup, language_id, secrets, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_language_id": language_id.op4_language_id,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
