@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, secrets, simhash, token_counts, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, language_id, secrets, simhash, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_language_id": language_id.op4_language_id,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
