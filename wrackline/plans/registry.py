@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import scenes
+
+ALL = {**scenes.QUERIES}
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in ALL.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
