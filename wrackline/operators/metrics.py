@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wrackline.functions.expressions import histogram_bin, share
 
@@ -103,7 +104,7 @@ def ks_pvalue(d: float, n: int) -> float:
     return float(min(1.0, max(0.0, 1 - s * 10.0**scale)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ks_pvalues(d: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else ks_pvalue(float(a), int(b)) for a, b in zip(d, n, strict=True)], dtype="float64")
 

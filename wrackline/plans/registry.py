@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scenes
+from . import scenes, space, tide
 
-ALL = {**scenes.QUERIES}
+ALL = {**scenes.QUERIES, **space.QUERIES, **tide.QUERIES}
 
 
 def queries() -> dict:
