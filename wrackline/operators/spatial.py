@@ -54,18 +54,26 @@ def column_distance(mask: DataFrame) -> DataFrame:
 
 
 def _row_distance(pdf: pd.DataFrame) -> pd.DataFrame:
+    own = pdf[pdf["inside"].notna()]
     x, g = pdf["x"].to_numpy(np.int64), pdf["gap"].to_numpy(float)
     has = ~np.isnan(g)
     if not has.any():
-        return pdf[["y", "x"]].assign(d2=pd.array([pd.NA] * len(pdf), "Int64"))
-    at, g2 = x[has], g[has].astype(np.int64) ** 2
-    d2 = np.concatenate([((x[i : i + 256, None] - at[None, :]) ** 2 + g2[None, :]).min(axis=1) for i in range(0, len(x), 256)])
-    return pdf[["y", "x"]].assign(d2=pd.array(d2, "Int64"))
+        return own[["y", "x"]].assign(d2=pd.array([pd.NA] * len(own), "Int64"))
+    at, g2, want = x[has], g[has].astype(np.int64) ** 2, own["x"].to_numpy(np.int64)
+    d2 = np.concatenate([((want[i : i + 256, None] - at[None, :]) ** 2 + g2[None, :]).min(axis=1) for i in range(0, len(want), 256)] or [[]])
+    return own[["y", "x"]].assign(d2=pd.array(d2, "Int64"))
 
 
 def distance_transform(mask: DataFrame) -> DataFrame:
-    """d2: the squared Euclidean distance to the nearest pixel that isn't inside; NULL if there is none. Outside the raster isn't background."""
-    return column_distance(mask).groupBy("y").applyInPandas(_row_distance, "y int, x int, d2 bigint")
+    """d2: the squared Euclidean distance to the nearest pixel that isn't inside; NULL if there is none. Outside the raster isn't background.
+
+    Pixels absent from mask count as neither, but their columns are filled in, so that a row sees every column's nearest background.
+    """
+    low, high = mask.agg(F.min("y"), F.max("y")).first()
+    if low is None:
+        return mask.select("y", "x", F.lit(None).cast("bigint").alias("d2"))
+    frame = mask.select("x").distinct().select(F.explode(F.sequence(F.lit(low), F.lit(high))).alias("y"), "x")
+    return column_distance(frame.join(mask, ["y", "x"], "left")).groupBy("y").applyInPandas(_row_distance, "y int, x int, d2 bigint")
 
 
 def argmax_pixel(values: DataFrame, value: str) -> DataFrame:

@@ -184,8 +184,8 @@ QUERIES = {
         f"{REF} SELECT s.model, s.ts, round(s.height_m - m, 6) AS height_norm_m FROM tide_samples s JOIN (SELECT model, avg(height_m) AS m FROM tide_reference GROUP BY 1) USING (model)",
     ),
     "anomaly_join": (
-        lambda s, d: r6(tides.anomaly_join(view(s, d, "observed"), view(s, d, "predicted").withColumnRenamed("got410_height_m", "predicted_height_m")), "height_m", "predicted_height_m", "anomaly"),
-        f"{OBS} SELECT datetime, round(height_m, 6) AS height_m, round(got410_height_m, 6) AS predicted_height_m, round(height_m - got410_height_m, 6) AS anomaly FROM observed JOIN predicted USING (datetime)",
+        lambda s, d: tides.anomaly_join(view(s, d, "observed"), view(s, d, "predicted").withColumnRenamed("got410_height_m", "predicted_height_m")).withColumns({c: F.round(c, 9) for c in ("height_m", "predicted_height_m", "anomaly")}),
+        f"{OBS} SELECT datetime, round(height_m, 9) AS height_m, round(got410_height_m, 9) AS predicted_height_m, round(height_m - got410_height_m, 9) AS anomaly FROM observed JOIN predicted USING (datetime)",
     ),
     "window_range_join": (
         lambda s, d: metrics.in_windows(dated(s, d), windows(s, d)).groupBy("window", "model").agg(F.count("*").alias("n"), F.min("scene_date").alias("first_date")),
