@@ -36,6 +36,8 @@ WORD_DISCOUNT, PAIR_DISCOUNT, MIN_CONTEXT = 3, 2, 20
 PAIR_WEIGHT = 1.0
 WINDOWS = (1, 3, 12, 48)
 CURVE_ROWS = 20_000
+#: Labels are broadcast to the texts up to this many (some 40 bytes each); beyond it the join is shuffled.
+BROADCAST_LABELS = 500_000
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 _REMEMBERED = 300_000
@@ -205,6 +207,11 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return map_text(id_and_text(df, id_col, text_col), run, "score double")
 
 
+def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with the labels of their doc_id; the texts stay where they are if the labels are few enough."""
+    return docs.join(F.broadcast(labels) if labels.count() <= BROADCAST_LABELS else labels, "doc_id")
+
+
 def held_out(doc_id: Column) -> Column:
     return fold(doc_id, 3) == 1
 
@@ -212,7 +219,7 @@ def held_out(doc_id: Column) -> Column:
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    labelled = docs.where(~held_out(docs["doc_id"])).join(labels.where(~held_out(labels["doc_id"])), "doc_id")
+    labelled = with_labels(docs.where(~held_out(docs["doc_id"])), labels.where(~held_out(labels["doc_id"])))
     model = learn(labelled, F.floor(fold(F.col("doc_id"), 15) / 3))
     found = score(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
