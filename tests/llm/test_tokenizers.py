@@ -49,9 +49,17 @@ def test_codes_of_odd_texts(encoding, monkeypatch):
     coder = byte_bpe.ByteBpe(BYTE, P.PATTERN)
     texts = odd_texts() + ["x" * 700, "ab" * 300, "<|endoftext|>"]
     for i in range(0, len(texts), 40):
-        for text, words in zip(texts[i : i + 40], coder.encode(texts[i : i + 40]), strict=True):
-            assert [int(x) for w in words for x in w[1].split(" ")] == encoding.encode_ordinary(text)
-            assert b"".join(w[2] for w in words) == text.encode()
+        for text, (ids, decoded) in zip(texts[i : i + 40], coder.encode(texts[i : i + 40]), strict=True):
+            assert [int(x) for x in ids.split()] == encoding.encode_ordinary(text)
+            assert decoded == text.encode()
+    assert not coder.otherwise
+
+
+def test_a_wrong_vocabulary_shows(monkeypatch):
+    """What comes out is what the ids decode to, not the text that went in."""
+    coder = byte_bpe.ByteBpe(BYTE, P.PATTERN)
+    coder.db.execute("UPDATE vocabulary SET hex = '3f' WHERE hex = '78'")
+    assert [d for _, d in coder.encode(["x y", "x", "y"])] == [b"? y", b"?", b"y"]
 
 
 def test_recursion_and_heap_agree():
@@ -59,7 +67,7 @@ def test_recursion_and_heap_agree():
     for text in odd_texts(60):
         for w in coder.words(text):
             coder._learn([w])
-            assert [int(x) for x in coder.known[w][1].split(" ")] == byte_bpe.contract([bytes([b]) for b in w.encode()], coder.ranks)
+            assert [int(x) for x in coder.known[w].split(" ")] == byte_bpe.contract([bytes([b]) for b in w.encode()], coder.ranks)
 
 
 def test_codes_of_corpus(docs, encoding):

@@ -4,7 +4,7 @@ Every text is cut by the split pattern; the distinct words a task has not met be
 in-memory DuckDB. The recursive query joins each adjacent pair of tokens to the merge table and contracts, in every
 word, the leftmost pair of least rank, until no word has a pair left. Decoding is the other way round: (word, position)
 rows are joined to the tokens' bytes and put together by an ordered aggregation. Words are remembered within bounds, so
-a frequent word is merged once for a worker.
+a frequent word is merged and decoded once for a worker; what a word decodes to is stored only where it isn't the word.
 
 The recursion makes n steps over a word of n bytes, which is quadratic: words of over `LONG` bytes (unbroken runs of
 letters or signs; none in ordinary prose) are contracted by the heap of `token_counts` instead, which follows the same rule.
@@ -27,7 +27,7 @@ from .common import id_and_text, map_text, table
 
 LONG = 256
 #: Words in one recursive query, and words remembered in a worker before a new generation begins, which takes over what is still met.
-CHUNK, REMEMBERED = 10_000, 250_000
+CHUNK, REMEMBERED = 10_000, 200_000
 
 #: The key of a row is word << 12 | position, so the next token of a word has the next key. A turn gives each word that has a pair its
 #: next state; a word that has none drops out, and its last state is its encoding.
@@ -86,8 +86,9 @@ class ByteBpe:
         self.ranks = read_ranks(path)
         self.byte = [self.ranks[bytes([b])] for b in range(256)]
         self.words = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.older: dict[str, tuple[int, str, bytes]] = {}
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.otherwise: dict[str, bytes] = {}
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         merges = [(self.ranks[t[:i]] << 20 | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self._table("merges", pa.table({"pair": pa.array([m[0] for m in merges], pa.int64()), "merged": pa.array([m[1] for m in merges], pa.int64())}))
@@ -109,10 +110,12 @@ class ByteBpe:
         word, pos, token = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
         self._table("encoded", pa.table({"word": word, "pos": pos, "id": token}))
         for i, text in self.db.execute(DECODE).fetchall():
-            self.known[words[i]] = (len(ids[i]), " ".join(map(str, ids[i])), bytes.fromhex(text))
+            self.known[words[i]] = " ".join(map(str, ids[i]))
+            if (decoded := bytes.fromhex(text)) != raw[i]:
+                self.otherwise[words[i]] = decoded
 
-    def encode(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
-        """For every text, its words in order: number of tokens, ids joined by a space, decoded bytes."""
+    def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """For every text, its ids joined by a space, and the bytes that they decode to."""
         cut = [self.words(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
@@ -122,7 +125,10 @@ class ByteBpe:
             new = [w for w in new if w not in self.known]
         for i in range(0, len(new), CHUNK):
             self._learn(new[i : i + CHUNK])
-        return [[self.known[w] for w in words] for words in cut]
+        ids = [" ".join([self.known[w] for w in words]) for words in cut]
+        if not self.otherwise:
+            return [(x, "".join(words).encode()) for x, words in zip(ids, cut, strict=True)]
+        return [(x, b"".join([self.otherwise.get(w) or w.encode() for w in words])) for x, words in zip(ids, cut, strict=True)]
 
 
 _coders: dict[tuple[str, str], ByteBpe] = {}
@@ -140,8 +146,8 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     def run(part: pa.RecordBatch) -> dict:
         coded = _coder(path, pattern).encode(part.column("text").to_pylist())
         return {
-            "ids": pa.array([[int(x) for w in words for x in w[1].split(" ")] for words in coded], pa.list_(pa.int32())),
-            "decoded": pa.array([b"".join([w[2] for w in words]) for words in coded], pa.binary()),
+            "ids": pa.array([[int(x) for x in ids.split()] for ids, _ in coded], pa.list_(pa.int32())),
+            "decoded": pa.array([decoded for _, decoded in coded], pa.binary()),
         }
 
     return map_text(id_and_text(df, id_col, text_col), run, "ids array<int>, decoded binary", 1 << 20)
@@ -152,10 +158,10 @@ def encode_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
     def run(part: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for words in _coder(path, pattern).encode(part.column("text").to_pylist()):
-            out["n_tokens"].append(sum([w[0] for w in words]))
-            out["ids_sha256"].append(hashlib.sha256(" ".join([w[1] for w in words]).encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(b"".join([w[2] for w in words])).hexdigest())
+        for ids, decoded in _coder(path, pattern).encode(part.column("text").to_pylist()):
+            out["n_tokens"].append(ids.count(" ") + 1 if ids else 0)
+            out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
         return {k: pa.array(v, pa.int64() if k == "n_tokens" else pa.string()) for k, v in out.items()}
 
     return map_text(id_and_text(df, id_col, text_col), run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", 1 << 20)

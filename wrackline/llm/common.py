@@ -71,6 +71,8 @@ def text_chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20, max
                 start, held = i, 0
             held += n
         yield batch.slice(start)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def map_text(df: DataFrame, row_batch: Callable[[pa.RecordBatch], dict], schema: str, max_bytes: int = 4 << 20) -> DataFrame:
