@@ -1,0 +1 @@
+"""Constants and column expressions."""

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wrackline.sources.scratch import stored
+
 TILE = 512
 
 
@@ -177,7 +179,7 @@ def make_grid(vertices: DataFrame, size: float) -> DataFrame:
     """
     b = polygon_bbox(vertices)
     steps = lambda lo, hi: F.sequence(F.lit(0), F.greatest(F.ceil((F.col(hi) - F.col(lo)) / size).cast("int") - 1, F.lit(0)))
-    cells = b.select("*", F.explode(steps("west", "east")).alias("i")).select("*", F.explode(steps("south", "north")).alias("j"))
+    cells = b.select("*", F.explode(steps("west", "east")).alias("i")).repartition("i").select("*", F.explode(steps("south", "north")).alias("j"))
     cells = cells.select("i", "j", (F.col("west") + F.col("i") * size).alias("x0"), (F.col("south") + F.col("j") * size).alias("y0"))
     cells = cells.withColumns({"x1": F.col("x0") + size, "y1": F.col("y0") + size})
     ring = _ring(vertices)
@@ -231,13 +233,12 @@ def _tile_labels(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["y", "x", "id"]].assign(label=label[y - y0, x - x0])
 
 
-def connected_components(pixels: DataFrame, width: int, tile: int = TILE, store=None) -> DataFrame:
+def connected_components(pixels: DataFrame, width: int, tile: int = TILE, store=stored) -> DataFrame:
     """4-connected parts of a pixel set: component (the least id, y * width + x, of its pixels) and size.
 
     Tiles are labelled in bounded tasks; labels that touch across tile edges are joined by least-label steps until
-    nothing changes. store: a function that cuts the lineage between steps (checkpoint() by default).
+    nothing changes. store: cuts the lineage between steps; by default it writes a table to the shared folder.
     """
-    store = store or (lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache())
     rows = pixels.select("y", "x", (F.col("y").cast("bigint") * width + F.col("x")).alias("id"), F.expr(f"y div {tile}").alias("ty"), F.expr(f"x div {tile}").alias("tx"))
     local = store(rows.groupBy("ty", "tx").applyInPandas(_tile_labels, "y int, x int, id bigint, label bigint"))
     edge = local.where((F.col("y") % tile == 0) | (F.col("x") % tile == 0)).select("y", "x", F.col("label").alias("a"))

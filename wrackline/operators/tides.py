@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BOXES = (0.2, 0.5, 1.0)
+#: Constituents of one set at most.
+MAX_WAVES = 1000
 
 
 def point_grid(sites: DataFrame, box: float, step: float) -> DataFrame:
@@ -55,17 +57,22 @@ def nearest_probe(targets: DataFrame, nodes: DataFrame, box: float = 1.0, boxes:
 def predict(times: DataFrame, constituents: DataFrame, epoch: str = "2000-01-01 00:00:00", keys: tuple = ("ts",)) -> DataFrame:
     """Harmonic synthesis: the sum over constituents of f A cos(w t + V + u - phase) at each time.
 
-    constituents: amp_m, speed_deg_h, phase_deg, perhaps node_factor (f) and argument_deg (V + u), and keys shared with
-    times (a node). The table is small for a node and joined with every time of it, within a map stage.
+    constituents: amp_m, speed_deg_h, phase_deg, perhaps node_factor (f) and argument_deg (V + u). If it has keys shared
+    with times (a node), its waves are packed by key and joined; if not, the one set of waves becomes a constant of the plan.
     """
     hours = F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit(epoch)), F.col("ts")) / 3600.0
     has = constituents.columns
     f = F.col("node_factor") if "node_factor" in has else F.lit(1.0)
     v = F.col("argument_deg") if "argument_deg" in has else F.lit(0.0)
-    shared = [k for k in keys if k in has]
-    group = [c for c in has if c in shared]
-    packed = constituents.groupBy(*group).agg(F.collect_list(F.struct((f * F.col("amp_m")).alias("a"), F.col("speed_deg_h").alias("w"), (v - F.col("phase_deg")).alias("p"))).alias("waves"))
-    rows = times.join(packed, shared) if shared else times.withColumn("waves", F.lit(None)).drop("waves").join(F.broadcast(packed), F.lit(True))
+    wave = F.struct((f * F.col("amp_m")).alias("a"), F.col("speed_deg_h").alias("w"), (v - F.col("phase_deg")).alias("p"))
+    shared = [c for c in has if c in keys]
+    if shared:
+        rows = times.join(constituents.groupBy(*shared).agg(F.collect_list(wave).alias("waves")), shared)
+    else:
+        waves = constituents.select(wave.alias("wave")).limit(MAX_WAVES + 1).collect()
+        if len(waves) > MAX_WAVES:
+            raise ValueError(f"more than {MAX_WAVES} constituents in one set")
+        rows = times.withColumn("waves", F.array(*[F.struct(*[F.lit(float(r.wave[c])).alias(c) for c in ("a", "w", "p")]) for r in waves]))
     height = F.aggregate("waves", F.lit(0.0), lambda acc, c: acc + c["a"] * F.cos(F.radians(F.pmod(c["w"] * hours, F.lit(360.0)) + c["p"])))
     return rows.withColumn("height_m", height).drop("waves")
 

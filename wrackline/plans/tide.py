@@ -50,9 +50,7 @@ def wanted(s, d):
 def q_gridded(s, d):
     """Heights at the nearest wet node of each target."""
     near = tides.nearest_point(targets(s, d), nodes(s, d), 2.0).select("target", F.concat_ws(":", "node_lat", "node_lon").alias("node"))
-    hours = wanted(s, d).select("t").distinct()
-    at = hours.groupBy().agg(F.collect_set("t").alias("ts"))
-    times = near.select("target", "node").withColumn("k", F.lit(1)).join(F.broadcast(at.withColumn("k", F.lit(1))), "k").select("target", "node", F.explode("ts").alias("t"))
+    times = near.join(wanted(s, d), "node")
     found = tides.interpolate(times.select("node", "t").distinct(), series(s, d))
     return r6(times.join(found, ["node", "t"]).select("target", "t", "height_m"), "t", "height_m")
 
@@ -174,9 +172,10 @@ _D2 = "pow(n.lat - t.lat, 2) + pow(n.lon - t.lon, 2)"
 NEAR = """, nodes AS (SELECT DISTINCT lat_i::DOUBLE AS lat, lon_i::DOUBLE AS lon FROM zos WHERE hour_no = 0 AND zos IS NOT NULL),
 targets AS (SELECT DISTINCT lat_i || ':' || lon_i AS target, lat_i + 0.3::DOUBLE AS lat, lon_i - 0.2::DOUBLE AS lon FROM zos)"""
 CUBIC = """, ser AS (SELECT lat_i::DOUBLE || ':' || lon_i::DOUBLE AS node, hour_no AS t, zos AS z FROM zos),
-cub AS (SELECT b.node, b.t + 0.4::DOUBLE AS t, a.z * (0.4::DOUBLE * -0.6 * -1.6) / -6 + b.z * (1.4::DOUBLE * -0.6 * -1.6) / 2 + c.z * (1.4::DOUBLE * 0.4 * -1.6) / -2 + e.z * (1.4::DOUBLE * 0.4 * -0.6) / 6 AS h
-  FROM ser b JOIN ser a ON a.node = b.node AND a.t = b.t - 1 JOIN ser c ON c.node = b.node AND c.t = b.t + 1 JOIN ser e ON e.node = b.node AND e.t = b.t + 2
-  WHERE b.t % 7 = 3 AND a.z IS NOT NULL AND b.z IS NOT NULL AND c.z IS NOT NULL AND e.z IS NOT NULL)"""
+nb AS (SELECT node, t, z, lag(z) OVER w AS z0, lead(z) OVER w AS z2, lead(z, 2) OVER w AS z3, t - lag(t) OVER w AS d0, lead(t) OVER w - t AS d2, lead(t, 2) OVER w - t AS d3 FROM ser
+  WINDOW w AS (PARTITION BY node ORDER BY t)),
+cub AS (SELECT node, t + 0.4::DOUBLE AS t, z0 * (0.4::DOUBLE * -0.6 * -1.6) / -6 + z * (1.4::DOUBLE * -0.6 * -1.6) / 2 + z2 * (1.4::DOUBLE * 0.4 * -1.6) / -2 + z3 * (1.4::DOUBLE * 0.4 * -0.6) / 6 AS h
+  FROM nb WHERE t % 7 = 3 AND d0 = 1 AND d2 = 1 AND d3 = 2 AND z0 + z + z2 + z3 IS NOT NULL)"""
 
 QUERIES = {
     "normalise_by_reference_mean": (
