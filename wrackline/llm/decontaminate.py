@@ -4,7 +4,7 @@ Words are what `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` finds after lower-casing
 an item, or all words of a shorter item. Each worker numbers the benchmark's words, looks only at runs of numbered words
 that are long enough, and checks them against the exact windows, so a hit needs no second look.
 
-The windows are broadcast in parts of at most `part_windows` windows (each at most `size` words); a benchmark within one
+The windows are broadcast in parts of about `part_windows` windows and `PART_BYTES` bytes at most; a benchmark within one
 part is scanned in one pass, a larger one in as many passes as it has parts, and hits are joined by document. Nothing is
 sampled or cut.
 
@@ -28,7 +28,7 @@ from .common import id_and_text, stored, table, text_chunks
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
-PART_WINDOWS = 500_000
+PART_WINDOWS, PART_BYTES = 500_000, 64 << 20
 _HITS = "n_words bigint, hit_starts array<int>, hit_ends array<int>, item_ids array<string>"
 
 
@@ -117,7 +117,8 @@ def _scan(docs: DataFrame, windows: list[tuple[bytes, list[str]]]) -> DataFrame:
 def scan_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, part_windows: int = PART_WINDOWS) -> DataFrame:
     """docs has a text column; adds n_words, hit_starts and hit_ends (maximal runs of hit words) and item_ids."""
     windows = stored(item_windows(benchmark, size), "windows")
-    parts = max(1, -(-windows.count() // part_windows))
+    n, size_bytes = windows.agg(F.count("*"), F.sum(F.octet_length("window") + 16 * F.size("item_ids"))).first()
+    parts = max(1, -(-n // part_windows), -(-(size_bytes or 0) // PART_BYTES))
     bucket = F.pmod(F.xxhash64("window"), F.lit(parts))
     held = lambda i: [(bytes(r.window), r.item_ids) for r in windows.where(bucket == i).collect()]  # noqa: E731  part_windows rows or so
     if parts == 1:

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,12 +88,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Log probabilities and script candidates of each language."""
 
-    def __init__(self, rows):
-        self.langs = sorted({r.lang for r in rows})
+    def __init__(self, counts: pa.Table):
+        self.langs = sorted(counts.column("lang").unique().to_pylist())
         n = np.zeros((len(self.langs), BUCKETS + len(_NAMES)))
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        for r in rows:
-            n[at[r.lang], r.bucket] = r.n
+        lang = pc.index_in(counts.column("lang"), pa.array(self.langs, pa.string())).to_numpy()
+        n[lang, counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
         grams_n, letters = n[:, :BUCKETS] + 0.1, n[:, BUCKETS:]
         self.log = np.log(grams_n / grams_n.sum(axis=1, keepdims=True)).astype(np.float32).T.copy()
         self.candidate = (letters >= SHARE * np.maximum(letters.sum(axis=1, keepdims=True), 1)).T  # script, language
@@ -151,7 +151,7 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -
     """The model of all rows with a language. What comes to the driver has at most BUCKETS and a few numbers for a language."""
     rows = labelled.where(labelled[lang_col].isNotNull()).select(labelled[lang_col].cast("string").alias("lang"), F.coalesce(labelled[text_col], F.lit("")).alias("text"))
     counts = rows.mapInArrow(_counts, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    return Model(counts.collect())
+    return Model(counts.toArrow())
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
