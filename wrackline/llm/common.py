@@ -58,12 +58,18 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def text_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
+    """The text column of a batch, which may be a field of its `row` column."""
+    texts = batch.column(name) if name in batch.schema.names else batch.column("row").field(name)
+    return texts if pa.types.is_string(texts.type) else texts.cast(pa.string())
+
+
+def text_chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20, max_rows: int = 4096, name: str = "text") -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches with a text column into slices of about max_bytes of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(text_of(batch, name)), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if i > start and (held + n > max_bytes or i - start >= max_rows):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, stored, table, text_chunks
+from .common import id_and_text, stored, table, text_chunks, text_of
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
@@ -103,7 +103,7 @@ def _scan(docs: DataFrame, windows: list[tuple[bytes, list[str]]]) -> DataFrame:
         scanner = _Scanner(held.value)
         for part in text_chunks(batches):
             out = {"n_words": [], "hit_starts": [], "hit_ends": [], "item_ids": []}
-            for text in part.column("text").to_pylist():
+            for text in text_of(part).to_pylist():
                 words = words_of(text)
                 starts, ends, items = scanner.scan(words)
                 for name, value in zip(out, (len(words), starts, ends, sorted(items)), strict=True):
@@ -115,7 +115,7 @@ def _scan(docs: DataFrame, windows: list[tuple[bytes, list[str]]]) -> DataFrame:
 
 
 def scan_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, part_windows: int = PART_WINDOWS) -> DataFrame:
-    """docs has a text column; adds n_words, hit_starts and hit_ends (maximal runs of hit words) and item_ids."""
+    """docs has a column text, or a struct row with a field text; adds n_words, hit_starts and hit_ends (maximal runs of hit words) and item_ids."""
     windows = stored(item_windows(benchmark, size), "windows")
     n, size_bytes = windows.agg(F.count("*"), F.sum(F.octet_length("window") + 16 * F.size("item_ids"))).first()
     parts = max(1, -(-n // part_windows), -(-(size_bytes or 0) // PART_BYTES))
@@ -154,7 +154,7 @@ def _contaminated(n_words, n_hit):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, part_windows: int = PART_WINDOWS) -> DataFrame:
     """The rows of docs that aren't contaminated (hit words under a twentieth), with their own columns."""
-    rows = docs.select(docs["text"].alias("text"), F.struct("*").alias("row"))
+    rows = docs.select(F.struct("*").alias("row"))
     found = scan_benchmark(rows, benchmark, size, part_windows)
     return found.where(~_contaminated(F.col("n_words"), _n_hit())).select("row.*")
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, table, text_chunks
+from .common import fold, table, text_chunks, text_of
 
 BUCKETS = 1 << 16
 SHARE = 0.01
@@ -157,14 +157,14 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Every row of docs as `row`, with lang_pred, score and spans: (first word, word after the last, language) in order."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct("*").alias("row"), docs[text_col].cast("string").alias("text"))
+    rows = docs.select(F.struct("*").alias("row"))
     span = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for part in text_chunks(batches):
+        for part in text_chunks(batches, name=text_col):
             langs, scores, spans = [], [], []
-            for label, letters in zip(*m.label(part.column("text").to_pylist()), strict=True):
+            for label, letters in zip(*m.label(text_of(part, text_col).to_pylist()), strict=True):
                 if not len(label):
                     langs.append(UND), scores.append(0.0), spans.append([])
                     continue
