@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wrackline.functions.expressions import histogram_bin, share
+from wrackline.sources.scratch import stored
 
 BUCKETS = 64
 
@@ -72,6 +73,9 @@ def ks_pvalue(d: float, n: int) -> float:
         return 1.0
     if d >= 1:
         return 0.0
+    s = n * d * d
+    if s > 7.24 or (s > 3.76 and n > 99):  # the same authors' form for the far tail, right to 7 digits
+        return 2 * math.exp(-(2.000071 + 0.331 / math.sqrt(n) + 1.409 / n) * s)
     if n > 400:
         t = d * (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) if n < 3000 else d * math.sqrt(n)
         return float(min(1.0, max(0.0, 2 * sum((-1) ** (i - 1) * math.exp(-2 * i * i * t * t) for i in range(1, 101)))))
@@ -241,7 +245,11 @@ def full_metrics(samples: DataFrame, reference: DataFrame, g: str = "model", val
 
 
 def distribution_verdict(metrics: DataFrame, coverage: float = 0.85, entropy: float = 0.70, vmr: float = 1.2, vsr: float = 0.25, representative: float = 0.80) -> DataFrame:
-    """Six criteria, how many hold, the grade, whether the essential three hold, and advice. Undefined values hold no criterion."""
+    """Six criteria, how many hold, the grade, whether the essential three hold, and advice. Undefined values hold no criterion.
+
+    The metrics, one row for a group, are stored first: the criteria would otherwise repeat their expressions many times over.
+    """
+    metrics = stored(metrics, "metrics")
     yes = lambda c: F.coalesce(c, F.lit(False))
     m = metrics.withColumns(
         {
