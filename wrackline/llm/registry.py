@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, secrets, simhash, substring_dedup, token_counts, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, language_id, licences, secrets, simhash, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_language_id": language_id.op4_language_id,
+        "op5_licences": licences.op5_licences,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
         "op8_token_counts": token_counts.op8_token_counts,
