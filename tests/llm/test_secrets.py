@@ -59,3 +59,22 @@ def test_added_spans_keep_base_ones(docs, empty):
     got = se.find_secrets(docs).collect()
     assert len(got) == len(corpus()) and all(r.n_assign + r.n_access + r.n_hex == 0 for r in got if r.doc_id in (6, 7, 9))
     assert se.find_secrets(empty).count() == 0
+
+
+def test_random_values_after_a_sign():
+    value = "KBKn00PkHup8/c3MysRDRQiX++Ncai8tx5uJBeL2"
+    url = value.translate(str.maketrans("+/", "-_"))
+    for text, token in (
+        (f"AWS_SECRET_ACCESS_KEY={value}", value),
+        (f"https://a.example/x?sig={value}==&n=1", value + "=="),
+        (f"sessionid={url}; path=/", url),
+        (f"a=b=={value}", value),
+        (f"client_id/{value}", "id/" + value),
+        (f"users/{url}", url),
+    ):
+        base, more = se.scan(text)
+        assert base == [] and [text[a:b] for a, _, b in more] == [token], text
+
+
+def test_structured_pieces_stay_out():
+    assert se.scan("path=/usr/lib/python3-dist_packages/aaaaaaaaaaaaaaaaaaaaaaaa1/x")[1] == []

@@ -4,9 +4,10 @@ Base spans come from patterns, leftmost and non-overlapping for each kind: `assi
 more), `access` (AKIA and so on, 16 or more), `hex` (32 or more). Their offsets are code points of the whole match, ends
 exclusive.
 
-The battery adds spans of kind `random`. A candidate is a run of 20 or more signs of `[A-Za-z0-9+/_=-]` outside every
-base span, of which letters and digits both occur. Its encoding is inferred as the smallest of decimal, hex, base32, base36
-and base64 that holds it. Three tests ask whether it looks drawn evenly from that alphabet: chi-squared of the alphabet in
+The battery adds spans of kind `random`. A candidate is a run of 20 or more signs of `[A-Za-z0-9+/_-]` and trailing padding
+outside every base span, of which letters and digits both occur; any other `=` ends a run. Its encoding is inferred as the
+smallest of decimal, hex, base32, base36 and base64 that holds it. If none holds it (`/` or `+` with `-` or `_`), its longest
+pieces that base64 or base64url holds are candidates; of pieces that overlap, the longest that stays is reported. Three tests ask whether it looks drawn evenly from that alphabet: chi-squared of the alphabet in
 eight classes, runs about the middle, and lag-one serial correlation. The least p-value, times three, is the candidate's.
 A weighted Benjamini-Hochberg step-up over a text's candidates, weights in proportion to length (the tests' power grows
 with it), rejects the structured ones at rate `RATE`; a candidate that stays is reported. Base spans are never dropped.
@@ -31,7 +32,9 @@ from .common import id_and_text, map_text, table
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?")
+PIECES = [re.compile(r"[A-Za-z0-9+/]+=*"), re.compile(r"[A-Za-z0-9_-]+=*")]
+SHORTEST = 20
 KINDS = ("assign", "access", "hex", "random")
 RATE, CLASSES = 0.05, 8
 DIGITS, UPPERS, LOWERS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -120,13 +123,45 @@ def structured(tokens: list[tuple[int, float]], rate: float = RATE) -> list[bool
 
 def random_spans(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     found = []
-    for m in CANDIDATE.finditer(text):
-        if any(a < m.end() and m.start() < b for a, _, b in taken) or not re.search("[A-Za-z]", m[0]):
+    for a, b in candidates(text):
+        token = text[a:b]
+        if any(x < b and a < y for x, _, y in taken) or not (re.search("[A-Za-z]", token) and re.search("[0-9]", token)):
             continue
-        if encoding := infer_encoding(m[0]):
-            found.append((m.start(), m.end(), battery(m[0], encoding[1])))
+        found.append((a, b, battery(token, infer_encoding(token)[1])))
     drop = structured([(b - a, p) for a, b, p in found])
-    return [(a, "random", b) for (a, b, _), gone in zip(found, drop, strict=True) if not gone]
+    stay = [(a, b) for (a, b, _), gone in zip(found, drop, strict=True) if not gone]
+    out: list[tuple[int, str, int]] = []
+    group: list[tuple[int, int]] = []  # overlapping pieces lie in one run, so few are compared
+    end = 0
+    for a, b in [*sorted(stay), (len(text) + 1, 0)]:
+        if a >= end:
+            out += longest_apart(group)
+            group = []
+        group.append((a, b))
+        end = max(end, b)
+    return out
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Runs that an encoding holds, and the longest pieces of the others; all of SHORTEST signs or more."""
+    out = []
+    for m in CANDIDATE.finditer(text):
+        if m.end() - m.start() < SHORTEST:
+            continue
+        if infer_encoding(m[0]):
+            out.append(m.span())
+        else:
+            out += sorted({(m.start() + p.start(), m.start() + p.end()) for piece in PIECES for p in piece.finditer(m[0]) if p.end() - p.start() >= SHORTEST})
+    return out
+
+
+def longest_apart(pieces: list[tuple[int, int]]) -> list[tuple[int, str, int]]:
+    """Of pieces that overlap, the longest, then the first."""
+    out: list[tuple[int, str, int]] = []
+    for a, b in sorted(pieces, key=lambda s: (s[0] - s[1], s[0])):
+        if all(b <= x or y <= a for x, _, y in out):
+            out.append((a, "random", b))
+    return sorted(out)
 
 
 def _joined(spans: list[tuple[int, str, int]]) -> str:
