@@ -74,3 +74,18 @@ def test_without_labels(docs, empty):
     model = tx.learn(empty.select("text", F.lit(1).alias("toxic")), F.lit(1))
     assert {r.score for r in tx.score(docs, model).collect()} == {0.0}
     assert tx.score(empty, model).count() == 0
+
+
+def test_all_labelled_rows_are_counted(spark):
+    """A word that only rows of the curve hold has evidence; a model of the other rows alone knows nothing of it."""
+    rows = labelled_rows()[:300]
+    df = spark.createDataFrame([(i, t + (" dreadful" * 9 if y and i % 4 == 0 else ""), y) for i, t, y in rows], "doc_id int, text string, toxic int")
+    model = tx.learn(df, F.col("doc_id") % 4)
+    first = int(tx.word_numbers("dreadful")[1])
+    assert model.context[1][first] > 0 and model.context[0].sum() + model.context[1].sum() == sum(len(tx.word_numbers(r.text)) - 1 for r in df.collect())
+
+
+def test_curve_if_its_part_lacks_a_class(spark):
+    df = spark.createDataFrame(labelled_rows()[:600], "doc_id int, text string, toxic int")
+    for part in (1 - F.col("toxic"), F.col("toxic"), F.lit(1)):
+        assert tx.learn(df, part).curve is not None

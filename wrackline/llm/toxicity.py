@@ -10,7 +10,9 @@ text, and over its strongest windows, since a few words make a long text toxic.
 
 Words are numbered by hash into `WORD_BITS`, kept bigrams (those met more often than the discount) into `PAIR_BITS`, so the tables that
 reach the driver and the workers have a fixed size at most, whatever the corpus; the counts behind them are summed by
-Spark over every labelled row. The curve is fitted on at most `CURVE_ROWS` labelled rows that weren't counted.
+Spark over every labelled row. The curve is cross-fitted: on at most `CURVE_ROWS` rows of one part of the labels, half of
+them of each class at most and weighted back to the part's own shares, judged by counts without that part. The first row of
+each class belongs to that part too, so it has both classes whenever the labels do. Texts are scored by the counts of all rows.
 
 Defined results: a null or empty text has no evidence and scores as the curve does at zero; without a label of either
 class every score is 0; rows labelled null are not learned from; several labels for one id count one by one; repeated
@@ -61,16 +63,20 @@ def pair_slots(pairs: np.ndarray) -> np.ndarray:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums (pair, toxic, plain); pair is first << WORD_BITS | second."""
+    """Partial sums (pair, toxic, plain, own_toxic, own_plain); pair is first << WORD_BITS | second, own: of the curve's rows."""
     for part in text_chunks(batches, 8 << 20, 8192):
-        keys = {0: [], 1: []}
-        for y, text in zip(part.column("toxic").to_pylist(), part.column("text").to_pylist(), strict=True):
+        keys, own = {0: [], 1: []}, {0: [], 1: []}
+        for y, curve, text in zip(part.column("toxic").to_pylist(), part.column("curve").to_pylist(), part.column("text").to_pylist(), strict=True):
             n = word_numbers(text)
             keys[y].append(n[:-1] << WORD_BITS | n[1:])
-        at = [np.unique(np.concatenate([*keys[y], np.zeros(0, np.int64)]), return_counts=True) for y in (0, 1)]
-        pair = np.concatenate((at[1][0], at[0][0]))
-        n, zero = [a[1].astype(np.int64) for a in at], [np.zeros(len(a[0]), np.int64) for a in at]
-        yield pa.RecordBatch.from_pydict({"pair": pa.array(pair), "toxic": pa.array(np.concatenate((n[1], zero[0]))), "plain": pa.array(np.concatenate((zero[1], n[0])))})
+            if curve:
+                own[y].append(keys[y][-1])
+        lists = [np.concatenate([*k[y], np.zeros(0, np.int64)]) for k in (keys, own) for y in (1, 0)]
+        pair = np.unique(np.concatenate(lists[:2]))
+        out = {"pair": pa.array(pair)}
+        for name, one in zip(("toxic", "plain", "own_toxic", "own_plain"), lists, strict=True):
+            out[name] = pa.array(np.bincount(np.searchsorted(pair, one), minlength=len(pair)).astype(np.int64))
+        yield pa.RecordBatch.from_pydict(out)
 
 
 class Model:
@@ -140,14 +146,15 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Logistic weights by Newton steps with a small ridge."""
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50, times: np.ndarray | None = None) -> np.ndarray:
+    """Logistic weights by Newton steps with a small ridge. times: how often each row counts, once if not given."""
     x = _widened(x)
+    times = np.ones(len(x)) if times is None else times
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = _sigmoid(x @ w)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, x.T @ (y - p) - ridge * w)
+        hess = (x * (times * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(hess, x.T @ (times * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -159,11 +166,8 @@ def _columns(df: DataFrame, *names: str) -> tuple:
     return tuple(rows.column(n).to_numpy() for n in names)
 
 
-def learn(labelled: DataFrame, part: Column) -> Model:
-    """labelled: text and toxic (0 or 1). part: 0 for rows that fit the curve, other values for rows that are counted."""
-    rows = labelled.where(F.col("toxic").isin(0, 1)).select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"), part.alias("part"))
-    counted = rows.where("part <> 0").select("text", "toxic")
-    pairs = stored(counted.mapInArrow(_pairs, "pair bigint, toxic bigint, plain bigint").groupBy("pair").agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic")), "pairs")
+def _model(pairs: DataFrame) -> Model:
+    """The count tables of pairs (pair, plain, toxic)."""
     low = (1 << WORD_BITS) - 1
     is_toxic, is_plain = F.count_if(F.col("toxic") > 0), F.count_if(F.col("plain") > 0)
     after = pairs.groupBy(F.col("pair").bitwiseAND(F.lit(low)).cast("int").alias("word")).agg(is_plain.alias("plain"), is_toxic.alias("toxic"), F.count("*").alias("both"))
@@ -179,13 +183,40 @@ def learn(labelled: DataFrame, part: Column) -> Model:
             yield pa.RecordBatch.from_pydict({"slot": pa.array(pair_slots(b.column("pair").to_numpy())), "plain": b.column("plain"), "toxic": b.column("toxic")})
 
     kept = pairs.where(F.col("plain") + F.col("toxic") > PAIR_DISCOUNT).mapInArrow(slots, "slot bigint, plain bigint, toxic bigint").groupBy("slot").agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic"))
-    model = Model(
+    return Model(
         _columns(after, "word", "plain", "toxic", "both"),
         _columns(before, "word", "plain", "toxic", "off_plain", "off_toxic"),
         _columns(kept, "slot", "plain", "toxic"),
     )
-    held = labelled.sparkSession.sparkContext.broadcast(model)
-    sample = rows.where("part = 0").orderBy(F.xxhash64("text"), "toxic").limit(CURVE_ROWS)
+
+
+def learn(labelled: DataFrame, part: Column) -> Model:
+    """labelled: text and toxic (0 or 1). All rows are counted; part: 0 for rows that fit the curve by counts without them."""
+    rows = labelled.where(F.col("toxic").isin(0, 1)).select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"), part.alias("part"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    first = {r["toxic"]: r["hash"] for r in rows.groupBy("toxic").agg(F.min("hash").alias("hash")).collect()}
+    is_first = [(F.col("toxic") == y) & (F.col("hash") == h) for y, h in first.items()]
+    curve = F.coalesce(F.col("part") == 0, F.lit(False))
+    for one in is_first:
+        curve = curve | one
+    rows = rows.withColumn("curve", curve)
+    names = ["toxic", "plain", "own_toxic", "own_plain"]
+    counts = rows.select("text", "toxic", "curve").mapInArrow(_pairs, "pair bigint, " + ", ".join(f"{n} bigint" for n in names))
+    pairs = stored(counts.groupBy("pair").agg(*[F.sum(n).alias(n) for n in names]), "pairs")
+    others = pairs.select("pair", (F.col("plain") - F.col("own_plain")).alias("plain"), (F.col("toxic") - F.col("own_toxic")).alias("toxic")).where("plain > 0 or toxic > 0")
+    curve_weights = None
+    if len(first) == 2:
+        curve_weights = _fitted(rows.where("curve"), _model(others))
+    model = _model(pairs.select("pair", "plain", "toxic"))
+    model.curve = curve_weights
+    return model
+
+
+def _fitted(rows: DataFrame, model: Model) -> np.ndarray:
+    """The curve of rows (text, toxic, hash) by a model that hasn't counted them."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    many = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    drawn = [rows.where(F.col("toxic") == y).select("text", "toxic", "hash").orderBy("hash").limit(CURVE_ROWS // 2) for y in (0, 1)]
     count = len(WINDOWS) + 2
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,10 +225,10 @@ def learn(labelled: DataFrame, part: Column) -> Model:
             yield pa.RecordBatch.from_pydict({"y": b.column("toxic")} | {f"x{i}": pa.array(x[:, i]) for i in range(count)})
 
     names = [f"x{i}" for i in range(count)]
-    y, *x = _columns(sample.mapInArrow(features, "y int, " + ", ".join(f"{n} double" for n in names)), "y", *names)
-    if 0 < y.sum() < len(y):
-        model.curve = fit_curve(np.stack(x, axis=1), y)
-    return model
+    y, *x = _columns(drawn[0].union(drawn[1]).mapInArrow(features, "y int, " + ", ".join(f"{n} double" for n in names)), "y", *names)
+    held.destroy()
+    times = np.array([many[k] / max((y == k).sum(), 1) for k in (0, 1)])[y]
+    return fit_curve(np.stack(x, axis=1), y, times=times * len(y) / times.sum())
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
