@@ -15,6 +15,13 @@ WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.tiktoken")
 RANGES = [(32, 127), (160, 600), (0x370, 0x400), (0x400, 0x460), (0x600, 0x650), (0x900, 0x950), (0x4E00, 0x4E50), (0x2000, 0x2030), (0x300, 0x340), (0x1F600, 0x1F640), (9, 14), (0x1C, 0x20), (0x85, 0x86)]
 
 
+def long_words():
+    """Unbroken runs of thousands of bytes, with few and many different pairs."""
+    r = random.Random(6)
+    draw = lambda parts, n: "".join(r.choice(parts) for _ in range(n))
+    return [draw("abcdefghijklmnopqrstuvwxyz", 5000), draw("ab", 5000), "the" * 2000, draw(["the", "ing", "tion", "er", "re"], 2000), draw([chr(c) for c in range(0x4E00, 0x4E50)], 1700), "=-" * 2500, " " * 5000]
+
+
 def odd_texts(n=300):
     r = random.Random(1)
     pool = [chr(c) for a, b in RANGES for c in range(a, b)]
@@ -47,7 +54,7 @@ def test_counts_of_corpus(docs):
 def test_codes_of_odd_texts(encoding, monkeypatch):
     monkeypatch.setattr(byte_bpe, "REMEMBERED", 50)
     coder = byte_bpe.ByteBpe(BYTE, P.PATTERN)
-    texts = odd_texts() + ["x" * 700, "ab" * 300, "<|endoftext|>"]
+    texts = odd_texts() + ["x" * 700, "ab" * 300, "<|endoftext|>"] + long_words()
     for i in range(0, len(texts), 40):
         for text, (ids, decoded) in zip(texts[i : i + 40], coder.encode(texts[i : i + 40]), strict=True):
             assert [int(x) for x in ids.split()] == encoding.encode_ordinary(text)
@@ -62,12 +69,13 @@ def test_a_wrong_vocabulary_shows(monkeypatch):
     assert [d for _, d in coder.encode(["x y", "x", "y"])] == [b"? y", b"?", b"y"]
 
 
-def test_recursion_and_heap_agree():
+def test_both_recursions_agree(encoding, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "ZONE", 2)
     coder = byte_bpe.ByteBpe(BYTE, P.PATTERN)
-    for text in odd_texts(60):
-        for w in coder.words(text):
-            coder._learn([w])
-            assert [int(x) for x in coder.known[w].split(" ")] == byte_bpe.contract([bytes([b]) for b in w.encode()], coder.ranks)
+    assert 1 << coder.shift >= max(map(len, coder.ranks))
+    texts = odd_texts(60)
+    for text, (ids, _) in zip(texts, coder.encode(texts), strict=True):
+        assert [int(x) for x in ids.split()] == encoding.encode_ordinary(text)
 
 
 def test_codes_of_corpus(docs, encoding):

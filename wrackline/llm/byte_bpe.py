@@ -6,28 +6,33 @@ word, the leftmost pair of least rank, until no word has a pair left. Decoding i
 rows are joined to the tokens' bytes and put together by an ordered aggregation. Words are remembered within bounds, so
 a frequent word is merged and decoded once for a worker; what a word decodes to is stored only where it isn't the word.
 
-The recursion makes n steps over a word of n bytes, which is quadratic: words of over `LONG` bytes (unbroken runs of
-letters or signs; none in ordinary prose) are contracted by the heap of `token_counts` instead, which follows the same rule.
+A long word (an unbroken run of over `ZONE` bytes; none in ordinary prose) is contracted at many places in a turn: it is
+cut into zones that are longer than the longest token, and the least pair of a zone is contracted where neither zone
+beside it has a lesser one. What could reach that pair before its own turn would be a token that spans a zone, and there
+is none, so this gives what one pair at a time gives. Of long words only the tokens of the last turn are held.
 
 Defined results: a null or empty text has no tokens and decodes to nothing; special strings in a text are ordinary text;
-repeated rows are encoded one by one; an empty table gives an empty result; other columns are not read.
+very long texts and words are encoded whole; null ids are carried; repeated rows are encoded one by one; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, map_text, table
 
-LONG = 256
+ZONE = 256
 #: Words in one recursive query, and words remembered in a worker before a new generation begins, which takes over what is still met.
-CHUNK, REMEMBERED = 10_000, 200_000
+CHUNK, REMEMBERED = 40_000, 500_000
+#: Texts of a task that are cut and looked up together, in bytes.
+TEXTS = 4 << 20
 
 #: The key of a row is word << 12 | position, so the next token of a word has the next key. A turn gives each word that has a pair its
 #: next state; a word that has none drops out, and its last state is its encoding.
@@ -43,11 +48,27 @@ WITH RECURSIVE step(turn, key, id) AS (
     SELECT turn + 1, key - CASE WHEN key & 4095 > least & 4095 THEN 1 ELSE 0 END, CASE WHEN key & 4095 = least & 4095 THEN least >> 12 ELSE id END
     FROM step JOIN best ON word = key >> 12
     WHERE key & 4095 <> (least & 4095) + 1))
-SELECT key >> 12 AS word, list(id ORDER BY key) AS ids
+SELECT key >> 12 AS word, key & 4095 AS pos, id
 FROM step JOIN (SELECT key >> 12 AS word, max(turn) AS turn FROM step GROUP BY 1) last ON last.word = step.key >> 12 AND last.turn = step.turn
-GROUP BY 1
 """
-DECODE = "SELECT word, string_agg(hex, '' ORDER BY pos) AS hex FROM encoded JOIN vocabulary USING (id) GROUP BY word"
+#: Of long words. The key is word << 32 | offset in bytes; a token that was contracted into the one before has the id -1.
+ENCODE_LONG = """
+WITH RECURSIVE step(key, id, len) USING KEY (key) AS (
+  SELECT key, id, 1::BIGINT FROM start
+  UNION
+  SELECT * FROM (
+    WITH pairs AS (
+      SELECT a.key, a.len, b.key AS key2, b.len AS len2, merged, a.key >> {shift} AS zone, merged << 32 | (a.key & 4294967295) AS least
+      FROM recurring.step a JOIN recurring.step b ON b.key = a.key + a.len JOIN merges ON merges.pair = (a.id << 20 | b.id)
+      WHERE a.id >= 0 AND b.id >= 0),
+    zones AS (SELECT zone, min(least) AS least FROM pairs GROUP BY 1),
+    near AS (SELECT zone, min(least) AS least FROM (SELECT zone + d AS zone, least FROM zones, (VALUES (-1), (0), (1)) v(d)) GROUP BY 1),
+    best AS (SELECT pairs.* FROM pairs JOIN near USING (zone, least))
+    SELECT key, merged, len + len2 FROM best UNION ALL SELECT key2, -1, 0 FROM best))
+SELECT key >> 32 AS word, key & 4294967295 AS pos, id FROM step WHERE id >= 0
+"""
+#: Ids and bytes of each word, in order.
+DECODE = "SELECT word, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex FROM ({encoded}) JOIN vocabulary USING (id) GROUP BY word"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,28 +76,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def contract(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one long word by a heap and a linked list: least rank first, the leftmost of equals."""
-    n = len(parts)
-    after, before, held = list(range(1, n + 1)), list(range(-1, n - 1)), list(parts)
-    heap = [(r, i, held[i], held[i + 1]) for i in range(n - 1) if (r := ranks.get(held[i] + held[i + 1])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = after[i]
-        if held[i] != a or j >= n or held[j] != b:
-            continue
-        held[i], held[j] = a + b, b""
-        k = after[i] = after[j]
-        if k < n:
-            before[k] = i
-            if (r := ranks.get(held[i] + held[k])) is not None:
-                heapq.heappush(heap, (r, i, held[i], held[k]))
-        if (h := before[i]) >= 0 and (r := ranks.get(held[h] + held[i])) is not None:
-            heapq.heappush(heap, (r, h, held[h], held[i]))
-    return [ranks[x] for x in held if x]
-
-
 class ByteBpe:
     """Encodes and decodes the words of texts. One for a worker and a rank file."""
 
@@ -84,7 +83,8 @@ class ByteBpe:
         import duckdb
 
         self.ranks = read_ranks(path)
-        self.byte = [self.ranks[bytes([b])] for b in range(256)]
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.shift = max(ZONE - 1, max(map(len, self.ranks)) - 1).bit_length()
         self.words = regex.compile(pattern).findall
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
@@ -101,18 +101,17 @@ class ByteBpe:
 
     def _learn(self, words: list[str]) -> None:
         raw = [w.encode() for w in words]
-        ids: dict[int, list[int]] = {i: contract([bytes([b]) for b in x], self.ranks) for i, x in enumerate(raw) if len(x) > LONG}
-        rows = [(i << 12 | p, self.byte[b]) for i, x in enumerate(raw) if i not in ids for p, b in enumerate(x)]
-        if rows:
-            self._table("start", pa.table({"key": pa.array([r[0] for r in rows], pa.int64()), "id": pa.array([r[1] for r in rows], pa.int64())}))
-            ids.update(self.db.execute(ENCODE).fetchall())
-        rows = [(i, p, t) for i, x in ids.items() for p, t in enumerate(x)]
-        word, pos, token = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
-        self._table("encoded", pa.table({"word": word, "pos": pos, "id": token}))
-        for i, text in self.db.execute(DECODE).fetchall():
-            self.known[words[i]] = " ".join(map(str, ids[i]))
-            if (decoded := bytes.fromhex(text)) != raw[i]:
-                self.otherwise[words[i]] = decoded
+        for query, bits, part in ((ENCODE, 12, [i for i, x in enumerate(raw) if len(x) <= ZONE]), (ENCODE_LONG.format(shift=self.shift), 32, [i for i, x in enumerate(raw) if len(x) > ZONE])):
+            if not part:
+                continue
+            sizes = np.array([len(raw[i]) for i in part])
+            data = np.frombuffer(b"".join([raw[i] for i in part]), np.uint8)
+            word, pos = np.repeat(np.array(part), sizes), np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            self._table("start", pa.table({"key": pa.array(word << bits | pos), "id": pa.array(self.byte[data])}))
+            for i, ids, text in self.db.execute(DECODE.format(encoded=query)).fetchall():
+                self.known[words[i]] = ids
+                if (decoded := bytes.fromhex(text)) != raw[i]:
+                    self.otherwise[words[i]] = decoded
 
     def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
         """For every text, its ids joined by a space, and the bytes that they decode to."""
@@ -150,7 +149,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
             "decoded": pa.array([decoded for _, decoded in coded], pa.binary()),
         }
 
-    return map_text(id_and_text(df, id_col, text_col), run, "ids array<int>, decoded binary", 1 << 20)
+    return map_text(id_and_text(df, id_col, text_col), run, "ids array<int>, decoded binary", TEXTS)
 
 
 def encode_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,7 +163,7 @@ def encode_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id
             out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
         return {k: pa.array(v, pa.int64() if k == "n_tokens" else pa.string()) for k, v in out.items()}
 
-    return map_text(id_and_text(df, id_col, text_col), run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", 1 << 20)
+    return map_text(id_and_text(df, id_col, text_col), run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", TEXTS)
 
 
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:
