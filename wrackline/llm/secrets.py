@@ -7,13 +7,18 @@ exclusive.
 The battery adds spans of kind `random`. A candidate is a run of 20 or more signs of `[A-Za-z0-9+/_-]` and trailing padding
 outside every base span, of which letters and digits both occur; any other `=` ends a run. Its encoding is inferred as the
 smallest of decimal, hex, base32, base36 and base64 that holds it. If none holds it (`/` or `+` with `-` or `_`), its longest
-pieces that base64 or base64url holds are candidates; of pieces that overlap, the longest that stays is reported. Three tests ask whether it looks drawn evenly from that alphabet: chi-squared of the alphabet in
-eight classes, runs about the middle, and lag-one serial correlation. The least p-value, times three, is the candidate's.
-A weighted Benjamini-Hochberg step-up over a text's candidates, weights in proportion to length (the tests' power grows
-with it), rejects the structured ones at rate `RATE`; a candidate that stays is reported. Base spans are never dropped.
-
-Defined results: a null or empty text has no span; repeated rows are scanned one by one; null ids are carried; an empty
-table gives an empty result; other columns are not read.
+pieces that base64 or base64url holds are candidates; of pieces that overlap, the one that looks least like words is tested.
+
+Two questions are asked of a candidate. Could it have been drawn evenly from its alphabet? Chi-squared of the alphabet in
+eight classes, runs about the middle, and lag-one serial correlation answer; under `EVEN` it is not random, whatever else.
+And could it be words, names and numbers? That is the null hypothesis of each discovery: in such tokens letters and digits
+alternate seldom, capitals stand in order, and vowels are frequent. The tails of these three counts are combined by
+Fisher's method. Over all candidates of the table, in strata by length (long tokens carry more evidence), a
+Benjamini-Hochberg step-up bounds the share of structured tokens among the reported ones by `RATE`. Its p-values are
+rounded up to a grid, so a few hundred counts decide, however large the table. Base spans are never dropped.
+
+Defined results: a null or empty text has no span; very long texts are scanned whole; repeated rows are scanned one by one
+and count one by one in the step-up; null ids are carried; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +30,9 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import id_and_text, map_text, table
+from .common import id_and_text, map_text, stored, table
 
 #: Fixed patterns of the base kinds.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -36,7 +42,11 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_
 PIECES = [re.compile(r"[A-Za-z0-9+/]+=*"), re.compile(r"[A-Za-z0-9_-]+=*")]
 SHORTEST = 20
 KINDS = ("assign", "access", "hex", "random")
-RATE, CLASSES = 0.05, 8
+RATE, CLASSES, EVEN = 0.05, 8, 0.001
+#: Of words, names and numbers: how often a letter stands beside a digit, the case changes between letters, and how many letters are vowels.
+ALTERNATE, CASES, VOWELS = 0.12, 0.3, 0.36
+#: Least lengths of the strata, and the grid of p-values: GRID steps for each power of e, up to LAST.
+STRATA, GRID, LAST = (0, 24, 32, 48, 64), 8, 400
 DIGITS, UPPERS, LOWERS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Encodings by size of alphabet, smallest first.
 ENCODINGS = [
@@ -113,54 +123,69 @@ def battery(token: str, alphabet: str) -> float:
     return min(1.0, 3 * min(chi2_tail(chi, CLASSES - 1), runs, serial))
 
 
-def structured(tokens: list[tuple[int, float]], rate: float = RATE) -> list[bool]:
-    """(length, p) of a text's candidates: which a weighted Benjamini-Hochberg step-up rejects as not random."""
-    mean = sum(n for n, _ in tokens) / max(len(tokens), 1)
-    scaled = [p * mean / n for n, p in tokens]
-    most = max((q for i, q in enumerate(sorted(scaled), 1) if q <= rate * i / len(tokens)), default=-1.0)
-    return [q <= most for q in scaled]
+def upper_tail(k: int, n: int, p: float) -> float:
+    """P(a binomial count of n with share p is k or more)."""
+    if k <= 0:
+        return 1.0
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p))
+    total = 0.0
+    for i in range(k, n + 1):
+        total += term
+        term *= (n - i) / (i + 1) * p / (1 - p)
+    return min(1.0, total)
 
 
-def random_spans(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    found = []
-    for a, b in candidates(text):
-        token = text[a:b]
-        if any(x < b and a < y for x, _, y in taken) or not (re.search("[A-Za-z]", token) and re.search("[0-9]", token)):
-            continue
-        found.append((a, b, battery(token, infer_encoding(token)[1])))
-    drop = structured([(b - a, p) for a, b, p in found])
-    stay = [(a, b) for (a, b, _), gone in zip(found, drop, strict=True) if not gone]
-    out: list[tuple[int, str, int]] = []
-    group: list[tuple[int, int]] = []  # overlapping pieces lie in one run, so few are compared
-    end = 0
-    for a, b in [*sorted(stay), (len(text) + 1, 0)]:
-        if a >= end:
-            out += longest_apart(group)
-            group = []
-        group.append((a, b))
-        end = max(end, b)
-    return out
-
-
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs that an encoding holds, and the longest pieces of the others; all of SHORTEST signs or more."""
+def structure(token: str) -> float:
+    """P-value of a token if it was made of words, names and numbers."""
+    signs = [c for c in token if c.isalnum()]
+    letters = [c for c in signs if c.isalpha()]
+    beside = list(zip(signs, signs[1:], strict=False))
+    both = [(a, b) for a, b in beside if a.isalpha() and b.isalpha()]
+    vowels = sum(c in "aeiouAEIOU" for c in letters)
+    tails = [
+        upper_tail(sum(a.isdigit() != b.isdigit() for a, b in beside), len(beside), ALTERNATE),
+        upper_tail(sum(a.isupper() != b.isupper() for a, b in both), len(both), CASES),
+        upper_tail(len(letters) - vowels, len(letters), 1 - VOWELS),
+    ]
+    # Fisher: minus two logs of the product follow chi-squared with two degrees for each tail
+    return chi2_tail(-2 * sum(math.log(max(t, 1e-300)) for t in tails), 2 * len(tails))
+
+
+def stratum(length: int) -> int:
+    return sum(length >= s for s in STRATA) - 1
+
+
+def step_up(counts: dict[int, int], rate: float = RATE) -> int:
+    """counts: of candidates of a stratum by place on the grid. The first place that is reported; LAST + 1 if none is."""
+    total, below, first = sum(counts.values()), 0, LAST + 1
+    for place in sorted(counts, reverse=True):
+        below += counts[place]
+        if math.exp(-place / GRID) * total <= rate * below:
+            first = place
+    return first
+
+
+def candidates(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, place): runs that an encoding holds, and of the others the pieces; place is that of the p-value, rounded up."""
     out = []
     for m in CANDIDATE.finditer(text):
         if m.end() - m.start() < SHORTEST:
             continue
-        if infer_encoding(m[0]):
-            out.append(m.span())
-        else:
-            out += sorted({(m.start() + p.start(), m.start() + p.end()) for piece in PIECES for p in piece.finditer(m[0]) if p.end() - p.start() >= SHORTEST})
-    return out
-
-
-def longest_apart(pieces: list[tuple[int, int]]) -> list[tuple[int, str, int]]:
-    """Of pieces that overlap, the longest, then the first."""
-    out: list[tuple[int, str, int]] = []
-    for a, b in sorted(pieces, key=lambda s: (s[0] - s[1], s[0])):
-        if all(b <= x or y <= a for x, _, y in out):
-            out.append((a, "random", b))
+        spans = [m.span()]
+        if not infer_encoding(m[0]):
+            spans = sorted({(m.start() + p.start(), m.start() + p.end()) for piece in PIECES for p in piece.finditer(m[0]) if p.end() - p.start() >= SHORTEST})
+        rated = []
+        for a, b in spans:
+            token = text[a:b]
+            if any(x < b and a < y for x, _, y in taken) or not (re.search("[A-Za-z]", token) and re.search("[0-9]", token)):
+                continue
+            p = structure(token) if battery(token, infer_encoding(token)[1]) >= EVEN else 1.0
+            rated.append((p, a - b, a, b))
+        apart: list[tuple[int, int]] = []
+        for p, _, a, b in sorted(rated):
+            if all(b <= x or y <= a for x, y in apart):
+                apart.append((a, b))
+                out.append((a, b, min(LAST, math.floor(-GRID * math.log(max(p, 1e-300))))))
     return sorted(out)
 
 
@@ -168,27 +193,46 @@ def _joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, kind, b in sorted(spans, key=lambda s: (s[0], KINDS.index(s[1]))))
 
 
-def scan(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
-    """Base spans, and the spans that the battery adds."""
+def scan(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, int, int]]]:
+    """Base spans, and the candidates of the battery."""
     base = base_spans(text or "")
-    return base, random_spans(text or "", base)
+    return base, candidates(text or "", base)
+
+
+_FOUND = "base array<struct<start:int,kind:int,end:int>>, candidates array<struct<start:int,end:int,place:int>>"
 
 
-def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(df: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans (kind:start:end, comma-joined)."""
+    span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+    rated = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("place", pa.int32())]))
 
     def run(part: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {f"n_{k}": [] for k in KINDS} | {"base_sha256": [], "spans": []}
+        sha, base, more = [], [], []
         for text in part.column("text").to_pylist():
-            base, more = scan(text)
-            for k in KINDS:
-                out[f"n_{k}"].append(sum(s[1] == k for s in base + more))
-            out["base_sha256"].append(hashlib.sha256(_joined(base).encode()).hexdigest())
-            out["spans"].append(_joined(base + more))
-        return {k: pa.array(v, pa.int64() if k[:2] == "n_" else pa.string()) for k, v in out.items()}
-
-    counts = ", ".join(f"n_{k} bigint" for k in KINDS)
-    return map_text(id_and_text(df, id_col, text_col), run, f"{counts}, base_sha256 string, spans string")
+            own, others = scan(text)
+            sha.append(hashlib.sha256(_joined(own).encode()).hexdigest())
+            base.append([{"start": a, "kind": KINDS.index(k), "end": b} for a, k, b in own])
+            more.append([{"start": a, "end": b, "place": place} for a, b, place in others])
+        return {"base_sha256": pa.array(sha, pa.string()), "base": pa.array(base, span), "candidates": pa.array(more, rated)}
+
+    scanned = stored(map_text(id_and_text(df, id_col, text_col), run, f"base_sha256 string, {_FOUND}"), "secret-spans")
+    one = scanned.select(F.inline("candidates"))
+    level = sum((F.when(F.col("end") - F.col("start") >= s, 1).otherwise(0) for s in STRATA[1:]), F.lit(0))
+    counts: list[dict[int, int]] = [{} for _ in STRATA]
+    for r in one.groupBy(level.alias("stratum"), "place").agg(F.count("*").alias("n")).collect():  # STRATA x LAST rows at most
+        counts[r.stratum][r.place] = r.n
+    firsts = F.array(*[F.lit(step_up(c, rate)) for c in counts])
+
+    def reported(c):
+        return c["place"] >= F.element_at(firsts, sum((F.when(c["end"] - c["start"] >= s, 1).otherwise(0) for s in STRATA[1:]), F.lit(1)))
+
+    added = F.transform(F.filter("candidates", reported), lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), c["end"].alias("end")))
+    text = F.transform("every", lambda x: F.concat(F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), F.lit(":"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string")))
+    count = lambda i: F.size(F.filter("every", lambda x: x["kind"] == i)).cast("bigint")
+    number = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    rows = scanned.withColumn("every", F.array_sort(F.concat("base", added)))
+    return rows.select("doc_id", *number, "base_sha256", F.array_join(text, ",").alias("spans"))
 
 
 def op9_secrets(spark, sf_dir: str) -> DataFrame:
