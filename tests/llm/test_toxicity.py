@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -30,37 +31,97 @@ def model(spark):
 
 def test_held_out(model):
     rows = labelled_rows()[600:]
-    score = model.scores([t for _, t, _ in rows])
+    score = model.model().scores([t for _, t, _ in rows])
     y = np.array([b for _, _, b in rows])
     assert ((score >= tx.THRESHOLD) == y).mean() > 0.97
 
 
-def test_evidence_against_plain_formulas(spark):
-    """Small counts by hand: continuation counts, discounts, shared backoff."""
-    texts = [("a b a c a b", 1), ("a b c c d e a b", 0)]
-    model = tx.learn(spark.createDataFrame(texts, "text string, toxic int"), F.lit(1))
-    number = lambda w: int(tx.word_numbers(w)[1])
-    pairs = {y: {} for y in (0, 1)}
-    for text, y in texts:
-        w = [0, *map(number, text.split())]
-        for p in zip(w, w[1:], strict=False):
-            pairs[y][p] = pairs[y].get(p, 0) + 1
-    cont = {y: {} for y in (0, 1)}
+def plain_model(texts):
+    """P(word) and what a context adds, straight from the formulas: functions own(word) and added(first, second) of both classes."""
+    P = tx.PAIR_DISCOUNT
+    words = {y: [["", *tx.words_of(t)] for t, k in texts if k == y] for y in (0, 1)}
+    pairs = {y: Counter(p for w in words[y] for p in zip(w, w[1:], strict=False)) for y in (0, 1)}
+    every = [{w for ws in words[y] for w in ws[1:]} for y in (0, 1)]
+
+    def level(types, D):  # types: of each class, the distinct (what is counted, by what) pairs
+        c = [Counter(a for a, _ in types[y]) for y in (0, 1)]
+        both = Counter(a for a, _ in types[0] | types[1])
+        total = [sum(x.values()) for x in c]
+        rest = [max(1e-3, sum(min(n, D) for n in x.values()) / t) if t else 1.0 for x, t in zip(c, total, strict=True)]
+        return c, both, total, rest, sum(n + 0.5 for n in both.values()) or 1.0, D
+
+    stem = {k: level([{(w[:k], w) for w in every[y] if len(w) >= k} for y in (0, 1)], tx.STEM_DISCOUNT) for k in tx.STEMS}
+    unit = level([{(b, a) for a, b in pairs[y]} for y in (0, 1)], tx.WORD_DISCOUNT)
+
+    def prob(lv, key, y, below):
+        c, _, total, rest, _, D = lv
+        return max(c[y][key] - D, 0) / max(total[y], 1) + rest[y] * tx.MET * below
+
+    def four(w, y):
+        return prob(stem[4], w[:4], y, (stem[4][1][w[:4]] + 0.5) / stem[4][4])
+
+    def six(w, y):
+        return prob(stem[6], w[:6], y, four(w, y) * (stem[6][1][w[:6]] + 0.5) / (stem[4][1][w[:4]] + 0.5))
+
+    def word(w, y):
+        n = unit[1][w] + 0.5
+        if len(w) >= 6:
+            return prob(unit, w, y, six(w, y) * n / (stem[6][1][w[:6]] + 0.5))
+        return prob(unit, w, y, four(w, y) * n / (stem[4][1][w[:4]] + 0.5) if len(w) >= 4 else n / unit[4])
+
+    seen = [Counter() for _ in (0, 1)]
+    off = [Counter() for _ in (0, 1)]
     for y in (0, 1):
-        for _, b in pairs[y]:
-            cont[y][b] = cont[y].get(b, 0) + 1
-    both = {}
-    for _, b in {*pairs[0], *pairs[1]}:
-        both[b] = both.get(b, 0) + 1
-    total_shared = sum(both.values()) + 0.5 * (1 << tx.WORD_BITS)
-    for w in "abcde":
-        b = number(w)
-        p = []
-        for y in (0, 1):
-            total = sum(cont[y].values())
-            rest = sum(min(c, tx.WORD_DISCOUNT) for c in cont[y].values()) / total
-            p.append(max(cont[y].get(b, 0) - tx.WORD_DISCOUNT, 0) / total + rest * (both[b] + 0.5) / total_shared)
-        assert math.isclose(model.evidence(w)[0], math.log(p[1] / p[0]), rel_tol=1e-3, abs_tol=1e-3)
+        for (a, _), n in pairs[y].items():
+            seen[y][a] += n
+            off[y][a] += min(n, P)
+
+    def evidence(text):
+        w = ["", *tx.words_of(text)]
+        out = []
+        for a, b in zip(w, w[1:], strict=False):
+            p = [word(b, y) for y in (0, 1)]
+            own = math.log(p[1] / p[0])
+            more = 0.0
+            if min(seen[0][a], seen[1][a]) >= tx.MIN_CONTEXT:
+                q = [max(pairs[y][a, b] - P, 0) / seen[y][a] + max(1e-3, off[y][a] / seen[y][a]) * p[y] for y in (0, 1)]
+                more = max(-tx.PAIR_WEIGHT, min(tx.PAIR_WEIGHT, math.log(q[1] / q[0]) - own))
+            out.append(own + more)
+        return out
+
+    return evidence
+
+
+def test_evidence_against_plain_formulas(spark, monkeypatch):
+    monkeypatch.setattr(tx, "MIN_CONTEXT", 8)
+    monkeypatch.setattr(tx, "STEM_DISCOUNT", 3)
+    rows = [(t, y) for _, t, y in labelled_rows(200)] + [("vile viler vilest vilely vileness vilenesses vilenessy vilenessly vilenessish nastiest awfully", 1)] * 3 + [("reliable relic", 0)]
+    learned = tx.learn(spark.createDataFrame(rows, "text string, toxic int").repartition(3), F.lit(1))
+    want, model = plain_model(rows), learned.model()
+    for text in [t for t, _ in rows[::9]] + ["vilenesses unknown x viles nastier relia to be", "vile", ""]:
+        assert np.allclose(model.evidence(text), want(text), rtol=1e-4, atol=1e-4), text
+    assert {tx.PAIR, tx.CONTEXT, tx.UNIT, *tx.STEMS} == set(learned.entries_by_kind())
+
+
+def test_whole_scores_by_broadcast_and_by_join(spark, monkeypatch):
+    """Scores of every row from plain evidence, windows and the curve; a table too large to broadcast gives the same."""
+    rows = [(i, t, y) for i, t, y in labelled_rows(250)] + [(None, None, None), (7, "", None), (7, "vilely " * 300, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, toxic int").repartition(3)
+    learned = tx.learn(df, F.coalesce(F.col("doc_id") % 4, F.lit(1)))
+    evidence = plain_model([(t, y) for _, t, y in rows if y is not None])
+
+    def slow(text):
+        e = evidence(text)
+        best = [max(np.mean(e[i : i + w]) for i in range(len(e) - w + 1)) if len(e) > w else np.mean(e) for w in tx.WINDOWS] if e else []
+        x = [1.0, *([np.mean(e), *best, math.log(len(e))] if e else [0.0] * (len(tx.WINDOWS) + 2))]
+        return 1 / (1 + math.exp(-min(30, max(-30, float(np.dot(x, learned.curve))))))
+
+    want = sorted((str(i), slow(t)) for i, t, _ in rows)
+    for most in (tx.MODEL_ROWS, 0):
+        monkeypatch.setattr(tx, "MODEL_ROWS", most)
+        learned.small = learned.entries.count() <= most
+        got = sorted((str(r.doc_id), r.score) for r in tx.score(df, learned).collect())
+        assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-3)
 
 
 def test_empty_and_null_texts(spark, model):
@@ -76,13 +137,14 @@ def test_without_labels(docs, empty):
     assert tx.score(empty, model).count() == 0
 
 
-def test_all_labelled_rows_are_counted(spark):
+def test_all_labelled_rows_are_counted(spark, monkeypatch):
     """A word that only rows of the curve hold has evidence; a model of the other rows alone knows nothing of it."""
     rows = labelled_rows()[:300]
-    df = spark.createDataFrame([(i, t + (" dreadful" * 9 if y and i % 4 == 0 else ""), y) for i, t, y in rows], "doc_id int, text string, toxic int")
+    monkeypatch.setattr(tx, "STEM_DISCOUNT", 3)
+    df = spark.createDataFrame([(i, t + ("".join(f" dreadful{c}" for c in "abcdefgh") if y and i % 4 == 0 else ""), y) for i, t, y in rows], "doc_id int, text string, toxic int")
     model = tx.learn(df, F.col("doc_id") % 4)
-    first = int(tx.word_numbers("dreadful")[1])
-    assert model.context[1][first] > 0 and model.context[0].sum() + model.context[1].sum() == sum(len(tx.word_numbers(r.text)) - 1 for r in df.collect())
+    own = {r.key: r.value for r in model.entries.where(F.col("kind") == 6).collect()}
+    assert own[tx.number("6:dreadf")] > 0 and model.model().evidence("dreadful")[0] > 0
 
 
 def test_curve_if_its_part_lacks_a_class(spark):

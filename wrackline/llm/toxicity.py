@@ -1,26 +1,33 @@
 """Toxicity by class-conditional Kneser-Ney models with shared backoff counts.
 
 Two bigram models are counted over all labelled rows: one of toxic texts, one of ordinary ones. Each discounts its bigram
-counts and backs off to its own continuation counts (in how many contexts a word occurs, so copies of a text add nothing),
-which are discounted in turn and back off to continuation counts shared by both classes. A count up to the discount is
-wholly discounted, and a context that either class has seen under `MIN_CONTEXT` times says nothing, so a rare expression
-has its shared backoff probability in both models and isn't decided by chance. A word's
-evidence is the difference of the two log-probabilities. A text is judged by length-normalised evidence: over the whole
-text, and over its strongest windows, since a few words make a long text toxic. A logistic curve turns these into a score.
-
-Words are numbered by hash into `WORD_BITS`, kept bigrams (those met more often than the discount) into `PAIR_BITS`, so the tables that
-reach the driver and the workers have a fixed size at most, whatever the corpus; the counts behind them are summed by
-Spark over every labelled row. The curve is cross-fitted: on at most `CURVE_ROWS` rows of one part of the labels, half of
-them of each class at most and weighted back to the part's own shares, judged by counts without that part. The first row of
-each class belongs to that part too, so it has both classes whenever the labels do. Texts are scored by the counts of all rows.
-
-Defined results: a null or empty text has no evidence and scores as the curve does at zero; without a label of either
-class every score is 0; rows labelled null are not learned from; several labels for one id count one by one; repeated
-rows are scored one by one; an empty table gives an empty result; other columns are not read.
+counts and backs off to its own continuation counts (in how many contexts a word occurs, so copies of a text add nothing);
+these are discounted in turn and back off to the continuation counts of the word's stem (in how many words its first six,
+then its first four letters occur), and at last to counts shared by both classes. A count up to the discount is wholly
+discounted, and a context that either class has seen under `MIN_CONTEXT` times says nothing, so a rare expression has its
+shared backoff probability in both models and isn't decided by chance. A word's evidence is the difference of the two
+log-probabilities. A text is judged by length-normalised evidence: over the whole text, and over its strongest windows,
+since a few words make a long text toxic. A logistic curve turns these into a score.
+
+Counts, probabilities and evidence are Spark tables that grow with the corpus. Scoring needs one table (kind, key, value):
+the evidence of words and stems, and what a context or a bigram adds. Entries that backing off gives anyway are left out,
+which changes nothing. The table is broadcast up to `MODEL_ROWS` rows (12 bytes each); a larger one is joined to the
+distinct keys of each text. Words and stems are keyed by 32 bits, bigrams by 64.
+
+The curve is cross-fitted: on rows of one part of the labels, `CURVE_ROWS` or so, half of each class at most and weighted
+back to the part's own shares, judged by counts without that part. The first row of each class belongs to that part too, so
+it has both classes whenever the labels do. Rows are drawn by a threshold on their hash, where they are, and only their
+features leave the task. Texts are scored by the counts of all rows.
+
+Defined results: a null or empty text has no evidence and scores as the curve does at zero; very long texts are counted and
+scored whole; without a label of either class every score is 0; rows labelled null are not learned from; several labels for
+one id count one by one; null ids are carried and have no label; repeated rows are scored one by one; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,110 +39,163 @@ from pyspark.sql import functions as F
 
 from .common import fold, id_and_text, map_text, stored, table, text_chunks
 
-WORD_BITS, PAIR_BITS = 20, 21
-WORD_DISCOUNT, PAIR_DISCOUNT, MIN_CONTEXT = 3, 2, 20
+WORD_DISCOUNT, STEM_DISCOUNT, PAIR_DISCOUNT, MIN_CONTEXT = 3, 20, 2, 20
+#: Of what backing off gives to a level, the share that falls to what the corpus has; the rest is kept for the unseen.
+MET = 0.4
+#: Letters of the stems, the shorter one first.
+STEMS = (4, 6)
 #: Bigrams are counted with all copies of a text, so a context may move a word's evidence by this much (log) at most.
 PAIR_WEIGHT = 1.0
 WINDOWS = (1, 3, 12, 48)
 CURVE_ROWS = 20_000
+#: Rows of the evidence table that are broadcast; beyond it texts are joined to it.
+MODEL_ROWS = 8_000_000
 #: Labels are broadcast to the texts up to this many (some 40 bytes each); beyond it the join is shuffled.
 BROADCAST_LABELS = 500_000
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
-_REMEMBERED = 300_000
+#: Words remembered in a worker.
+REMEMBERED = 300_000
+#: Kinds of the evidence table besides the stems' lengths.
+PAIR, CONTEXT, UNIT = 0, 1, 2
 _numbers: dict[str, int] = {}
 
 
-def word_numbers(text: str | None) -> np.ndarray:
-    """Numbers of a text's words, by hash; number 0 stands before the first."""
-    words = WORD.findall((text or "").lower())
-    if len(_numbers) > _REMEMBERED:
-        _numbers.clear()
-    for w in words:
-        if w not in _numbers:
-            _numbers[w] = 1 + zlib.crc32(w.encode()) % ((1 << WORD_BITS) - 1)
-    return np.array([0, *[_numbers[w] for w in words]], np.int64)
+def number(text: str) -> int:
+    """A word's or stem's key; 0 stands before the first word of a text."""
+    return zlib.crc32(text.encode()) or 1
 
 
-def pair_slots(pairs: np.ndarray) -> np.ndarray:
-    mixed = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+def stem_keys(word: str) -> list[tuple[int, int]]:
+    """(length, key) of the stems that are shorter than the word or as long."""
+    return [(k, number(f"{k}:{word[:k]}")) for k in STEMS if len(word) >= k]
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums (pair, toxic, plain, own_toxic, own_plain); pair is first << WORD_BITS | second, own: of the curve's rows."""
+    """Partial sums (kind, pair, toxic, plain, own_toxic, own_plain); pair is first << 32 | second, own: of the curve's rows.
+
+    kind is 0 for bigrams, else a stem's length; first is then the stem's key and second the word's, and the sums count the
+    batches in which rows of the class have it, own_* those in which rows of the curve alone have it.
+    """
     for part in text_chunks(batches, 8 << 20, 8192):
         keys, own = {0: [], 1: []}, {0: [], 1: []}
+        met: dict[str, list[bool]] = {}
         for y, curve, text in zip(part.column("toxic").to_pylist(), part.column("curve").to_pylist(), part.column("text").to_pylist(), strict=True):
-            n = word_numbers(text)
-            keys[y].append(n[:-1] << WORD_BITS | n[1:])
+            words = words_of(text)
+            if len(_numbers) > REMEMBERED:
+                _numbers.clear()
+            for w in words:
+                if w not in _numbers:
+                    _numbers[w] = number(w)
+            n = np.array([0, *[_numbers[w] for w in words]], np.int64)
+            keys[y].append(n[:-1] << 32 | n[1:])
             if curve:
                 own[y].append(keys[y][-1])
+            for w in set(words):
+                seen = met.setdefault(w, [False] * 4)
+                seen[1 - y] = True
+                seen[3 - y] |= not curve
+        names = ("toxic", "plain", "own_toxic", "own_plain")
         lists = [np.concatenate([*k[y], np.zeros(0, np.int64)]) for k in (keys, own) for y in (1, 0)]
         pair = np.unique(np.concatenate(lists[:2]))
-        out = {"pair": pa.array(pair)}
-        for name, one in zip(("toxic", "plain", "own_toxic", "own_plain"), lists, strict=True):
+        out = {"kind": pa.array(np.zeros(len(pair), np.int32)), "pair": pa.array(pair)}
+        for name, one in zip(names, lists, strict=True):
             out[name] = pa.array(np.bincount(np.searchsorted(pair, one), minlength=len(pair)).astype(np.int64))
         yield pa.RecordBatch.from_pydict(out)
+        stems = [(k, s << 32 | number(w), a, b, a and not c, b and not d) for w, (a, b, c, d) in met.items() for k, s in stem_keys(w)]
+        if stems:
+            kind, pair, *flags = zip(*stems, strict=True)
+            out = {"kind": pa.array(kind, pa.int32()), "pair": pa.array(np.array(pair, np.uint64).view(np.int64))}
+            yield pa.RecordBatch.from_pydict(out | {n: pa.array(np.array(f, np.int64)) for n, f in zip(names, flags, strict=True)})
 
 
 class Model:
-    """Count tables of both classes (index 1: toxic) and the shared continuation counts."""
-
-    def __init__(self, after: tuple, before: tuple, slots: tuple):
-        words, many = 1 << WORD_BITS, 1 << PAIR_BITS
-        grid = lambda at, values, size: np.stack([self._filled(size, at, v) for v in values])
-        second, cont_plain, cont_toxic, cont_all = after
-        first, n_plain, n_toxic, off_plain, off_toxic = before
-        slot, big_plain, big_toxic = slots
-        cont = grid(second, (cont_plain, cont_toxic), words)
-        shared = self._filled(words, second, cont_all) + 0.5
-        total = cont.sum(axis=1, keepdims=True)
-        off = np.minimum(cont, WORD_DISCOUNT).sum(axis=1, keepdims=True)
-        rest = np.where(total > 0, off / np.maximum(total, 1), 1.0)
-        self.word = (np.maximum(cont - WORD_DISCOUNT, 0) / np.maximum(total, 1) + np.maximum(rest, 1e-3) * (shared / shared.sum())).astype(np.float32)
-        self.context = grid(first, (n_plain, n_toxic), words)
-        self.rest = (grid(first, (off_plain, off_toxic), words) / np.maximum(self.context, 1)).astype(np.float32)
-        self.pair = grid(slot, (big_plain, big_toxic), many)
-        self.curve: np.ndarray | None = None
-
-    @staticmethod
-    def _filled(size: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-        out = np.zeros(size, np.float32)
-        out[at] = values
+    """The evidence table, sorted by key within each kind, and the constants of what backs off to both classes alike."""
+
+    def __init__(self, constants: dict[str, float], entries: dict[int, tuple[np.ndarray, np.ndarray]], curve: np.ndarray | None = None):
+        self.constants, self.entries, self.curve = constants, entries, curve
+        self._forget()
+
+    def _forget(self) -> None:
+        """A remembered word's place in arrays of its number, own evidence and what it adds as a context; place 0 is before the text."""
+        self.place: dict[str, int] = {}
+        start = np.zeros(1, np.int64)
+        self.known = (start, np.zeros(1), self.find(CONTEXT, start))
+
+    def __getstate__(self):
+        return {"constants": self.constants, "entries": self.entries, "curve": self.curve}
+
+    def __setstate__(self, state):
+        self.__init__(**state)
+
+    def find(self, kind: int, keys: np.ndarray, missing: float = 0.0) -> np.ndarray:
+        held, values = self.entries.get(kind, (np.zeros(0, np.int64), np.zeros(0, np.float32)))
+        if not len(held):
+            return np.full(len(keys), missing)
+        at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+        return np.where(held[at] == keys, values[at], missing)
+
+    def own(self, words: list[str]) -> np.ndarray:
+        """Evidence of words by themselves: of a word's own entry, else of its longest stem that has one."""
+        out = np.zeros(len(words))
+        open_ = np.ones(len(words), bool)
+        for kind in (UNIT, *reversed(STEMS)):
+            at = [i for i in np.flatnonzero(open_).tolist() if kind == UNIT or len(words[i]) >= kind]
+            keys = [number(words[i] if kind == UNIT else f"{kind}:{words[i][:kind]}") for i in at]
+            value = self.find(kind, np.array(keys, np.int64), np.nan)
+            out[at] += np.where(np.isnan(value), self.constants[str(kind)], value)
+            open_[np.array(at, np.int64)[~np.isnan(value)]] = False
         return out
 
+    def _places(self, texts: list[list[str]]) -> None:
+        """Remembers the words of texts."""
+        if len(self.place) > REMEMBERED:
+            self._forget()
+        new = list({w for words in texts for w in words if w not in self.place})
+        if new:
+            n = np.array([number(w) for w in new], np.int64)
+            self.place.update(zip(new, range(len(self.known[0]), len(self.known[0]) + len(new)), strict=True))
+            self.known = tuple(np.concatenate(x) for x in zip(self.known, (n, self.own(new), self.find(CONTEXT, n)), strict=True))
+
+    def _evidence(self, words: list[str]) -> np.ndarray:
+        at = np.array([0, *[self.place[w] for w in words]], np.int64)
+        numbers, own, context = self.known
+        pair = self.find(PAIR, numbers[at[:-1]] << 32 | numbers[at[1:]], np.nan)
+        return own[at[1:]] + np.where(np.isnan(pair), context[at[:-1]], pair)
+
     def evidence(self, text: str | None) -> np.ndarray:
         """Of each word, how much likelier the toxic model has it (log)."""
-        n = word_numbers(text)
-        a, b = n[:-1], n[1:]
-        slot = pair_slots(a << WORD_BITS | b)
-        met = np.minimum(self.context[0][a], self.context[1][a]) >= MIN_CONTEXT
-        words, pairs = [], []
-        for y in (0, 1):
-            word = self.word[y][b]
-            seen = np.maximum(self.context[y][a], 1)
-            kept = np.minimum(np.maximum(self.pair[y][slot] - PAIR_DISCOUNT, 0), seen) / seen
-            words.append(np.log(word))
-            pairs.append(np.log(np.where(met, kept + np.maximum(self.rest[y][a], 1e-3) * word, word)))
-        own = words[1] - words[0]
-        return own + np.clip(pairs[1] - pairs[0] - own, -PAIR_WEIGHT, PAIR_WEIGHT)
-
-    def features(self, text: str | None) -> list[float]:
-        """Mean evidence of the text and of its strongest windows, and the log of its length."""
-        e = self.evidence(text)
-        n = len(e)
-        if not n:
-            return [0.0] * (len(WINDOWS) + 2)
-        sums = np.concatenate(([0.0], np.cumsum(e, dtype=np.float64)))
-        best = [float((sums[w:] - sums[:-w]).max() / w) if n > w else float(sums[-1] / n) for w in WINDOWS]
-        return [float(sums[-1] / n), *best, float(np.log(n))]
+        words = words_of(text)
+        self._places([words])
+        return self._evidence(words)
+
+    def keys(self, text: str | None) -> list[tuple[int, int]]:
+        """Every (kind, key) that the evidence of a text may ask for."""
+        words = words_of(text)
+        n = [0, *[number(w) for w in words]]
+        out = {(PAIR, a << 32 | b) for a, b in zip(n, n[1:], strict=False)} | {(CONTEXT, a) for a in n}
+        for w in set(words):
+            out.update([(UNIT, number(w)), *stem_keys(w)])
+        return [(k, x - (1 << 64) if x >> 63 else x) for k, x in sorted(out)]
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """Of each text, the mean evidence of it and of its strongest windows, and the log of its length."""
+        cut = [words_of(t) for t in texts]
+        self._places(cut)
+        out = np.zeros((len(texts), len(WINDOWS) + 2))
+        for i, words in enumerate(cut):
+            if n := len(words):
+                sums = np.concatenate(([0.0], np.cumsum(self._evidence(words), dtype=np.float64)))
+                best = [float((sums[w:] - sums[:-w]).max() / w) if n > w else float(sums[-1] / n) for w in WINDOWS]
+                out[i] = [sums[-1] / n, *best, np.log(n)]
+        return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        if self.curve is None:
-            return np.zeros(len(texts))
-        x = np.array([self.features(t) for t in texts]).reshape(len(texts), -1)
-        return _sigmoid(_widened(x) @ self.curve)
+        return _sigmoid(_widened(self.features(texts)) @ self.curve) if self.curve is not None else np.zeros(len(texts))
 
 
 def _widened(x: np.ndarray) -> np.ndarray:
@@ -161,81 +221,178 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
     return w
 
 
-def _columns(df: DataFrame, *names: str) -> tuple:
-    rows = df.select(*names).toArrow()
-    return tuple(rows.column(n).to_numpy() for n in names)
+#: Columns of the curve's features.
+FEATURES = [f"x{i}" for i in range(len(WINDOWS) + 2)]
+
+
+def _rests(counts: DataFrame, discount: float) -> tuple[list[float], list[float], float]:
+    """Of both classes, the sum of counts and the share that discounts free; and the sum of the shared counts."""
+    sums = counts.agg(*[F.sum(n).alias(n) for n in ("c0", "c1")], *[F.sum(F.least(n, F.lit(discount))).alias(f"off_{n}") for n in ("c0", "c1")], F.sum(F.col("both") + 0.5).alias("shared")).first()
+    total = [sums[n] or 0 for n in ("c0", "c1")]
+    return total, [max(1e-3, sums[f"off_c{y}"] / t) if t else 1.0 for y, t in enumerate(total)], sums["shared"] or 1.0
+
+
+def _back_off(counts: DataFrame, discount: float, rests, below: list[Column]) -> DataFrame:
+    """Adds p0 and p1: discounted counts c0 and c1, and the freed share by what is below."""
+    total, rest, _ = rests
+    p = [F.greatest(F.col(f"c{y}") - discount, F.lit(0)) / max(total[y], 1) + rest[y] * MET * below[y] for y in (0, 1)]
+    return counts.withColumns({"p0": p[0], "p1": p[1]})
+
+
+def _ratio(a: str, b: str) -> Column:
+    return F.log(F.col(a) / F.col(b))
+
+
+def evidence_table(pairs: DataFrame) -> tuple[dict[str, float], DataFrame]:
+    """The constants and the table (kind, key, value) of counts (kind, pair, plain, toxic)."""
+    first, second = F.shiftright("pair", 32).bitwiseAND(F.lit(0xFFFFFFFF)), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
+    rows = pairs.select("kind", "pair", first.alias("a"), second.alias("b"), "plain", "toxic")
+    kinds = [F.count_if(F.col("plain") > 0).alias("c0"), F.count_if(F.col("toxic") > 0).alias("c1"), F.count("*").alias("both")]
+    bigrams = rows.where("kind = 0")
+    stems = stored(rows.where("kind > 0").groupBy("kind", F.col("a").alias("stem")).agg(*kinds, F.min("b").alias("a_word")), "stems")
+    owns = rows.where("kind > 0").groupBy(F.col("b").alias("word")).agg(*[F.max(F.when(F.col("kind") == k, F.col("a"))).alias(f"s{k}") for k in STEMS])
+    owns = stored(owns, "stems-of-words")
+    constants: dict[str, float] = {}
+
+    short, long = STEMS
+    rests = _rests(stems.where(F.col("kind") == short), STEM_DISCOUNT)
+    constants[str(short)] = math.log(rests[1][1] / rests[1][0])
+    shared = (F.col("both") + 0.5) / rests[2]
+    four = _back_off(stems.where(F.col("kind") == short), STEM_DISCOUNT, rests, [shared, shared])
+    up = four.select(F.col("stem").alias(f"s{short}"), F.col("p0").alias("up0"), F.col("p1").alias("up1"), (F.col("both") + 0.5).alias("up_both"))
+    rests = _rests(stems.where(F.col("kind") == long), STEM_DISCOUNT)
+    constants[str(long)] = math.log(rests[1][1] / rests[1][0])
+    six = stems.where(F.col("kind") == long).join(owns.select(F.col("word").alias("a_word"), f"s{short}"), "a_word").join(up, f"s{short}")
+    six = stored(_back_off(six, STEM_DISCOUNT, rests, [F.col(f"up{y}") * (F.col("both") + 0.5) / F.col("up_both") for y in (0, 1)]), "long-stems")
+
+    after = bigrams.groupBy(F.col("b").alias("word")).agg(*kinds)
+    rests = _rests(after, WORD_DISCOUNT)
+    constants[str(UNIT)] = math.log(rests[1][1] / rests[1][0])
+    higher = six.select(F.col("stem").alias(f"s{long}"), F.col("p0").alias("long0"), F.col("p1").alias("long1"), (F.col("both") + 0.5).alias("long_both"))
+    joined = after.join(owns, "word", "left").join(up, f"s{short}", "left").join(higher, f"s{long}", "left")
+    own = F.col("both") + 0.5
+    below = [F.coalesce(F.col(f"long{y}") * own / F.col("long_both"), F.col(f"up{y}") * own / F.col("up_both"), own / rests[2]) for y in (0, 1)]
+    units = stored(_back_off(joined, WORD_DISCOUNT, rests, below).select("word", "c0", "c1", "p0", "p1"), "words")
+
+    sums = [F.sum(c).alias(f"n{y}") for y, c in enumerate(("plain", "toxic"))] + [F.sum(F.least(c, F.lit(PAIR_DISCOUNT))).alias(f"off{y}") for y, c in enumerate(("plain", "toxic"))]
+    before = bigrams.groupBy("a").agg(*sums).where((F.col("n0") >= MIN_CONTEXT) & (F.col("n1") >= MIN_CONTEXT))
+    rest = {f"rest{y}": F.greatest(F.col(f"off{y}") / F.col(f"n{y}"), F.lit(1e-3)) for y in (0, 1)}
+    context = stored(before.withColumns(rest), "contexts")
+    clipped = lambda x: F.greatest(F.lit(-PAIR_WEIGHT), F.least(F.lit(PAIR_WEIGHT), x))
+    kept = bigrams.where((F.col("plain") > PAIR_DISCOUNT) | (F.col("toxic") > PAIR_DISCOUNT)).join(context, "a").join(units.select(F.col("word").alias("b"), "p0", "p1"), "b")
+    seen = {f"q{y}": F.greatest(F.col(c) - PAIR_DISCOUNT, F.lit(0)) / F.col(f"n{y}") + F.col(f"rest{y}") * F.col(f"p{y}") for y, c in enumerate(("plain", "toxic"))}
+    over = lambda discount: (F.col("c0") > discount) | (F.col("c1") > discount)
+    entry = lambda df, kind, key, value: df.select(F.lit(kind).cast("int").alias("kind"), F.col(key).alias("key"), value.cast("float").alias("value"))
+    out = entry(kept.withColumns(seen), PAIR, "pair", clipped(_ratio("q1", "q0") - _ratio("p1", "p0")))
+    out = out.unionByName(entry(context, CONTEXT, "a", clipped(_ratio("rest1", "rest0")))).unionByName(entry(units.where(over(WORD_DISCOUNT)), UNIT, "word", _ratio("p1", "p0")))
+    for k, df in ((short, four), (long, six)):
+        out = out.unionByName(entry(df.where(over(STEM_DISCOUNT)), k, "stem", _ratio("p1", "p0")))
+    return constants, stored(out, "evidence")
+
+
+class Learned:
+    """Constants and evidence table of one set of counts, and the curve."""
+
+    def __init__(self, pairs: DataFrame):
+        self.constants, self.entries = evidence_table(pairs)
+        self.curve: np.ndarray | None = None
+        self.small = self.entries.count() <= MODEL_ROWS
+        self._held: tuple | None = None
+
+    def entries_by_kind(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        if self._held is None:
+            rows = self.entries.toArrow()
+            self._held = tuple(rows.column(c).to_numpy() for c in ("kind", "key", "value"))
+        return by_kind(*self._held)
 
+    def model(self) -> Model:
+        return Model(self.constants, self.entries_by_kind() if self.small else {}, self.curve)
 
-def _model(pairs: DataFrame) -> Model:
-    """The count tables of pairs (pair, plain, toxic)."""
-    low = (1 << WORD_BITS) - 1
-    is_toxic, is_plain = F.count_if(F.col("toxic") > 0), F.count_if(F.col("plain") > 0)
-    after = pairs.groupBy(F.col("pair").bitwiseAND(F.lit(low)).cast("int").alias("word")).agg(is_plain.alias("plain"), is_toxic.alias("toxic"), F.count("*").alias("both"))
-    before = pairs.groupBy(F.shiftright("pair", WORD_BITS).cast("int").alias("word")).agg(
-        F.sum("plain").alias("plain"),
-        F.sum("toxic").alias("toxic"),
-        F.sum(F.least("plain", F.lit(PAIR_DISCOUNT))).alias("off_plain"),
-        F.sum(F.least("toxic", F.lit(PAIR_DISCOUNT))).alias("off_toxic"),
-    )
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(pair_slots(b.column("pair").to_numpy())), "plain": b.column("plain"), "toxic": b.column("toxic")})
+def by_kind(kind: np.ndarray, key: np.ndarray, value: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    out = {}
+    for k in np.unique(kind).tolist():
+        order = np.argsort(key[kind == k], kind="stable")
+        out[k] = key[kind == k][order], value[kind == k][order]
+    return out
 
-    kept = pairs.where(F.col("plain") + F.col("toxic") > PAIR_DISCOUNT).mapInArrow(slots, "slot bigint, plain bigint, toxic bigint").groupBy("slot").agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic"))
-    return Model(
-        _columns(after, "word", "plain", "toxic", "both"),
-        _columns(before, "word", "plain", "toxic", "off_plain", "off_toxic"),
-        _columns(kept, "slot", "plain", "toxic"),
-    )
 
+def _mapped(df: DataFrame, learned: Learned, keep: list[str], make, schema: str) -> DataFrame:
+    """The columns `keep` of df (one of its others is text) with what make(model, texts) gives, by broadcast or by joining the evidence of each text."""
+    spark = df.sparkSession
+    held = spark.sparkContext.broadcast(learned.model())
+    fields = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
 
-def learn(labelled: DataFrame, part: Column) -> Model:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_chunks(batches):
+            yield pa.RecordBatch.from_pydict({c: part.column(c) for c in keep} | make(held.value, part.column("text").to_pylist()))
+
+    if learned.small:
+        return df.mapInArrow(run, f"{fields}, {schema}")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_chunks(batches):
+            for i, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), strict=True):
+                kind, key = zip(*held.value.keys(text), strict=True)
+                yield pa.RecordBatch.from_pydict({"row": pa.array([i] * len(kind), pa.int64()), "kind": pa.array(kind, pa.int32()), "key": pa.array(key, pa.int64())})
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_chunks(batches, 1 << 20, 256):
+            made = []
+            for text, got in zip(part.column("text").to_pylist(), part.column("got").to_pylist(), strict=True):
+                found = [np.array([g[c] for g in got or []], t) for c, t in (("kind", np.int32), ("key", np.int64), ("value", np.float32))]
+                made.append(make(Model(held.value.constants, by_kind(*found), held.value.curve), [text]))
+            yield pa.RecordBatch.from_pydict({c: part.column(c) for c in keep} | {c: pa.concat_arrays([m[c] for m in made]) for c in made[0]})
+
+    rows = stored(df.withColumn("row", F.monotonically_increasing_id()), "numbered-texts")
+    asked = rows.select("row", "text").mapInArrow(keys, "row bigint, kind int, key bigint")
+    got = asked.join(learned.entries, ["kind", "key"]).groupBy("row").agg(F.collect_list(F.struct("kind", "key", "value")).alias("got"))  # a text's own keys
+    return rows.join(got, "row", "left").drop("row").mapInArrow(joined, f"{fields}, {schema}")
+
+
+def learn(labelled: DataFrame, part: Column) -> Learned:
     """labelled: text and toxic (0 or 1). All rows are counted; part: 0 for rows that fit the curve by counts without them."""
     rows = labelled.where(F.col("toxic").isin(0, 1)).select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"), part.alias("part"))
     rows = rows.withColumn("hash", F.xxhash64("text"))
     first = {r["toxic"]: r["hash"] for r in rows.groupBy("toxic").agg(F.min("hash").alias("hash")).collect()}
-    is_first = [(F.col("toxic") == y) & (F.col("hash") == h) for y, h in first.items()]
     curve = F.coalesce(F.col("part") == 0, F.lit(False))
-    for one in is_first:
-        curve = curve | one
+    for y, h in first.items():
+        curve = curve | ((F.col("toxic") == y) & (F.col("hash") == h))
     rows = rows.withColumn("curve", curve)
     names = ["toxic", "plain", "own_toxic", "own_plain"]
-    counts = rows.select("text", "toxic", "curve").mapInArrow(_pairs, "pair bigint, " + ", ".join(f"{n} bigint" for n in names))
-    pairs = stored(counts.groupBy("pair").agg(*[F.sum(n).alias(n) for n in names]), "pairs")
-    others = pairs.select("pair", (F.col("plain") - F.col("own_plain")).alias("plain"), (F.col("toxic") - F.col("own_toxic")).alias("toxic")).where("plain > 0 or toxic > 0")
-    curve_weights = None
+    counts = rows.select("text", "toxic", "curve").mapInArrow(_pairs, "kind int, pair bigint, " + ", ".join(f"{n} bigint" for n in names))
+    pairs = stored(counts.groupBy("kind", "pair").agg(*[F.sum(n).alias(n) for n in names]), "pairs")
+    learned = Learned(pairs.select("kind", "pair", "plain", "toxic"))
     if len(first) == 2:
-        curve_weights = _fitted(rows.where("curve"), _model(others))
-    model = _model(pairs.select("pair", "plain", "toxic"))
-    model.curve = curve_weights
-    return model
+        less = lambda c: (F.col(c) - F.col(f"own_{c}")).alias(c)
+        others = Learned(pairs.select("kind", "pair", less("plain"), less("toxic")).where("plain > 0 or toxic > 0"))
+        learned.curve = _fitted(rows.where("curve"), others)
+    return learned
 
 
-def _fitted(rows: DataFrame, model: Model) -> np.ndarray:
-    """The curve of rows (text, toxic, hash) by a model that hasn't counted them."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
+def _fitted(rows: DataFrame, learned: Learned) -> np.ndarray:
+    """The curve of rows (text, toxic, hash) by counts without them."""
     many = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    drawn = [rows.where(F.col("toxic") == y).select("text", "toxic", "hash").orderBy("hash").limit(CURVE_ROWS // 2) for y in (0, 1)]
-    count = len(WINDOWS) + 2
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_chunks(batches):
-            x = np.array([held.value.features(t) for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_pydict({"y": b.column("toxic")} | {f"x{i}": pa.array(x[:, i]) for i in range(count)})
-
-    names = [f"x{i}" for i in range(count)]
-    y, *x = _columns(drawn[0].union(drawn[1]).mapInArrow(features, "y int, " + ", ".join(f"{n} double" for n in names)), "y", *names)
-    held.destroy()
+    low = {r["toxic"]: r["hash"] for r in rows.groupBy("toxic").agg(F.min("hash").alias("hash")).collect()}
+    share = {y: min(1.0, CURVE_ROWS / 2 / n) for y, n in many.items()}
+    drawn = F.lit(False)
+    for y in many:
+        lot = F.pmod(F.xxhash64("hash"), F.lit(1 << 20)) < int(share[y] * (1 << 20))
+        drawn = drawn | ((F.col("toxic") == y) & (lot | (F.col("hash") == low[y])))
+
+    def features(model: Model, texts: list[str]) -> dict:
+        x = model.features(texts)
+        return {n: pa.array(x[:, i]) for i, n in enumerate(FEATURES)}
+
+    found = _mapped(rows.where(drawn).select("text", "toxic"), learned, ["toxic"], features, ", ".join(f"{n} double" for n in FEATURES)).toArrow()
+    y, *x = (found.column(n).to_numpy() for n in ("toxic", *FEATURES))
     times = np.array([many[k] / max((y == k).sum(), 1) for k in (0, 1)])[y]
     return fit_curve(np.stack(x, axis=1), y, times=times * len(y) / times.sum())
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, learned: Learned, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score for every row."""
-    held = df.sparkSession.sparkContext.broadcast(model)
-    run = lambda part: {"score": pa.array(held.value.scores(part.column("text").to_pylist()))}
-    return map_text(id_and_text(df, id_col, text_col), run, "score double")
+    return _mapped(id_and_text(df, id_col, text_col), learned, ["doc_id"], lambda model, texts: {"score": pa.array(model.scores(texts))}, "score double")
 
 
 def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
