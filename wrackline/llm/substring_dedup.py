@@ -15,11 +15,14 @@ sorting names within hash buckets, and one level of naming is enough:
 
 Texts are written once, as a table bucketed by batch, and read three times from there without being shuffled; what is
 shuffled are names (a tenth of the bytes sampled, 4 bytes each; 8 bytes for each possibly repeated suffix) and bits.
-A batch sends a name once, however often it occurs there, so a hot string makes one row for a batch. Texts that are equal
-as a whole are found first by their digest: all are covered, and one of them alone stands for them in the search.
+A batch sends a name once, however often it occurs there, so a hot string makes one row for a batch. A batch makes one row
+for each bucket that it has names for. Batches grow with the root of the input, from `BATCH_BYTES` to `MOST_BYTES`, and a
+bucket holds the names of `BUCKET_BATCHES` batches' worth of text, so that rows are few; there are never more than names.
+Texts that are equal as a whole are found first by their digest: all are covered, and one of them alone stands for them in
+the search.
 
 Defined results: a null or empty text has no bytes and nothing removed; texts under `length` bytes are never touched;
-matches never cross texts; repeated rows repeat each other and are removed like any copies; null ids are carried; an
+matches never cross texts; very long texts are searched whole; repeated rows repeat each other and are removed like any copies; null ids are carried; an
 empty table gives an empty result; other columns are not read.
 """
 
@@ -41,7 +44,11 @@ from .common import id_and_text, shared_folder, stored, table, text_chunks
 LENGTH = 400
 #: A perfect difference set: every residue modulo 133 but 0 is the difference of exactly one pair. Fixed values.
 MODULUS, COVER = 133, (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
-BATCH_BYTES, PIECE = 8 << 20, 1 << 20
+BATCH_BYTES, MOST_BYTES, PIECE = 8 << 20, 32 << 20, 1 << 20
+#: Batches of text whose names one bucket holds, and buckets at least.
+BUCKET_BATCHES, LEAST_BUCKETS = 4, 64
+#: Input at which batches begin to grow.
+GROWS = 1 << 40
 _FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SIGNS = [np.random.Generator(np.random.PCG64(i)).integers(0, 1 << 64, 256, dtype=np.uint64) for i in (11, 12)]
 
@@ -188,6 +195,16 @@ def _batched(docs: DataFrame, batch_bytes: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([T.StructField("batch", T.LongType()), *docs.schema.fields]))
 
 
+def _bucketed(batched: DataFrame, parts: int) -> DataFrame:
+    """The texts as a table bucketed by batch, so that they are read three times without a shuffle."""
+    spark = batched.sparkSession
+    name = f"texts_{uuid.uuid4().hex}"
+    batched.write.option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").bucketBy(parts, "batch").saveAsTable(name)
+    texts = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files have a path of their own and stay
+    return texts
+
+
 def _marks(names: DataFrame, kind: int, width: type) -> DataFrame:
     """(batch, kind, bucket, data): a bit for each name that a batch sent, set if another batch sent it too."""
 
@@ -207,19 +224,19 @@ def _marks(names: DataFrame, kind: int, width: type) -> DataFrame:
     return names.groupBy("bucket").applyInArrow(run, "batch bigint, kind int, bucket int, data binary")
 
 
-def repeated_spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, digest: bool = False) -> DataFrame:
+def repeated_spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int | None = None, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, starts and ends (maximal covered runs, byte offsets) and kept: the remaining bytes, or with
-    digest=True their SHA-256 in hex. length: from 2 * 133 on."""
+    digest=True their SHA-256 in hex. length: from 2 * 133 on. batch_bytes: text in a batch, by the size of the input if not given."""
     if length < 2 * MODULUS:
         raise ValueError(f"length must be {2 * MODULUS} or more")
     spark = df.sparkSession
     docs = id_and_text(df, id_col, text_col).withColumn("digest", F.md5("text"))
-    name, n = f"texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 << max(6, (total // batch_bytes).bit_length())
-    parts = max(n, min(buckets, 4096))
-    _batched(docs, batch_bytes).write.option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").bucketBy(parts, "batch").saveAsTable(name)
-    texts = spark.table(name)
+    batch_bytes = batch_bytes or int(min(MOST_BYTES, BATCH_BYTES * max(1.0, (total / GROWS) ** 0.5)))
+    buckets = max(LEAST_BUCKETS, total // (BUCKET_BATCHES * batch_bytes))
+    parts = max(n, min(total // batch_bytes + 1, 4096), LEAST_BUCKETS)
+    texts = _bucketed(_batched(docs, batch_bytes), parts)
 
     met = texts.where(F.octet_length("text") >= length).groupBy("digest", "batch").agg(F.count("*").alias("n"))
     whole = met.groupBy("digest").agg(F.sum("n").alias("all"), F.min("batch").alias("home")).where(F.col("all") > 1).select("digest", "home")
@@ -263,4 +280,4 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     found = repeated_spans(table(spark, sf_dir, "documents"), digest=True)
     removed = F.expr("aggregate(zip_with(starts, ends, (a, b) -> b - a), 0L, (x, y) -> x + y)")
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("bigint").alias("n_spans"), F.col("kept").alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("bigint").alias("n_spans"), F.col("kept").alias("kept_sha256"), (F.size("starts") > 0).alias("repeated"))
