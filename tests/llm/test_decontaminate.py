@@ -50,8 +50,10 @@ def test_against_brute_force(docs, items, part):
     assert found(dc.scan_benchmark(docs.select("doc_id", "text"), items, part_windows=part)) == brute(corpus())
 
 
-def test_drop(docs, items):
-    kept = dc.drop_contaminated(docs, items)
+@pytest.mark.parametrize(("part", "hits"), [(1_000_000, 9), (9, 9), (9, -1)])
+def test_drop(docs, items, part, hits, monkeypatch):
+    monkeypatch.setattr(dc, "BROADCAST_HITS", hits)
+    kept = dc.drop_contaminated(docs, items, part_windows=part)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(b[0]) for b in brute(corpus()) if not b[4])
 

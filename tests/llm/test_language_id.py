@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from wrackline.llm import language_id as li
 
 TEXTS = {
@@ -34,7 +36,7 @@ def test_viterbi_in_step_is_viterbi(model):
     texts = ["", None, "12 34", TEXTS["en"], TEXTS["fr"] + " " + TEXTS["ru"], "fox " * 50 + TEXTS["fr"], "zzz", "中文 fox"]
     labels, letters = model.label(texts)
     for text, label, n in zip(texts, labels, letters, strict=True):
-        words = li.WORD.findall((text or "").lower())
+        words = li.words_of(text)
         assert len(label) == len(words) == len(n)
         if words:
             assert label.tolist() == slow_labels(model, words)
@@ -61,6 +63,21 @@ def test_without_labels_all_is_und(spark, docs, empty):
     assert li.identify(empty.select("doc_id", "text"), none).count() == 0
 
 
+def test_numerals_are_no_letters(spark, model):
+    rows = [(1, "½ ² 12"), (2, "½ fox")]
+    got = {r.row.doc_id: r.lang_pred for r in li.identify(spark.createDataFrame(rows, "doc_id int, text string"), model).collect()}
+    assert got == {1: "und", 2: "en"}
+
+
+def test_mixed_and_unlabelled_texts_stay(spark):
+    """An even text in three languages is identified span by span and stays; so do texts with letters where nothing is labelled."""
+    rows = [(i, t, k) for i, (k, t) in enumerate(TEXTS.items())] + [(90, " ".join(TEXTS.values()), None), (91, "12 ½", None), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    assert {r.doc_id for r in li.keep_identified(df).collect()} == {r[0] for r in rows if r[0] is not None} - {91}
+    bare = df.withColumn("lang", F.lit(None).cast("string"))
+    assert li.keep_identified(bare).count() == len(TEXTS) + 1
+
+
 def test_keep_identified(docs):
     kept = li.keep_identified(docs)
     assert kept.columns == docs.columns

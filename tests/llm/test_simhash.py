@@ -2,7 +2,7 @@ import random
 
 import xxhash
 
-from wrackline.llm import simhash
+from wrackline.llm import common, simhash
 from wrackline.llm.components import components
 
 from .conftest import corpus
@@ -66,8 +66,9 @@ def brute_roots(fps):
 
 
 def test_links_connect_what_brute_force_connects(spark, monkeypatch):
-    for short, block in ((48, 1024), (2, 16), (10_000, 1024)):
+    for short, middle, block in ((48, 2048, 1024), (2, 2048, 16), (2, 3, 4), (1, 1, 16), (10_000, 10_000, 1024)):
         monkeypatch.setattr(simhash, "SHORT", short)
+        monkeypatch.setattr(simhash, "MIDDLE", middle)
         monkeypatch.setattr(simhash, "BLOCK", block)
         fps = near()
         df = spark.createDataFrame([(f,) for f in fps], "fp bigint")
@@ -92,10 +93,17 @@ def test_drop_near_duplicates(docs, monkeypatch):
     one = simhash.drop_near_duplicates(docs)
     assert one.columns == docs.columns
     ids = sorted(str(r.doc_id) for r in one.collect())
-    assert "2" not in ids and "17" not in ids and "1" in ids and ids.count("16") == 2
-    monkeypatch.setattr(simhash, "BROADCAST_IDS", -1)
+    assert "2" not in ids and "17" not in ids and "1" in ids and ids.count("16") == 1
+    monkeypatch.setattr(common, "BROADCAST_KEYS", -1)
     assert sorted(str(r.doc_id) for r in simhash.drop_near_duplicates(docs).collect()) == ids
 
 
+def test_one_row_of_a_component_stays(spark):
+    """Rows that repeat an id, have none, or share an id with another text."""
+    rows = [(3, "a b c d"), (3, "a b c d"), (None, "a b c d"), (None, "q r s t u"), (None, "q r s t u"), (5, "k l m n o"), (5, "v w x y z")]
+    df = spark.createDataFrame(rows, "doc_id int, text string").coalesce(2)
+    assert sorted(str(tuple(r)) for r in simhash.drop_near_duplicates(df).collect()) == ["(3, 'a b c d')", "(5, 'k l m n o')", "(5, 'v w x y z')", "(None, 'q r s t u')"]
+
+
 def test_empty_table(empty):
     assert simhash.near_duplicates(empty).count() == 0

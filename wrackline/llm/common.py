@@ -53,6 +53,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_place(df: DataFrame) -> DataFrame:
+    """df if it does no more than read files row by row, so that its rows have the same places whenever it is read; else a stored copy of it."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return df if df.inputFiles() and not any(x in plan for x in ("Exchange", "Python", "Arrow", "Pandas")) else stored(df, "rows")
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes the files behind a stored() table that nothing reads any more."""
     spark = df.sparkSession
@@ -61,6 +67,16 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys of dropped rows are broadcast up to this many (some 40 bytes each); beyond it the join is shuffled.
+BROADCAST_KEYS = 500_000
+
+
+def anti_join(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows without those whose key is in gone; rows stay where they are if there are few enough keys."""
+    gone = stored(gone, "dropped-keys")
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, key, "left_anti")
+
+
 def text_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The text column of a batch, which may be a field of its `row` column."""
     texts = batch.column(name) if name in batch.schema.names else batch.column("row").field(name)

@@ -5,10 +5,11 @@ an item, or all words of a shorter item. Each worker numbers the benchmark's wor
 that are long enough, and checks them against the exact windows, so a hit needs no second look.
 
 The windows are broadcast in parts of about `part_windows` windows and `PART_BYTES` bytes at most; a benchmark within one
-part is scanned in one pass, a larger one in as many passes as it has parts, and hits are joined by document. Nothing is
+part is scanned in one pass, a larger one in as many passes as it has parts, one after the other; a pass stores the hits of
+the documents that have any, and these alone are shuffled, joined by document, and looked up in the last pass. Nothing is
 sampled or cut.
 
-Defined results: a null or empty text has no words and is never contaminated; an item without words has no window; items
+Defined results: very long texts are scanned whole; a null or empty text has no words and is never contaminated; an item without words has no window; items
 that share a window are all named; rows that repeat id and text are scanned and returned one by one; null ids are
 carried; an empty benchmark leaves every document clean; other columns are not read.
 """
@@ -16,19 +17,23 @@ carried; an empty benchmark leaves every document clean; other columns are not r
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, stored, table, text_chunks, text_of
+from .common import id_and_text, in_place, stored, table, text_chunks, text_of
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
 PART_WINDOWS, PART_BYTES = 500_000, 64 << 20
+#: Documents with hits are broadcast up to this many; beyond it the last join is shuffled.
+BROADCAST_HITS = 100_000
 _HITS = "n_words bigint, hit_starts array<int>, hit_ends array<int>, item_ids array<string>"
 
 
@@ -95,12 +100,19 @@ def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def _scan(docs: DataFrame, windows: list[tuple[bytes, list[str]]]) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(windows)
+#: The scanner of the part that a worker scans; it outlives the task.
+_scanners: dict[str, _Scanner] = {}
+
+
+def _scan(docs: DataFrame, windows: list[tuple[bytes, list[str]]]) -> tuple[DataFrame, Broadcast]:
+    held, part_id = docs.sparkSession.sparkContext.broadcast(windows), uuid.uuid4().hex
     fields = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _Scanner(held.value)
+        if part_id not in _scanners:
+            _scanners.clear()
+            _scanners[part_id] = _Scanner(held.value)
+        scanner = _scanners[part_id]
         for part in text_chunks(batches):
             out = {"n_words": [], "hit_starts": [], "hit_ends": [], "item_ids": []}
             for text in text_of(part).to_pylist():
@@ -111,37 +123,40 @@ def _scan(docs: DataFrame, windows: list[tuple[bytes, list[str]]]) -> DataFrame:
             types = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_pydict({c: part.column(c) for c in fields} | {k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *T._parse_datatype_string(_HITS).fields]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *T._parse_datatype_string(_HITS).fields])), held
 
 
 def scan_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, part_windows: int = PART_WINDOWS) -> DataFrame:
-    """docs has a column text, or a struct row with a field text; adds n_words, hit_starts and hit_ends (maximal runs of hit words) and item_ids."""
+    """docs has a column text, or a struct row with a field text; adds n_words, hit_starts and hit_ends (maximal runs of hit words) and item_ids.
+
+    With several parts, rows are told apart by their place in docs, which are stored first unless they only read files.
+    """
     windows = stored(item_windows(benchmark, size), "windows")
     n, size_bytes = windows.agg(F.count("*"), F.sum(F.octet_length("window") + 16 * F.size("item_ids"))).first()
     parts = max(1, -(-n // part_windows), -(-(size_bytes or 0) // PART_BYTES))
     bucket = F.pmod(F.xxhash64("window"), F.lit(parts))
     held = lambda i: [(bytes(r.window), r.item_ids) for r in windows.where(bucket == i).collect()]  # noqa: E731  part_windows rows or so
     if parts == 1:
-        return _scan(docs, held(0))
-    names = docs.columns
-    scans = [_scan(docs, held(i)) for i in range(parts)]
-    rows = scans[0].withColumn("part", F.lit(0))
-    for i, scan in enumerate(scans[1:], 1):
-        rows = rows.unionByName(scan.withColumn("part", F.lit(i)))
-    # rows alike in every column are counted, joined once, and dealt out again
-    alike = rows.groupBy(*names, "n_words", "hit_starts", "hit_ends", "item_ids", "part").agg(F.count("*").alias("copies"))
-    joined = alike.groupBy(*names, "n_words").agg(
-        F.array_sort(F.flatten(F.collect_list(F.arrays_zip("hit_starts", "hit_ends")))).alias("runs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-        F.max("copies").alias("copies"),
-    )
+        return _scan(docs, held(0))[0]
+    keyed = in_place(docs).withColumn("place", F.monotonically_increasing_id())
+    text = F.col("text") if "text" in docs.columns else F.col("row.text")
+    hits = None
+    for i in range(parts):
+        found, sent = _scan(keyed.select("place", text.alias("text")), held(i))
+        found = stored(found.where(F.size("hit_starts") > 0).select("place", F.arrays_zip("hit_starts", "hit_ends").alias("runs"), "item_ids"), "hits")
+        sent.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    joined = hits.groupBy("place").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("all_items"))
     step = """aggregate(runs, cast(array() as array<struct<hit_starts:int,hit_ends:int>>), (acc, r) ->
         if(size(acc) > 0 and r.hit_starts <= element_at(acc, -1).hit_ends,
            concat(slice(acc, 1, size(acc) - 1), array(named_struct('hit_starts', element_at(acc, -1).hit_starts,
                   'hit_ends', greatest(element_at(acc, -1).hit_ends, r.hit_ends)))),
            concat(acc, array(r))))"""
-    dealt = joined.withColumn("runs", F.expr(step)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return dealt.select(*names, "n_words", F.col("runs.hit_starts").alias("hit_starts"), F.col("runs.hit_ends").alias("hit_ends"), "item_ids")
+    joined = stored(joined.withColumn("runs", F.expr(step)), "joined-hits")
+    counted = _scan(keyed, [])[0].drop("hit_starts", "hit_ends", "item_ids")
+    looked_up = counted.join(F.broadcast(joined) if joined.count() <= BROADCAST_HITS else joined, "place", "left")
+    or_none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
+    return looked_up.select(*docs.columns, "n_words", or_none("runs.hit_starts", "array<int>").alias("hit_starts"), or_none("runs.hit_ends", "array<int>").alias("hit_ends"), or_none("all_items", "array<string>").alias("item_ids"))
 
 
 def _n_hit():

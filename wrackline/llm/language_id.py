@@ -10,7 +10,9 @@ over a text's words, with a penalty for each switch, gives it labelled spans; th
 prediction and its share of the letters the score.
 
 Defined results: null texts and texts without a letter are `und` with score 0; so is every text if nothing is labelled.
-Ties go to the first language by name. Repeated rows are predicted one by one; an empty table gives an empty result.
+Ties go to the first language by name. Very long texts are labelled whole; null ids count as the empty text in the choice of
+held-out rows and are carried; repeated rows are predicted one by one; an empty table gives an empty result; other columns
+than text and lang are not read, and `identify` gives them back as they came.
 """
 
 from __future__ import annotations
@@ -31,8 +33,6 @@ from .common import fold, table, text_chunks, text_of
 BUCKETS = 1 << 16
 SHARE = 0.01
 SWITCH, LEAST, OUTSIDE = 4.0, -8.0, -20.0
-#: Below this share of letters in one language a text is a jumble that the pipeline rejects.
-MIN_SCORE = 0.4
 UND = "und"
 WORD = re.compile(r"[^\W\d_]+")
 #: First code point of each range and its script; fixed values of the Unicode block layout.
@@ -49,6 +49,11 @@ _NAMES = sorted({n for _, n in SCRIPTS})
 _NUMBER = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-case runs of signs that hold a letter (a run of other numerals, such as fractions, is none)."""
+    return [w for w in WORD.findall((text or "").lower()) if w.isalpha() or any(c.isalpha() for c in w)]
+
+
 def scripts_of(words: list[str]) -> np.ndarray:
     first = np.array([ord(w[0]) for w in words], np.int64)
     return _NUMBER[np.searchsorted(_STARTS, first, side="right") - 1]
@@ -72,7 +77,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_chunks(batches):
         words: dict[str, Counter] = defaultdict(Counter)
         for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
-            words[lang].update(WORD.findall((text or "").lower()))
+            words[lang].update(words_of(text))
         for lang, seen in words.items():
             if not seen:
                 continue
@@ -112,7 +117,7 @@ class Model:
 
     def label(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For every text, a language number and a letter count for each of its words: all texts go through Viterbi in step."""
-        words = [WORD.findall((t or "").lower()) for t in texts]
+        words = [words_of(t) for t in texts]
         number: dict[str, int] = {}
         flat = np.array([number.setdefault(w, len(number)) for ws in words for w in ws], np.int64)
         if not len(flat) or not self.langs:
@@ -186,10 +191,13 @@ def _own_model(docs: DataFrame) -> Model:
     return learn(docs.where(~held_out(docs["doc_id"])))
 
 
-def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs that have a language, with their own columns; `und` and jumbles go."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of docs that have a language, in however many of them they are written; texts without a letter go.
+
+    Where nothing is labelled there is no language to tell, and texts with letters stay.
+    """
     found = identify(docs, _own_model(docs))
-    return found.where((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select("row.*")
+    return found.where((F.col("lang_pred") != UND) | F.coalesce(F.col("row.text").rlike(r"\p{L}"), F.lit(False))).select("row.*")
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

@@ -6,11 +6,13 @@ byte triples within its halves; lists of single bytes would each hold a 256th of
 the table. Where a pair meets first, its shared positional bytes are tallied, pairs under 5 are dropped, and the rest are
 verified on their bits. Equal fingerprints are one node throughout, however many documents have them.
 
-A posting list of up to `SHORT` fingerprints is joined with itself. A longer one is dealt into blocks, each pair of
-blocks is compared in one bounded task, and only links that join something new there are kept, so no list ever emits all
-its pairs, and no link between components is lost.
+A posting list of up to `SHORT` fingerprints is joined with itself. A longer one is posted again, each fingerprint under
+its triple and a byte of the other half (a pair within 3 bits that shares one whole half has at least one equal byte in
+the other; one that shares three bytes of a half has at least two there), which makes lists 256 times shorter. What is
+still longer is dealt into blocks, each pair of blocks is compared in one bounded task with the same tally, and only links
+that join something new there are kept, so no list ever emits all its pairs, and no link between components is lost.
 
-Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; fewer than three words
+Defined results: very long texts are hashed whole; null, empty and blank texts have fingerprint zero and are linked like any other; fewer than three words
 are one shingle; repeated rows come out one by one; null ids are carried, and a component without any id has a null
 component_id; an empty table gives an empty result; other columns are not read by `near_duplicates`.
 """
@@ -21,18 +23,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_text, stored, table
+from .common import anti_join, id_and_text, in_place, map_text, stored, table
 from .components import components
 
 SEED, WORDS, BITS = 42, 3, 3
 #: Triples of byte positions, four in each half.
 TRIPLES = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3), (4, 5, 6), (4, 5, 7), (4, 6, 7), (5, 6, 7)]
-SHORT, BLOCK, SALTS = 48, 1024, 64
-#: Ids of dropped documents are broadcast up to this many; beyond it the join is shuffled.
-BROADCAST_IDS = 100_000
+#: Fingerprints of a list, and of a list that is posted again, that are joined; fingerprints of a block.
+SHORT, MIDDLE, BLOCK, SALTS = 48, 2048, 1024, 64
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -80,15 +81,15 @@ def _first_met(x: np.ndarray, k: int, bits: int) -> np.ndarray:
 
 def _block_links(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
     """Links that span what is connected within one pair of blocks."""
-    k, i, j = (int(pdf[c].iloc[0]) for c in ("list", "i", "j"))
     fps = np.unique(pdf["fp"].to_numpy(np.int64)).view(np.uint64)
-    n = len(fps)
+    k, n = int(pdf["list"].iloc[0]), len(fps)
     label = np.arange(n)
     step = max(1, (1 << 20) // max(n, 1))
     while True:
         low = label.copy()
         for a in range(0, n, step):
-            near = _first_met(fps[a : a + step, None] ^ fps[None, :], k, bits)
+            x = fps[a : a + step, None] ^ fps[None, :]
+            near = _first_met(x, k, bits) & ((x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=2) >= 8 - bits)
             low[a : a + step] = np.minimum(label[a : a + step], np.where(near, label[None, :], n).min(axis=1))
         low = np.minimum(low, low[low])
         if (low == label).all():
@@ -98,51 +99,75 @@ def _block_links(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
     return pd.DataFrame({"a": fps[far].view(np.int64), "b": fps[label[far]].view(np.int64)})
 
 
-def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """(a, b): links between different fingerprints at `bits` or fewer bits that connect all that such pairs connect. fps: distinct fp."""
-    posted = stored(_postings(fps), "postings")
-    sizes = posted.groupBy("list", "bytes").agg(F.count("*").alias("n")).where("n > 1")
-    met = stored(posted.join(sizes, ["list", "bytes"]), "met")
-    short = met.where(F.col("n") <= SHORT).select("list", "bytes", "fp")
+def _pairs(lists: DataFrame, keys: list[str], bits: int, refined: bool) -> DataFrame:
+    """(a, b): pairs of a list that share the bytes they must, meet here first, and are near on their bits."""
     x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
     zero = F.lit(0).cast("bigint")
-    shared = sum((F.when(x.bitwiseAND(F.lit(_mask((p,)))) == zero, 1).otherwise(0) for p in range(8)), F.lit(0))
+    equal = [x.bitwiseAND(F.lit(_mask((p,)))) == zero for p in range(8)]
+    shared = sum((F.when(e, 1).otherwise(0) for e in equal), F.lit(0))
     first = F.lit(False)
     for k in reversed(range(8)):  # the first list in which the pair meets
         first = F.when(x.bitwiseAND(F.lit(_mask(TRIPLES[k]))) == zero, F.col("l.list") == k).otherwise(first)
-    pairs = short.alias("l").join(
-        short.alias("r"),
-        (F.col("l.list") == F.col("r.list")) & (F.col("l.bytes") == F.col("r.bytes")) & (F.col("l.fp") < F.col("r.fp"))
-        & (shared >= 8 - bits) & first & (F.bit_count(x) <= bits),
-    )
-    near = pairs.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
-    long = met.where(F.col("n") > SHORT).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    if refined:  # and the first byte of the other half
+        lowest = F.lit(False)
+        for p in reversed(range(8)):
+            lowest = F.when(equal[p] & ((F.col("l.position") < 4) == F.lit(p < 4)), F.col("l.position") == p).otherwise(lowest)
+        first = first & lowest
+    on = (F.col("l.fp") < F.col("r.fp")) & (shared >= 8 - bits) & first & (F.bit_count(x) <= bits)
+    for c in keys:
+        on = (F.col(f"l.{c}") == F.col(f"r.{c}")) & on
+    return lists.alias("l").join(lists.alias("r"), on).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+
+
+def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """(a, b): links between different fingerprints at `bits` or fewer bits that connect all that such pairs connect. fps: distinct fp."""
+    posted = stored(_postings(fps), "postings")
+    sizes = posted.groupBy("list", "bytes").agg(F.count("*").alias("n")).where("n > 1")
+    met = stored(posted.join(sizes, ["list", "bytes"]), "met")
+    near = _pairs(met.where(F.col("n") <= SHORT).select("list", "bytes", "fp"), ["list", "bytes"], bits, False)
+
+    # lists 0 to 3 are of bytes 0 to 3, so their other half are bytes 4 to 7
+    others = F.when(F.col("list") < 4, F.array(*[F.lit(p) for p in range(4, 8)])).otherwise(F.array(*[F.lit(p) for p in range(4)]))
+    again = met.where(F.col("n") > SHORT).select("list", "bytes", "fp", F.explode(others).alias("position"))
+    again = again.withColumn("byte", F.expr("cast(shiftrightunsigned(fp, position * 8) & 255 as int)"))
+    keys = ["list", "bytes", "position", "byte"]
+    sizes = again.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    refined = stored(again.join(sizes, keys), "refined")
+    near = near.unionByName(_pairs(refined.where(F.col("n") <= MIDDLE).select(*keys, "fp"), keys, bits, True))
+
+    long = refined.where(F.col("n") > MIDDLE).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = long.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = own.select("list", "bytes", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    spanning = dealt.groupBy("list", "bytes", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, bits), "a bigint, b bigint")
-    return near.unionByName(spanning)
+    dealt = own.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    return near.unionByName(dealt.groupBy(*keys, "i", "j").applyInPandas(lambda pdf: _block_links(pdf, bits), "a bigint, b bigint"))
 
 
-def near_duplicates(df: DataFrame, words: int = WORDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (the least id that can be reached over links, the document's own included)."""
-    docs = stored(fingerprints(df, words, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "fingerprints")
-    parts = docs.groupBy("fp", "salt").agg(F.min("doc_id").alias("low"))
+def _named(docs: DataFrame, low: Column, bits: int) -> DataFrame:
+    """docs (fp, salt and keys), stored, with `least`: the least `low` of all rows that can be reached over links."""
+    parts = docs.groupBy("fp", "salt").agg(F.min(low).alias("low"))
     nodes = stored(parts.groupBy("fp").agg(F.min("low").alias("low")), "nodes")
     roots = components(links(nodes.select("fp"), bits))
     rooted = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    dealt = parts.select("fp", "salt").join(named, "fp")
-    return docs.join(dealt, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("least")), "root").select("fp", "least")
+    return docs.join(parts.select("fp", "salt").join(named, "fp"), ["fp", "salt"])
+
+
+def near_duplicates(df: DataFrame, words: int = WORDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, component_id (the least id that can be reached over links, the document's own included)."""
+    docs = stored(fingerprints(df, words, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "fingerprints")
+    return _named(docs, F.col("doc_id"), bits).select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """Of each component, the rows with its least doc_id, with their own columns."""
-    found = stored(near_duplicates(docs, words, bits), "near-duplicates")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("own_id"))
-    return rows.join(gone, F.col("own_id") == F.col("gone_id"), "left_anti").select("row.*")
+    """Of each component one row, that of the least doc_id, with its own columns; null ids lose against any id.
+
+    Rows are told apart by their place in docs, which are stored first unless they only read files.
+    """
+    docs = in_place(docs)
+    keyed = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("key"), docs["doc_id"].alias("own_id"), docs["text"].alias("text"))
+    fps = fingerprints(keyed.select(F.struct("key", "own_id").alias("doc_id"), "text"), words)
+    slim = stored(fps.select("doc_id.key", "doc_id.own_id", "fp").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")), "fingerprints")
+    found = _named(slim, F.struct(F.col("own_id").isNull(), "own_id", "key"), bits)
+    return anti_join(keyed.select("row", "key"), found.where(F.col("key") != F.col("least.key")).select("key"), "key").select("row.*")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -58,7 +58,6 @@ WORD = re.compile(r"[^\W\d_]+")
 REMEMBERED = 300_000
 #: Kinds of the evidence table besides the stems' lengths.
 PAIR, CONTEXT, UNIT = 0, 1, 2
-_numbers: dict[str, int] = {}
 
 
 def number(text: str) -> int:
@@ -78,39 +77,44 @@ def stem_keys(word: str) -> list[tuple[int, int]]:
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial sums (kind, pair, toxic, plain, own_toxic, own_plain); pair is first << 32 | second, own: of the curve's rows.
 
-    kind is 0 for bigrams, else a stem's length; first is then the stem's key and second the word's, and the sums count the
-    batches in which rows of the class have it, own_* those in which rows of the curve alone have it.
+    kind is 0 for bigrams, else a stem's length; first is then the stem's key and second the word's, and a sum above 0 says
+    that rows of the class have it (less own_*: that rows outside the curve have it). A task says so once or twice.
     """
+    names = ("toxic", "plain", "own_toxic", "own_plain")
+    place: dict[str, int] = {}
+    numbers = seen = None
     for part in text_chunks(batches, 8 << 20, 8192):
-        keys, own = {0: [], 1: []}, {0: [], 1: []}
-        met: dict[str, list[bool]] = {}
-        for y, curve, text in zip(part.column("toxic").to_pylist(), part.column("curve").to_pylist(), part.column("text").to_pylist(), strict=True):
-            words = words_of(text)
-            if len(_numbers) > REMEMBERED:
-                _numbers.clear()
-            for w in words:
-                if w not in _numbers:
-                    _numbers[w] = number(w)
-            n = np.array([0, *[_numbers[w] for w in words]], np.int64)
+        if len(place) > REMEMBERED or numbers is None:
+            place, numbers, seen = {}, np.zeros(0, np.int64), np.zeros((0, 4), bool)
+        cut = [words_of(t) for t in part.column("text").to_pylist()]
+        new = list({w for words in cut for w in words if w not in place})
+        place.update(zip(new, range(len(numbers), len(numbers) + len(new)), strict=True))
+        numbers = np.concatenate((numbers, np.array([number(w) for w in new], np.int64)))
+        seen = np.concatenate((seen, np.zeros((len(new), 4), bool)))
+        keys, own, before = {0: [], 1: []}, {0: [], 1: []}, seen.copy()
+        for y, curve, words in zip(part.column("toxic").to_pylist(), part.column("curve").to_pylist(), cut, strict=True):
+            at = np.fromiter((place[w] for w in words), np.int64, len(words))
+            n = np.concatenate(([0], numbers[at]))
             keys[y].append(n[:-1] << 32 | n[1:])
             if curve:
                 own[y].append(keys[y][-1])
-            for w in set(words):
-                seen = met.setdefault(w, [False] * 4)
-                seen[1 - y] = True
-                seen[3 - y] |= not curve
-        names = ("toxic", "plain", "own_toxic", "own_plain")
+            else:
+                seen[at, 3 - y] = True
+            seen[at, 1 - y] = True
         lists = [np.concatenate([*k[y], np.zeros(0, np.int64)]) for k in (keys, own) for y in (1, 0)]
         pair = np.unique(np.concatenate(lists[:2]))
         out = {"kind": pa.array(np.zeros(len(pair), np.int32)), "pair": pa.array(pair)}
         for name, one in zip(names, lists, strict=True):
             out[name] = pa.array(np.bincount(np.searchsorted(pair, one), minlength=len(pair)).astype(np.int64))
         yield pa.RecordBatch.from_pydict(out)
-        stems = [(k, s << 32 | number(w), a, b, a and not c, b and not d) for w, (a, b, c, d) in met.items() for k, s in stem_keys(w)]
-        if stems:
-            kind, pair, *flags = zip(*stems, strict=True)
+        fresh = np.flatnonzero((seen & ~before).any(axis=1))
+        if len(fresh):
+            words, n, flags = list(place), numbers[fresh].tolist(), seen[fresh]
+            stems = [(k, s << 32 | n[i], i) for i, j in enumerate(fresh.tolist()) for k, s in stem_keys(words[j])]
+            kind, pair, row = zip(*stems, strict=True) if stems else ((), (), ())
+            flags = np.concatenate((flags[:, :2], flags[:, :2] & ~flags[:, 2:]), axis=1)[list(row)].astype(np.int64)
             out = {"kind": pa.array(kind, pa.int32()), "pair": pa.array(np.array(pair, np.uint64).view(np.int64))}
-            yield pa.RecordBatch.from_pydict(out | {n: pa.array(np.array(f, np.int64)) for n, f in zip(names, flags, strict=True)})
+            yield pa.RecordBatch.from_pydict(out | {name: pa.array(flags[:, i]) for i, name in enumerate(names)})
 
 
 class Model:
@@ -124,7 +128,7 @@ class Model:
         """A remembered word's place in arrays of its number, own evidence and what it adds as a context; place 0 is before the text."""
         self.place: dict[str, int] = {}
         start = np.zeros(1, np.int64)
-        self.known = (start, np.zeros(1), self.find(CONTEXT, start))
+        self.known = (start, np.zeros(1), self.find(CONTEXT, start, np.nan))
 
     def __getstate__(self):
         return {"constants": self.constants, "entries": self.entries, "curve": self.curve}
@@ -159,18 +163,25 @@ class Model:
         if new:
             n = np.array([number(w) for w in new], np.int64)
             self.place.update(zip(new, range(len(self.known[0]), len(self.known[0]) + len(new)), strict=True))
-            self.known = tuple(np.concatenate(x) for x in zip(self.known, (n, self.own(new), self.find(CONTEXT, n)), strict=True))
-
-    def _evidence(self, words: list[str]) -> np.ndarray:
-        at = np.array([0, *[self.place[w] for w in words]], np.int64)
+            self.known = tuple(np.concatenate(x) for x in zip(self.known, (n, self.own(new), self.find(CONTEXT, n, np.nan)), strict=True))
+
+    def _evidence(self, texts: list[list[str]]) -> np.ndarray:
+        """Of every word of all texts in a row."""
+        at = np.fromiter((self.place[w] for words in texts for w in words), np.int64, sum(map(len, texts)))
+        before = np.concatenate(([0], at[:-1]))[: len(at)]
+        starts = np.cumsum([0, *map(len, texts)])[:-1]
+        before[starts[starts < len(at)]] = 0
         numbers, own, context = self.known
-        pair = self.find(PAIR, numbers[at[:-1]] << 32 | numbers[at[1:]], np.nan)
-        return own[at[1:]] + np.where(np.isnan(pair), context[at[:-1]], pair)
+        out = own[at]
+        met = np.flatnonzero(~np.isnan(context[before]))  # elsewhere no bigram adds anything
+        pair = self.find(PAIR, numbers[before[met]] << 32 | numbers[at[met]], np.nan)
+        out[met] += np.where(np.isnan(pair), context[before[met]], pair)
+        return out
 
     def evidence(self, text: str | None) -> np.ndarray:
         """Of each word, how much likelier the toxic model has it (log)."""
-        words = words_of(text)
-        self._places([words])
+        words = [words_of(text)]
+        self._places(words)
         return self._evidence(words)
 
     def keys(self, text: str | None) -> list[tuple[int, int]]:
@@ -187,9 +198,11 @@ class Model:
         cut = [words_of(t) for t in texts]
         self._places(cut)
         out = np.zeros((len(texts), len(WINDOWS) + 2))
+        every, end = self._evidence(cut), 0
         for i, words in enumerate(cut):
             if n := len(words):
-                sums = np.concatenate(([0.0], np.cumsum(self._evidence(words), dtype=np.float64)))
+                end += n
+                sums = np.concatenate(([0.0], np.cumsum(every[end - n : end], dtype=np.float64)))
                 best = [float((sums[w:] - sums[:-w]).max() / w) if n > w else float(sums[-1] / n) for w in WINDOWS]
                 out[i] = [sums[-1] / n, *best, np.log(n)]
         return out
