@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents. Each stage works on all rows that the one before kept.
 Clean rows stay: a stage drops only what its operator marks.
+
+Defined results: texts without a letter (null and empty ones too) go in the first stage; very long texts pass whole; of
+equal texts and of near-duplicates one row each stays, also where rows repeat an id or have none; null ids are carried to
+the end; an empty table gives an empty result; other columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from wrackline.llm.common import shared_folder, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter (`und`) and jumbles without a main language go."""
+    """Texts without a letter (`und`) go."""
     return language_id.keep_identified(docs)
 
 
