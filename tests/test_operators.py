@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,15 +148,50 @@ def test_components_against_flood_fill(spark):
     assert all(r.component == label[r.y, r.x] and r.size == sizes[r.component] for r in got)
 
 
+def ring_areas(spark, a):
+    rows = spatial.rings(mask_rows(spark, a).where("inside"), a.shape[1]).collect()
+    rings = {}
+    for r in sorted(rows, key=lambda r: (r.ring, r.pos)):
+        rings.setdefault(r.ring, []).append((r.x, r.y))
+    for p in rings.values():  # unit steps all the way round
+        assert all(abs(x1 - x2) + abs(y1 - y2) == 1 for (x1, y1), (x2, y2) in zip(p, p[1:] + p[:1], strict=True))
+    return [sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(p, p[1:] + p[:1], strict=True)) / 2 for p in rings.values()]
+
+
 def test_rings_enclose_their_parts(spark):
     a = np.array([list(map(int, s)) for s in ("11100", "10101", "11100", "00011")], bool)
-    rings = spatial.part_rings(mask_rows(spark, a).where("inside"), 5).collect()
-    area = {}
-    for r in rings:
-        p = [(v.x, v.y) for v in r.ring]
-        area[r.component] = area.get(r.component, 0) + sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(p, p[1:] + p[:1], strict=True)) / 2
-    label, sizes = flood(a)
-    assert area == sizes
+    assert sorted(ring_areas(spark, a)) == [-1, 1, 2, 9]
+    b = np.random.default_rng(5).random((20, 30)) < 0.6
+    areas, (_, sizes) = ring_areas(spark, b), flood(b)
+    assert sum(areas) == b.sum() and sum(x > 0 for x in areas) == len(sizes)
+    assert ring_areas(spark, np.zeros((2, 2), bool)) == []
+
+
+def test_distances_on_a_large_sparse_mask(spark):
+    """2,000 x 2,000, mostly absent: pixels that are absent are neither inside nor background."""
+    r = np.random.default_rng(11)
+    at = np.unique(r.integers(0, 2000, (9000, 2)), axis=0)
+    inside = r.random(len(at)) < 0.97
+    df = spark.createDataFrame(pd.DataFrame({"y": at[:, 0], "x": at[:, 1], "inside": inside})).selectExpr("int(y) y", "int(x) x", "inside")
+    off = at[~inside]
+    want = {tuple(p): int(((off - p) ** 2).sum(axis=1).min()) for p in at}
+    assert {(p.y, p.x): p.d2 for p in spatial.distance_transform(df).collect()} == want
+    near = {(p.y, p.x) for p in spatial.within_radius(df, df.where("not inside"), 90).collect()}
+    assert near == {p for p, d in want.items() if d <= 8100}
+    steps = {tuple(p) for p in at if abs(off - p).sum(axis=1).min() <= 90}
+    assert {(p.y, p.x) for p in spatial.dilate(df.where("not inside"), df, 90).collect()} == steps
+
+
+def test_polygon_without_a_limit(spark):
+    """20,000 vertices on a circle against the radius, and cells against a plain test."""
+    n = 20_000
+    ring = [(i, 100 + 80 * math.cos(2 * math.pi * i / n), 100 + 80 * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    v = spark.createDataFrame(ring, "vertex_no int, vx double, vy double")
+    px = spark.createDataFrame([(y, x) for y in range(0, 200, 7) for x in range(0, 200, 5)], "y int, x int")
+    assert all(r.in_aoi == (math.hypot(r.x + 0.5 - 100, r.y + 0.5 - 100) < 80) for r in spatial.aoi_mask(px, v).collect())
+    got = {(c.i, c.j) for c in spatial.make_grid(v, 10.0).collect()}
+    near = lambda k: max(20 + 10 * k - 100, 100 - (30 + 10 * k), 0)
+    assert got == {(i, j) for i in range(16) for j in range(16) if math.hypot(near(i), near(j)) <= 80}
 
 
 def test_polygons(spark):

@@ -9,7 +9,7 @@ from wrackline.functions.constants import BAD, CLEAR, LAND, WATER
 from wrackline.functions.expressions import share
 
 from .quality import scene_quality
-from .spatial import dilate, within_radius
+from .spatial import by_steps, near_background
 
 
 def pixel_votes(scl: DataFrame, water: int = WATER, land: tuple = LAND) -> DataFrame:
@@ -30,7 +30,7 @@ def reference_map_local(scl: DataFrame, stable: float = 0.98, buffer_pixels: int
     is_water = (F.col("p_water") >= stable) & (F.col("land_votes") == 0)
     is_land = (F.col("p_water") <= 1 - stable) & (F.col("water_votes") == 0)
     kinds = votes.withColumn("kind", F.when(is_land, 2).when(is_water, 1).otherwise(0))
-    near = lambda kind: within_radius(kinds.select("y", "x"), kinds.where(F.col("kind") == kind).select("y", "x"), buffer_pixels)
+    near = lambda kind: near_background(kinds.select("y", "x", (F.col("kind") != kind).alias("inside")), buffer_pixels)
     coast = near(1).join(near(2), ["y", "x"]).withColumn("coast", F.lit(True))
     cls = F.when(F.coalesce("coast", F.lit(False)), 0).otherwise(F.col("kind"))
     return kinds.join(coast, ["y", "x"], "left").select("y", "x", cls.alias("cls"), "water_votes", "land_votes", "p_water", (1 - F.col("p_water")).alias("p_land"))
@@ -41,13 +41,10 @@ def reference_map_clean(scl: DataFrame, max_bad: float = 0.05, stable: float = 0
 
     A pixel without a vote is transition. Without a clean scene every pixel is. The frame is every pixel in scl.
     """
-    clean = scene_quality(scl, bad).where(F.col("bad_fraction") <= max_bad).select("scene_date")
-    votes = pixel_votes(scl.join(clean, "scene_date", "left_semi"))
-    frame = scl.select("y", "x").distinct()
-    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("water_votes", "land_votes")} | {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("p_water", "p_land")}
-    rows = frame.join(votes, ["y", "x"], "left").withColumns(zero)
-    rows = rows.withColumn("kind", F.when(F.col("p_land") >= stable, 2).when(F.col("p_water") >= stable, 1).otherwise(0))
-    wide = dilate(rows.where("kind = 0").select("y", "x"), frame, buffer_pixels).withColumn("wide", F.lit(True))
+    clean = scene_quality(scl, bad).select("scene_date", (F.col("bad_fraction") <= max_bad).alias("clean"))
+    seen = scl.join(clean, "scene_date", "left").withColumn("scl", F.when(F.col("clean"), F.col("scl")))
+    rows = pixel_votes(seen).withColumn("kind", F.when(F.col("p_land") >= stable, 2).when(F.col("p_water") >= stable, 1).otherwise(0))
+    wide = near_background(rows.select("y", "x", (F.col("kind") != 0).alias("inside")), buffer_pixels, by_steps).withColumn("wide", F.lit(True))
     return rows.join(wide, ["y", "x"], "left").select("y", "x", F.when(F.col("wide"), 0).otherwise(F.col("kind")).alias("cls"), "water_votes", "land_votes", "p_water", "p_land")
 
 

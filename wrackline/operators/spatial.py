@@ -1,8 +1,9 @@
 """Spatial operators on pixel tables and polygons.
 
-Offsets are exploded from the pixels of a set, never the whole raster joined with itself. Connected components label
-tiles in bounded tasks and join labels across tile edges; the distance transform is separable, one window over columns
-and one bounded task per row.
+Distances are found in strips of rows: a strip gets its own pixels and, of each column, the nearest background above and
+below it, so a task is bounded by the strip and nothing is spread over a radius. Buffers are distances up to a limit.
+Connected components label tiles in bounded tasks and join labels across tile edges. Polygons meet pixels and cells row by
+row, where their edges cross, in equi joins; rings are put in order by pointer doubling.
 """
 
 from __future__ import annotations
@@ -12,38 +13,120 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wrackline.sources.scratch import stored
-
-TILE = 512
-
-
-def _offsets(n: int, keep) -> Column:
-    return F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-n, n + 1) for dx in range(-n, n + 1) if keep(dy, dx)])
-
-
-def _moved(pixels: DataFrame, offsets: Column) -> DataFrame:
-    return pixels.select("y", "x", F.inline(offsets)).select((F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
-
-
-def edge_pixels(pixels: DataFrame) -> DataFrame:
-    """Pixels of a set with a 4-neighbour outside it."""
-    steps = _offsets(1, lambda dy, dx: abs(dy) + abs(dx) == 1)
-    around = _moved(pixels, steps).groupBy("y", "x").agg(F.count("*").alias("n"))
-    return pixels.join(around.where("n = 4"), ["y", "x"], "left_anti").select("y", "x")
+from wrackline.sources.scratch import drop_stored, stored
+
+TILE, STRIP = 512, 64
+_FAR = 1 << 40
+
+
+def _gaps(own: pd.DataFrame, background: pd.DataFrame, y0: int) -> tuple[np.ndarray, np.ndarray]:
+    """The columns that have background, and for each row of the strip the rows to the nearest of it in each column."""
+    columns = np.unique(background["x"].to_numpy(np.int64))
+    y, at = background["y"].to_numpy(np.int64), np.searchsorted(columns, background["x"].to_numpy(np.int64))
+    above, below = np.full((STRIP + 1, len(columns)), -_FAR), np.full((STRIP + 1, len(columns)), _FAR)
+    up, down = y < y0, y >= y0 + STRIP
+    above[0, at[up]] = y[up]
+    below[STRIP, at[down]] = y[down]
+    inner = ~up & ~down
+    above[1 + y[inner] - y0, at[inner]] = y[inner]
+    below[y[inner] - y0, at[inner]] = y[inner]
+    rows = y0 + np.arange(STRIP)[:, None]
+    return columns, np.minimum(rows - np.maximum.accumulate(above)[1:], np.minimum.accumulate(below[::-1])[::-1][:STRIP] - rows)
+
+
+def by_steps(columns: np.ndarray, gaps: np.ndarray, row: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Least gap plus columns to it."""
+    left, right = np.minimum.accumulate(gaps - columns, axis=1), np.minimum.accumulate((gaps + columns)[:, ::-1], axis=1)[:, ::-1]
+    i = np.searchsorted(columns, x, side="right") - 1
+    j = np.searchsorted(columns, x, side="left")
+    a = np.where(i >= 0, left[row, np.maximum(i, 0)] + x, _FAR)
+    b = np.where(j < len(columns), right[row, np.minimum(j, len(columns) - 1)] - x, _FAR)
+    return np.minimum(a, b)
+
+
+def by_squares(columns: np.ndarray, gaps: np.ndarray, row: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Least squared gap plus squared columns to it, by the lower envelope of the columns' parabolas: of all rows in step, a column at a time."""
+    n = len(gaps)
+    stack, start, top = np.zeros((n, len(columns)), np.int64), np.full((n, len(columns)), -np.inf), np.full(n, -1)
+    high = gaps.astype(float) ** 2
+    for j, q in enumerate(columns):
+        rows = np.flatnonzero(gaps[:, j] < _FAR // 2)
+        cut = np.full(len(rows), -np.inf)
+        while True:
+            held = np.flatnonzero(top[rows] >= 0)
+            r = rows[held]
+            p = stack[r, top[r]]
+            s = (high[r, j] - high[r, p] + float(q) ** 2 - columns[p].astype(float) ** 2) / (2.0 * (q - columns[p]))
+            cut[:] = -np.inf
+            cut[held] = s
+            gone = r[s <= start[r, top[r]]]
+            if not len(gone):
+                break
+            top[gone] -= 1
+        top[rows] += 1
+        stack[rows, top[rows]] = j
+        start[rows, top[rows]] = cut
+    out = np.full(len(x), _FAR)
+    for r in np.unique(row):
+        if top[r] >= 0:
+            own = np.flatnonzero(row == r)
+            j = stack[r, np.maximum(np.searchsorted(start[r, : top[r] + 1], x[own], side="right") - 1, 0)]
+            out[own] = gaps[r, j] ** 2 + (x[own] - columns[j]) ** 2
+    return out
+
+
+def _distances(mask: DataFrame, metric, limit: int | None = None) -> DataFrame:
+    """(y, x, d) of the wanted pixels of mask (y, x, inside, want): d to the nearest pixel that isn't inside; NULL if there is none in reach.
+
+    metric: by_squares or by_steps. limit: background farther away in its column may be left out.
+    """
+    rows = mask.select("y", "x", "inside", "want", F.expr(f"y div {STRIP}").cast("int").alias("strip"))
+    ends = rows.where(~F.col("inside")).groupBy("x", "strip").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    w = Window.partitionBy("x").orderBy("strip")
+    near = ends.select("x", "strip", "low", "high", F.lag("strip").over(w).alias("before"), F.lead("strip").over(w).alias("after"))
+    if limit is None:
+        first, last = (rows.agg(f("strip")).scalar() for f in (F.min, F.max))
+    else:
+        first, last = F.expr(f"(low - {limit}) div {STRIP}").cast("int") - 1, F.expr(f"(high + {limit}) div {STRIP}").cast("int") + 1
+    near = near.select("x", "strip", "low", "high", F.greatest(F.coalesce("before", first), first).alias("from"), F.least(F.coalesce("after", last), last).alias("to"))
+    span = lambda a, b: F.explode(F.when(a <= b, F.sequence(a, b)))
+    none = F.lit(None).cast("boolean")
+    up = near.select(F.col("high").alias("y"), "x", none.alias("inside"), F.lit(False).alias("want"), span(F.col("strip") + 1, F.col("to")).alias("strip"))
+    down = near.select(F.col("low").alias("y"), "x", none.alias("inside"), F.lit(False).alias("want"), span(F.col("from"), F.col("strip") - 1).alias("strip"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["want"]]
+        background = pdf[pdf["inside"].isna() | (pdf["inside"] == False)]  # noqa: E712
+        if not len(own) or not len(background):
+            return own[["y", "x"]].assign(d=pd.array([pd.NA] * len(own), "Int64"))
+        y0 = int(key[0]) * STRIP
+        columns, gaps = _gaps(own, background, y0)
+        d = metric(columns, gaps, own["y"].to_numpy(np.int64) - y0, own["x"].to_numpy(np.int64))
+        return own[["y", "x"]].assign(d=pd.array(d, "Int64").astype("Int64")).assign(d=lambda f: f["d"].mask(d >= _FAR // 2))
+
+    return rows.unionByName(up).unionByName(down).groupBy("strip").applyInPandas(run, "y int, x int, d bigint")
+
+
+def near_background(mask: DataFrame, reach: int, metric=by_squares) -> DataFrame:
+    """Pixels (y, x) of mask (y, x, inside, perhaps want) at most `reach` from a pixel that isn't inside."""
+    mask = mask if "want" in mask.columns else mask.withColumn("want", F.lit(True))
+    return _distances(mask, metric, reach).where(F.col("d") <= (reach * reach if metric is by_squares else reach)).select("y", "x")
+
+
+def _against(frame: DataFrame, pixels: DataFrame) -> DataFrame:
+    """A mask of frame and pixels: inside is what isn't in pixels, wanted is the frame."""
+    both = frame.select("y", "x", F.lit(True).alias("f"), F.lit(False).alias("p")).unionByName(pixels.select("y", "x", F.lit(False).alias("f"), F.lit(True).alias("p")))
+    return both.groupBy("y", "x").agg(F.bool_or("f").alias("want"), (~F.bool_or("p")).alias("inside"))
 
 
 def within_radius(frame: DataFrame, pixels: DataFrame, radius: int) -> DataFrame:
-    """Pixels of the frame at most `radius` (Euclidean) from a pixel of the set. Only the set's edge is spread."""
-    reach = _moved(edge_pixels(pixels), _offsets(radius, lambda dy, dx: dy * dy + dx * dx <= radius * radius)).distinct()
-    near = reach.unionByName(pixels.select("y", "x")).distinct()
-    return frame.select("y", "x").join(near, ["y", "x"], "left_semi")
+    """Pixels of the frame at most `radius` (Euclidean) from a pixel of the set."""
+    return near_background(_against(frame, pixels), radius)
 
 
 def dilate(pixels: DataFrame, frame: DataFrame, steps: int) -> DataFrame:
     """Binary dilation by `steps` of a 4-neighbour cross, clipped to the frame."""
-    reach = _moved(edge_pixels(pixels), _offsets(steps, lambda dy, dx: abs(dy) + abs(dx) <= steps)).distinct()
-    grown = reach.unionByName(pixels.select("y", "x")).distinct()
-    return frame.select("y", "x").join(grown, ["y", "x"], "left_semi")
+    return near_background(_against(frame, pixels), steps, by_steps)
 
 
 def column_distance(mask: DataFrame) -> DataFrame:
@@ -55,27 +138,9 @@ def column_distance(mask: DataFrame) -> DataFrame:
     return mask.select("y", "x", "inside", F.least(F.col("y") - above, below - F.col("y")).alias("gap"))
 
 
-def _row_distance(pdf: pd.DataFrame) -> pd.DataFrame:
-    own = pdf[pdf["inside"].notna()]
-    x, g = pdf["x"].to_numpy(np.int64), pdf["gap"].to_numpy(float)
-    has = ~np.isnan(g)
-    if not has.any():
-        return own[["y", "x"]].assign(d2=pd.array([pd.NA] * len(own), "Int64"))
-    at, g2, want = x[has], g[has].astype(np.int64) ** 2, own["x"].to_numpy(np.int64)
-    d2 = np.concatenate([((want[i : i + 256, None] - at[None, :]) ** 2 + g2[None, :]).min(axis=1) for i in range(0, len(want), 256)] or [[]])
-    return own[["y", "x"]].assign(d2=pd.array(d2, "Int64"))
-
-
 def distance_transform(mask: DataFrame) -> DataFrame:
-    """d2: the squared Euclidean distance to the nearest pixel that isn't inside; NULL if there is none. Outside the raster isn't background.
-
-    Pixels absent from mask count as neither, but their columns are filled in, so that a row sees every column's nearest background.
-    """
-    low, high = mask.agg(F.min("y"), F.max("y")).first()
-    if low is None:
-        return mask.select("y", "x", F.lit(None).cast("bigint").alias("d2"))
-    frame = mask.select("x").distinct().select(F.explode(F.sequence(F.lit(low), F.lit(high))).alias("y"), "x")
-    return column_distance(frame.join(mask, ["y", "x"], "left")).groupBy("y").applyInPandas(_row_distance, "y int, x int, d2 bigint")
+    """d2: the squared Euclidean distance to the nearest pixel that isn't inside; NULL if there is none. Outside the raster isn't background, nor are pixels absent from mask."""
+    return _distances(mask.withColumn("want", F.lit(True)), by_squares).withColumnRenamed("d", "d2")
 
 
 def argmax_pixel(values: DataFrame, value: str) -> DataFrame:
@@ -139,28 +204,25 @@ def extent_pad(vertices: DataFrame, pad: float = 0.05) -> DataFrame:
     return b.select((F.col("west") - w).alias("left"), (F.col("east") + w).alias("right"), (F.col("south") - h).alias("bottom"), (F.col("north") + h).alias("top"))
 
 
-#: Vertices of a polygon at most; its edges become a constant of the plan.
-MAX_VERTICES = 10_000
-
-
-def _ring(vertices: DataFrame) -> Column:
-    """The polygon's edges as a constant array. Raises above MAX_VERTICES."""
-    edges = _edges(vertices).limit(MAX_VERTICES + 1).collect()
-    if len(edges) > MAX_VERTICES:
-        raise ValueError(f"the polygon has more than {MAX_VERTICES} vertices")
-    return F.array(*[F.struct(*[F.lit(float(e[c])).alias(c) for c in ("x1", "y1", "x2", "y2")]) for e in edges])
+def _crossings(edges: DataFrame, origin: Column, step: Column) -> DataFrame:
+    """line, cuts: where the edges cross the horizontal lines y = origin + line * step."""
+    line = lambda f: F.floor((f("y1", "y2") - origin) / step).cast("int")
+    rows = edges.where("y1 <> y2").select("*", F.explode(F.sequence(line(F.least), line(F.greatest) + 1)).alias("line"))
+    y = origin + F.col("line") * step
+    cut = F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    return rows.where((F.col("y1") > y) != (F.col("y2") > y)).groupBy("line").agg(F.collect_list(cut).alias("cuts"))
 
 
-def _inside(ring: Column, x: Column, y: Column) -> Column:
-    """Even-odd ray casting of (x, y) against the ring's edges."""
-    crosses = lambda e: (((e["y1"] > y) != (e["y2"] > y)) & (x < e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"]))).cast("int")
-    safe = lambda acc, e: acc + F.when(e["y1"] != e["y2"], crosses(e)).otherwise(0)
-    return F.aggregate(ring, F.lit(0), safe) % 2 == 1
+def _odd(cuts: Column, x: Column) -> Column:
+    """Even-odd rule: whether an odd number of cuts lies beyond x."""
+    return F.coalesce(F.size(F.filter(cuts, lambda c: x < c)) % 2 == 1, F.lit(False))
 
 
 def aoi_mask(pixels: DataFrame, vertices: DataFrame) -> DataFrame:
-    """in_aoi: whether the pixel's centre lies in the polygon (in pixel units)."""
-    return pixels.withColumn("in_aoi", _inside(_ring(vertices), F.col("x") + 0.5, F.col("y") + 0.5))
+    """in_aoi: whether the pixel's centre lies in the polygon (in pixel units), by the edges that cross its row."""
+    lines = _crossings(_edges(vertices), F.lit(0.5), F.lit(1.0)).withColumnRenamed("line", "aoi_line")
+    found = pixels.join(lines, pixels["y"] == F.col("aoi_line"), "left")
+    return found.withColumn("in_aoi", _odd(F.col("cuts"), F.col("x") + 0.5)).drop("aoi_line", "cuts")
 
 
 def bbox_filter(points: DataFrame, bbox: tuple, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -175,30 +237,39 @@ def bbox_filter(points: DataFrame, bbox: tuple, start: str | None = None, end: s
 def make_grid(vertices: DataFrame, size: float) -> DataFrame:
     """Square cells over the bounding box, from its lower corner and half-open, that touch the polygon.
 
-    A cell touches it if a corner lies in the ring, a vertex in the cell, or an edge crosses a side.
+    A cell touches it if a corner lies in the ring, a vertex in the cell, or an edge crosses a side. Corners meet the edges
+    that cross their row of the grid; every edge is taken to the cells along its way, and tested there.
     """
     b = polygon_bbox(vertices)
-    steps = lambda lo, hi: F.sequence(F.lit(0), F.greatest(F.ceil((F.col(hi) - F.col(lo)) / size).cast("int") - 1, F.lit(0)))
-    cells = b.select("*", F.explode(steps("west", "east")).alias("i")).repartition("i").select("*", F.explode(steps("south", "north")).alias("j"))
-    cells = cells.select("i", "j", (F.col("west") + F.col("i") * size).alias("x0"), (F.col("south") + F.col("j") * size).alias("y0"))
-    cells = cells.withColumns({"x1": F.col("x0") + size, "y1": F.col("y0") + size})
-    ring = _ring(vertices)
-    corner = F.lit(False)
-    for x in ("x0", "x1"):
-        for y in ("y0", "y1"):
-            corner = corner | _inside(ring, F.col(x), F.col(y))
-    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
-
-    def meets(e: Column) -> Column:
-        held = e["x1"].between(x0, x1) & e["y1"].between(y0, y1)
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        side = lambda x, y: F.signum(dx * (y - e["y1"]) - dy * (x - e["x1"]))
-        s = [side(x, y) for x in (x0, x1) for y in (y0, y1)]
-        cut = (F.least(*s) <= 0) & (F.greatest(*s) >= 0)
-        over = (F.least(e["x1"], e["x2"]) <= x1) & (F.greatest(e["x1"], e["x2"]) >= x0) & (F.least(e["y1"], e["y2"]) <= y1) & (F.greatest(e["y1"], e["y2"]) >= y0)
-        return held | (cut & over)
-
-    return cells.where(corner | F.exists(ring, meets)).select("i", "j", "x0", "y0", "x1", "y1")
+    n = lambda lo, hi: F.greatest(F.ceil((F.col(hi) - F.col(lo)) / size).cast("int") - 1, F.lit(0))
+    box = b.select(F.col("west").cast("double").alias("west"), F.col("south").cast("double").alias("south"), n("west", "east").alias("last_i"), n("south", "north").alias("last_j"))
+    west, south, last_i, last_j = (box.select(c).scalar() for c in ("west", "south", "last_i", "last_j"))
+    cells = box.select("west", "south", "last_j", F.explode(F.sequence(F.lit(0), F.col("last_i"))).alias("i")).repartition("i").select("*", F.explode(F.sequence(F.lit(0), F.col("last_j"))).alias("j"))
+    square = lambda df: df.withColumns({"x0": F.col("west") + F.col("i") * size, "y0": F.col("south") + F.col("j") * size}).withColumns({"x1": F.col("x0") + size, "y1": F.col("y0") + size})
+    cells = square(cells).select("i", "j", "x0", "y0", "x1", "y1")
+
+    edges = _edges(vertices).withColumns({"west": west, "south": south, "last_i": last_i, "last_j": last_j})
+    lines = _crossings(edges, F.col("south"), F.lit(float(size)))
+    low, high = lines.select(F.col("line").alias("j"), F.col("cuts").alias("low")), lines.select((F.col("line") - 1).alias("j"), F.col("cuts").alias("high"))
+    cornered = cells.join(low, "j", "left").join(high, "j", "left")
+    corner = _odd(F.col("low"), F.col("x0")) | _odd(F.col("low"), F.col("x1")) | _odd(F.col("high"), F.col("x0")) | _odd(F.col("high"), F.col("x1"))
+
+    e = edges.select(*[F.col(c).alias(f"e{c}") for c in ("x1", "y1", "x2", "y2")], "west", "south", "last_i", "last_j")
+    place = lambda v, origin: F.floor((v - F.col(origin)) / size).cast("int")
+    between = lambda a, z, last: F.sequence(F.greatest(a - 1, F.lit(0)), F.least(z + 1, F.col(last)))
+    e = e.withColumn("j", F.explode(between(place(F.least("ey1", "ey2"), "south"), place(F.greatest("ey1", "ey2"), "south"), "last_j")))
+    # the stretch of x over which the edge lies in row j
+    reach = lambda y: F.greatest(F.least("ey1", "ey2"), F.least(F.greatest("ey1", "ey2"), y))
+    at = lambda y: F.when(F.col("ey1") == F.col("ey2"), F.lit(None)).otherwise(F.col("ex1") + (reach(y) - F.col("ey1")) * (F.col("ex2") - F.col("ex1")) / (F.col("ey2") - F.col("ey1")))
+    a, z = at(F.col("south") + F.col("j") * size), at(F.col("south") + (F.col("j") + 1) * size)
+    x_low, x_high = F.coalesce(F.least(a, z), F.least("ex1", "ex2")), F.coalesce(F.greatest(a, z), F.greatest("ex1", "ex2"))
+    e = square(e.withColumn("i", F.explode(between(place(x_low, "west"), place(x_high, "west"), "last_i"))))
+    held = F.col("ex1").between(F.col("x0"), F.col("x1")) & F.col("ey1").between(F.col("y0"), F.col("y1"))
+    dx, dy = F.col("ex2") - F.col("ex1"), F.col("ey2") - F.col("ey1")
+    sides = [F.signum(dx * (F.col(y) - F.col("ey1")) - dy * (F.col(x) - F.col("ex1"))) for x in ("x0", "x1") for y in ("y0", "y1")]
+    over = (F.least("ex1", "ex2") <= F.col("x1")) & (F.greatest("ex1", "ex2") >= F.col("x0")) & (F.least("ey1", "ey2") <= F.col("y1")) & (F.greatest("ey1", "ey2") >= F.col("y0"))
+    met = e.where(held | ((F.least(*sides) <= 0) & (F.greatest(*sides) >= 0) & over)).select("i", "j", F.lit(True).alias("met")).distinct()
+    return cornered.join(met, ["i", "j"], "left").where(corner | F.col("met")).select("i", "j", "x0", "y0", "x1", "y1")
 
 
 def outline_edges(pixels: DataFrame) -> DataFrame:
@@ -252,9 +323,11 @@ def connected_components(pixels: DataFrame, width: int, tile: int = TILE, store=
         step = root.join(low, F.col("node") == F.col("a"), "left").select("node", F.least("root", F.coalesce("low", "root")).alias("root"))
         hop = step.alias("s").join(step.select(F.col("node").alias("n2"), F.col("root").alias("r2")), F.col("s.root") == F.col("n2"), "left")
         then = store(hop.select("node", F.least("root", F.coalesce("r2", "root")).alias("root")))
-        moved = then.join(root.select("node", F.col("root").alias("was")), "node").where("root <> was")
+        settled = then.join(root.select("node", F.col("root").alias("was")), "node").where("root <> was").isEmpty()
+        if store is stored:
+            drop_stored(root)
         root = then
-        if moved.isEmpty():
+        if settled:
             break
     named = local.join(root, F.col("label") == F.col("node"), "left").select("y", "x", F.coalesce("root", "label").alias("component"))
     sizes = named.groupBy("component").agg(F.count("*").alias("size"))
@@ -286,41 +359,42 @@ def contour_cells(freq: DataFrame, level: float = 0.5) -> DataFrame:
 
     Neighbours are found by position, so a missing pixel leaves its cells out.
     """
-    v = freq.where("water_freq IS NOT NULL").select("y", "x", F.col("water_freq").alias("v00"))
-    at = lambda dy, dx, name: v.select((F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("v00").alias(name))
-    cells = v.join(at(0, 1, "v01"), ["y", "x"]).join(at(1, 0, "v10"), ["y", "x"]).join(at(1, 1, "v11"), ["y", "x"])
+    corners = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (0, 1) for dx in (0, 1)])
+    v = freq.where("water_freq IS NOT NULL").select("y", "x", "water_freq", F.inline(corners))
+    at = lambda dy, dx, name: F.max(F.when((F.col("dy") == dy) & (F.col("dx") == dx), F.col("water_freq"))).alias(name)
+    cells = v.groupBy((F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x")).agg(at(0, 0, "v00"), at(0, 1, "v01"), at(1, 0, "v10"), at(1, 1, "v11"))
+    cells = cells.where("v00 IS NOT NULL AND v01 IS NOT NULL AND v10 IS NOT NULL AND v11 IS NOT NULL")
     low, high = F.least("v00", "v01", "v10", "v11"), F.greatest("v00", "v01", "v10", "v11")
     cut = lambda a, b: F.when((F.col(a) < level) != (F.col(b) < level), (level - F.col(a)) / (F.col(b) - F.col(a)))
     return cells.where((low < level) & (high >= level)).select("y", "x", cut("v00", "v01").alias("top"), cut("v10", "v11").alias("bottom"), cut("v00", "v10").alias("left"), cut("v01", "v11").alias("right"))
 
 
-def part_rings(pixels: DataFrame, width: int) -> DataFrame:
-    """Ordered rings of every 4-connected part of a pixel set: component, ring number, and its corners in walking order.
+def rings(pixels: DataFrame, width: int, store=stored) -> DataFrame:
+    """The outline of a pixel set as ordered rings: ring (its least edge), pos, and the corner x, y; outer rings are walked clockwise (y down), holes the other way.
 
-    The walk is done per part: a part's outline is as long as its edge, not its area.
+    Every edge knows the next one (where parts touch at a corner, the right turn that stays on its own part). Pointers are
+    doubled until each edge has met the least edge of its ring and knows how far ahead it lies: as many rounds as the
+    longest ring's length has binary digits, each a join of edges by number, so no ring has to fit into a task.
     """
-    parts = connected_components(pixels.select("y", "x"), width).select("y", "x", "component")
-    x, y = F.col("x"), F.col("y")
-    sides = [(x, y, x + 1, y), (x + 1, y, x + 1, y + 1), (x + 1, y + 1, x, y + 1), (x, y + 1, x, y)]
-    e = parts.select("component", F.inline(F.array(*[F.struct(a.alias("x1"), b.alias("y1"), c.alias("x2"), d.alias("y2")) for a, b, c, d in sides])))
-    back = e.select("component", F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2"))
-    outline = e.join(back, ["component", "x1", "y1", "x2", "y2"], "left_anti")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        ahead: dict[tuple, list] = {}
-        for x1, y1, x2, y2 in pdf[["x1", "y1", "x2", "y2"]].sort_values(["y1", "x1", "y2", "x2"]).itertuples(index=False):
-            ahead.setdefault((x1, y1), []).append((x2, y2))
-        rings = []
-        for start in sorted(ahead, key=lambda p: (p[1], p[0])):
-            while ahead.get(start):
-                ring, at = [start], ahead[start].pop(0)
-                while at != start:
-                    came = (at[0] - ring[-1][0], at[1] - ring[-1][1])
-                    ring.append(at)
-                    ways = ahead[at]  # where parts touch at a corner, turn right to stay on this one
-                    ways.sort(key=lambda p, a=at, c=came: c[0] * (p[1] - a[1]) - c[1] * (p[0] - a[0]), reverse=True)
-                    at = ways.pop(0)
-                rings.append(ring)
-        return pd.DataFrame({"component": pdf["component"].iloc[0], "ring_no": range(len(rings)), "ring": [[{"x": int(a), "y": int(b)} for a, b in r] for r in rings]})
-
-    return outline.groupBy("component").applyInPandas(walk, "component bigint, ring_no int, ring array<struct<x:int,y:int>>")
+    e = outline_edges(pixels)
+    side = F.when(F.col("x2") > F.col("x1"), 0).when(F.col("y2") > F.col("y1"), 1).when(F.col("x2") < F.col("x1"), 2).otherwise(3)
+    e = e.withColumn("id", (F.col("y1").cast("bigint") * (width + 1) + F.col("x1")) * 4 + side)
+    ahead = e.select(F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("x2").alias("x3"), F.col("y2").alias("y3"), F.col("id").alias("next"))
+    turn = (F.col("x2") - F.col("x1")) * (F.col("y3") - F.col("y2")) - (F.col("y2") - F.col("y1")) * (F.col("x3") - F.col("x2"))
+    edges = store(e.join(ahead, ["x2", "y2"]).groupBy("id", "x1", "y1").agg(F.max_by("next", turn).alias("next")))
+    now = store(edges.select("id", "next", F.col("id").alias("low"), F.lit(0).cast("bigint").alias("far")))
+    reach = 1
+    while True:
+        there = now.select(F.col("id").alias("next"), F.col("next").alias("after"), F.col("low").alias("low2"), F.col("far").alias("far2"))
+        lower = F.col("low2") < F.col("low")
+        then = store(now.join(there, "next").select("id", F.col("after").alias("next"), F.least("low", "low2").alias("low"), F.when(lower, F.col("far2") + reach).otherwise(F.col("far")).alias("far"), lower.alias("moved")))
+        reach *= 2
+        settled = then.where("moved").isEmpty()
+        if store is stored:
+            drop_stored(now)
+        now = then.drop("moved")
+        if settled:
+            break
+    sizes = now.groupBy("low").agg(F.count("*").alias("n"))
+    placed = now.join(sizes, "low").select("id", F.col("low").alias("ring"), F.pmod(F.col("n") - F.col("far"), F.col("n")).alias("pos"))
+    return edges.join(placed, "id").select("ring", "pos", F.col("x1").alias("x"), F.col("y1").alias("y"))

@@ -118,7 +118,7 @@ def q_dataset_sink(s, d):
 
 def q_raster_sink(s, d):
     path = scratch(s, "scenes")
-    readers.write_scenes(scl(s, d).where(F.col("scene_date").isin([F.to_date(F.lit(x)) for x in DATES])), path)
+    readers.write_scenes(scl(s, d), path)
     return s.read.parquet(path).select("scene_date", "y", "x", "scl")
 
 
@@ -200,7 +200,7 @@ SELECT scene_date, y, x, coalesce(scl, 0) AS scl FROM g LEFT JOIN scl_obs USING
         f"""{INDEX_SQL} SELECT scene_date AS fecha, strftime(dt_utc, '%H:%M:%S') AS hora_utc, 'rgb_png/rgb_' || strftime(scene_date, '%Y-%m-%d') || '.png' AS imagen_rgb,
 round(cloud_pct, 2) AS nubes_pct, coverage_pct AS cobertura_tile_pct, 43.593075::DOUBLE AS lat FROM idx""",
     ),
-    "raster_sink": (q_raster_sink, f"{SCL} SELECT scene_date, y, x, scl FROM scl_obs WHERE {_IN}"),
+    "raster_sink": (q_raster_sink, f"{SCL} SELECT scene_date, y, x, scl FROM scl_obs"),
     "png_frame_index": (
         lambda s, d: readers.frame_paths(view(s, d, "catalogue").select("scene_date").distinct()),
         f"""{CAT}, t AS (SELECT DISTINCT scene_date, strftime(scene_date, '%Y-%m-%d') AS k FROM catalogue)

@@ -16,10 +16,12 @@ AOI_SQL = """SELECT 0 AS vertex_no, min(x) + 4 AS vx, min(y) + 4 AS vy FROM {t}
 UNION ALL SELECT 2, max(x) - 11, max(y) - 3 FROM {t} UNION ALL SELECT 3, min(x) + 8, max(y) - 7 FROM {t}"""
 AOI = ", aoi AS (" + AOI_SQL.format(t="scl_obs") + ")"
 EDGES = AOI + ", edge AS (SELECT a.vx AS x1, a.vy AS y1, b.vx AS x2, b.vy AS y2 FROM aoi a JOIN aoi b ON b.vertex_no = (a.vertex_no + 1) % 4)"
-MIN_OBS = 3
+MIN_OBS, CLEAR_VIEWS = 3, 12
 FREQ = f""", fv AS (SELECT y, x, count(*) FILTER (scl = 6) AS w, count(*) FILTER (scl IN (4, 5, 6)) AS c FROM scl_obs GROUP BY 1, 2),
 freq AS (SELECT y, x, CASE WHEN c >= {MIN_OBS} THEN w / c END AS water_freq FROM fv)"""
 
+SPARSE = FREQ.replace(f"c >= {MIN_OBS}", f"c >= {CLEAR_VIEWS}")
+
 
 def comp(name: str, pixels: str) -> str:
     """CTEs that label the 4-connected parts of a pixel set: {name} (y, x, component, size)."""
@@ -50,13 +52,9 @@ def local_map(s, d):
     return refmap.reference_map_local(scl(s, d), 0.98, 0)
 
 
-def sparse(s, d):
-    """Water frequency on a thinned grid, so that islands and patches occur."""
-    return refmap.water_frequency(scl(s, d).where("(y * 7 + x * 3) % 5 < 4 AND month(scene_date) % 4 = 1"), MIN_OBS)
-
-
-SPARSE = f""", fv AS (SELECT y, x, count(*) FILTER (scl = 6) AS w, count(*) FILTER (scl IN (4, 5, 6)) AS c FROM scl_obs
-  WHERE (y * 7 + x * 3) % 5 < 4 AND month(scene_date) % 4 = 1 GROUP BY 1, 2), freq AS (SELECT y, x, CASE WHEN c >= {MIN_OBS} THEN w / c END AS water_freq FROM fv)"""
+def frequency(s, d):
+    """Water frequency of all scenes; pixels with fewer than CLEAR_VIEWS clear views are unknown, so that islands occur."""
+    return refmap.water_frequency(scl(s, d), CLEAR_VIEWS)
 
 
 def water(s, d):
@@ -79,9 +77,12 @@ def q_polygon(s, d):
 
 
 def q_grid(s, d):
-    """The polygon's bounding box as an axis-aligned polygon, in cells of 8."""
-    b = spatial.polygon_bbox(aoi(s, d)).select(F.inline(F.array(*[F.struct(F.lit(i).alias("vertex_no"), F.col(x).alias("vx"), F.col(y).alias("vy")) for i, (x, y) in enumerate([("west", "south"), ("east", "south"), ("east", "north"), ("west", "north")])])))
-    return spatial.make_grid(b, 8.0)
+    """Cells of 8 that touch the polygon."""
+    return spatial.make_grid(aoi(s, d), 8.0)
+
+
+def q_rings(s, d):
+    return spatial.rings(transition(s, d), WIDTH)
 
 
 def q_extent(s, d):
@@ -136,9 +137,12 @@ QUERIES = {
     "polygon_bbox": (lambda s, d: spatial.polygon_bbox(aoi(s, d)), f"{SCL}{AOI} SELECT min(vx) AS west, min(vy) AS south, max(vx) AS east, max(vy) AS north FROM aoi"),
     "make_grid": (
         q_grid,
-        f"""{SCL}{AOI}, b AS (SELECT min(vx) AS w, min(vy) AS s, max(vx) AS e, max(vy) AS n FROM aoi)
-SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, (w + i * 8)::DOUBLE AS x0, (s + j * 8)::DOUBLE AS y0, (w + i * 8 + 8)::DOUBLE AS x1, (s + j * 8 + 8)::DOUBLE AS y1
-FROM b, range(100) a(i), range(100) c(j) WHERE w + i * 8 < e AND s + j * 8 < n""",
+        f"""{SCL}{EDGES}, b AS (SELECT min(vx) AS w, min(vy) AS s, max(vx) AS e, max(vy) AS n FROM aoi),
+c AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, (w + i * 8)::DOUBLE AS x0, (s + j * 8)::DOUBLE AS y0, (w + i * 8 + 8)::DOUBLE AS gx, (s + j * 8 + 8)::DOUBLE AS gy
+  FROM b, range(100) a(i), range(100) c(j) WHERE w + i * 8 < e AND s + j * 8 < n),
+m AS (SELECT DISTINCT i, j FROM (SELECT *, [{", ".join(f"sign((x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1))" for x in ("x0", "gx") for y in ("y0", "gy"))}] AS k FROM c, edge)
+  WHERE (x1 BETWEEN x0 AND gx AND y1 BETWEEN y0 AND gy) OR (list_min(k) <= 0 AND list_max(k) >= 0 AND least(x1, x2) <= gx AND greatest(x1, x2) >= x0 AND least(y1, y2) <= gy AND greatest(y1, y2) >= y0))
+SELECT i, j, x0, y0, gx AS x1, gy AS y1 FROM c WHERE (i, j) IN (SELECT (i, j) FROM m) OR {" OR ".join("(" + INSIDE.format(x=f"c.{x}", y=f"c.{y}") + ")" for x in ("x0", "gx") for y in ("y0", "gy"))}""",
     ),
     "aoi_mask": (
         lambda s, d: spatial.aoi_mask(scl(s, d).select("y", "x").distinct(), aoi(s, d)),
@@ -149,23 +153,26 @@ FROM b, range(100) a(i), range(100) c(j) WHERE w + i * 8 < e AND s + j * 8 < n""
         f"{SCL} SELECT * FROM scl_obs WHERE x BETWEEN 10 AND 30 AND y BETWEEN 5 AND 20 AND scene_date BETWEEN DATE '1995-03-01' AND DATE '1996-02-01'",
     ),
     "transition_geometry": (
-        lambda s, d: spatial.outline_edges(transition(s, d)),
-        f"""{SCL}{MAP}, t AS (SELECT y, x FROM refmap WHERE cls = 0), s AS (
-SELECT y, x, -1 AS dy, 0 AS dx, x AS x1, y AS y1, x + 1 AS x2, y AS y2 FROM t UNION ALL SELECT y, x, 0, 1, x + 1, y, x + 1, y + 1 FROM t
-UNION ALL SELECT y, x, 1, 0, x + 1, y + 1, x, y + 1 FROM t UNION ALL SELECT y, x, 0, -1, x, y + 1, x, y FROM t)
-SELECT x1, y1, x2, y2 FROM s WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.y = s.y + s.dy AND t.x = s.x + s.dx)""",
-    ),
-    "despeckle": (lambda s, d: r6(spatial.despeckle(sparse(s, d), WIDTH), "water_freq"), f"{REC}{SPARSE}{SPECK} SELECT y, x, round(water_freq, 6) AS water_freq FROM f1"),
+        q_rings,
+        f"""{REC}{MAP}, t AS (SELECT y, x FROM refmap WHERE cls = 0), s AS (
+SELECT y, x, -1 AS dy, 0 AS dx, x AS x1, y AS y1, x + 1 AS x2, y AS y2, 0 AS side FROM t UNION ALL SELECT y, x, 0, 1, x + 1, y, x + 1, y + 1, 1 FROM t
+UNION ALL SELECT y, x, 1, 0, x + 1, y + 1, x, y + 1, 2 FROM t UNION ALL SELECT y, x, 0, -1, x, y + 1, x, y, 3 FROM t),
+e AS (SELECT x1, y1, x2, y2, (y1::BIGINT * {WIDTH + 1} + x1) * 4 + side AS id FROM s WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.y = s.y + s.dy AND t.x = s.x + s.dx)),
+nx AS (SELECT a.id, arg_max(b.id, (a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1)) AS next FROM e a JOIN e b ON b.x1 = a.x2 AND b.y1 = a.y2 GROUP BY 1),
+walk AS (SELECT id AS start, id, 0 AS pos FROM nx UNION ALL SELECT start, next, pos + 1 FROM walk JOIN nx USING (id) WHERE next > start)
+SELECT start AS ring, pos::BIGINT AS pos, x1 AS x, y1 AS y FROM walk JOIN e USING (id) WHERE start IN (SELECT w.start FROM walk w JOIN nx USING (id) WHERE next = w.start)""",
+    ),
+    "despeckle": (lambda s, d: r6(spatial.despeckle(frequency(s, d), WIDTH), "water_freq"), f"{REC}{SPARSE}{SPECK} SELECT y, x, round(water_freq, 6) AS water_freq FROM f1"),
     "connected_components": (
-        lambda s, d: spatial.connected_components(sparse(s, d).where("water_freq IS NOT NULL").select("y", "x"), WIDTH, 8),
+        lambda s, d: spatial.connected_components(frequency(s, d).where("water_freq IS NOT NULL").select("y", "x"), WIDTH, 8),
         f"{REC}{SPARSE}{comp('sp', 'SELECT y, x FROM freq WHERE water_freq IS NOT NULL')} SELECT * FROM sp",
     ),
     "remove_isolated_water": (
-        lambda s, d: r6(spatial.remove_isolated_water(sparse(s, d), WIDTH), "water_freq"),
+        lambda s, d: r6(spatial.remove_isolated_water(frequency(s, d), WIDTH), "water_freq"),
         f"{REC}{SPARSE}{isolated('freq', 'f2')} SELECT y, x, round(water_freq, 6) AS water_freq FROM f2",
     ),
     "clean_water_frequency": (
-        lambda s, d: r6(spatial.clean_water_frequency(sparse(s, d), aoi(s, d), WIDTH), "water_freq"),
+        lambda s, d: r6(spatial.clean_water_frequency(frequency(s, d), aoi(s, d), WIDTH), "water_freq"),
         f"""{REC}{SPARSE}{SPECK}{isolated("f1", "f2")}{EDGES} SELECT y, x, CASE WHEN {INSIDE.format(x="(f2.x + 0.5::DOUBLE)", y="(f2.y + 0.5::DOUBLE)")} THEN round(water_freq, 6) END AS water_freq FROM f2""",
     ),
     "contour_cells": (

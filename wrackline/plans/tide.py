@@ -44,7 +44,7 @@ def series(s, d):
 
 
 def wanted(s, d):
-    return series(s, d).where("t % 7 = 3").select("node", (F.col("t") + 0.4).alias("t"))
+    return series(s, d).select("node", (F.col("t") + 0.4).alias("t"))
 
 
 def q_gridded(s, d):
@@ -175,7 +175,7 @@ CUBIC = """, ser AS (SELECT lat_i::DOUBLE || ':' || lon_i::DOUBLE AS node, hour_
 nb AS (SELECT node, t, z, lag(z) OVER w AS z0, lead(z) OVER w AS z2, lead(z, 2) OVER w AS z3, t - lag(t) OVER w AS d0, lead(t) OVER w - t AS d2, lead(t, 2) OVER w - t AS d3 FROM ser
   WINDOW w AS (PARTITION BY node ORDER BY t)),
 cub AS (SELECT node, t + 0.4::DOUBLE AS t, z0 * (0.4::DOUBLE * -0.6 * -1.6) / -6 + z * (1.4::DOUBLE * -0.6 * -1.6) / 2 + z2 * (1.4::DOUBLE * 0.4 * -1.6) / -2 + z3 * (1.4::DOUBLE * 0.4 * -0.6) / 6 AS h
-  FROM nb WHERE t % 7 = 3 AND d0 = 1 AND d2 = 1 AND d3 = 2 AND z0 + z + z2 + z3 IS NOT NULL)"""
+  FROM nb WHERE d0 = 1 AND d2 = 1 AND d3 = 2 AND z0 + z + z2 + z3 IS NOT NULL)"""
 
 QUERIES = {
     "normalise_by_reference_mean": (
