@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from wrackline.functions.constants import BAD, SCL_LEGEND
 
+from .quantiles import levels, quantile, with_total
+
 BANDS = ("b04", "b03", "b02")
 
 
@@ -14,24 +16,27 @@ def _stretched(v: Column, lo: Column, hi: Column) -> Column:
     return F.when(v.isNotNull() & (hi > lo), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - lo) / (hi - lo)))).otherwise(0.0)
 
 
-def _ends(value: Column, low: float, high: float, exact: bool) -> Column:
-    p = [low / 100, high / 100]
-    return F.percentile(value, p) if exact else F.percentile_approx(value, p, 100_000)
+def _ends(values: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
+    """keys, lo, hi: two exact percentiles of v in each group."""
+    rows = with_total(levels(values, keys, "v"), keys)
+    return rows.groupBy(*keys).agg(quantile(low / 100, F.col("total")).alias("lo"), quantile(high / 100, F.col("total")).alias("hi"))
 
 
-def stretch_bands(rgb: DataFrame, low: float = 2, high: float = 98, exact: bool = True) -> DataFrame:
+def stretch_bands(rgb: DataFrame, low: float = 2, high: float = 98) -> DataFrame:
     """Each band of each scene stretched between two percentiles of its values above 0, clipped to [0, 1].
 
-    Without such values, or with equal ends, a band is 0; so is a missing value. exact=False takes approximate
-    percentiles, which hold a bounded sketch instead of all values.
+    Without such values, or with equal ends, a band is 0; so is a missing value. Percentiles are exact: values are counted,
+    ranked in buckets, and only the wanted ranks are picked.
     """
-    ends = rgb.groupBy("scene_date").agg(*[_ends(F.when(F.col(b) > 0, F.col(b)), low, high, exact).alias(f"{b}_p") for b in BANDS])
-    rows = rgb.join(ends, "scene_date")
-    out = [F.coalesce(_stretched(F.col(b), F.col(f"{b}_p")[0], F.col(f"{b}_p")[1]), F.lit(0.0)).alias(b) for b in BANDS]
+    long = rgb.select("scene_date", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("v")) for b in BANDS])).alias("p")).select("scene_date", "p.*")
+    ends = _ends(long.where("v > 0"), ["scene_date", "band"], low, high)
+    of = lambda c, b: F.max(F.when(F.col("band") == b, F.col(c))).alias(f"{b}_{c}")
+    rows = rgb.join(ends.groupBy("scene_date").agg(*[of(c, b) for b in BANDS for c in ("lo", "hi")]), "scene_date", "left")
+    out = [F.coalesce(_stretched(F.col(b), F.col(f"{b}_lo"), F.col(f"{b}_hi")), F.lit(0.0)).alias(b) for b in BANDS]
     return rows.select("scene_date", "y", "x", *out)
 
 
-def stretch_joint(rgb: DataFrame, low: float = 2, high: float = 98, exact: bool = True) -> DataFrame:
+def stretch_joint(rgb: DataFrame, low: float = 2, high: float = 98) -> DataFrame:
     """All bands stretched between two percentiles of the three taken together, over pixels that have every band (zeros count).
 
     Pixels that lack a band are black.
@@ -40,10 +45,9 @@ def stretch_joint(rgb: DataFrame, low: float = 2, high: float = 98, exact: bool
     for b in BANDS:
         whole = whole & F.col(b).isNotNull()
     rows = rgb.withColumn("whole", whole)
-    stacked = rows.where("whole").select("scene_date", F.explode(F.array(*BANDS)).alias("v"))
-    ends = stacked.groupBy("scene_date").agg(_ends(F.col("v"), low, high, exact).alias("p"))
+    ends = _ends(rows.where("whole").select("scene_date", F.explode(F.array(*BANDS)).alias("v")), ["scene_date"], low, high)
     rows = rows.join(ends, "scene_date", "left")
-    out = [F.when(F.col("whole"), F.coalesce(_stretched(F.col(b), F.col("p")[0], F.col("p")[1]), F.lit(0.0))).otherwise(0.0).alias(b) for b in BANDS]
+    out = [F.when(F.col("whole"), F.coalesce(_stretched(F.col(b), F.col("lo"), F.col("hi")), F.lit(0.0))).otherwise(0.0).alias(b) for b in BANDS]
     return rows.select("scene_date", "y", "x", *out)
 
 

@@ -1,8 +1,8 @@
 """How well samples of tide heights cover a reference range, for many groups at once.
 
-Every family is a grouped aggregation over (group, height) rows. Rank and gap windows partition by the group and a bucket
-of equal width on the group's range, so that a huge group isn't sorted in one task; counts before a bucket and gaps
-between buckets come from per-bucket aggregates, which are few.
+Every family is a grouped aggregation over (group, height) rows. Ranks, gaps and quantiles come from levels: the distinct
+values of a group with their counts, sorted in buckets between approximate quantiles, so that neither a huge group nor a
+value that many rows share ends in one task.
 """
 
 from __future__ import annotations
@@ -11,45 +11,49 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wrackline.functions.constants import ADVICE_COVERAGE, ADVICE_GROUPED, ADVICE_REPRESENTATIVE, ADVICE_UNIFORM, ADVICE_VSR, GRADES, KS_TEXTS, UNDEFINED, VMR_TEXTS, VSR_TEXTS
 from wrackline.functions.expressions import histogram_bin, share
 from wrackline.sources.scratch import stored
 
-BUCKETS = 64
+from .quantiles import levels, quantile, with_total
 
 
-def _bucketed(values: DataFrame, g: str, buckets: int = BUCKETS) -> DataFrame:
-    """g, v, bucket: the bucket of each value among equal ones on its group's range."""
-    ends = values.groupBy(g).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))).otherwise(0)
-    return values.join(ends, g).select(g, "v", at.cast("int").alias("bucket"))
+def _worded(value: Column, texts: list[tuple], fits) -> Column:
+    """The text of the first bound that fits(value, bound), the last one if none does."""
+    out = F.lit(texts[-1][1])
+    for bound, text in reversed(texts[:-1]):
+        out = F.when(fits(value, bound), text).otherwise(out)
+    return out
 
 
-def _values(samples: DataFrame, g: str, value: str) -> DataFrame:
-    return samples.where(F.col(value).isNotNull()).select(g, F.col(value).cast("double").alias("v"))
+def rank_sorted(samples: DataFrame, g: str = "model", value: str = "height_m") -> DataFrame:
+    """g, v, rank: the ascending row number of each value in its group."""
+    return levels(samples, [g], value).select(g, "v", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))).alias("rank"))
 
 
-def rank_sorted(samples: DataFrame, g: str = "model", value: str = "height_m", buckets: int = BUCKETS) -> DataFrame:
-    """g, v, rank: the ascending row number of each value in its group."""
-    rows = _bucketed(_values(samples, g, value), g, buckets)
-    counts = rows.groupBy(g, "bucket").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(g).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(g, "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy(g, "bucket").orderBy("v"))
-    return rows.withColumn("own", own).join(before, [g, "bucket"]).select(g, "v", (F.col("own") + F.col("before")).cast("bigint").alias("rank"))
+def _gaps(ranked: DataFrame, g: str, distinct: bool = False) -> DataFrame:
+    """g, lo, v, gap: of each sample (or level) and the next lower one. ranked: levels of the samples."""
+    gaps = ranked.where("lo IS NOT NULL").select(g, "lo", "v")
+    if not distinct:
+        gaps = gaps.unionByName(ranked.where("n > 1").select(g, F.col("v").alias("lo"), "v", F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("n")))).drop("col"))
+    return gaps.withColumn("gap", F.col("v") - F.col("lo"))
 
 
-def neighbour_gaps(samples: DataFrame, g: str = "model", value: str = "height_m", distinct: bool = False, buckets: int = BUCKETS) -> DataFrame:
+def neighbour_gaps(samples: DataFrame, g: str = "model", value: str = "height_m", distinct: bool = False) -> DataFrame:
     """g, lo, v, gap: each value with the next lower one. distinct: of levels, not of samples."""
-    values = _values(samples, g, value)
-    rows = _bucketed(values.distinct() if distinct else values, g, buckets)
-    within = rows.select(g, F.lag("v").over(Window.partitionBy(g, "bucket").orderBy("v")).alias("lo"), "v").where("lo IS NOT NULL")
-    ends = rows.groupBy(g, "bucket").agg(F.min("v").alias("first"), F.max("v").alias("last"))
-    bridge = ends.select(g, F.lag("last").over(Window.partitionBy(g).orderBy("bucket")).alias("lo"), F.col("first").alias("v")).where("lo IS NOT NULL")
-    return within.unionByName(bridge).withColumn("gap", F.col("v") - F.col("lo"))
+    return _gaps(levels(samples, [g], value), g, distinct)
+
+
+def _gap_levels(rows: DataFrame, g: str, distinct: bool = False) -> DataFrame:
+    """Levels of the gaps between samples (or levels): g, v, n, before, total. rows: levels of the samples."""
+    gaps = rows.where("lo IS NOT NULL").select(g, (F.col("v") - F.col("lo")).alias("gap"), F.lit(1).cast("bigint").alias("times"))
+    if not distinct:
+        gaps = gaps.unionByName(rows.where("n > 1").select(g, F.lit(0.0).alias("gap"), (F.col("n") - 1).alias("times")))
+    return with_total(levels(gaps, [g], "gap", times="times"), [g])
 
 
 def _range(reference: DataFrame, g: str, value: str) -> DataFrame:
@@ -113,20 +117,19 @@ def _ks_pvalues(d: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else ks_pvalue(float(a), int(b)) for a, b in zip(d, n, strict=True)], dtype="float64")
 
 
-def uniformity_ks(samples: DataFrame, reference: DataFrame | None = None, g: str = "model", value: str = "height_m", on: str | None = None) -> DataFrame:
+def uniformity_ks(samples: DataFrame, reference: DataFrame | None = None, g: str = "model", value: str = "height_m", on: str | None = None, ranked: DataFrame | None = None) -> DataFrame:
     """Kolmogorov-Smirnov distance from the uniform distribution on the reference's range (or the samples' own), its p-value and what that means. A range of zero gives NULL."""
     on = on or g
-    ranked = rank_sorted(samples, g, value)
-    sizes = samples.where(F.col(value).isNotNull()).groupBy(*{g: 0, on: 0}).agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    sizes = samples.where(F.col(value).isNotNull()).groupBy(*{g: 0, on: 0}).agg(F.count("*").alias("total"), F.min(value).alias("low"), F.max(value).alias("high"))
     if reference is not None:
-        sizes = sizes.drop("lo", "hi").join(_range(reference, on, value), on)
-    rows = ranked.join(sizes.drop(*({on} - {g})), g)
-    u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo"))))
-    u = F.when(F.col("hi") > F.col("lo"), u)
-    d = F.max(F.greatest(F.col("rank") / F.col("n") - u, u - (F.col("rank") - 1) / F.col("n")))
-    out = rows.groupBy(g).agg(F.max("n").alias("n"), d.alias("ks_statistic"))
+        sizes = sizes.drop("low", "high").join(_range(reference, on, value).select(on, F.col("lo").alias("low"), F.col("hi").alias("high")), on)
+    rows = (ranked or levels(samples, [g], value)).join(sizes.drop(*({on} - {g})), g)
+    u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low"))))
+    u = F.when(F.col("high") > F.col("low"), u)
+    d = F.max(F.greatest((F.col("before") + F.col("n")) / F.col("total") - u, u - F.col("before") / F.col("total")))
+    out = rows.groupBy(g).agg(F.max("total").alias("n"), d.alias("ks_statistic"))
     p = F.col("ks_pvalue")
-    text = F.when(p > 0.1, "Altamente uniforme").when(p > 0.05, "Razonablemente uniforme").when(p > 0.01, "Moderadamente no uniforme").when(p.isNotNull(), "Altamente no uniforme")
+    text = F.when(p.isNotNull(), _worded(p, KS_TEXTS, lambda v, bound: v > bound))
     return out.withColumn("ks_pvalue", _ks_pvalues("ks_statistic", "n")).withColumns({"uniforme": p > 0.05, "interpretacion": text})
 
 
@@ -156,62 +159,46 @@ def shannon_entropy(samples: DataFrame, reference: DataFrame | None = None, g: s
     )
 
 
-def dispersion_vmr(samples: DataFrame, g: str = "model", value: str = "height_m") -> DataFrame:
+def dispersion_vmr(samples: DataFrame, g: str = "model", value: str = "height_m", ranked: DataFrame | None = None) -> DataFrame:
     """Variance-to-mean ratio of the gaps and the pattern it means; groups of one sample are undefined."""
-    gaps = neighbour_gaps(samples, g, value).groupBy(g).agg(F.avg("gap").alias("media_gaps"), F.var_samp("gap").alias("varianza_gaps"))
+    gaps = _gaps(ranked or levels(samples, [g], value), g).groupBy(g).agg(F.avg("gap").alias("media_gaps"), F.var_samp("gap").alias("varianza_gaps"))
     rows = samples.select(g).distinct().join(gaps, g, "left")
     m, v = F.col("media_gaps"), F.col("varianza_gaps")
     vmr = F.when(m > 0, v / m).when(m == 0, F.lit(float("inf")))
     rows = rows.withColumn("vmr", vmr)
-    text = F.when(m.isNull(), "Indefinido").when(F.col("vmr") < 0.8, "Regular (uniforme)").when(F.col("vmr") <= 1.2, "Aleatorio (Poisson)").otherwise("Agrupado (clustered)")
+    text = F.when(m.isNull(), UNDEFINED).otherwise(F.when(F.col("vmr") < VMR_TEXTS[0][0], VMR_TEXTS[0][1]).when(F.col("vmr") <= VMR_TEXTS[1][0], VMR_TEXTS[1][1]).otherwise(VMR_TEXTS[2][1]))
     return rows.select(g, "vmr", text.alias("patron"), "media_gaps", "varianza_gaps")
 
 
-def gap_statistics(samples: DataFrame, g: str = "model", value: str = "height_m", exact: bool = True) -> DataFrame:
-    """Moments and quantiles of the gaps. Skewness and kurtosis are the population's (kurtosis less 3).
-
-    exact=False takes quantiles from a bounded sketch, for groups whose distinct gaps don't fit one task.
-    """
+def gap_statistics(samples: DataFrame, g: str = "model", value: str = "height_m", ranked: DataFrame | None = None) -> DataFrame:
+    """Moments and exact quantiles of the gaps. Skewness and kurtosis are the population's (kurtosis less 3)."""
+    rows = ranked or levels(samples, [g], value)
     x = F.col("gap")
-    q = lambda p: F.percentile(x, p) if exact else F.percentile_approx(x, p, 100_000)
-    return neighbour_gaps(samples, g, value).groupBy(g).agg(
-        (F.count("*") + 1).alias("n_muestras"),
-        F.count("*").alias("n_gaps"),
-        F.avg(x).alias("media"),
-        q(0.5).alias("mediana"),
-        F.stddev_samp(x).alias("std"),
-        F.when(F.avg(x) > 0, F.stddev_samp(x) / F.avg(x)).otherwise(F.lit(float("inf"))).alias("cv"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-        q(0.25).alias("p25"),
-        q(0.75).alias("p75"),
-        (q(0.75) - q(0.25)).alias("iqr"),
-        F.skewness(x).alias("skewness"),
-        F.kurtosis(x).alias("kurtosis"),
+    moments = _gaps(rows, g).groupBy(g).agg(
+        F.count("*").alias("n_gaps"), F.avg(x).alias("media"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis")
     )
+    q = lambda p: quantile(p, F.col("total"))
+    found = moments.join(_gap_levels(rows, g).groupBy(g).agg(q(0.5).alias("mediana"), q(0.25).alias("p25"), q(0.75).alias("p75")), g)
+    cv = F.when(F.col("media") > 0, F.col("std") / F.col("media")).otherwise(F.lit(float("inf")))
+    return found.select(g, (F.col("n_gaps") + 1).alias("n_muestras"), "n_gaps", "media", "mediana", "std", cv.alias("cv"), "min", "max", "p25", "p75", (F.col("p75") - F.col("p25")).alias("iqr"), "skewness", "kurtosis")
 
 
-def vertical_sampling(samples: DataFrame, g: str = "model", value: str = "height_m") -> DataFrame:
+def vertical_sampling(samples: DataFrame, g: str = "model", value: str = "height_m", ranked: DataFrame | None = None) -> DataFrame:
     """Gaps between distinct levels, the first largest one and where it is, and the quality that their mean means."""
-    x = F.col("gap")
-    gaps = neighbour_gaps(samples, g, value, distinct=True).groupBy(g).agg(
+    rows = ranked or levels(samples, [g], value)
+    x = F.col("v") - F.col("lo")
+    gaps = rows.where("lo IS NOT NULL").groupBy(g).agg(
         F.avg(x).alias("vsr"),
-        F.median(x).alias("vsr_mediana"),
         F.min(x).alias("vsr_min"),
         F.max(x).alias("vsr_max"),
         F.max_by(F.struct("lo", F.col("v").alias("hi")), F.struct(x, -F.col("lo"))).alias("max_gap_ubicacion"),
         (F.count("*") + 1).alias("levels"),
     )
-    rows = samples.where(F.col(value).isNotNull()).select(g).distinct().join(gaps, g, "left")
+    median = _gap_levels(rows, g, distinct=True).groupBy(g).agg(quantile(0.5, F.col("total")).alias("vsr_mediana"))
+    found = samples.where(F.col(value).isNotNull()).select(g).distinct().join(gaps, g, "left").join(median, g, "left")
     v = F.col("vsr")
-    text = (
-        F.when(v.isNull(), "Indefinido")
-        .when(v <= 0.1, "Alta (excelente para topografía detallada)")
-        .when(v <= 0.2, "Buena (adecuada para la mayoría de análisis)")
-        .when(v <= 0.3, "Moderada (puede perder algunos detalles)")
-        .otherwise("Baja (resolución insuficiente para detalles finos)")
-    )
-    return rows.select(g, "vsr", "vsr_mediana", "vsr_min", "vsr_max", F.col("vsr_max").alias("max_gap"), "max_gap_ubicacion", F.coalesce("levels", F.lit(1)).cast("bigint").alias("n_niveles"), text.alias("calidad_vsr"))
+    text = F.when(v.isNull(), UNDEFINED).otherwise(_worded(v, VSR_TEXTS, lambda v, bound: v <= bound))
+    return found.select(g, "vsr", "vsr_mediana", "vsr_min", "vsr_max", F.col("vsr_max").alias("max_gap"), "max_gap_ubicacion", F.coalesce("levels", F.lit(1)).cast("bigint").alias("n_niveles"), text.alias("calidad_vsr"))
 
 
 def representativeness(samples: DataFrame, reference: DataFrame, g: str = "model", value: str = "height_m", n: int = 10, on: str | None = None) -> DataFrame:
@@ -227,14 +214,16 @@ def representativeness(samples: DataFrame, reference: DataFrame, g: str = "model
 
 
 def full_metrics(samples: DataFrame, reference: DataFrame, g: str = "model", value: str = "height_m", bins: int = 20, on: str | None = None) -> DataFrame:
-    """The seven families as one struct column each; uniformity and entropy on the reference's range."""
+    """The seven families as one struct column each; uniformity and entropy on the reference's range. Heights and their ranks are stored once for all of them."""
+    samples = stored(samples.select(*{g: 0, on or g: 0, value: 0}), "samples")
+    ranked = stored(levels(samples, [g], value), "levels")
     families = {
         "cobertura": range_coverage(samples, reference, g, value, on),
-        "uniformidad_ks": uniformity_ks(samples, reference, g, value, on),
+        "uniformidad_ks": uniformity_ks(samples, reference, g, value, on, ranked),
         "entropia": shannon_entropy(samples, reference, g, value, bins, on),
-        "dispersion": dispersion_vmr(samples, g, value),
-        "gaps": gap_statistics(samples, g, value),
-        "vsr": vertical_sampling(samples, g, value),
+        "dispersion": dispersion_vmr(samples, g, value, ranked),
+        "gaps": gap_statistics(samples, g, value, ranked),
+        "vsr": vertical_sampling(samples, g, value, ranked),
         "representatividad": representativeness(samples, reference, g, value, 10, on),
     }
     out = None
@@ -264,16 +253,16 @@ def distribution_verdict(metrics: DataFrame, coverage: float = 0.85, entropy: fl
     criteria = ["cobertura_suficiente", "uniforme_ks", "entropia_alta", "no_agrupado", "vsr_adecuado", "representativo"]
     n = sum((F.col(c).cast("int") for c in criteria), F.lit(0))
     ratio = F.col("n_criterios_cumplidos") / 6
-    grade = F.when(ratio >= 0.85, "Excelente").when(ratio >= 0.65, "Buena").when(ratio >= 0.50, "Aceptable").otherwise("Pobre")
+    grade = _worded(ratio, GRADES, lambda v, bound: v >= bound)
     empty = F.concat(F.lit("["), F.array_join(F.col("representatividad.quantiles_vacios").cast("array<string>"), ", "), F.lit("]"))
     num = lambda column, spec: F.format_string(spec, F.coalesce(F.col(column), F.lit(float("nan"))))
     advice = F.array_compact(
         F.array(
-            F.when(~F.col("cobertura_suficiente"), F.concat(F.lit("Cobertura insuficiente ("), num("cobertura.cobertura_pct", "%.1f"), F.lit("%). Añadir imágenes en mareas extremas."))),
-            F.when(~F.col("vsr_adecuado"), F.concat(F.lit("VSR demasiado alta ("), num("vsr.vsr", "%.3f"), F.lit(" m). Aumentar el número de observaciones."))),
-            F.when(~F.col("representativo"), F.concat(F.lit("Baja representatividad ("), num("representatividad.representatividad_pct", "%.1f"), F.lit("%). Añadir imágenes en quantiles "), empty, F.lit("."))),
-            F.when(~F.col("uniforme_ks"), F.lit("Distribución no uniforme. Seleccionar imágenes más distribuidas en el rango mareal.")),
-            F.when(~F.col("no_agrupado"), F.concat(F.lit("Muestras agrupadas (VMR="), num("dispersion.vmr", "%.2f"), F.lit("). Distribuir observaciones más uniformemente."))),
+            F.when(~F.col("cobertura_suficiente"), F.concat(F.lit(ADVICE_COVERAGE[0]), num("cobertura.cobertura_pct", "%.1f"), F.lit(ADVICE_COVERAGE[1]))),
+            F.when(~F.col("vsr_adecuado"), F.concat(F.lit(ADVICE_VSR[0]), num("vsr.vsr", "%.3f"), F.lit(ADVICE_VSR[1]))),
+            F.when(~F.col("representativo"), F.concat(F.lit(ADVICE_REPRESENTATIVE[0]), num("representatividad.representatividad_pct", "%.1f"), F.lit(ADVICE_REPRESENTATIVE[1]), empty, F.lit(ADVICE_REPRESENTATIVE[2]))),
+            F.when(~F.col("uniforme_ks"), F.lit(ADVICE_UNIFORM)),
+            F.when(~F.col("no_agrupado"), F.concat(F.lit(ADVICE_GROUPED[0]), num("dispersion.vmr", "%.2f"), F.lit(ADVICE_GROUPED[1]))),
         )
     )
     essential = F.col("cobertura_suficiente") & F.col("vsr_adecuado") & F.col("representativo")
@@ -304,16 +293,15 @@ def metric_table(verdict: DataFrame, g: str = "model") -> DataFrame:
 
 
 def in_windows(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """Each dated row in every window that starts on or before its date. windows: window, start; a handful of rows.
+    """Each dated row in every window that starts on or before its date. windows: window, start.
 
-    The windows become an array of the row's own plan: each row is exploded into those it belongs to.
+    A window is spread over its days up to the last date of the rows, so that the range condition becomes an equi join on the day.
     """
-    starts = [(r["window"], r["start"]) for r in windows.limit(1001).collect()]
-    if len(starts) > 1000:
-        raise ValueError("more than 1000 windows")
-    held = F.array(*[F.struct(F.lit(n).alias("window"), F.lit(s).alias("start")) for n, s in starts])
-    mine = F.filter(held, lambda w: w["start"] <= F.col("scene_date"))
-    return rows.select("*", F.explode(F.transform(mine, lambda w: w["window"])).alias("window"))
+    last = rows.agg(F.max("scene_date").alias("last")).scalar()
+    spread = windows.select("window", "start", last.alias("last")).where("start <= last")
+    days = spread.select("window", F.explode(F.sequence(F.col("start").cast("date"), F.col("last").cast("date"))).alias("scene_date"))
+    first = rows.agg(F.min("scene_date").alias("first")).scalar()
+    return rows.join(days.where(F.col("scene_date") >= first), "scene_date").select(*rows.columns, "window")
 
 
 def window_metrics(samples: DataFrame, reference: DataFrame, windows: DataFrame) -> DataFrame:

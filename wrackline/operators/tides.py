@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BOXES = (0.2, 0.5, 1.0)
-#: Constituents of one set at most.
-MAX_WAVES = 1000
 
 
 def point_grid(sites: DataFrame, box: float, step: float) -> DataFrame:
@@ -58,7 +56,7 @@ def predict(times: DataFrame, constituents: DataFrame, epoch: str = "2000-01-01
     """Harmonic synthesis: the sum over constituents of f A cos(w t + V + u - phase) at each time.
 
     constituents: amp_m, speed_deg_h, phase_deg, perhaps node_factor (f) and argument_deg (V + u). If it has keys shared
-    with times (a node), its waves are packed by key and joined; if not, the one set of waves becomes a constant of the plan.
+    with times (a node), its waves are packed by key and joined; if not, the one set of waves is a scalar subquery of the plan.
     """
     hours = F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit(epoch)), F.col("ts")) / 3600.0
     has = constituents.columns
@@ -69,10 +67,7 @@ def predict(times: DataFrame, constituents: DataFrame, epoch: str = "2000-01-01
     if shared:
         rows = times.join(constituents.groupBy(*shared).agg(F.collect_list(wave).alias("waves")), shared)
     else:
-        waves = constituents.select(wave.alias("wave")).limit(MAX_WAVES + 1).collect()
-        if len(waves) > MAX_WAVES:
-            raise ValueError(f"more than {MAX_WAVES} constituents in one set")
-        rows = times.withColumn("waves", F.array(*[F.struct(*[F.lit(float(r.wave[c])).alias(c) for c in ("a", "w", "p")]) for r in waves]))
+        rows = times.withColumn("waves", constituents.agg(F.collect_list(wave)).scalar())
     height = F.aggregate("waves", F.lit(0.0), lambda acc, c: acc + c["a"] * F.cos(F.radians(F.pmod(c["w"] * hours, F.lit(360.0)) + c["p"])))
     return rows.withColumn("height_m", height).drop("waves")
 

@@ -122,6 +122,9 @@ def rep_fixed(text: str) -> str:
 
 BASE = REF + rep_fixed(families("SELECT model AS g, model AS o, height_m AS v FROM tide_samples"))
 WINDOWED = REF + WIN + rep_fixed(families("""SELECT "window" || '|' || model AS g, model AS o, height_m AS v FROM tide_samples JOIN ws ON CAST(ts AS DATE) >= start"""))
+# The p-value of the far tail, 2 exp(-(2.000071 + 0.331 / sqrt(n) + 1.409 / n) n d^2); the tests' distances all lie there.
+KS_P = "2 * exp(-(2.000071 + 0.331 / sqrt(ks.n) + 1.409 / ks.n) * ks.n * d * d)"
+KS_TEXT = f"CASE WHEN {KS_P} > 0.1 THEN 'Altamente uniforme' WHEN {KS_P} > 0.05 THEN 'Razonablemente uniforme' WHEN {KS_P} > 0.01 THEN 'Moderadamente no uniforme' ELSE 'Altamente no uniforme' END"
 # The p-value's own threshold: at 5 % the distance times the root of n (with Stephens' correction) is 1.358.
 VERDICT = """, ver AS (SELECT g, cobertura >= 0.85 AS cobertura_suficiente, d * (sqrt(ks.n) + 0.12 + 0.11 / sqrt(ks.n)) < 1.358 AS uniforme_ks, entropia / log2(20) >= 0.7 AS entropia_alta,
   coalesce(vmr <= 1.2, false) AS no_agrupado, coalesce(vsr <= 0.25, false) AS vsr_adecuado, held / 10 >= 0.8 AS representativo
@@ -139,20 +142,26 @@ def full(s, d):
 
 
 def q_full(s, d):
+    """Every field of every family, a column each."""
     m = full(s, d)
-    return r6(
-        m.select("model", "cobertura.cobertura", "uniformidad_ks.ks_statistic", "entropia.entropia", "dispersion.vmr", F.col("gaps.media").alias("media_gaps"), "vsr.vsr", "vsr.n_niveles", "representatividad.representatividad"),
-        "cobertura", "ks_statistic", "entropia", "vmr", "media_gaps", "vsr", "representatividad",
-    )
+    fields = [(f.name, c.name, c.dataType.typeName()) for f in m.schema.fields[1:] for c in f.dataType.fields]
+    columns = []
+    for family, name, kind in fields:
+        value = F.col(f"{family}.{name}")
+        if kind == "struct":
+            columns += [F.round(value[end], 6).alias(f"{family}_{name}_{end}") for end in ("lo", "hi")]
+        else:
+            columns.append((F.round(value, 6) if kind == "double" else value).alias(f"{family}_{name}"))
+    return m.select("model", *columns)
 
 
 def q_verdict(s, d):
     v = metrics.distribution_verdict(full(s, d))
-    return v.select("model", *CRITERIA, "n_criterios_cumplidos", "calidad_global", "apta", F.size("recomendaciones").alias("n_recomendaciones"))
+    return v.select("model", *CRITERIA, "n_criterios_cumplidos", "calidad_global", "apta", "recomendaciones")
 
 
 def q_table(s, d):
-    return metrics.metric_table(metrics.distribution_verdict(full(s, d))).select("model", "n_obs", "cobertura_pct", "niveles", "repr_pct", "uniforme", "patron_tipo", "calidad", "es_apta", "criterios")
+    return metrics.metric_table(metrics.distribution_verdict(full(s, d)))
 
 
 def q_windows(s, d):
@@ -177,6 +186,29 @@ nb AS (SELECT node, t, z, lag(z) OVER w AS z0, lead(z) OVER w AS z2, lead(z, 2)
 cub AS (SELECT node, t + 0.4::DOUBLE AS t, z0 * (0.4::DOUBLE * -0.6 * -1.6) / -6 + z * (1.4::DOUBLE * -0.6 * -1.6) / 2 + z2 * (1.4::DOUBLE * 0.4 * -1.6) / -2 + z3 * (1.4::DOUBLE * 0.4 * -0.6) / 6 AS h
   FROM nb WHERE d0 = 1 AND d2 = 1 AND d3 = 2 AND z0 + z + z2 + z3 IS NOT NULL)"""
 
+_ROUND = {
+    "cobertura": {c: c for c in ("min_valido", "max_valido", "min_total", "max_total", "rango_valido", "rango_total", "cobertura")} | {"cobertura_pct": "cobertura * 100"},
+    "uniformidad_ks": {"ks_statistic": "d", "ks_pvalue": KS_P},
+    "entropia": {"entropia": "entropia", "entropia_max": "log2(20)", "entropia_norm": "entropia / log2(20)"},
+    "dispersion": {"vmr": "vmr", "media_gaps": "m", "varianza_gaps": "s2"},
+    "gaps": {"media": "media", "mediana": "mediana", "std": "std", "cv": "std / media", "min": "gs.mn", "max": "gs.mx", "p25": "p25", "p75": "p75", "iqr": "p75 - p25", "skewness": "skewness", "kurtosis": "kurtosis"},
+    "vsr": {"vsr": "vsr", "vsr_mediana": "med", "vsr_min": "vs.mn", "vsr_max": "vs.mx", "max_gap": "vs.mx", "max_gap_ubicacion_lo": "a", "max_gap_ubicacion_hi": "b"},
+    "representatividad": {"representatividad": "held / 10", "representatividad_pct": "held * 10.0::DOUBLE"},
+}
+_PLAIN = {
+    "uniformidad_ks": {"n": "ks.n", "uniforme": "d * (sqrt(ks.n) + 0.12 + 0.11 / sqrt(ks.n)) < 1.358", "interpretacion": KS_TEXT},
+    "entropia": {"n_bins": "20", "n_bins_ocupados": "occ", "n_bins_vacios": "20 - occ"},
+    "dispersion": {"patron": PATRON},
+    "gaps": {"n_muestras": "n_muestras", "n_gaps": "n_gaps"},
+    "vsr": {"n_niveles": "levels", "calidad_vsr": CALIDAD},
+    "representatividad": {"quantiles_cubiertos": "CAST(held AS INT)", "quantiles_totales": "10", "quantiles_vacios": "empty", "distribucion_muestras": "dist"},
+}
+FULL_SQL = (
+    f"{BASE} SELECT g AS model, "
+    + ", ".join([f"round({e}, 6) AS {f}_{c}" for f, cs in _ROUND.items() for c, e in cs.items()] + [f"{e} AS {f}_{c}" for f, cs in _PLAIN.items() for c, e in cs.items()])
+    + " FROM cob JOIN ks USING (g) JOIN ent USING (g) JOIN dis USING (g) JOIN gs USING (g) JOIN vs USING (g) JOIN rep USING (g)"
+)
+
 QUERIES = {
     "normalise_by_reference_mean": (
         lambda s, d: r6(tides.normalise_by_reference_mean(samples(s, d), reference(s, d)), "height_norm_m"),
@@ -224,8 +256,8 @@ round(max(height_m) - min(height_m), 6) AS range_m FROM tide_samples GROUP BY 1"
         f"{BASE} SELECT g AS model, {', '.join(f'round({c}, 6) AS {c}' for c in ('min_valido', 'max_valido', 'min_total', 'max_total', 'rango_valido', 'rango_total', 'cobertura'))}, round(cobertura * 100, 6) AS cobertura_pct FROM cob",
     ),
     "uniformity_ks": (
-        lambda s, d: r6(metrics.uniformity_ks(samples(s, d), reference(s, d)).select("model", "n", "ks_statistic", "uniforme"), "ks_statistic"),
-        f"{BASE} SELECT g AS model, n, round(d, 6) AS ks_statistic, d * (sqrt(n) + 0.12 + 0.11 / sqrt(n)) < 1.358 AS uniforme FROM ks",
+        lambda s, d: r6(metrics.uniformity_ks(samples(s, d), reference(s, d)), "ks_statistic", "ks_pvalue"),
+        f"{BASE} SELECT g AS model, n, round(d, 6) AS ks_statistic, round({KS_P}, 6) AS ks_pvalue, d * (sqrt(n) + 0.12 + 0.11 / sqrt(n)) < 1.358 AS uniforme, {KS_TEXT} AS interpretacion FROM ks",
     ),
     "shannon_entropy": (
         lambda s, d: r6(metrics.shannon_entropy(samples(s, d), reference(s, d), bins=30), "entropia", "entropia_max", "entropia_norm"),
@@ -252,18 +284,24 @@ levels AS n_niveles, {CALIDAD} AS calidad_vsr FROM vs""",
     ),
     "full_metrics": (
         q_full,
-        f"""{BASE} SELECT g AS model, round(cobertura, 6) AS cobertura, round(d, 6) AS ks_statistic, round(entropia, 6) AS entropia, round(vmr, 6) AS vmr, round(m, 6) AS media_gaps, round(vsr, 6) AS vsr,
-levels AS n_niveles, round(held / 10, 6) AS representatividad FROM cob JOIN ks USING (g) JOIN ent USING (g) JOIN dis USING (g) JOIN vs USING (g) JOIN rep USING (g)""",
+        FULL_SQL,
     ),
     "distribution_verdict": (
         q_verdict,
-        f"""{BASE}{VERDICT} SELECT g AS model, {", ".join(CRITERIA)}, k AS n_criterios_cumplidos, grade AS calidad_global, apta, 5 - (k - entropia_alta::INT) AS n_recomendaciones FROM vg""",
+        f"""{BASE}{VERDICT} SELECT g AS model, {", ".join(CRITERIA)}, k AS n_criterios_cumplidos, grade AS calidad_global, apta, list_filter([
+  CASE WHEN NOT cobertura_suficiente THEN 'Cobertura insuficiente (' || printf('%.1f', cobertura * 100) || '%). Añadir imágenes en mareas extremas.' END,
+  CASE WHEN NOT vsr_adecuado THEN 'VSR demasiado alta (' || printf('%.3f', vsr) || ' m). Aumentar el número de observaciones.' END,
+  CASE WHEN NOT representativo THEN 'Baja representatividad (' || printf('%.1f', held * 10.0::DOUBLE) || '%). Añadir imágenes en quantiles [' || array_to_string(empty, ', ') || '].' END,
+  CASE WHEN NOT uniforme_ks THEN 'Distribución no uniforme. Seleccionar imágenes más distribuidas en el rango mareal.' END,
+  CASE WHEN NOT no_agrupado THEN 'Muestras agrupadas (VMR=' || printf('%.2f', vmr) || '). Distribuir observaciones más uniformemente.' END], lambda x: x IS NOT NULL) AS recomendaciones
+FROM vg JOIN cob USING (g) JOIN vs USING (g) JOIN rep USING (g) JOIN dis USING (g)""",
     ),
     "model_metric_table": (
         q_table,
-        f"""{BASE}{VERDICT} SELECT g AS model, n_muestras AS n_obs, format('{{:.1f}}', cobertura * 100) AS cobertura_pct, levels AS niveles, format('{{:.1f}}', held * 10.0::DOUBLE) AS repr_pct,
+        f"""{BASE}{VERDICT} SELECT g AS model, n_muestras AS n_obs, printf('%.1f', cobertura * 100) AS cobertura_pct, printf('%.2f', rango_valido) AS rango_m, printf('%.4f', vsr) AS vsr_m, levels AS niveles, printf('%.1f', held * 10.0::DOUBLE) AS repr_pct,
+printf('%.4f', {KS_P}) AS ks_pval, printf('%.3f', entropia / log2(20)) AS entropia_norm, printf('%.3f', vmr) AS vmr_ratio,
 CASE WHEN uniforme_ks THEN '✓' ELSE '✗' END AS uniforme, split_part({PATRON}, ' ', 1) AS patron_tipo, grade AS calidad, CASE WHEN apta THEN '✓' ELSE '✗' END AS es_apta, k || '/6' AS criterios
-FROM vg JOIN gs USING (g) JOIN cob USING (g) JOIN vs USING (g) JOIN rep USING (g) JOIN dis USING (g)""",
+FROM vg JOIN gs USING (g) JOIN cob USING (g) JOIN vs USING (g) JOIN rep USING (g) JOIN dis USING (g) JOIN ent USING (g) JOIN ks USING (g)""",
     ),
     "window_metric_table": (
         q_windows,

@@ -44,13 +44,20 @@ def pixels_to_tiles(pixels: DataFrame, size: int) -> DataFrame:
 
 
 def read_gauge(spark: SparkSession, path: str, date_col: str = "fecha", height_col: str = "nivel_m", skiprows: int = 0) -> DataFrame:
-    """datetime, height_m from CSV files; skiprows lines are left out at the top of each file. Rows without a time are dropped."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"), F.input_file_name().alias("file"))
-    lines = lines.where((F.col("n") >= skiprows) & (F.trim("line") != ""))
-    head = lines.where(F.col("n") == skiprows).select("file", F.split("line", ",").alias("names"))
-    body = lines.where(F.col("n") > skiprows).join(F.broadcast(head), "file").select("names", F.split("line", ",").alias("cells"))
+    """datetime, height_m from CSV files; skiprows lines are left out at the top of each file. Rows without a time are dropped.
+
+    Files are read in splits, line by line, each with its own header. A line's number counts from its file's first one,
+    which only the file's first split needs; commas within quotes belong to their cell.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    first = lines.where("block = 0").groupBy("file").agg(F.min("id").alias("first"))
+    comma = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    cells = F.transform(F.split("value", comma), lambda c: F.regexp_replace(F.trim(c), r'^"|"$', ""))
+    numbered = lines.join(first, "file").select("file", "value", F.when(F.col("block") == 0, F.col("id") - F.col("first")).otherwise(skiprows + 1).alias("n"))
+    head = numbered.where(F.col("n") == skiprows).select("file", cells.alias("names"))
+    body = numbered.where((F.col("n") > skiprows) & (F.trim("value") != "")).join(head, "file").select("names", cells.alias("cells"))
     cell = lambda name: F.try_element_at("cells", F.array_position("names", name).cast("int"))
-    return body.select(F.trim(cell(date_col)).try_cast("timestamp_ntz").alias("datetime"), F.trim(cell(height_col)).try_cast("double").alias("height_m")).where("datetime IS NOT NULL")
+    return body.select(cell(date_col).try_cast("timestamp_ntz").alias("datetime"), cell(height_col).try_cast("double").alias("height_m")).where("datetime IS NOT NULL")
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
