@@ -90,8 +90,10 @@ def test_date_filter_without_a_match(spark):
     scl = pixels(spark, {D1: ["66"]})
     other = spark.createDataFrame([(D2,)], "scene_date date")
     assert refmap.date_semi_filter(scl, other).count() == 2
-    with pytest.raises(ValueError):
-        refmap.date_semi_filter(scl, other, "error")
+    same = spark.createDataFrame([(D1,)], "scene_date date")
+    assert refmap.date_semi_filter(scl, same).count() == refmap.date_semi_filter(scl, same, "error").count() == 2
+    with pytest.raises(Exception, match="no scene has one of the dates"):
+        refmap.date_semi_filter(scl, other, "error").collect()
     with pytest.raises(FileNotFoundError):
         readers.scan_stack(scl, ["2024-01-01", "2024-01-02"])
 
@@ -205,6 +207,41 @@ def test_polygons(spark):
     assert {(r.y, r.x): r.in_aoi for r in spatial.aoi_mask(px, far).collect()} == {(1, 1): True, (1, 7): True, (8, 8): False}
 
 
+def test_water_pole(spark):
+    rows = [(y, x, 1 if x < 4 else 2) for y in range(3) for x in range(6)]
+    m = spark.createDataFrame(rows, "y int, x int, cls int")
+    assert tuple(spatial.water_pole(m, (1.0, 0.0, 10.0, 0.0, -1.0, 50.0)).first()) == (0, 0, 16, 10.0, 50.0)
+    with pytest.raises(Exception, match="no stable water"):
+        spatial.water_pole(m.where("cls = 2"), (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)).collect()
+
+
+def test_levels_of_skewed_groups(spark):
+    """A value that half of the rows share, an outlier, one value alone, nulls: ranks, gaps and quantiles as numpy has them."""
+    r = np.random.default_rng(2)
+    groups = {"tied": np.r_[np.full(500, 3.0), r.normal(size=499), 1e9], "flat": np.full(40, 2.5), "one": [7.0], "even": r.random(800).round(2)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("one", None), ("none", None)]
+    df = spark.createDataFrame(rows, "model string, height_m double").repartition(4)
+    got = {}
+    for row in metrics.rank_sorted(df).collect():
+        got.setdefault(row.model, []).append((row["rank"], row.v))
+    assert {g: sorted(v) for g, v in got.items()} == {g: list(enumerate(sorted(map(float, v)), 1)) for g, v in groups.items()}
+    for row in metrics.gap_statistics(df).collect():
+        gaps = np.diff(np.sort(np.array(groups[row.model], float)))
+        assert row.n_gaps == len(gaps) and np.allclose([row.mediana, row.p25, row.p75], np.percentile(gaps, [50, 25, 75]), atol=1e-9)
+    for row in metrics.vertical_sampling(df).where("vsr IS NOT NULL").collect():
+        steps = np.diff(np.unique(np.array(groups[row.model], float)))
+        assert row.n_niveles == len(steps) + 1 and np.isclose(row.vsr_mediana, np.median(steps))
+
+
+def test_many_windows(spark):
+    """More windows than any plan constant would hold, some of them outside the rows' dates."""
+    rows = [(i, dt.date(2024, 1, 1) + dt.timedelta(days=i % 50)) for i in range(200)]
+    starts = [(f"w{k}", dt.date(2023, 12, 20) + dt.timedelta(days=k % 90)) for k in range(1500)]
+    got = metrics.in_windows(spark.createDataFrame(rows, "n int, scene_date date"), spark.createDataFrame(starts, "window string, start date"))
+    want = {w: sum(d >= s for _, d in rows) for w, s in starts}
+    assert {r.window: r["count"] for r in got.groupBy("window").count().collect()} == {w: n for w, n in want.items() if n}
+
+
 def test_dms(spark):
     rows = [("43°35'46.50\"N 5°43'40.94\"W",), ("  10°0'0\"S   20°30'0\"E and more",), ("43°35'46.50\" 5°43'40.94\"W",)]
     lat, lon = dms_parts(F.col("t"))
@@ -233,6 +270,11 @@ def test_catalogue_pages(spark, tmp_path):
 
 
 def test_gauge_files(spark, tmp_path):
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "a.csv").write_text('note,"a, b",fecha,nivel_m\nx,"1, 2",2024-01-01 00:10:00,0.5\n\n"p, q",,2024-01-01 00:20:00,"-1.5"\n')
+    (tmp_path / "q" / "b.csv").write_text("fecha,nivel_m\n2024-01-02 00:00:00,2\n")
+    got = readers.read_gauge(spark, str(tmp_path / "q")).orderBy("datetime").collect()
+    assert [r.height_m for r in got] == [0.5, -1.5, 2.0]
     (tmp_path / "g.csv").write_text("station 7\nsome note\nnivel_m,fecha\n1.25,2024-01-01 00:10:00\n-0.5,2024-01-01 00:20:00\nx,\n")
     got = readers.read_gauge(spark, str(tmp_path / "g.csv"), skiprows=2).orderBy("datetime").collect()
     assert [tuple(r) for r in got] == [(dt.datetime(2024, 1, 1, 0, 10), 1.25), (dt.datetime(2024, 1, 1, 0, 20), -0.5)]

@@ -53,13 +53,13 @@ def class_counts(reference_map: DataFrame) -> DataFrame:
 
 
 def date_semi_filter(scl: DataFrame, dates: DataFrame, on_empty: str = "all") -> DataFrame:
-    """Rows of the given dates. If none match: all rows ('all') or an error ('error')."""
-    kept = scl.join(dates.select("scene_date").distinct(), "scene_date", "left_semi")
-    if not kept.isEmpty():
-        return kept
+    """Rows of the given dates. If none match: all rows ('all'), or an error when the rows are read ('error')."""
+    marked = scl.join(dates.select("scene_date", F.lit(True).alias("wanted")).distinct(), "scene_date", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+    some = F.coalesce(scl.select("scene_date").distinct().join(dates.select("scene_date"), "scene_date", "left_semi").agg(F.count("*") > 0).scalar(), F.lit(False))
     if on_empty == "error":
-        raise ValueError("no scene has one of the dates")
-    return scl
+        none = F.when(~some, F.raise_error(F.lit("no scene has one of the dates")).cast("boolean"))
+        return marked.where(F.coalesce(none, F.col("wanted"))).select(scl.columns)
+    return marked.where(F.col("wanted") | ~some).select(scl.columns)
 
 
 def water_frequency(scl: DataFrame, min_obs: int = 8, water: int = WATER, clear: tuple = CLEAR) -> DataFrame:

@@ -163,12 +163,14 @@ def raster_extent(grid: DataFrame) -> DataFrame:
 
 
 def water_pole(reference_map: DataFrame, transform: tuple) -> DataFrame:
-    """The stable-water pixel farthest from everything else. Raises if there is no water."""
-    water = reference_map.where("cls = 1")
-    if water.isEmpty():
-        raise ValueError("the map has no stable water")
+    """The stable-water pixel farthest from everything else. If there is no water, reading the result raises."""
     far = distance_transform(reference_map.select("y", "x", (F.col("cls") == 1).alias("inside")))
-    return pixel_to_coord(argmax_pixel(far, "d2"), transform)
+    water = far.join(reference_map.where("cls = 1").select("y", "x"), ["y", "x"], "left_semi")
+    best = F.max_by(F.struct("y", "x", "d2"), F.struct(F.col("d2"), -F.col("y"), -F.col("x")))
+    # without water the aggregate has no pixel; without anything else the distances are NULL
+    none = F.when(F.count("*") == 0, F.raise_error(F.lit("the map has no stable water")).cast("struct<y:int,x:int,d2:bigint>"))
+    found = water.agg(F.coalesce(none, best).alias("p")).select("p.*")
+    return pixel_to_coord(found.where("d2 IS NOT NULL"), transform)
 
 
 def _edges(vertices: DataFrame) -> DataFrame:
