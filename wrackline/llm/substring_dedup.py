@@ -46,7 +46,7 @@ LENGTH = 400
 MODULUS, COVER = 133, (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 BATCH_BYTES, MOST_BYTES, PIECE = 8 << 20, 32 << 20, 1 << 20
 #: Batches of text whose names one bucket holds, and buckets at least.
-BUCKET_BATCHES, LEAST_BUCKETS = 4, 64
+BUCKET_BATCHES, LEAST_BUCKETS = 1, 64
 #: Input at which batches begin to grow.
 GROWS = 1 << 40
 _FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
