@@ -6,7 +6,8 @@ is its symbols less its merges. A text's count is the sum over its words, plus o
 the tokenizer cuts out before anything else. A word of n bytes takes O(n log n), so long unbroken runs are fine.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; special strings count one each, as the library does by
-default; repeated rows are counted one by one; an empty table gives an empty result; other columns are not read.
+default; very long texts are counted whole; null ids are carried; repeated rows are counted one by one; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
