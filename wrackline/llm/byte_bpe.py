@@ -30,9 +30,9 @@ from .common import id_and_text, map_text, table
 
 ZONE = 256
 #: Words in one recursive query, and words remembered in a worker before a new generation begins, which takes over what is still met.
-CHUNK, REMEMBERED = 40_000, 500_000
+CHUNK, REMEMBERED = 40_000, 250_000
 #: Texts of a task that are cut and looked up together, in bytes.
-TEXTS = 4 << 20
+TEXTS = 2 << 20
 
 #: The key of a row is word << 12 | position, so the next token of a word has the next key. A turn gives each word that has a pair its
 #: next state; a word that has none drops out, and its last state is its encoding.

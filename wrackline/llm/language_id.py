@@ -34,6 +34,8 @@ BUCKETS = 1 << 16
 SHARE = 0.01
 SWITCH, LEAST, OUTSIDE = 4.0, -8.0, -20.0
 UND = "und"
+#: Bytes of text that go through Viterbi in step.
+TEXTS = 2 << 20
 WORD = re.compile(r"[^\W\d_]+")
 #: First code point of each range and its script; fixed values of the Unicode block layout.
 SCRIPTS = [
@@ -74,7 +76,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial sums (lang, bucket, n); buckets from BUCKETS on count letters by script."""
-    for part in text_chunks(batches):
+    for part in text_chunks(batches, TEXTS):
         words: dict[str, Counter] = defaultdict(Counter)
         for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
             words[lang].update(words_of(text))
@@ -167,7 +169,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for part in text_chunks(batches, name=text_col):
+        for part in text_chunks(batches, TEXTS, name=text_col):
             langs, scores, spans = [], [], []
             for label, letters in zip(*m.label(text_of(part, text_col).to_pylist()), strict=True):
                 if not len(label):
