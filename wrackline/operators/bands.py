@@ -10,6 +10,8 @@ from wrackline.functions.constants import BAD, SCL_LEGEND
 from .quantiles import levels, quantile, with_total
 
 BANDS = ("b04", "b03", "b02")
+#: Buckets of a scene's distinct values, of which whole-numbered reflectances have some ten thousand.
+BUCKETS = 8
 
 
 def _stretched(v: Column, lo: Column, hi: Column) -> Column:
@@ -18,7 +20,7 @@ def _stretched(v: Column, lo: Column, hi: Column) -> Column:
 
 def _ends(values: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
     """keys, lo, hi: two exact percentiles of v in each group."""
-    rows = with_total(levels(values, keys, "v"), keys)
+    rows = with_total(levels(values, keys, "v", BUCKETS), keys)
     return rows.groupBy(*keys).agg(quantile(low / 100, F.col("total")).alias("lo"), quantile(high / 100, F.col("total")).alias("hi"))
 
 

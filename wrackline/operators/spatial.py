@@ -85,7 +85,8 @@ def _distances(mask: DataFrame, metric, limit: int | None = None) -> DataFrame:
     w = Window.partitionBy("x").orderBy("strip")
     near = ends.select("x", "strip", "low", "high", F.lag("strip").over(w).alias("before"), F.lead("strip").over(w).alias("after"))
     if limit is None:
-        first, last = (rows.agg(f("strip")).scalar() for f in (F.min, F.max))
+        ends_of = rows.agg(F.struct(F.min("strip").alias("first"), F.max("strip").alias("last")).alias("strips")).scalar()
+        first, last = ends_of["first"], ends_of["last"]
     else:
         first, last = F.expr(f"(low - {limit}) div {STRIP}").cast("int") - 1, F.expr(f"(high + {limit}) div {STRIP}").cast("int") + 1
     near = near.select("x", "strip", "low", "high", F.greatest(F.coalesce("before", first), first).alias("from"), F.least(F.coalesce("after", last), last).alias("to"))
