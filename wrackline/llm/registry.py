@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, licences, secrets, simhash, substring_dedup, token_counts, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, language_id, licences, merkle, secrets, simhash, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_secrets": secrets.op9_secrets,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op12_merkle": merkle.op12_merkle,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op6_exact_dedup": exact_dedup.OP6_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+    return {"op6_exact_dedup": exact_dedup.OP6_SQL, "op10_decontaminate": decontaminate.OP10_SQL, "op12_merkle": merkle.OP12_SQL}
