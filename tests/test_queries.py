@@ -13,7 +13,7 @@ from wrackline.plans import registry
 NAMES = [
     "scan_scl_stack", "tile_to_pixels", "stac_overpass", "iso_date_normalise", "time_grid", "correct_scl", "scl_legend", "dms_to_coords", "dataset_assemble",
     "scl_scene_quality", "scene_cloud_score", "reference_map_local", "reference_map_clean", "water_frequency", "percentile_stretch_band", "percentile_stretch_rgb",
-    "recovery_gain", "distance_transform", "make_grid", "transition_geometry", "contour_cells", "anomaly_join", "nearest_valid_probe", "tide_interpolate",
+    "recovery_gain", "distance_transform", "make_grid", "transition_geometry", "contour_cells", "anomaly_join", "nearest_valid_probe", "tide_interpolate", "tide_interpolate_spline",
     "tide_error_metrics", "gap_statistics", "distribution_verdict", "window_metric_table", "tide_predict", "tide_gridded",
 ]
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wrackline.operators import splines
+
 BOXES = (0.2, 0.5, 1.0)
 
 
@@ -97,40 +97,9 @@ def interpolate(times: DataFrame, series: DataFrame, reach: float = 2.0) -> Data
     return four.where(F.size("p") >= 4).select("node", "t", _lagrange(F.col("t"), F.slice("p", 1, 4)).alias("height_m"))
 
 
-def _not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Cubic spline with not-a-knot ends (a parabola or a line for three or two points)."""
-    n = len(x)
-    if n < 4:
-        return np.polyval(np.polyfit(x - x[0], y, n - 1), at - x[0])
-    h, d = np.diff(x), np.diff(y) / np.diff(x)
-    a, b = np.zeros((n, n)), np.zeros(n)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i], 2 * (h[i - 1] + h[i]), h[i - 1]
-        b[i] = 3 * (h[i] * d[i - 1] + h[i - 1] * d[i])
-    a[0, :2] = h[1], h[0] + h[1]
-    b[0] = ((h[0] + 2 * (h[0] + h[1])) * h[1] * d[0] + h[0] ** 2 * d[1]) / (h[0] + h[1])
-    a[-1, -2:] = h[-1] + h[-2], h[-2]
-    b[-1] = (h[-1] ** 2 * d[-2] + (2 * (h[-1] + h[-2]) + h[-1]) * h[-2] * d[-1]) / (h[-1] + h[-2])
-    s = np.linalg.solve(a, b)
-    k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
-    u = at - x[k]
-    c2, c3 = (3 * d[k] - 2 * s[k] - s[k + 1]) / h[k], (s[k] + s[k + 1] - 2 * d[k]) / h[k] ** 2
-    return y[k] + u * (s[k] + u * (c2 + u * c3))
-
-
-def interpolate_spline(times: DataFrame, series: DataFrame, margin: float = 24.0, block: float = 240.0) -> DataFrame:
-    """The same by not-a-knot splines over blocks of the series, each with a margin at both ends that makes the cut invisible."""
-    own = times.select("node", "t", F.floor(F.col("t") / block).cast("int").alias("block"), F.lit(None).cast("double").alias("z"))
-    s = series.where("z IS NOT NULL").select("node", "t", "z").withColumn("block", F.explode(F.sequence(F.floor((F.col("t") - margin) / block).cast("int"), F.floor((F.col("t") + margin) / block).cast("int"))))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known, want = pdf[pdf["z"].notna()].sort_values("t"), pdf[pdf["z"].isna()]
-        want = want[(want["t"] >= known["t"].min()) & (want["t"] <= known["t"].max())] if len(known) > 1 else want[:0]
-        z = _not_a_knot(known["t"].to_numpy(float), known["z"].to_numpy(float), want["t"].to_numpy(float)) if len(want) else []
-        return want[["node", "t"]].assign(height_m=np.asarray(z, float))
-
-    node = times.schema["node"].dataType.simpleString()
-    return own.unionByName(s.select("node", "t", "block", "z")).groupBy("node", "block").applyInPandas(run, f"node {node}, t double, height_m double")
+def interpolate_spline(times: DataFrame, series: DataFrame, block: int = splines.BLOCK, run: int = splines.RUN) -> DataFrame:
+    """The same by one not-a-knot spline over each whole series, as a batch of times has it; see splines.spline."""
+    return splines.spline(times, series, block, run)
 
 
 def tide_summary(heights: DataFrame, by: str = "model") -> DataFrame:

@@ -186,6 +186,24 @@ nb AS (SELECT node, t, z, lag(z) OVER w AS z0, lead(z) OVER w AS z2, lead(z, 2)
 cub AS (SELECT node, t + 0.4::DOUBLE AS t, z0 * (0.4::DOUBLE * -0.6 * -1.6) / -6 + z * (1.4::DOUBLE * -0.6 * -1.6) / 2 + z2 * (1.4::DOUBLE * 0.4 * -1.6) / -2 + z3 * (1.4::DOUBLE * 0.4 * -0.6) / 6 AS h
   FROM nb WHERE d0 = 1 AND d2 = 1 AND d3 = 2 AND z0 + z + z2 + z3 IS NOT NULL)"""
 
+#: The whole system of slopes solved a knot at a time, forwards and back.
+SPLINE = ZOS.replace("WITH ", "WITH RECURSIVE ", 1) + """, ser AS (SELECT lat_i::DOUBLE || ':' || lon_i::DOUBLE AS node, hour_no::DOUBLE AS t, zos AS z FROM zos),
+kn AS (SELECT node, t AS x, z AS y, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY node) AS n, lead(t) OVER w AS x1, lead(z) OVER w AS y1 FROM ser WHERE z IS NOT NULL WINDOW w AS (PARTITION BY node ORDER BY t)),
+hd AS (SELECT *, x1 - x AS h, (y1 - y) / (x1 - x) AS d FROM kn),
+nb AS (SELECT *, lag(h) OVER w AS h0, lag(d) OVER w AS d0, lag(h, 2) OVER w AS hh, lag(d, 2) OVER w AS dd, lead(h) OVER w AS h2, lead(d) OVER w AS d2 FROM hd WINDOW w AS (PARTITION BY node ORDER BY i)),
+sy AS MATERIALIZED (SELECT node, i, n, x, y, x1, y1, h, CASE WHEN i = 0 THEN 0 WHEN i = n - 1 THEN h0 + hh ELSE h END AS a, CASE WHEN i = 0 THEN h2 WHEN i = n - 1 THEN hh ELSE 2 * (h0 + h) END AS b,
+  CASE WHEN i = 0 THEN h + h2 WHEN i = n - 1 THEN 0 ELSE h0 END AS c, CASE WHEN i = 0 THEN ((h + 2 * (h + h2)) * h2 * d + h * h * d2) / (h + h2)
+  WHEN i = n - 1 THEN (h0 * h0 * dd + (2 * (h0 + hh) + h0) * hh * d0) / (h0 + hh) ELSE 3 * (h * d0 + h0 * d) END AS r FROM nb WHERE n > 3),
+fw AS (SELECT node, i, c / b AS cp, r / b AS dp FROM sy WHERE i = 0 UNION ALL
+  SELECT s.node, s.i, s.c / (s.b - s.a * f.cp), (s.r - s.a * f.dp) / (s.b - s.a * f.cp) FROM fw f JOIN sy s ON s.node = f.node AND s.i = f.i + 1),
+fm AS MATERIALIZED (SELECT * FROM fw),
+bw AS (SELECT fm.node, fm.i, dp AS s FROM fm JOIN sy USING (node, i) WHERE i = n - 1 UNION ALL SELECT f.node, f.i, f.dp - f.cp * b.s FROM bw b JOIN fm f ON f.node = b.node AND f.i = b.i - 1),
+sl AS MATERIALIZED (SELECT * FROM bw),
+pc AS (SELECT sy.*, p.s, q.s AS s1, (y1 - y) / h AS d FROM sy JOIN sl p USING (node, i) JOIN sl q ON q.node = sy.node AND q.i = sy.i + 1),
+wa AS (SELECT node, t + 0.4::DOUBLE AS t FROM ser)
+SELECT node, round(t, 6) AS t, round(y + (t - x) * (s + (t - x) * ((3 * d - 2 * s - s1) / h + (t - x) * (s + s1 - 2 * d) / (h * h))), 6) AS height_m
+FROM wa JOIN pc USING (node) WHERE t >= x AND t < x1"""
+
 _ROUND = {
     "cobertura": {c: c for c in ("min_valido", "max_valido", "min_total", "max_total", "rango_valido", "rango_total", "cobertura")} | {"cobertura_pct": "cobertura * 100"},
     "uniformidad_ks": {"ks_statistic": "d", "ks_pvalue": KS_P},
@@ -237,7 +255,7 @@ SELECT target, box, node_lat, node_lon, round(d2, 6) AS d2 FROM b QUALIFY row_nu
         lambda s, d: r6(tides.interpolate(wanted(s, d), series(s, d)), "t", "height_m"),
         f"{ZOS}{CUBIC} SELECT node, round(t, 6) AS t, round(h, 6) AS height_m FROM cub",
     ),
-    "tide_interpolate_spline": (lambda s, d: r6(tides.interpolate_spline(wanted(s, d), series(s, d)), "t", "height_m"), None),
+    "tide_interpolate_spline": (lambda s, d: r6(tides.interpolate_spline(wanted(s, d), series(s, d)), "t", "height_m"), SPLINE),
     "tide_summary": (
         lambda s, d: r6(tides.tide_summary(samples(s, d)), "min_m", "max_m", "mean_m", "median_m", "range_m"),
         f"""{REF} SELECT model, count(*) AS n, round(min(height_m), 6) AS min_m, round(max(height_m), 6) AS max_m, round(avg(height_m), 6) AS mean_m, round(median(height_m), 6) AS median_m,
