@@ -9,7 +9,7 @@ from wrackline.functions.constants import BAD, CLEAR, LAND, WATER
 from wrackline.functions.expressions import share
 
 from .quality import scene_quality
-from .spatial import by_steps, near_background
+from .spatial import Steps, near_background
 
 
 def pixel_votes(scl: DataFrame, water: int = WATER, land: tuple = LAND) -> DataFrame:
@@ -44,7 +44,7 @@ def reference_map_clean(scl: DataFrame, max_bad: float = 0.05, stable: float = 0
     clean = scene_quality(scl, bad).select("scene_date", (F.col("bad_fraction") <= max_bad).alias("clean"))
     seen = scl.join(clean, "scene_date", "left").withColumn("scl", F.when(F.col("clean"), F.col("scl")))
     rows = pixel_votes(seen).withColumn("kind", F.when(F.col("p_land") >= stable, 2).when(F.col("p_water") >= stable, 1).otherwise(0))
-    wide = near_background(rows.select("y", "x", (F.col("kind") != 0).alias("inside")), buffer_pixels, by_steps).withColumn("wide", F.lit(True))
+    wide = near_background(rows.select("y", "x", (F.col("kind") != 0).alias("inside")), buffer_pixels, Steps).withColumn("wide", F.lit(True))
     return rows.join(wide, ["y", "x"], "left").select("y", "x", F.when(F.col("wide"), 0).otherwise(F.col("kind")).alias("cls"), "water_votes", "land_votes", "p_water", "p_land")
 
 

@@ -1,7 +1,8 @@
 """Spatial operators on pixel tables and polygons.
 
-Distances are found in strips of rows: a strip gets its own pixels and, of each column, the nearest background above and
-below it, so a task is bounded by the strip and nothing is spread over a radius. Buffers are distances up to a limit.
+Distances are found in tiles of strips of rows: a tile gets its own pixels, of each column the nearest background above and
+below it, and from other tiles of its strip the background that is nearest somewhere in it, so a task is bounded both ways
+and nothing is spread over a radius. Buffers are distances up to a limit.
 Connected components label tiles in bounded tasks and join labels across tile edges. Polygons meet pixels and cells row by
 row, where their edges cross, in equi joins; rings are put in order by pointer doubling.
 """
@@ -15,103 +16,188 @@ from pyspark.sql import functions as F
 
 from wrackline.sources.scratch import drop_stored, stored
 
-TILE, STRIP = 512, 64
+TILE, STRIP, WIDE = 512, 64, 4096
 _FAR = 1 << 40
 
 
-def _gaps(own: pd.DataFrame, background: pd.DataFrame, y0: int) -> tuple[np.ndarray, np.ndarray]:
+def _gaps(background: pd.DataFrame, y0: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """The columns that have background, and for each row of the strip the rows to the nearest of it in each column."""
     columns = np.unique(background["x"].to_numpy(np.int64))
     y, at = background["y"].to_numpy(np.int64), np.searchsorted(columns, background["x"].to_numpy(np.int64))
-    above, below = np.full((STRIP + 1, len(columns)), -_FAR), np.full((STRIP + 1, len(columns)), _FAR)
-    up, down = y < y0, y >= y0 + STRIP
+    above, below = np.full((rows + 1, len(columns)), -_FAR), np.full((rows + 1, len(columns)), _FAR)
+    up, down = y < y0, y >= y0 + rows
     above[0, at[up]] = y[up]
-    below[STRIP, at[down]] = y[down]
+    below[rows, at[down]] = y[down]
     inner = ~up & ~down
     above[1 + y[inner] - y0, at[inner]] = y[inner]
     below[y[inner] - y0, at[inner]] = y[inner]
-    rows = y0 + np.arange(STRIP)[:, None]
-    return columns, np.minimum(rows - np.maximum.accumulate(above)[1:], np.minimum.accumulate(below[::-1])[::-1][:STRIP] - rows)
+    places = y0 + np.arange(rows)[:, None]
+    return columns, np.minimum(places - np.maximum.accumulate(above)[1:], np.minimum.accumulate(below[::-1])[::-1][:rows] - places)
 
 
-def by_steps(columns: np.ndarray, gaps: np.ndarray, row: np.ndarray, x: np.ndarray) -> np.ndarray:
+class Steps:
     """Least gap plus columns to it."""
-    left, right = np.minimum.accumulate(gaps - columns, axis=1), np.minimum.accumulate((gaps + columns)[:, ::-1], axis=1)[:, ::-1]
-    i = np.searchsorted(columns, x, side="right") - 1
-    j = np.searchsorted(columns, x, side="left")
-    a = np.where(i >= 0, left[row, np.maximum(i, 0)] + x, _FAR)
-    b = np.where(j < len(columns), right[row, np.minimum(j, len(columns) - 1)] - x, _FAR)
-    return np.minimum(a, b)
 
+    size = staticmethod(lambda dy, dx: dy + dx)
 
-def by_squares(columns: np.ndarray, gaps: np.ndarray, row: np.ndarray, x: np.ndarray) -> np.ndarray:
+    def __init__(self, columns: np.ndarray, gaps: np.ndarray):
+        self.columns, self.gaps = columns, gaps
+
+    def least(self, row: np.ndarray, x: np.ndarray) -> np.ndarray:
+        columns, gaps = self.columns, self.gaps
+        left, right = np.minimum.accumulate(gaps - columns, axis=1), np.minimum.accumulate((gaps + columns)[:, ::-1], axis=1)[:, ::-1]
+        i = np.searchsorted(columns, x, side="right") - 1
+        j = np.searchsorted(columns, x, side="left")
+        a = np.where(i >= 0, left[row, np.maximum(i, 0)] + x, _FAR)
+        b = np.where(j < len(columns), right[row, np.minimum(j, len(columns) - 1)] - x, _FAR)
+        return np.minimum(a, b)
+
+    def winners(self, x0: int, x1: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) that are nearest to a place in [x0, x1), which lies beside the columns: one a row is nearest to all of them."""
+        best = np.argmin(self.gaps - self.columns if x0 > self.columns[-1] else self.gaps + self.columns, axis=1)
+        return np.arange(len(self.gaps)), best
+
+
+class Squares:
     """Least squared gap plus squared columns to it, by the lower envelope of the columns' parabolas: of all rows in step, a column at a time."""
-    n = len(gaps)
-    stack, start, top = np.zeros((n, len(columns)), np.int64), np.full((n, len(columns)), -np.inf), np.full(n, -1)
-    high = gaps.astype(float) ** 2
-    for j, q in enumerate(columns):
-        rows = np.flatnonzero(gaps[:, j] < _FAR // 2)
-        cut = np.full(len(rows), -np.inf)
-        while True:
-            held = np.flatnonzero(top[rows] >= 0)
-            r = rows[held]
-            p = stack[r, top[r]]
-            s = (high[r, j] - high[r, p] + float(q) ** 2 - columns[p].astype(float) ** 2) / (2.0 * (q - columns[p]))
-            cut[:] = -np.inf
-            cut[held] = s
-            gone = r[s <= start[r, top[r]]]
-            if not len(gone):
-                break
-            top[gone] -= 1
-        top[rows] += 1
-        stack[rows, top[rows]] = j
-        start[rows, top[rows]] = cut
-    out = np.full(len(x), _FAR)
-    for r in np.unique(row):
-        if top[r] >= 0:
-            own = np.flatnonzero(row == r)
-            j = stack[r, np.maximum(np.searchsorted(start[r, : top[r] + 1], x[own], side="right") - 1, 0)]
-            out[own] = gaps[r, j] ** 2 + (x[own] - columns[j]) ** 2
-    return out
-
-
-def _distances(mask: DataFrame, metric, limit: int | None = None) -> DataFrame:
+
+    size = staticmethod(lambda dy, dx: dy * dy + dx * dx)
+
+    def __init__(self, columns: np.ndarray, gaps: np.ndarray):
+        n = len(gaps)
+        stack, start, top = np.zeros((n, len(columns)), np.int64), np.full((n, len(columns)), -np.inf), np.full(n, -1)
+        high = gaps.astype(float) ** 2
+        for j, q in enumerate(columns):
+            rows = np.flatnonzero(gaps[:, j] < _FAR // 2)
+            cut = np.full(len(rows), -np.inf)
+            while True:
+                held = np.flatnonzero(top[rows] >= 0)
+                r = rows[held]
+                p = stack[r, top[r]]
+                s = (high[r, j] - high[r, p] + float(q) ** 2 - columns[p].astype(float) ** 2) / (2.0 * (q - columns[p]))
+                cut[:] = -np.inf
+                cut[held] = s
+                gone = r[s <= start[r, top[r]]]
+                if not len(gone):
+                    break
+                top[gone] -= 1
+            top[rows] += 1
+            stack[rows, top[rows]] = j
+            start[rows, top[rows]] = cut
+        self.columns, self.gaps, self.stack, self.start, self.top = columns, gaps, stack, start, top
+
+    def least(self, row: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), _FAR)
+        order = np.argsort(row, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(row[order])) + 1):
+            r = row[own[0]]
+            if self.top[r] >= 0:
+                j = self.stack[r, np.maximum(np.searchsorted(self.start[r, : self.top[r] + 1], x[own], side="right") - 1, 0)]
+                out[own] = self.gaps[r, j] ** 2 + (x[own] - self.columns[j]) ** 2
+        return out
+
+    def winners(self, x0: int, x1: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) of the parabolas that are lowest somewhere in [x0, x1)."""
+        rows, columns = [], []
+        for r in np.flatnonzero(self.top >= 0):
+            i, j = np.maximum(np.searchsorted(self.start[r, : self.top[r] + 1], [x0, x1 - 1], side="right") - 1, 0)
+            rows.append(np.full(j - i + 1, r))
+            columns.append(self.stack[r, i : j + 1])
+        return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _pairs(background: DataFrame, wanted: DataFrame, metric, limit: int | None, strip: int, tile: int) -> DataFrame:
+    """(strip, tile, to): tiles whose background may be nearest to a wanted pixel of another tile of the strip.
+
+    A tile is summed up in one row: between which columns it has background, how near that comes to the strip's rows, and
+    a column that surely has some near all of them. These rows alone, a row a tile, meet by strip.
+    """
+    y0 = F.col("strip") * strip
+    inside = (F.col("y") >= y0) & (F.col("y") < y0 + strip)
+    to_first, to_last = F.abs(F.col("y") - y0), F.abs(F.col("y") - y0 - strip + 1)
+    columns = background.groupBy("strip", "tile", "x").agg(F.min(F.greatest(to_first, to_last)).alias("most"), F.min(F.when(inside, F.lit(0)).otherwise(F.least(to_first, to_last))).alias("near"))
+    sums = columns.groupBy("strip", "tile").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("near").alias("near"), F.min(F.struct("most", "x")).alias("sure"))
+    sums = sums.select("strip", "tile", "x0", "x1", "near", F.col("sure.most").alias("most"), F.col("sure.x").alias("at"))
+    none = F.lit(None).cast("int")
+    asked = wanted.select("strip", "tile").distinct().select("strip", "tile", *[none.alias(c) for c in ("x0", "x1", "near", "most", "at")])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        have, ask = pdf[pdf["x0"].notna()], pdf[pdf["x0"].isna()]
+        x0, x1, near, most, at, own = (have[c].to_numpy(np.int64) for c in ("x0", "x1", "near", "most", "at", "tile"))
+        found = []
+        for t in ask["tile"].to_numpy(np.int64) if len(have) else ():
+            low, high = t * tile, t * tile + tile - 1
+            bound = metric.size(most, np.maximum(np.abs(low - at), np.abs(high - at))).min()
+            bound = bound if limit is None else min(bound, metric.size(limit, 0))
+            near_by = (metric.size(near, np.maximum(np.maximum(x0 - high, low - x1), 0)) <= bound) & (own != t)
+            found += [(key[0], i, t) for i in own[near_by]]
+        return pd.DataFrame(found, columns=["strip", "tile", "to"])
+
+    return sums.unionByName(asked).groupBy("strip").applyInPandas(run, "strip int, tile int, to int")
+
+
+def _distances(mask: DataFrame, metric, limit: int | None = None, strip: int = STRIP, tile: int = WIDE) -> DataFrame:
     """(y, x, d) of the wanted pixels of mask (y, x, inside, want): d to the nearest pixel that isn't inside; NULL if there is none in reach.
 
-    metric: by_squares or by_steps. limit: background farther away in its column may be left out.
+    metric: Squares or Steps. limit: background farther away in its column may be left out. A task has a tile of a strip of
+    rows: its own pixels, the nearest background above and below of each column, and from other tiles of the strip only
+    the background that is nearest somewhere in this tile.
     """
-    rows = mask.select("y", "x", "inside", "want", F.expr(f"y div {STRIP}").cast("int").alias("strip"))
-    ends = rows.where(~F.col("inside")).groupBy("x", "strip").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    cell = lambda c, n: F.floor(F.col(c) / n).cast("int")
+    rows = mask.select("y", "x", "inside", "want", cell("y", strip).alias("strip"), cell("x", tile).alias("tile"))
+    ends = rows.where(~F.col("inside")).groupBy("x", "tile", "strip").agg(F.min("y").alias("low"), F.max("y").alias("high"))
     w = Window.partitionBy("x").orderBy("strip")
-    near = ends.select("x", "strip", "low", "high", F.lag("strip").over(w).alias("before"), F.lead("strip").over(w).alias("after"))
+    near = ends.select("x", "tile", "strip", "low", "high", F.lag("strip").over(w).alias("before"), F.lead("strip").over(w).alias("after"))
     if limit is None:
         ends_of = rows.agg(F.struct(F.min("strip").alias("first"), F.max("strip").alias("last")).alias("strips")).scalar()
         first, last = ends_of["first"], ends_of["last"]
     else:
-        first, last = F.expr(f"(low - {limit}) div {STRIP}").cast("int") - 1, F.expr(f"(high + {limit}) div {STRIP}").cast("int") + 1
-    near = near.select("x", "strip", "low", "high", F.greatest(F.coalesce("before", first), first).alias("from"), F.least(F.coalesce("after", last), last).alias("to"))
+        first, last = F.floor((F.col("low") - limit) / strip).cast("int"), F.floor((F.col("high") + limit) / strip).cast("int")
+    near = near.select("x", "tile", "strip", "low", "high", F.greatest(F.coalesce("before", first), first).alias("from"), F.least(F.coalesce("after", last), last).alias("to"))
     span = lambda a, b: F.explode(F.when(a <= b, F.sequence(a, b)))
     none = F.lit(None).cast("boolean")
-    up = near.select(F.col("high").alias("y"), "x", none.alias("inside"), F.lit(False).alias("want"), span(F.col("strip") + 1, F.col("to")).alias("strip"))
-    down = near.select(F.col("low").alias("y"), "x", none.alias("inside"), F.lit(False).alias("want"), span(F.col("from"), F.col("strip") - 1).alias("strip"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["want"]]
-        background = pdf[pdf["inside"].isna() | (pdf["inside"] == False)]  # noqa: E712
-        if not len(own) or not len(background):
-            return own[["y", "x"]].assign(d=pd.array([pd.NA] * len(own), "Int64"))
-        y0 = int(key[0]) * STRIP
-        columns, gaps = _gaps(own, background, y0)
-        d = metric(columns, gaps, own["y"].to_numpy(np.int64) - y0, own["x"].to_numpy(np.int64))
-        return own[["y", "x"]].assign(d=pd.array(d, "Int64").astype("Int64")).assign(d=lambda f: f["d"].mask(d >= _FAR // 2))
-
-    return rows.unionByName(up).unionByName(down).groupBy("strip").applyInPandas(run, "y int, x int, d bigint")
-
-
-def near_background(mask: DataFrame, reach: int, metric=by_squares) -> DataFrame:
+    up = near.select(F.col("high").alias("y"), "x", none.alias("inside"), F.lit(False).alias("want"), span(F.col("strip") + 1, F.col("to")).alias("strip"), "tile")
+    down = near.select(F.col("low").alias("y"), "x", none.alias("inside"), F.lit(False).alias("want"), span(F.col("from"), F.col("strip") - 1).alias("strip"), "tile")
+    carried = up.unionByName(down)
+    background = rows.where(~F.col("inside")).unionByName(carried)
+
+    def solve(key: tuple, pdf: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        own, held = pdf[pdf["want"]], pdf[pdf["inside"].isna() | (pdf["inside"] == False)]  # noqa: E712
+        y0, y = int(key[0]) * strip, own["y"].to_numpy(np.int64)
+        columns, gaps = _gaps(held, y0, strip) if len(held) else (np.zeros(0, np.int64), np.zeros((strip, 0), np.int64))
+        if len(sent):
+            more = np.unique(sent["x"].to_numpy(np.int64))
+            wide = np.full((strip, len(more)), _FAR)
+            wide[sent["y"].to_numpy(np.int64) - y0, np.searchsorted(more, sent["x"].to_numpy(np.int64))] = sent["gap"].to_numpy(np.int64)
+            columns = np.concatenate([columns, more])
+            order = np.argsort(columns)
+            columns, gaps = columns[order], np.concatenate([gaps, wide], axis=1)[:, order]
+        d = metric(columns, gaps).least(y - y0, own["x"].to_numpy(np.int64)) if len(columns) and len(own) else np.full(len(own), _FAR)
+        return own[["y", "x"]].assign(d=pd.array(d, "Int64")).assign(d=lambda f: f["d"].mask(d >= _FAR // 2))
+
+    pairs = _pairs(background, rows.where("want"), metric, limit, strip, tile)
+
+    def send(key: tuple, pdf: pd.DataFrame, to: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(pdf) and len(to):
+            y0 = int(key[0]) * strip
+            columns, gaps = _gaps(pdf, y0, strip)
+            lines = metric(columns, gaps)
+            for t in to["to"].to_numpy(np.int64):
+                row, j = lines.winners(t * tile, t * tile + tile)
+                out.append(pd.DataFrame({"strip": key[0], "tile": t, "y": y0 + row, "x": columns[j], "gap": gaps[row, j]}))
+        return pd.concat(out).query(f"gap < {_FAR // 2}") if out else pd.DataFrame(columns=["strip", "tile", "y", "x", "gap"])
+
+    asked = background.join(pairs.select("strip", "tile").distinct(), ["strip", "tile"], "left_semi")
+    sent = asked.groupBy("strip", "tile").cogroup(pairs.groupBy("strip", "tile")).applyInPandas(send, "strip int, tile int, y int, x int, gap bigint")
+    of_tile = rows.where(F.col("want") | ~F.col("inside")).unionByName(carried)
+    return of_tile.groupBy("strip", "tile").cogroup(sent.groupBy("strip", "tile")).applyInPandas(solve, "y int, x int, d bigint")
+
+
+def near_background(mask: DataFrame, reach: int, metric=Squares) -> DataFrame:
     """Pixels (y, x) of mask (y, x, inside, perhaps want) at most `reach` from a pixel that isn't inside."""
     mask = mask if "want" in mask.columns else mask.withColumn("want", F.lit(True))
-    return _distances(mask, metric, reach).where(F.col("d") <= (reach * reach if metric is by_squares else reach)).select("y", "x")
+    return _distances(mask, metric, reach).where(F.col("d") <= metric.size(reach, 0)).select("y", "x")
 
 
 def _against(frame: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -127,7 +213,7 @@ def within_radius(frame: DataFrame, pixels: DataFrame, radius: int) -> DataFrame
 
 def dilate(pixels: DataFrame, frame: DataFrame, steps: int) -> DataFrame:
     """Binary dilation by `steps` of a 4-neighbour cross, clipped to the frame."""
-    return near_background(_against(frame, pixels), steps, by_steps)
+    return near_background(_against(frame, pixels), steps, Steps)
 
 
 def column_distance(mask: DataFrame) -> DataFrame:
@@ -139,9 +225,9 @@ def column_distance(mask: DataFrame) -> DataFrame:
     return mask.select("y", "x", "inside", F.least(F.col("y") - above, below - F.col("y")).alias("gap"))
 
 
-def distance_transform(mask: DataFrame) -> DataFrame:
+def distance_transform(mask: DataFrame, strip: int = STRIP, tile: int = WIDE) -> DataFrame:
     """d2: the squared Euclidean distance to the nearest pixel that isn't inside; NULL if there is none. Outside the raster isn't background, nor are pixels absent from mask."""
-    return _distances(mask.withColumn("want", F.lit(True)), by_squares).withColumnRenamed("d", "d2")
+    return _distances(mask.withColumn("want", F.lit(True)), Squares, None, strip, tile).withColumnRenamed("d", "d2")
 
 
 def argmax_pixel(values: DataFrame, value: str) -> DataFrame:
