@@ -3,13 +3,14 @@
 Texts are lower-cased (A-Z), cut into pieces at `[.,;:!?\\x0A-\\x0D]` and pieces into words at blanks and tabs; everything is
 counted by language. Frequent means at least `least` occurrences.
 
-1. A sample of the documents is mined with a lowered threshold: words and pairs first, then longer phrases whose parts
-   passed. Its phrases are the proposals.
+1. A sample of the documents is mined with a lowered threshold: words and pairs first, then, level by level, longer phrases
+   whose parts passed. Its phrases are the proposals.
 2. A full pass counts the proposals and their negative border exactly: every word, and every longer phrase that occurs and
    whose first and last part (all but one word) are proposals.
-3. Border phrases that turn out frequent are failures of the sample: phrases that contain them weren't counted. They join
-   the proposals, and a further pass counts just the phrases that have become countable, until none fails. A phrase is
-   counted in one pass and there in full, so the counts are exact whatever the sample was.
+3. Border phrases that turn out frequent are failures of the sample: phrases that contain them weren't counted. An expansion
+   pass counts these: every uncounted phrase of any length none of whose counted parts is infrequent. That is the whole
+   closure of the failures at once, so nothing is left to fail after it; without failures there is no such pass. A phrase
+   is counted in one pass and there in full, so the counts are exact whatever the sample was.
 
 Proposals reach the workers as a bitmap of hashed phrases whose size is bounded (`max_bits`). A false hit in it, or a crowded
 map on a very large corpus, makes more phrases be counted, never fewer. Counts are summed in a batch, in a task and then in
@@ -24,21 +25,21 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, id_and_text, stored, table, text_chunks
+from .common import stored, table, text_chunks
 
 LEAST, LONGEST, TOP, COVER = 30, 4, 2000, 80
-#: Share of the documents that proposes. A phrase of 30 occurrences is then met six times on average, and twice is asked for.
-SAMPLE, LOWERED = 0.2, 2
+#: Share of the documents that proposes. A phrase of 30 occurrences is then met three times on average, and twice is asked for.
+SAMPLE, LOWERED = 0.1, 2
 #: Sixteen bits a proposal, up to 64 MB.
 MAX_BITS = 29
 _SEGMENT = 20
@@ -48,6 +49,8 @@ PART_BYTES = 8 << 20
 SALTS = 16
 
 _BREAK = b"."
+#: Ends the language in a key; words never hold it.
+_KEY = b"."
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 9)
 _CUT = re.compile(rb"[ \t.,;:!?\n\x0b\x0c\r]")
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
@@ -85,48 +88,62 @@ class _Tokens:
 
     def __init__(self, tokens: list[bytes], lang: str, carried: int = 0):
         ids = _Ids({_BREAK: 0})
-        self.ids = np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
+        self.ids = np.fromiter(map(ids.__getitem__, tokens), np.int32, len(tokens))
         self.words, self.carried, seed = list(ids), carried, xxhash.xxh32_intdigest(lang.encode())
         self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.words), np.uint64, len(ids))
 
-    def levels(self, filters: list, longest: int) -> Iterator[tuple]:
-        """For k = 1, 2, ...: k, a place of every distinct k-gram with its parts in a filter, its count, hash, and by filter whether its parts and it are in; and by filter where k-grams are in."""
-        ids, n_labels = self.ids, len(self.words)
-        counts = np.bincount(ids[self.carried :], minlength=n_labels)
-        _, first = np.unique(ids, return_index=True)
-        real = np.arange(n_labels) > 0
-        inside = [f.has(_mixed(self.hashes)) & real for f in filters]
-        held = [x[ids] for x in inside]
-        word = ids[first] > 0
-        first = first[word]
-        labels = ids[first]
-        yield 1, first, counts[labels], _mixed(self.hashes[labels]), [np.ones(len(first), bool)] * len(filters), [x[labels] for x in inside], held
-        label, rolled = ids, self.hashes[ids]
+    def levels(self, proposed, decided, longest: int) -> Iterator[tuple]:
+        """For k = 1, 2, ...: k, hashes of the k words at each place, and where a k-gram is countable, and where one may be frequent.
+
+        proposed: what was countable in the first pass follows from it. decided: None in the first pass; later the frequent
+        ones of those counted there. A phrase may be frequent if its parts may and it wasn't found to be otherwise.
+        """
+        real = np.arange(len(self.words)) > 0
+        hashes = self.hashes[self.ids]
+        word = proposed.has(_mixed(self.hashes)) & real
+        old = word[self.ids]
+        now = old if decided is None else (decided.has(_mixed(self.hashes)) & real)[self.ids]
+        yield 1, hashes, (self.ids > 0) if decided is None else np.zeros(len(self.ids), bool), now
         for k in range(2, longest + 1):
-            if len(ids) < k:
+            if len(self.ids) < k:
                 return
-            both = [x[:-1] & x[1:] for x in held]
-            at = np.flatnonzero(np.logical_or.reduce(both))
-            if not len(at):
-                return
-            distinct, first, inverse, counts = np.unique(label[at] * n_labels + label[at + 1], return_index=True, return_inverse=True, return_counts=True)
-            counts -= np.bincount(inverse[at + k <= self.carried], minlength=len(distinct))
-            place = at[first]
-            rolled = rolled[:-1] * _MUL + self.hashes[ids[k - 1 :]]
-            hashes = _mixed(rolled[place])
-            parts = [x[place] for x in both]
-            inside = [f.has(hashes) & p for f, p in zip(filters, parts, strict=True)]
-            label, held, n_labels = np.zeros(len(rolled), np.int64), [], len(distinct)
-            label[at] = inverse
-            for x in inside:
-                whole = np.zeros(len(rolled), bool)
-                whole[at] = x[inverse]
-                held.append(whole)
-            yield k, place, counts, hashes, parts, inside, held
-
-    def texts(self, place: np.ndarray, k: int) -> pa.Array:
+            hashes = hashes[:-1] * _MUL + self.hashes[self.ids[k - 1 :]]
+            counted = old[:-1] & old[1:]
+            if decided is None:
+                old = now = _where(counted, proposed, hashes)
+                yield k, hashes, counted, now
+                continue
+            parts = now[:-1] & now[1:]
+            old = _where(counted, proposed, hashes)
+            now = _where(parts & counted, decided, hashes) | (parts & ~counted)
+            yield k, hashes, parts & ~counted, now
+
+    def counts(self, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """A place of each distinct k-gram at the places, and how often it ends after the carried words."""
+        key, size, words = self.ids[places].astype(np.int64), len(self.words), len(self.words)
+        for j in range(1, k):
+            if size > 2**62 // words:
+                key, size = pd.factorize(key)[0], len(key)
+            key, size = key * words + self.ids[places + j], size * words
+        codes, distinct = pd.factorize(key)
+        first = np.empty(len(distinct), np.int64)
+        first[codes[::-1]] = places[::-1]
+        n = np.bincount(codes[places + k > self.carried] if self.carried else codes, minlength=len(distinct))
+        return first[n > 0], n[n > 0]
+
+    def texts(self, place: np.ndarray, k: int, lang: str) -> pa.Array:
+        """Language and words, joined into one key."""
         words = pa.array(self.words, pa.binary())
-        return pc.binary_join_element_wise(*(words.take(pa.array(self.ids[place + j])) for j in range(k)), b" ").cast(pa.string())
+        parts = [words.take(pa.array(self.ids[place + j])) for j in range(k)]
+        parts[0] = pc.binary_join_element_wise(lang.encode(), parts[0], _KEY)
+        return pc.binary_join_element_wise(*parts, b" ").cast(pa.string())
+
+
+def _where(mask: np.ndarray, chosen, hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(mask), bool)
+    at = np.flatnonzero(mask)
+    out[at] = chosen.has(_mixed(hashes[at]))
+    return out
 
 
 def _stretches(texts: list[bytes], lang: str, part_bytes: int, longest: int) -> Iterator[_Tokens]:
@@ -137,10 +154,14 @@ def _stretches(texts: list[bytes], lang: str, part_bytes: int, longest: int) ->
         cut = _CUT.search(joined, start + part_bytes) if len(joined) - start > part_bytes else None
         end = cut.start() if cut else len(joined)
         tokens = joined[start:end].translate(_TABLE).replace(_BREAK, b" " + _BREAK + b" ").split()
-        yield _Tokens(tail + tokens, lang, len(tail))
+        done, tail, carried = tail + tokens if tail else tokens, (tail + tokens)[1 - longest :] if cut and longest > 1 else [], len(tail)
+        del tokens
+        held = _Tokens(done, lang, carried)
+        del done
+        yield held
         if not cut:
             return
-        start, tail = end, (tail + tokens)[1 - longest :] if longest > 1 else []
+        start = end
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
@@ -157,42 +178,40 @@ def _docs(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame
     )
 
 
-def _count(docs: DataFrame, sent: list, first: int, longest: int, part_bytes: int) -> DataFrame:
-    """(lang, k, phrase, n) summed over docs: phrases of `first` words or more that the last filter makes countable and no earlier one did. k = 0: all words."""
-    held = [s.filter for s in sent]
+def _count(docs: DataFrame, proposed: _Sent, decided: _Sent | None, longest: int, part_bytes: int) -> DataFrame:
+    """(lang, k, phrase, n) summed over docs: phrases that the proposals make countable, or, with decided, those that its failures make countable beyond them. k = 0: all words."""
+    held = [x and x.filter for x in (proposed, decided)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = [x.value for x in held]
+        filters = [x and x.value for x in held]
         for batch in text_chunks(batches, part_bytes, 1 << 20):
             for lang, texts in _by_lang(batch):
                 for tokens in _stretches(texts, lang, part_bytes, longest):
-                    for k, place, counts, _, parts, _, _ in tokens.levels(filters, longest):
-                        if k == 1 and first == 1:
-                            total = int(counts.sum())
-                            yield pa.RecordBatch.from_pydict({"lang": [lang], "k": pa.array([0], pa.int32()), "phrase": [""], "n": [total]})
-                        if k < first:
-                            continue
-                        new = (parts[-1] & (counts > 0)) if k == 1 else parts[-1] & (counts > 0) & ~np.logical_or.reduce([*parts[:-1], np.zeros(len(place), bool)])
-                        if n := int(new.sum()):
-                            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * n), "k": pa.array(np.full(n, k, np.int32)), "phrase": tokens.texts(place[new], k), "n": pa.array(counts[new])})
+                    for k, _, countable, _ in tokens.levels(*filters, longest):
+                        place, n = tokens.counts(np.flatnonzero(countable), k)
+                        if len(n):
+                            yield pa.RecordBatch.from_pydict({"key": tokens.texts(place, k, lang), "n": pa.array(n)})
+                        if k == 1 and len(n):
+                            yield pa.RecordBatch.from_pydict({"key": [lang + _KEY.decode()], "n": [int(n.sum())]})
 
-    rows = docs.select("text", "lang").mapInArrow(run, "lang string, k int, phrase string, n bigint")
-    return rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    rows = docs.select("text", "lang").mapInArrow(run, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = rows.withColumn("phrase", F.substring_index("key", _KEY.decode(), -1))
+    lang = F.expr("left(key, length(key) - length(phrase) - 1)")
+    return rows.select(lang.alias("lang"), F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("k"), "phrase", "n")
 
 
-def _propose(sample: DataFrame, earlier: list, low: int, high: int, lowered: int, part_bytes: int) -> DataFrame:
-    """(h, k): hashed phrases of low to high words, with parts among the earlier proposals, that the sample has `lowered` times or more."""
-    held = [s.filter for s in earlier]
+def _propose(sample: DataFrame, earlier: _Sent | None, low: int, high: int, lowered: int, part_bytes: int) -> DataFrame:
+    """h: hashed phrases of low to high words, with parts among the earlier proposals, that the sample has `lowered` times or more."""
+    held = earlier and earlier.filter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = [x.value for x in held] or [_All()]
         for batch in text_chunks(batches, part_bytes, 1 << 20):
             for lang, texts in _by_lang(batch):
                 for tokens in _stretches(texts, lang, part_bytes, high):
-                    for k, _, counts, hashes, parts, _, _ in tokens.levels(filters, high):
-                        keep = parts[0] & (counts > 0)
-                        if k >= low and keep.any():
-                            yield pa.RecordBatch.from_pydict({"h": pa.array(hashes[keep].view(np.int64)), "n": pa.array(counts[keep])})
+                    for k, hashes, countable, _ in tokens.levels(held.value if held else _All(), None, high):
+                        if k >= low:
+                            place, n = tokens.counts(np.flatnonzero(countable), k)
+                            yield pa.RecordBatch.from_pydict({"h": pa.array(_mixed(hashes[place]).view(np.int64)), "n": pa.array(n)})
 
     rows = sample.select("text", "lang").mapInArrow(run, "h bigint, n bigint")
     return rows.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= lowered).select("h")
@@ -219,9 +238,9 @@ class _Sent:
         self.filter = hashes.sparkSession.sparkContext.broadcast(Filter(bitmap, log_bits))
 
 
-def _hashes(found: DataFrame, sent: _Sent) -> DataFrame:
-    """(h, known) of frequent phrases: their hash, and whether the filter makes phrases that contain them countable."""
-    held = sent.filter
+def _hashes(found: DataFrame, proposed: _Sent) -> DataFrame:
+    """(h, known) of frequent phrases: their hash, and whether the proposals made phrases that contain them countable."""
+    held = proposed.filter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,21 +248,15 @@ def _hashes(found: DataFrame, sent: _Sent) -> DataFrame:
             for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
                 groups.setdefault(lang, []).append(phrase.encode())
             for lang, phrases in groups.items():
-                tokens = _Tokens((b" " + _BREAK + b" ").join(phrases).split(), lang)
+                tokens = _Tokens((b" " + _BREAK + b" ").join(phrases).split(b" "), lang)
                 ends = np.append(np.flatnonzero(tokens.ids == 0), len(tokens.ids))
                 starts = np.append(0, ends[:-1] + 1)
-                rolled, known = tokens.hashes[tokens.ids], np.zeros(len(starts), bool)
-                hashes = np.zeros(len(starts), np.uint64)
-                length = ends - starts
-                inside = {k: ins for k, _, _, _, _, _, ins in tokens.levels([held.value], int(length.max()))}
-                for k in range(1, int(length.max()) + 1):
-                    if k > 1:
-                        rolled = rolled[:-1] * _MUL + tokens.hashes[tokens.ids[k - 1 :]]
+                length, out = ends - starts, np.zeros(len(starts), np.uint64)
+                known = np.zeros(len(starts), bool)
+                for k, hashes, _, now in tokens.levels(held.value, None, int(length.max())):
                     own = length == k
-                    hashes[own] = _mixed(rolled[starts[own]])
-                    if k in inside:
-                        known[own] = inside[k][0][starts[own]]
-                yield pa.RecordBatch.from_pydict({"h": pa.array(hashes.view(np.int64)), "known": pa.array(known)})
+                    out[own], known[own] = _mixed(hashes[starts[own]]), now[starts[own]]
+                yield pa.RecordBatch.from_pydict({"h": pa.array(out.view(np.int64)), "known": pa.array(known)})
 
     return found.select("lang", "phrase").mapInArrow(run, "h bigint, known boolean")
 
@@ -252,25 +265,19 @@ def frequent(df: DataFrame, least: int = LEAST, longest: int = LONGEST, sample:
     """(lang, k, phrase, n) of every phrase of 1 to `longest` words that occurs `least` times or more, k = 0 for all words of a language; and the number of full passes."""
     docs = _docs(df, id_col, text_col, lang_col)
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1000)) < round(1000 * sample))
-    short = stored(_propose(drawn, [], 1, min(2, longest), lowered, part_bytes), "proposals")
-    proposals = short
-    if longest > 2:
-        pairs = _Sent(short, max_bits)
-        proposals = short.unionByName(stored(_propose(drawn, [pairs], 3, longest, lowered, part_bytes), "proposals"))
-        pairs.filter.destroy()
-    sent, found, passes = [_Sent(proposals, max_bits)], None, 0
-    while True:
-        part = _count(docs, sent, 1 if not passes else 2, longest, part_bytes).where((F.col("n") >= least) | (F.col("k") == 0))
-        part = stored(part, "frequent")
-        found, passes = part if found is None else found.unionByName(part), passes + 1
-        hashed = stored(_hashes(found.where(F.col("k").between(1, longest - 1)), sent[-1]), "hashes")
-        if hashed.where(~F.col("known")).isEmpty():
-            break
-        for s in sent[:-1]:
-            s.filter.destroy()
-        proposals = proposals.unionByName(hashed.select("h")).distinct()
-        sent = [sent[-1], _Sent(proposals, max_bits)]
-    return found, passes
+    # the longest phrases need no proposal: nothing contains them
+    hashes = stored(_propose(drawn, None, 1, max(1, min(2, longest - 1)), lowered, part_bytes), "proposals")
+    for k in range(3, longest):
+        shorter = _Sent(hashes, max_bits)
+        hashes = hashes.unionByName(stored(_propose(drawn, shorter, k, k, lowered, part_bytes), "proposals"))
+        shorter.filter.destroy()
+    proposed = _Sent(hashes, max_bits)
+    often = (F.col("n") >= least) | (F.col("k") == 0)
+    found = stored(_count(docs, proposed, None, longest, part_bytes).where(often), "frequent")
+    decided = stored(_hashes(found.where(F.col("k").between(1, longest - 1)), proposed), "hashes")
+    if longest == 1 or decided.where(~F.col("known")).isEmpty():
+        return found, 1
+    return found.unionByName(stored(_count(docs, proposed, _Sent(decided.select("h"), max_bits), longest, part_bytes).where(often), "frequent")), 2
 
 
 def _decimal(c: str | Column) -> Column:
