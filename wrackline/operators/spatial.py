@@ -3,8 +3,8 @@
 Distances are found in tiles of strips of rows: a tile gets its own pixels, of each column the nearest background above and
 below it, and from other tiles of its strip the background that is nearest somewhere in it, so a task is bounded both ways
 and nothing is spread over a radius. Buffers are distances up to a limit.
-Connected components label tiles in bounded tasks and join labels across tile edges. Polygons meet pixels and cells row by
-row, where their edges cross, in equi joins; rings are put in order by pointer doubling.
+Connected components label tiles in bounded tasks and join labels across tile edges. Polygons meet pixels and cells in
+stretches of rows, where their edges cross, in equi joins; rings are put in order by pointer doubling.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wrackline.operators.places import numbered
 from wrackline.sources.scratch import drop_stored, stored
 
-TILE, STRIP, WIDE = 512, 64, 4096
+TILE, STRIP, WIDE, BAND = 512, 64, 4096, 1024
 _FAR = 1 << 40
 
 
@@ -261,10 +262,12 @@ def water_pole(reference_map: DataFrame, transform: tuple) -> DataFrame:
 
 
 def _edges(vertices: DataFrame) -> DataFrame:
-    """Directed edges (x1, y1, x2, y2) of rings given by vertex_no, vx, vy."""
-    ring = vertices.agg(F.array_sort(F.collect_list(F.struct("vertex_no", "vx", "vy"))).alias("r")).select("r", F.posexplode("r").alias("i", "v"))
-    nxt = F.element_at("r", F.when(F.col("i") + 1 == F.size("r"), 1).otherwise(F.col("i") + 2))
-    return ring.select(F.col("v.vx").cast("double").alias("x1"), F.col("v.vy").cast("double").alias("y1"), nxt["vx"].cast("double").alias("x2"), nxt["vy"].cast("double").alias("y2"))
+    """Directed edges (x1, y1, x2, y2) of a ring given by vertex_no, vx, vy: every vertex meets its successor by number, the last one the first."""
+    v = numbered(vertices.select("vertex_no", F.col("vx").cast("double").alias("vx"), F.col("vy").cast("double").alias("vy")), "vertex_no", "vx", "vy")
+    last = v.agg(F.max("place")).scalar()
+    ahead = F.when(F.col("place") == last, F.lit(0)).otherwise(F.col("place") + 1)
+    ends = v.select(F.col("place").alias("ahead"), F.col("vx").alias("x2"), F.col("vy").alias("y2"))
+    return v.select(F.col("vx").alias("x1"), F.col("vy").alias("y1"), ahead.alias("ahead")).join(ends, "ahead").drop("ahead")
 
 
 def polygon_centroid(vertices: DataFrame) -> DataFrame:
@@ -294,24 +297,43 @@ def extent_pad(vertices: DataFrame, pad: float = 0.05) -> DataFrame:
 
 
 def _crossings(edges: DataFrame, origin: Column, step: Column) -> DataFrame:
-    """line, cuts: where the edges cross the horizontal lines y = origin + line * step."""
+    """line, cut: where the edges cross the horizontal lines y = origin + line * step. Long edges are listed in stretches of lines."""
     line = lambda f: F.floor((f("y1", "y2") - origin) / step).cast("int")
-    rows = edges.where("y1 <> y2").select("*", F.explode(F.sequence(line(F.least), line(F.greatest) + 1)).alias("line"))
+    rows = edges.where("y1 <> y2").withColumns({"low": line(F.least), "high": line(F.greatest) + 1})
+    rows = rows.withColumn("band", F.explode(F.sequence("low", "high", F.lit(BAND))))
+    rows = rows.withColumn("line", F.explode(F.sequence("band", F.least(F.col("band") + BAND - 1, F.col("high")))))
     y = origin + F.col("line") * step
     cut = F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    return rows.where((F.col("y1") > y) != (F.col("y2") > y)).groupBy("line").agg(F.collect_list(cut).alias("cuts"))
+    return rows.where((F.col("y1") > y) != (F.col("y2") > y)).select("line", cut.alias("cut"))
 
 
-def _odd(cuts: Column, x: Column) -> Column:
-    """Even-odd rule: whether an odd number of cuts lies beyond x."""
-    return F.coalesce(F.size(F.filter(cuts, lambda c: x < c)) % 2 == 1, F.lit(False))
+def _inner(cuts: DataFrame, last_before: Column) -> DataFrame:
+    """line, stretch, marks, odd: the even-odd rule for places 0, 1, 2, ... of each line, in stretches of BAND places.
+
+    last_before: of a cut, the last place before it. Cuts between the same places cancel in pairs, so a stretch has one
+    mark a place at most. A place is inside if the marks at or after it in its stretch and those beyond it (odd) are odd in number.
+    """
+    marks = cuts.select("line", last_before.cast("bigint").alias("m")).groupBy("line", "m").agg(F.count("*").alias("n")).where("n % 2 = 1")
+    rows = marks.groupBy("line", F.floor(F.col("m") / BAND).alias("stretch")).agg(F.collect_list("m").alias("marks"))
+    w = Window.partitionBy("line").orderBy("stretch")  # a row a stretch
+    beyond = F.coalesce(F.sum(F.size("marks")).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)) % 2 == 1
+    rows = rows.select("line", "stretch", "marks", beyond.alias("odd"), F.lag("stretch").over(w).alias("before"))
+    # stretches without a mark are inside or outside as a whole; only the former are listed
+    between = rows.where(F.col("odd") != (F.size("marks") % 2 == 1)).where(F.coalesce(F.col("stretch") - F.col("before"), F.lit(2)) > 1)
+    between = between.select("line", F.explode(F.sequence(F.coalesce(F.col("before") + 1, F.least(F.lit(0), F.col("stretch") - 1)), F.col("stretch") - 1)).alias("stretch"), F.array().cast("array<bigint>").alias("marks"), F.lit(True).alias("odd"))
+    return rows.drop("before").unionByName(between)
+
+
+def _is_inside(place: Column, marks: Column, odd: Column) -> Column:
+    return F.coalesce((F.size(F.filter(marks, lambda m: m >= place)) % 2 == 1) != odd, F.lit(False))
 
 
 def aoi_mask(pixels: DataFrame, vertices: DataFrame) -> DataFrame:
     """in_aoi: whether the pixel's centre lies in the polygon (in pixel units), by the edges that cross its row."""
-    lines = _crossings(_edges(vertices), F.lit(0.5), F.lit(1.0)).withColumnRenamed("line", "aoi_line")
-    found = pixels.join(lines, pixels["y"] == F.col("aoi_line"), "left")
-    return found.withColumn("in_aoi", _odd(F.col("cuts"), F.col("x") + 0.5)).drop("aoi_line", "cuts")
+    lines = _inner(_crossings(_edges(vertices), F.lit(0.5), F.lit(1.0)), F.ceil(F.col("cut") - 0.5) - 1)
+    lines = lines.select(F.col("line").alias("aoi_line"), F.col("stretch").alias("aoi_stretch"), F.col("marks").alias("aoi_marks"), F.col("odd").alias("aoi_odd"))
+    found = pixels.join(lines, (pixels["y"] == F.col("aoi_line")) & (F.floor(pixels["x"] / BAND) == F.col("aoi_stretch")), "left")
+    return found.withColumn("in_aoi", _is_inside(F.col("x"), F.col("aoi_marks"), F.col("aoi_odd"))).drop("aoi_line", "aoi_stretch", "aoi_marks", "aoi_odd")
 
 
 def bbox_filter(points: DataFrame, bbox: tuple, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -338,10 +360,20 @@ def make_grid(vertices: DataFrame, size: float) -> DataFrame:
     cells = square(cells).select("i", "j", "x0", "y0", "x1", "y1")
 
     edges = _edges(vertices).withColumns({"west": west, "south": south, "last_i": last_i, "last_j": last_j})
-    lines = _crossings(edges, F.col("south"), F.lit(float(size)))
-    low, high = lines.select(F.col("line").alias("j"), F.col("cuts").alias("low")), lines.select((F.col("line") - 1).alias("j"), F.col("cuts").alias("high"))
-    cornered = cells.join(low, "j", "left").join(high, "j", "left")
-    corner = _odd(F.col("low"), F.col("x0")) | _odd(F.col("low"), F.col("x1")) | _odd(F.col("high"), F.col("x0")) | _odd(F.col("high"), F.col("x1"))
+    cuts = _crossings(edges, F.col("south"), F.lit(float(size))).withColumn("west", west)
+    near = F.ceil((F.col("cut") - F.col("west")) / size) - 1
+    ahead = lambda i: F.col("west") + i * size < F.col("cut")
+    lines = _inner(cuts, F.when(ahead(near + 1), near + 1).when(ahead(near), near).otherwise(near - 1))
+    # a corner i of line j belongs to the cells (i, j), (i - 1, j), (i, j - 1) and (i - 1, j - 1); the last corner of a stretch is the first cell's of the next
+    side = lambda name, up: lines.select((F.col("line") - up).alias("j"), F.col("stretch").alias("stretch"), F.struct("marks", "odd").alias(name))
+    cornered = cells.withColumn("stretch", F.floor(F.col("i") / BAND))
+    cornered = cornered.join(side("low", 0), ["j", "stretch"], "left").join(side("high", 1), ["j", "stretch"], "left")
+    over = lambda name: F.when(F.col("i") % BAND < BAND - 1, _is_inside(F.col("i") + 1, F.col(f"{name}.marks"), F.col(f"{name}.odd")))
+    corner = F.lit(False)
+    for name in ("low", "high"):
+        corner = corner | _is_inside(F.col("i"), F.col(f"{name}.marks"), F.col(f"{name}.odd")) | F.coalesce(over(name), F.lit(False))
+    edge_corner = lines.where(_is_inside(F.col("stretch") * BAND, F.col("marks"), F.col("odd"))).select((F.col("stretch") * BAND - 1).cast("int").alias("i"), "line")
+    edge_corner = edge_corner.select("i", F.explode(F.array(F.col("line"), F.col("line") - 1)).alias("j"))
 
     e = edges.select(*[F.col(c).alias(f"e{c}") for c in ("x1", "y1", "x2", "y2")], "west", "south", "last_i", "last_j")
     place = lambda v, origin: F.floor((v - F.col(origin)) / size).cast("int")
@@ -356,8 +388,8 @@ def make_grid(vertices: DataFrame, size: float) -> DataFrame:
     held = F.col("ex1").between(F.col("x0"), F.col("x1")) & F.col("ey1").between(F.col("y0"), F.col("y1"))
     dx, dy = F.col("ex2") - F.col("ex1"), F.col("ey2") - F.col("ey1")
     sides = [F.signum(dx * (F.col(y) - F.col("ey1")) - dy * (F.col(x) - F.col("ex1"))) for x in ("x0", "x1") for y in ("y0", "y1")]
-    over = (F.least("ex1", "ex2") <= F.col("x1")) & (F.greatest("ex1", "ex2") >= F.col("x0")) & (F.least("ey1", "ey2") <= F.col("y1")) & (F.greatest("ey1", "ey2") >= F.col("y0"))
-    met = e.where(held | ((F.least(*sides) <= 0) & (F.greatest(*sides) >= 0) & over)).select("i", "j", F.lit(True).alias("met")).distinct()
+    across = (F.least("ex1", "ex2") <= F.col("x1")) & (F.greatest("ex1", "ex2") >= F.col("x0")) & (F.least("ey1", "ey2") <= F.col("y1")) & (F.greatest("ey1", "ey2") >= F.col("y0"))
+    met = e.where(held | ((F.least(*sides) <= 0) & (F.greatest(*sides) >= 0) & across)).select("i", "j").unionByName(edge_corner).distinct().withColumn("met", F.lit(True))
     return cornered.join(met, ["i", "j"], "left").where(corner | F.col("met")).select("i", "j", "x0", "y0", "x1", "y1")
 
 
@@ -374,11 +406,9 @@ def outline_edges(pixels: DataFrame) -> DataFrame:
 def _tile_labels(pdf: pd.DataFrame) -> pd.DataFrame:
     y, x = pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64)
     y0, x0 = y.min(), x.min()
-    grid = np.full((y.max() - y0 + 2, x.max() - x0 + 2), -1, np.int64)
-    ident = pdf["id"].to_numpy(np.int64)
-    grid[y - y0, x - x0] = ident
     big = np.iinfo(np.int64).max
-    label = np.where(grid < 0, big, grid)
+    label = np.full((y.max() - y0 + 2, x.max() - x0 + 2), big)
+    label[y - y0, x - x0] = pdf["id"].to_numpy(np.int64)
     while True:  # sweep each row and column run to its least label
         old = label.copy()
         for axis in (0, 1):
@@ -390,37 +420,51 @@ def _tile_labels(pdf: pd.DataFrame) -> pd.DataFrame:
                     a[i] = np.where(held, np.minimum(a[i], a[i - 1]), a[i])
         if (old == label).all():
             break
-    return pdf[["y", "x", "id"]].assign(label=label[y - y0, x - x0])
+    return pdf[["ty", "tx", "y", "x"]].assign(label=label[y - y0, x - x0])
+
+
+#: Labels of one part, which may reach over very many tiles, meet what is known of it under so many keys.
+SALTS = 64
+
+
+def _met(rows: DataFrame, known: DataFrame, key: str, by: str) -> DataFrame:
+    """rows left-joined with known (one row a key) on key. A key that many rows share is looked up once for each of SALTS shares of them."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    return rows.join(rows.select(key, "salt").distinct().join(known, key), [key, "salt"], "left").drop("salt")
 
 
 def connected_components(pixels: DataFrame, width: int, tile: int = TILE, store=stored) -> DataFrame:
     """4-connected parts of a pixel set: component (the least id, y * width + x, of its pixels) and size.
 
     Tiles are labelled in bounded tasks; labels that touch across tile edges are joined by least-label steps until
-    nothing changes. store: cuts the lineage between steps; by default it writes a table to the shared folder.
+    nothing changes. Only edge pixels take part in that. Sizes are summed over labels, each counted in its tile, and
+    pixels learn part and size of their label within their tile. store: cuts the lineage between steps; by default it
+    writes a table to the shared folder.
     """
-    rows = pixels.select("y", "x", (F.col("y").cast("bigint") * width + F.col("x")).alias("id"), F.expr(f"y div {tile}").alias("ty"), F.expr(f"x div {tile}").alias("tx"))
-    local = store(rows.groupBy("ty", "tx").applyInPandas(_tile_labels, "y int, x int, id bigint, label bigint"))
-    edge = local.where((F.col("y") % tile == 0) | (F.col("x") % tile == 0)).select("y", "x", F.col("label").alias("a"))
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((-1, 0), (0, -1))])
-    near = edge.select("a", "y", "x", F.inline(steps)).select("a", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
-    links = near.join(local.select("y", "x", F.col("label").alias("b")), ["y", "x"]).where("a <> b").select("a", "b").distinct()
+    cell = lambda c: F.floor(F.col(c) / tile).cast("int")
+    rows = pixels.select("y", "x", (F.col("y").cast("bigint") * width + F.col("x")).alias("id"), cell("y").alias("ty"), cell("x").alias("tx"))
+    local = store(rows.groupBy("ty", "tx").applyInPandas(_tile_labels, "ty int, tx int, y int, x int, label bigint"))
+    labels = store(local.groupBy("ty", "tx", "label").agg(F.count("*").alias("n")))
+    at = lambda c, place: F.pmod(F.col(c), F.lit(tile)) == place
+    before = local.where(at("y", 0)).select(F.col("label").alias("a"), F.col("y") - 1, "x").toDF("a", "y", "x").unionByName(local.where(at("x", 0)).select(F.col("label").alias("a"), "y", F.col("x") - 1).toDF("a", "y", "x"))
+    links = before.join(local.where(at("y", tile - 1) | at("x", tile - 1)).select("y", "x", F.col("label").alias("b")), ["y", "x"]).select("a", "b").distinct()
     links = store(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     root = store(links.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
     while True:
         low = links.join(root.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("low"))
-        step = root.join(low, F.col("node") == F.col("a"), "left").select("node", F.least("root", F.coalesce("low", "root")).alias("root"))
-        hop = step.alias("s").join(step.select(F.col("node").alias("n2"), F.col("root").alias("r2")), F.col("s.root") == F.col("n2"), "left")
-        then = store(hop.select("node", F.least("root", F.coalesce("r2", "root")).alias("root")))
-        settled = then.join(root.select("node", F.col("root").alias("was")), "node").where("root <> was").isEmpty()
+        step = store(root.join(low, F.col("node") == F.col("a"), "left").select("node", "root", F.least("root", F.coalesce("low", "root")).alias("lower")))
+        hop = _met(step, step.select(F.col("node").alias("lower"), F.col("lower").alias("after")), "lower", "node")
+        then = store(hop.select("node", F.col("root").alias("was"), F.least("lower", F.coalesce("after", "lower")).alias("root")))
+        settled = then.where("root <> was").isEmpty()
         if store is stored:
             drop_stored(root)
-        root = then
+            drop_stored(step)
+        root = then.select("node", "root")
         if settled:
             break
-    named = local.join(root, F.col("label") == F.col("node"), "left").select("y", "x", F.coalesce("root", "label").alias("component"))
-    sizes = named.groupBy("component").agg(F.count("*").alias("size"))
-    return named.join(sizes, "component").select("y", "x", "component", "size")
+    parts = labels.join(root.withColumnRenamed("node", "label"), "label", "left").select("ty", "tx", "label", "n", F.coalesce("root", "label").alias("component"))
+    sizes = parts.groupBy("component").agg(F.sum("n").alias("size"))
+    return local.join(_met(parts.drop("n"), sizes, "component", "label"), ["ty", "tx", "label"]).select("y", "x", "component", "size")
 
 
 def despeckle(freq: DataFrame, width: int, min_size: int = 6) -> DataFrame:
