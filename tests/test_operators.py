@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wrackline.functions.expressions import dms_parts, histogram_bin, iso_date
-from wrackline.operators import bands, dataset, metrics, quality, refmap, spatial, tides
+from wrackline.operators import bands, dataset, metrics, quality, quantiles, refmap, spatial, tides
 from wrackline.sources import readers
 
 D1, D2 = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
@@ -292,6 +292,58 @@ def test_tiles_and_scene_sink(spark, tmp_path):
         readers.write_scenes(scl.drop("x"), path)
 
 
+def test_scene_files_cover_compact_areas(spark, tmp_path):
+    """A scene is several bounded files, few of which a box touches; negative places too."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = spark.range(1024 * 1024).select(F.lit(D1).alias("scene_date"), (F.col("id") / 1024 - 512).cast("int").alias("y"), (F.col("id") % 1024).cast("int").alias("x"), F.lit(6).alias("scl"))
+    path = str(tmp_path / "z")
+    readers.write_scenes(rows, path, 20_000)
+    files = [pq.read_table(f, columns=["y", "x"]).to_pandas() for f in glob.glob(f"{path}/*/*.parquet")]
+    touched = sum(((f.y.min() < 150) & (f.y.max() >= 100) & (f.x.min() < 250) & (f.x.max() >= 200)) for f in files)
+    assert len(files) > 50 and max(map(len, files)) <= 20_000 and touched <= 8
+    assert spark.read.parquet(path).where("y >= 100 AND y < 150 AND x >= 200 AND x < 250").count() == 2500
+
+
+def test_selected_quantiles(spark):
+    """Ranks within bins, ties, negative values, zeros, tiny and huge ones, one value, none."""
+    r = np.random.default_rng(3)
+    groups = {"a": r.normal(0, 1, 999), "b": np.round(r.uniform(0, 30, 500)), "c": 10 ** r.uniform(-300, 300, 77) * r.choice([-1, 1], 77), "d": [5.0], "e": [0.0] * 9 + [1.0], None: [1.0, 2.0]}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("f", None), ("a", None)]
+    shares = {"lo": 0.02, "mid": 0.5, "hi": 0.98, "top": 1.0, "low": 0.0}
+    got = {x.g: x for x in quantiles.selected(spark.createDataFrame(rows, "g string, v double").repartition(3), ["g"], "v", shares).collect()}
+    assert got.keys() == groups.keys()
+    for g, vs in groups.items():
+        assert all(math.isclose(got[g][n], np.quantile(vs, p), rel_tol=1e-12, abs_tol=1e-300) for n, p in shares.items())
+
+
+def test_windows_count_samples_once(spark):
+    """Metrics of nested windows from slices equal those of each window's own samples; keys may hold any sign."""
+    r = np.random.default_rng(5)
+    rows = [(m, dt.date(2024, 1, 1) + dt.timedelta(days=int(k)), float(h)) for m in ("a|b", "c") for k, h in zip(r.integers(0, 60, 150), np.round(r.normal(0, 1, 150), 1), strict=True)]
+    starts = [("all|days", dt.date(2023, 1, 1)), ("w_b", dt.date(2024, 1, 20)), ("same", dt.date(2024, 1, 20)), ("last", dt.date(2024, 2, 25)), ("never", dt.date(2025, 1, 1))]
+    samples = spark.createDataFrame(rows, "model string, scene_date date, height_m double")
+    got = metrics.window_metrics(samples, samples, spark.createDataFrame(starts, "window string, start date"))
+    got = {(x.window, x.model): x for x in got.collect()}
+    assert len(got) == 8 and ("All|days", "a|b") in got
+    for w, s in starts[:4]:
+        one = metrics.full_metrics(samples.where(F.col("scene_date") >= F.lit(s)), samples, on="model")
+        for x in one.collect():
+            other = got[w.replace("_", " ").title() if w != "all|days" else "All|days", x.model]
+            for family in ("cobertura", "uniformidad_ks", "entropia", "dispersion", "gaps", "vsr", "representatividad"):
+                a, b = x[family].asDict(True), other[family].asDict(True)
+                assert str(a) == str(b) or all(a[k] == b[k] or math.isclose(a[k], b[k], rel_tol=1e-9) for k in a)
+
+
+@pytest.mark.parametrize("n", [401, 700, 2000])
+def test_ks_expansion_against_the_exact_method(n):
+    for z in np.linspace(0.3, 1.9, 17):
+        d = z / math.sqrt(n)
+        assert abs(metrics.ks_pvalue(d, n) - metrics._matrix_pvalue(d, n)) < 1e-6
+
+
 def test_stretches(spark):
     rows = spark.createDataFrame([(D1, 0, x, float(x), None if x == 3 else 5.0, float(x % 2)) for x in range(11)], "scene_date date, y int, x int, b04 double, b03 double, b02 double")
     a = grid(bands.stretch_bands(rows), "b04", 1, 11)[0].astype(float)

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from wrackline.functions.constants import BAD, SCL_LEGEND
 
-from .quantiles import levels, quantile, with_total
+from .quantiles import selected
 
 BANDS = ("b04", "b03", "b02")
-#: Buckets of a scene's distinct values, of which whole-numbered reflectances have some ten thousand.
-BUCKETS = 8
 
 
 def _stretched(v: Column, lo: Column, hi: Column) -> Column:
@@ -20,15 +18,14 @@ def _stretched(v: Column, lo: Column, hi: Column) -> Column:
 
 def _ends(values: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
     """keys, lo, hi: two exact percentiles of v in each group."""
-    rows = with_total(levels(values, keys, "v", BUCKETS), keys)
-    return rows.groupBy(*keys).agg(quantile(low / 100, F.col("total")).alias("lo"), quantile(high / 100, F.col("total")).alias("hi"))
+    return selected(values, keys, "v", {"lo": low / 100, "hi": high / 100})
 
 
 def stretch_bands(rgb: DataFrame, low: float = 2, high: float = 98) -> DataFrame:
     """Each band of each scene stretched between two percentiles of its values above 0, clipped to [0, 1].
 
-    Without such values, or with equal ends, a band is 0; so is a missing value. Percentiles are exact: values are counted,
-    ranked in buckets, and only the wanted ranks are picked.
+    Without such values, or with equal ends, a band is 0; so is a missing value. Percentiles are exact: a histogram finds
+    the bins that hold the wanted ranks, and only values in these are ranked.
     """
     long = rgb.select("scene_date", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("v")) for b in BANDS])).alias("p")).select("scene_date", "p.*")
     ends = _ends(long.where("v > 0"), ["scene_date", "band"], low, high)

@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,11 @@ from wrackline.sources.scratch import stored
 from .quantiles import levels, quantile, with_total
 
 
+def _rows(times: str | None) -> Column:
+    """The number of samples in a group: an aggregate."""
+    return F.sum(times).cast("bigint") if times else F.count("*")
+
+
 def _worded(value: Column, texts: list[tuple], fits) -> Column:
     """The text of the first bound that fits(value, bound), the last one if none does."""
     out = F.lit(texts[-1][1])
@@ -70,9 +75,35 @@ def range_coverage(samples: DataFrame, reference: DataFrame, g: str = "model", v
     return rows.withColumns({"cobertura": c, "cobertura_pct": c * 100}).drop(*({on} - {g}))
 
 
+def _pelz_good(d: float, n: int) -> float:
+    """P(D < d) by the expansion of Pelz and Good (1976) in powers of 1/sqrt(n), up to the third."""
+    z = d * math.sqrt(n)
+    if z < 0.1:
+        return 0.0
+    z2, z4, z6, z8 = z**2, z**4, z**6, z**8
+    sums = [0.0] * 6
+    for k in range(-20, 21):
+        h = (math.pi * (k + 0.5)) ** 2
+        e = math.exp(-h / (2 * z2))
+        sums[0] += e
+        sums[1] += (h - z2) * e
+        sums[2] += (6 * z6 + 2 * z4 + h * (2 * z4 - 5 * z2) + h**2 * (1 - 2 * z2)) * e
+        sums[3] += (h**3 * (5 - 30 * z2) + h**2 * (-60 * z2 + 212 * z4) + h * (135 * z4 - 96 * z6) - (30 * z6 + 90 * z8)) * e
+        w = (math.pi * k) ** 2
+        e = math.exp(-w / (2 * z2))
+        sums[4] += w * e
+        sums[5] += (3 * w * z2 - w**2) * e
+    half = math.sqrt(math.pi / 2)
+    first = math.sqrt(2 * math.pi) / z * sums[0] / 2  # each term occurs for k and -k - 1
+    second = half / (6 * z4) * sums[1]
+    third = half * (sums[2] / (72 * z**7) - sums[4] / (36 * z**3))
+    fourth = half * (sums[3] / (6480 * z**10) + sums[5] / (108 * z6))
+    return first + second / math.sqrt(n) + third / n + fourth / n**1.5
+
+
 def ks_pvalue(d: float, n: int) -> float:
     """P(D >= d) of the one-sample Kolmogorov-Smirnov statistic: the exact matrix power (Marsaglia, Tsang, Wang 2003) for
-    n up to 400, the asymptotic series beyond."""
+    n up to 400, the expansion of Pelz and Good (1976) beyond, right to 1e-6 there."""
     if d <= 0:
         return 1.0
     if d >= 1:
@@ -80,9 +111,10 @@ def ks_pvalue(d: float, n: int) -> float:
     s = n * d * d
     if s > 7.24 or (s > 3.76 and n > 99):  # the same authors' form for the far tail, right to 7 digits
         return 2 * math.exp(-(2.000071 + 0.331 / math.sqrt(n) + 1.409 / n) * s)
-    if n > 400:
-        t = d * (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) if n < 3000 else d * math.sqrt(n)
-        return float(min(1.0, max(0.0, 2 * sum((-1) ** (i - 1) * math.exp(-2 * i * i * t * t) for i in range(1, 101)))))
+    return float(min(1.0, max(0.0, 1 - _pelz_good(d, n)))) if n > 400 else _matrix_pvalue(d, n)
+
+
+def _matrix_pvalue(d: float, n: int) -> float:
     k = int(n * d) + 1
     m, h = 2 * k - 1, k - n * d
     i, j = np.indices((m, m))
@@ -117,13 +149,13 @@ def _ks_pvalues(d: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else ks_pvalue(float(a), int(b)) for a, b in zip(d, n, strict=True)], dtype="float64")
 
 
-def uniformity_ks(samples: DataFrame, reference: DataFrame | None = None, g: str = "model", value: str = "height_m", on: str | None = None, ranked: DataFrame | None = None) -> DataFrame:
+def uniformity_ks(samples: DataFrame, reference: DataFrame | None = None, g: str = "model", value: str = "height_m", on: str | None = None, ranked: DataFrame | None = None, times: str | None = None) -> DataFrame:
     """Kolmogorov-Smirnov distance from the uniform distribution on the reference's range (or the samples' own), its p-value and what that means. A range of zero gives NULL."""
     on = on or g
-    sizes = samples.where(F.col(value).isNotNull()).groupBy(*{g: 0, on: 0}).agg(F.count("*").alias("total"), F.min(value).alias("low"), F.max(value).alias("high"))
+    sizes = samples.where(F.col(value).isNotNull()).groupBy(*{g: 0, on: 0}).agg(_rows(times).alias("total"), F.min(value).alias("low"), F.max(value).alias("high"))
     if reference is not None:
         sizes = sizes.drop("low", "high").join(_range(reference, on, value).select(on, F.col("lo").alias("low"), F.col("hi").alias("high")), on)
-    rows = (ranked or levels(samples, [g], value)).join(sizes.drop(*({on} - {g})), g)
+    rows = (ranked or levels(samples, [g], value, times=times)).join(sizes.drop(*({on} - {g})), g)
     u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low"))))
     u = F.when(F.col("high") > F.col("low"), u)
     d = F.max(F.greatest((F.col("before") + F.col("n")) / F.col("total") - u, u - F.col("before") / F.col("total")))
@@ -133,17 +165,17 @@ def uniformity_ks(samples: DataFrame, reference: DataFrame | None = None, g: str
     return out.withColumn("ks_pvalue", _ks_pvalues("ks_statistic", "n")).withColumns({"uniforme": p > 0.05, "interpretacion": text})
 
 
-def _binned(samples: DataFrame, reference: DataFrame | None, g: str, value: str, bins: int, on: str) -> DataFrame:
+def _binned(samples: DataFrame, reference: DataFrame | None, g: str, value: str, bins: int, on: str, times: str | None) -> DataFrame:
     """g, bin, n: samples in each bin that has one."""
-    rows = samples.where(F.col(value).isNotNull()).select(*{g: 0, on: 0}, F.col(value).alias("v"))
+    rows = samples.where(F.col(value).isNotNull()).select(*{g: 0, on: 0}, F.col(value).alias("v"), (F.col(times) if times else F.lit(1)).alias("times"))
     ends = _range(reference, on, value) if reference is not None else samples.groupBy(on).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    rows = rows.join(ends, on).select(g, histogram_bin(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"))
-    return rows.groupBy(g, "bin").agg(F.count("*").alias("n"))
+    rows = rows.join(ends, on).select(g, histogram_bin(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"), "times")
+    return rows.groupBy(g, "bin").agg(F.sum("times").cast("bigint").alias("n"))
 
 
-def shannon_entropy(samples: DataFrame, reference: DataFrame | None = None, g: str = "model", value: str = "height_m", bins: int = 20, on: str | None = None) -> DataFrame:
+def shannon_entropy(samples: DataFrame, reference: DataFrame | None = None, g: str = "model", value: str = "height_m", bins: int = 20, on: str | None = None, times: str | None = None) -> DataFrame:
     """Entropy (bits) of the histogram on the reference's range. Values outside it are dropped before normalising."""
-    counts = _binned(samples, reference, g, value, bins, on or g)
+    counts = _binned(samples, reference, g, value, bins, on or g, times)
     inside = F.col("bin").isNotNull()
     totals = counts.groupBy(g).agg(F.sum(F.when(inside, F.col("n")).otherwise(0)).alias("total"), F.count_if(inside).alias("n_bins_ocupados"), F.sum(F.when(inside, F.col("n") * F.log2("n"))).alias("nlogn"))
     h = F.when(F.col("total") > 0, F.log2(F.col("total").cast("double")) - F.col("nlogn") / F.col("total")).otherwise(0.0)
@@ -201,9 +233,9 @@ def vertical_sampling(samples: DataFrame, g: str = "model", value: str = "height
     return found.select(g, "vsr", "vsr_mediana", "vsr_min", "vsr_max", F.col("vsr_max").alias("max_gap"), "max_gap_ubicacion", F.coalesce("levels", F.lit(1)).cast("bigint").alias("n_niveles"), text.alias("calidad_vsr"))
 
 
-def representativeness(samples: DataFrame, reference: DataFrame, g: str = "model", value: str = "height_m", n: int = 10, on: str | None = None) -> DataFrame:
+def representativeness(samples: DataFrame, reference: DataFrame, g: str = "model", value: str = "height_m", n: int = 10, on: str | None = None, times: str | None = None) -> DataFrame:
     """Share of n equal-width bins of the reference's range that hold a sample, the empty ones, and the counts of all."""
-    counts = _binned(samples, reference, g, value, n, on or g)
+    counts = _binned(samples, reference, g, value, n, on or g, times)
     held = counts.groupBy(g).agg(F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n")))).alias("m"))
     spread = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint")))
     rows = held.select(g, spread.alias("distribucion_muestras"))
@@ -213,18 +245,22 @@ def representativeness(samples: DataFrame, reference: DataFrame, g: str = "model
     return rows.select(g, r.alias("representatividad"), (r * 100).alias("representatividad_pct"), "quantiles_cubiertos", F.lit(n).alias("quantiles_totales"), "quantiles_vacios", "distribucion_muestras")
 
 
-def full_metrics(samples: DataFrame, reference: DataFrame, g: str = "model", value: str = "height_m", bins: int = 20, on: str | None = None) -> DataFrame:
-    """The seven families as one struct column each; uniformity and entropy on the reference's range. Heights and their ranks are stored once for all of them."""
-    samples = stored(samples.select(*{g: 0, on or g: 0, value: 0}), "samples")
-    ranked = stored(levels(samples, [g], value), "levels")
+def full_metrics(samples: DataFrame, reference: DataFrame, g: str = "model", value: str = "height_m", bins: int = 20, on: str | None = None, times: str | None = None) -> DataFrame:
+    """The seven families as one struct column each; uniformity and entropy on the reference's range.
+
+    Samples become counted values first, and these and their ranks are stored once for all families. times: a column
+    that says how many samples a row stands for.
+    """
+    samples = stored(samples.groupBy(*{g: 0, on or g: 0, value: 0}).agg(_rows(times).alias("times")), "samples")
+    ranked = stored(levels(samples, [g], value, times="times"), "levels")
     families = {
         "cobertura": range_coverage(samples, reference, g, value, on),
-        "uniformidad_ks": uniformity_ks(samples, reference, g, value, on, ranked),
-        "entropia": shannon_entropy(samples, reference, g, value, bins, on),
+        "uniformidad_ks": uniformity_ks(samples, reference, g, value, on, ranked, "times"),
+        "entropia": shannon_entropy(samples, reference, g, value, bins, on, "times"),
         "dispersion": dispersion_vmr(samples, g, value, ranked),
         "gaps": gap_statistics(samples, g, value, ranked),
         "vsr": vertical_sampling(samples, g, value, ranked),
-        "representatividad": representativeness(samples, reference, g, value, 10, on),
+        "representatividad": representativeness(samples, reference, g, value, 10, on, "times"),
     }
     out = None
     for name, df in families.items():
@@ -269,8 +305,8 @@ def distribution_verdict(metrics: DataFrame, coverage: float = 0.85, entropy: fl
     return m.withColumn("n_criterios_cumplidos", n).withColumns({"calidad_global": grade, "apta": essential, "recomendaciones": advice})
 
 
-def metric_table(verdict: DataFrame, g: str = "model") -> DataFrame:
-    """One formatted row for each group."""
+def metric_table(verdict: DataFrame, *keys: str | Column) -> DataFrame:
+    """One formatted row for each group, with the key columns (model by default) in front."""
     num = lambda column, spec: F.format_string(spec, column)
     mark = lambda column: F.when(F.col(column), "✓").otherwise("✗")
     cols: dict[str, Column] = {
@@ -289,7 +325,7 @@ def metric_table(verdict: DataFrame, g: str = "model") -> DataFrame:
         "es_apta": mark("apta"),
         "criterios": F.concat(F.col("n_criterios_cumplidos").cast("string"), F.lit("/6")),
     }
-    return verdict.select(g, *[c.alias(n) for n, c in cols.items()])
+    return verdict.select(*(keys or ("model",)), *[c.alias(n) for n, c in cols.items()])
 
 
 def in_windows(rows: DataFrame, windows: DataFrame) -> DataFrame:
@@ -304,9 +340,28 @@ def in_windows(rows: DataFrame, windows: DataFrame) -> DataFrame:
     return rows.join(days.where(F.col("scene_date") >= first), "scene_date").select(*rows.columns, "window")
 
 
+def _in_slices(samples: DataFrame, windows: DataFrame) -> DataFrame:
+    """model, height_m, slice, times: samples counted once, in the slice of time between two window starts (slice 1 from the first start on)."""
+    days = samples.select(F.col("scene_date").cast("date").alias("day")).distinct()
+    starts = windows.select(F.col("start").cast("date").alias("day")).distinct()
+    marks = days.withColumn("mark", F.lit(0)).unionByName(starts.withColumn("mark", F.lit(1)))
+    # one row a day: the calendar, not the samples
+    so_far = F.sum("mark").over(Window.partitionBy(F.lit(0)).orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    sliced = marks.select("day", "mark", so_far.alias("slice")).where("mark = 0 AND slice > 0").select("day", "slice")
+    rows = samples.withColumn("day", F.col("scene_date").cast("date")).join(sliced, "day")
+    return rows.groupBy("model", "height_m", "slice").agg(F.count("*").alias("times"))
+
+
 def window_metrics(samples: DataFrame, reference: DataFrame, windows: DataFrame) -> DataFrame:
-    """Metrics of every (window, model) against the model's whole reference. samples: model, scene_date, height_m."""
-    rows = in_windows(samples, windows).withColumn("grp", F.concat_ws("|", "window", "model"))
-    found = distribution_verdict(full_metrics(rows, reference, "grp", on="model"))
-    part = F.split("grp", r"\|")
-    return found.select(F.initcap(F.regexp_replace(part[0], "_", " ")).alias("window"), part[1].alias("model"), *[c for c in found.columns if c != "grp"])
+    """Metrics of every (window, model) against the model's whole reference. samples: model, scene_date, height_m.
+
+    Windows reach from their start to the end, so later ones lie within earlier ones. A sample is counted in its slice between
+    starts, and a window takes the counted values of its own slice and all later ones.
+    """
+    counted = stored(_in_slices(samples, windows), "slices")
+    order = Window.partitionBy(F.lit(0)).orderBy("start")
+    starts = windows.select("window", F.col("start").cast("date").alias("start")).withColumn("slice", F.dense_rank().over(order)).drop("start")
+    held = counted.select("model", "height_m", "times", F.explode(F.sequence(F.lit(1).cast("bigint"), "slice")).alias("slice")).join(starts.withColumn("slice", F.col("slice").cast("bigint")), "slice")
+    rows = held.select(F.struct("window", "model").alias("grp"), "model", "height_m", "times")
+    found = distribution_verdict(full_metrics(rows, reference, "grp", on="model", times="times"))
+    return found.select(F.initcap(F.regexp_replace("grp.window", "_", " ")).alias("window"), "grp.model", *[c for c in found.columns if c != "grp"])

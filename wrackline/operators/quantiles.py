@@ -25,6 +25,35 @@ def levels(rows: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS,
     return ranked.join(ends, [*keys, "bucket"]).select(*keys, "v", "n", (F.col("base") + F.col("inner")).alias("before"), F.coalesce("prev", "under").alias("lo"))
 
 
+#: Bins of the selection: so many for each factor of e between magnitudes, about a thousandth of a value wide.
+FINE, _ZERO = 1024, 1_000_000
+
+
+def _bin(v: Column) -> Column:
+    """A whole number that never falls as v grows: the place of its magnitude on a logarithmic scale, mirrored below 0."""
+    place = lambda x: (F.floor(F.ln(x) * FINE) + _ZERO).cast("int")
+    return F.when(v > 0, place(v)).when(v < 0, -place(-v)).otherwise(0)
+
+
+def selected(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and, by name, exact quantiles of each group, in two passes: a histogram, summed before it is shuffled, finds the
+    bins that hold the wanted ranks; then the values of these bins alone are counted and ranked. NULLs are left out."""
+    v = F.col(value).cast("double")
+    binned = rows.where(F.col(value).isNotNull()).select(*keys, v.alias("v"), _bin(v).alias("bin"))
+    of_group = Window.partitionBy(*keys)
+    upto = F.sum("n").over(of_group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bins = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n")).select(*keys, "bin", (upto - F.col("n")).alias("base"), upto.alias("upto"), F.sum("n").over(of_group).alias("total"))
+    wanted = F.lit(False)
+    for p in shares.values():
+        for k in (F.floor(p * (F.col("total") - 1)), F.ceil(p * (F.col("total") - 1))):
+            wanted = wanted | ((F.col("base") <= k) & (k < F.col("upto")))
+    held = bins.where(wanted).select(F.struct(*keys, "bin").alias("key"), "base", "total")
+    inner = binned.join(held, F.struct(*keys, "bin").eqNullSafe(F.col("key"))).groupBy(*keys, "bin", "base", "total", "v").agg(F.count("*").alias("n"))
+    less = F.coalesce(F.sum("n").over(Window.partitionBy(*keys, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = inner.select(*keys, "v", "n", "total", (F.col("base") + less).alias("before"))
+    return ranked.groupBy(*keys).agg(*[quantile(p, F.col("total")).alias(name) for name, p in shares.items()])
+
+
 def quantile(p: float, total: Column) -> Column:
     """The p-quantile of levels with their group's total, by linear interpolation between ranks: an aggregate."""
     rank = p * (total - 1)

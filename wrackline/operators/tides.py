@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wrackline.operators import splines
+from wrackline.operators.quantiles import selected
 
 BOXES = (0.2, 0.5, 1.0)
 
@@ -103,8 +104,11 @@ def interpolate_spline(times: DataFrame, series: DataFrame, block: int = splines
 
 
 def tide_summary(heights: DataFrame, by: str = "model") -> DataFrame:
+    """Count, extremes, mean, exact median and range of each group's heights."""
     h = F.col("height_m")
-    return heights.groupBy(by).agg(F.count(h).alias("n"), F.min(h).alias("min_m"), F.max(h).alias("max_m"), F.avg(h).alias("mean_m"), F.median(h).alias("median_m"), (F.max(h) - F.min(h)).alias("range_m"))
+    rest = heights.groupBy(by).agg(F.count(h).alias("n"), F.min(h).alias("min_m"), F.max(h).alias("max_m"), F.avg(h).alias("mean_m"), (F.max(h) - F.min(h)).alias("range_m"))
+    middle = selected(heights, [by], "height_m", {"median_m": 0.5}).withColumnRenamed(by, "key")
+    return rest.join(middle, F.col(by).eqNullSafe(F.col("key")), "left").select(by, "n", "min_m", "max_m", "mean_m", "median_m", "range_m")
 
 
 def anomaly_join(observed: DataFrame, predicted: DataFrame) -> DataFrame:

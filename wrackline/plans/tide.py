@@ -166,7 +166,8 @@ def q_table(s, d):
 
 def q_windows(s, d):
     w = metrics.window_metrics(dated(s, d), reference(s, d), windows(s, d))
-    return r6(w.select("window", "model", F.col("gaps.n_muestras").alias("n_obs"), "cobertura.cobertura", "vsr.vsr", "representatividad.representatividad", "entropia.entropia_norm", "dispersion.vmr", "calidad_global", "apta"), "cobertura", "vsr", "representatividad", "entropia_norm", "vmr")
+    six = {"cobertura": "cobertura.cobertura", "vsr": "vsr.vsr", "representatividad": "representatividad.representatividad", "entropia": "entropia.entropia", "vmr": "dispersion.vmr"}
+    return metrics.metric_table(w, "window", "model", *[F.round(c, 6).alias(n) for n, c in six.items()], "apta")
 
 
 def q_vsr(s, d):
@@ -204,6 +205,9 @@ wa AS (SELECT node, t + 0.4::DOUBLE AS t FROM ser)
 SELECT node, round(t, 6) AS t, round(y + (t - x) * (s + (t - x) * ((3 * d - 2 * s - s1) / h + (t - x) * (s + s1 - 2 * d) / (h * h))), 6) AS height_m
 FROM wa JOIN pc USING (node) WHERE t >= x AND t < x1"""
 
+TABLE = f"""printf('%.1f', cobertura * 100) AS cobertura_pct, printf('%.2f', rango_valido) AS rango_m, printf('%.4f', vsr) AS vsr_m, levels AS niveles, printf('%.1f', held * 10.0::DOUBLE) AS repr_pct,
+printf('%.4f', {KS_P}) AS ks_pval, printf('%.3f', entropia / log2(20)) AS entropia_norm, printf('%.3f', vmr) AS vmr_ratio,
+CASE WHEN uniforme_ks THEN '✓' ELSE '✗' END AS uniforme, split_part({PATRON}, ' ', 1) AS patron_tipo, grade AS calidad, CASE WHEN apta THEN '✓' ELSE '✗' END AS es_apta, k || '/6' AS criterios"""
 _ROUND = {
     "cobertura": {c: c for c in ("min_valido", "max_valido", "min_total", "max_total", "rango_valido", "rango_total", "cobertura")} | {"cobertura_pct": "cobertura * 100"},
     "uniformidad_ks": {"ks_statistic": "d", "ks_pvalue": KS_P},
@@ -316,16 +320,14 @@ FROM vg JOIN cob USING (g) JOIN vs USING (g) JOIN rep USING (g) JOIN dis USING (
     ),
     "model_metric_table": (
         q_table,
-        f"""{BASE}{VERDICT} SELECT g AS model, n_muestras AS n_obs, printf('%.1f', cobertura * 100) AS cobertura_pct, printf('%.2f', rango_valido) AS rango_m, printf('%.4f', vsr) AS vsr_m, levels AS niveles, printf('%.1f', held * 10.0::DOUBLE) AS repr_pct,
-printf('%.4f', {KS_P}) AS ks_pval, printf('%.3f', entropia / log2(20)) AS entropia_norm, printf('%.3f', vmr) AS vmr_ratio,
-CASE WHEN uniforme_ks THEN '✓' ELSE '✗' END AS uniforme, split_part({PATRON}, ' ', 1) AS patron_tipo, grade AS calidad, CASE WHEN apta THEN '✓' ELSE '✗' END AS es_apta, k || '/6' AS criterios
+        f"""{BASE}{VERDICT} SELECT g AS model, n_muestras AS n_obs, {TABLE}
 FROM vg JOIN gs USING (g) JOIN cob USING (g) JOIN vs USING (g) JOIN rep USING (g) JOIN dis USING (g) JOIN ent USING (g) JOIN ks USING (g)""",
     ),
     "window_metric_table": (
         q_windows,
         f"""{WINDOWED}{VERDICT} SELECT array_to_string(list_transform(string_split(split_part(g, '|', 1), '_'), lambda x: upper(x[1]) || x[2:]), ' ') AS "window", split_part(g, '|', 2) AS model, n_muestras AS n_obs,
-round(cobertura, 6) AS cobertura, round(vsr, 6) AS vsr, round(held / 10, 6) AS representatividad, round(entropia / log2(20), 6) AS entropia_norm, round(vmr, 6) AS vmr, grade AS calidad_global, apta
-FROM vg JOIN gs USING (g) JOIN cob USING (g) JOIN vs USING (g) JOIN rep USING (g) JOIN dis USING (g) JOIN ent USING (g)""",
+round(cobertura, 6) AS cobertura, round(vsr, 6) AS vsr, round(held / 10, 6) AS representatividad, round(entropia, 6) AS entropia, round(vmr, 6) AS vmr, apta, {TABLE}
+FROM vg JOIN gs USING (g) JOIN cob USING (g) JOIN vs USING (g) JOIN rep USING (g) JOIN dis USING (g) JOIN ent USING (g) JOIN ks USING (g)""",
     ),
     "rank_sorted": (
         lambda s, d: r6(metrics.rank_sorted(samples(s, d)), "v"),

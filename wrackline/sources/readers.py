@@ -101,12 +101,36 @@ def time_grid(spark: SparkSession, start: str, end: str, hours: int = 2) -> Data
     return spark.sql(f"SELECT explode(sequence(TIMESTAMP_NTZ'{start}', TIMESTAMP_NTZ'{end}', INTERVAL {hours} HOURS)) AS ts")
 
 
-def write_scenes(pixels: DataFrame, path: str) -> None:
-    """Pixels by scene date; dates that are written again replace their own partition only."""
+#: Side of the squares that are written together, and pixels in a file at most.
+SQUARE, FILE_PIXELS = 64, 4_000_000
+
+
+def _spread(v: Column) -> Column:
+    """The low 16 bits, each followed by a 0 bit."""
+    v = v.cast("bigint").bitwiseAND(F.lit(0xFFFF))
+    for step, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        v = v.bitwiseOR(F.shiftleft(v, step)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def z_order(y: Column, x: Column) -> Column:
+    """Place of a square of pixels on a curve that keeps neighbours close: the bits of both places, interleaved."""
+    at = lambda c: F.floor(c / SQUARE) + 0x8000  # noqa: E731  from 32,768 squares below 0
+    return F.shiftleft(_spread(at(y)), 1).bitwiseOR(_spread(at(x)))
+
+
+def write_scenes(pixels: DataFrame, path: str, file_pixels: int = FILE_PIXELS) -> None:
+    """Pixels by scene date; dates that are written again replace their own partition only.
+
+    A scene is dealt out along a curve over its squares, so that a large one is several tasks' work, and a file covers a
+    compact area: a query for a box skips most files by their extremes of y and x.
+    """
     missing = {"scene_date", "y", "x"} - set(pixels.columns)
     if missing:
         raise ValueError(f"columns missing: {sorted(missing)}")
-    pixels.repartition("scene_date").sortWithinPartitions("y", "x").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scene_date").parquet(path)
+    rows = pixels.withColumn("_z", z_order(F.col("y"), F.col("x"))).repartitionByRange("scene_date", "_z").sortWithinPartitions("scene_date", "_z", "y", "x").drop("_z")
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", file_pixels)
+    writer.partitionBy("scene_date").parquet(path)
 
 
 def write_index(index: DataFrame, path: str, kind: str = "csv") -> None:
