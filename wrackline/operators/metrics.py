@@ -35,6 +35,16 @@ def _worded(value: Column, texts: list[tuple], fits) -> Column:
     return out
 
 
+def _formatted(value: Column | str, spec: str) -> Column:
+    """A number as text, rounded by its exact binary value (5.225 is a little less than that); nan where it is missing."""
+
+    @F.pandas_udf(T.StringType())
+    def text(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: spec % x)
+
+    return text(F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(float("nan"))).cast("double"))
+
+
 def rank_sorted(samples: DataFrame, g: str = "model", value: str = "height_m") -> DataFrame:
     """g, v, rank: the ascending row number of each value in its group."""
     return levels(samples, [g], value).select(g, "v", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))).alias("rank"))
@@ -291,7 +301,7 @@ def distribution_verdict(metrics: DataFrame, coverage: float = 0.85, entropy: fl
     ratio = F.col("n_criterios_cumplidos") / 6
     grade = _worded(ratio, GRADES, lambda v, bound: v >= bound)
     empty = F.concat(F.lit("["), F.array_join(F.col("representatividad.quantiles_vacios").cast("array<string>"), ", "), F.lit("]"))
-    num = lambda column, spec: F.format_string(spec, F.coalesce(F.col(column), F.lit(float("nan"))))
+    num = _formatted
     advice = F.array_compact(
         F.array(
             F.when(~F.col("cobertura_suficiente"), F.concat(F.lit(ADVICE_COVERAGE[0]), num("cobertura.cobertura_pct", "%.1f"), F.lit(ADVICE_COVERAGE[1]))),
@@ -307,7 +317,7 @@ def distribution_verdict(metrics: DataFrame, coverage: float = 0.85, entropy: fl
 
 def metric_table(verdict: DataFrame, *keys: str | Column) -> DataFrame:
     """One formatted row for each group, with the key columns (model by default) in front."""
-    num = lambda column, spec: F.format_string(spec, column)
+    num = _formatted
     mark = lambda column: F.when(F.col(column), "✓").otherwise("✗")
     cols: dict[str, Column] = {
         "n_obs": F.col("gaps.n_muestras"),

@@ -146,11 +146,14 @@ def _distances(mask: DataFrame, metric, limit: int | None = None, strip: int = S
     """
     cell = lambda c, n: F.floor(F.col(c) / n).cast("int")
     rows = mask.select("y", "x", "inside", "want", cell("y", strip).alias("strip"), cell("x", tile).alias("tile"))
-    ends = rows.where(~F.col("inside")).groupBy("x", "tile", "strip").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    # one row a column of a strip: all that tiles need to know of each other
+    out = F.when(~F.col("inside"), F.col("y"))
+    columns = stored(rows.groupBy("strip", "tile", "x").agg(F.min(out).alias("low"), F.max(out).alias("high"), F.bool_or("want").alias("want")), "columns")
+    ends = columns.where("low IS NOT NULL").select("x", "tile", "strip", "low", "high")
     w = Window.partitionBy("x").orderBy("strip")
     near = ends.select("x", "tile", "strip", "low", "high", F.lag("strip").over(w).alias("before"), F.lead("strip").over(w).alias("after"))
     if limit is None:
-        ends_of = rows.agg(F.struct(F.min("strip").alias("first"), F.max("strip").alias("last")).alias("strips")).scalar()
+        ends_of = columns.agg(F.struct(F.min("strip").alias("first"), F.max("strip").alias("last")).alias("strips")).scalar()
         first, last = ends_of["first"], ends_of["last"]
     else:
         first, last = F.floor((F.col("low") - limit) / strip).cast("int"), F.floor((F.col("high") + limit) / strip).cast("int")
@@ -176,7 +179,11 @@ def _distances(mask: DataFrame, metric, limit: int | None = None, strip: int = S
         d = metric(columns, gaps).least(y - y0, own["x"].to_numpy(np.int64)) if len(columns) and len(own) else np.full(len(own), _FAR)
         return own[["y", "x"]].assign(d=pd.array(d, "Int64")).assign(d=lambda f: f["d"].mask(d >= _FAR // 2))
 
-    pairs = _pairs(background, rows.where("want"), metric, limit, strip, tile)
+    known = ends.select(F.explode(F.array("low", "high")).alias("y"), "x", "strip", "tile").unionByName(carried.select("y", "x", "strip", "tile"))
+    pairs = stored(_pairs(known, columns.where("want"), metric, limit, strip, tile), "pairs")
+    of_tile = rows.where(F.col("want") | ~F.col("inside")).unionByName(carried)
+    if pairs.isEmpty():  # no tile needs another's background
+        return of_tile.groupBy("strip", "tile").applyInPandas(lambda key, pdf: solve(key, pdf, ()), "y int, x int, d bigint")
 
     def send(key: tuple, pdf: pd.DataFrame, to: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -191,13 +198,14 @@ def _distances(mask: DataFrame, metric, limit: int | None = None, strip: int = S
 
     asked = background.join(pairs.select("strip", "tile").distinct(), ["strip", "tile"], "left_semi")
     sent = asked.groupBy("strip", "tile").cogroup(pairs.groupBy("strip", "tile")).applyInPandas(send, "strip int, tile int, y int, x int, gap bigint")
-    of_tile = rows.where(F.col("want") | ~F.col("inside")).unionByName(carried)
     return of_tile.groupBy("strip", "tile").cogroup(sent.groupBy("strip", "tile")).applyInPandas(solve, "y int, x int, d bigint")
 
 
 def near_background(mask: DataFrame, reach: int, metric=Squares) -> DataFrame:
     """Pixels (y, x) of mask (y, x, inside, perhaps want) at most `reach` from a pixel that isn't inside."""
     mask = mask if "want" in mask.columns else mask.withColumn("want", F.lit(True))
+    if reach == 0:  # only these pixels themselves
+        return mask.where(F.col("want") & ~F.col("inside")).select("y", "x")
     return _distances(mask, metric, reach).where(F.col("d") <= metric.size(reach, 0)).select("y", "x")
 
 
@@ -452,13 +460,11 @@ def connected_components(pixels: DataFrame, width: int, tile: int = TILE, store=
     root = store(links.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
     while True:
         low = links.join(root.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("low"))
-        step = store(root.join(low, F.col("node") == F.col("a"), "left").select("node", "root", F.least("root", F.coalesce("low", "root")).alias("lower")))
-        hop = _met(step, step.select(F.col("node").alias("lower"), F.col("lower").alias("after")), "lower", "node")
-        then = store(hop.select("node", F.col("root").alias("was"), F.least("lower", F.coalesce("after", "lower")).alias("root")))
+        hop = _met(root, root.select(F.col("node").alias("root"), F.col("root").alias("after")), "root", "node")
+        then = store(hop.join(low, F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("after", "root"), F.coalesce("low", "root")).alias("root")))
         settled = then.where("root <> was").isEmpty()
         if store is stored:
             drop_stored(root)
-            drop_stored(step)
         root = then.select("node", "root")
         if settled:
             break
