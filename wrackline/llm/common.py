@@ -53,10 +53,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_place(df: DataFrame) -> DataFrame:
-    """df if it does no more than read files row by row, so that its rows have the same places whenever it is read; else a stored copy of it."""
+#: Plan nodes that change, repeat or move rows; what has none of them reads the rows of files as they lie there.
+_MOVES = ("Exchange", "Python", "Arrow", "Pandas", "Generate", "Expand", "Union", "Limit", "Sample", "Join", "Aggregate", "Window", "LocalTableScan", "ExistingRDD")
+
+
+def row_keys(df: DataFrame) -> tuple[DataFrame, Column]:
+    """df and a column that tells its rows apart: the file a row lies in and its place there.
+
+    However the files are split, also if executors come and go between two reads, a row has the same key. A df that does
+    more than read Parquet files is stored first.
+    """
     plan = df._jdf.queryExecution().executedPlan().toString()
-    return df if df.inputFiles() and not any(x in plan for x in ("Exchange", "Python", "Arrow", "Pandas")) else stored(df, "rows")
+    if "parquet" not in plan or any(x in plan for x in _MOVES) or not df.inputFiles():
+        df = stored(df, "rows")
+    at = df.metadataColumn("_metadata")
+    return df, F.struct(F.xxhash64(at["file_path"]).alias("file"), F.hash(at["file_path"]).alias("file2"), at["row_index"].alias("row"))
 
 
 def drop_stored(df: DataFrame) -> None:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, in_place, stored, table, text_chunks, text_of
+from .common import id_and_text, row_keys, stored, table, text_chunks, text_of
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
@@ -129,7 +129,7 @@ def _scan(docs: DataFrame, windows: list[tuple[bytes, list[str]]]) -> tuple[Data
 def scan_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, part_windows: int = PART_WINDOWS) -> DataFrame:
     """docs has a column text, or a struct row with a field text; adds n_words, hit_starts and hit_ends (maximal runs of hit words) and item_ids.
 
-    With several parts, rows are told apart by their place in docs, which are stored first unless they only read files.
+    With several parts, rows are told apart by their place in their file; docs are stored first unless they only read Parquet files.
     """
     windows = stored(item_windows(benchmark, size), "windows")
     n, size_bytes = windows.agg(F.count("*"), F.sum(F.octet_length("window") + 16 * F.size("item_ids"))).first()
@@ -138,7 +138,8 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, pa
     held = lambda i: [(bytes(r.window), r.item_ids) for r in windows.where(bucket == i).collect()]  # noqa: E731  part_windows rows or so
     if parts == 1:
         return _scan(docs, held(0))[0]
-    keyed = in_place(docs).withColumn("place", F.monotonically_increasing_id())
+    docs, place = row_keys(docs)
+    keyed = docs.withColumn("place", place)
     text = F.col("text") if "text" in docs.columns else F.col("row.text")
     hits = None
     for i in range(parts):

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti_join, ascii_lower, id_and_text, in_place, stored, table
+from .common import anti_join, ascii_lower, id_and_text, row_keys, stored, table
 
 #: Bits of the filter for each row: with two bits a row, some four hits a word of 64 leave about one false positive in a hundred rows.
 BITS_PER_ROW = 32
@@ -91,10 +91,10 @@ def find_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of equal texts, that of the largest id, with its own columns; the others' keys are joined last.
 
-    Rows are told apart by their place in df, which is stored first unless it only reads files.
+    Rows are told apart by their place in their file; df is stored first unless it only reads Parquet files.
     """
-    df = in_place(df)
-    keyed = df.select(F.struct("*").alias("row"), df[id_col].alias("doc_id"), df[text_col].alias("text"), F.monotonically_increasing_id().alias("key"))
+    df, place = row_keys(df)
+    keyed = df.select(F.struct("*").alias("row"), df[id_col].alias("doc_id"), df[text_col].alias("text"), place.alias("key"))
     rows = _probed(stored(keyed.select("key", "doc_id", _sha(F.col("text")).alias("sha")), "text-hashes"))
     maybe = _salted(rows.where("maybe"), "key")
     kept = maybe.join(_groups(maybe, F.struct("doc_id", "key")), ["sha", "salt"])

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti_join, id_and_text, in_place, map_text, stored, table
+from .common import anti_join, id_and_text, map_text, row_keys, stored, table
 from .components import components
 
 SEED, WORDS, BITS = 42, 3, 3
@@ -160,10 +160,10 @@ def near_duplicates(df: DataFrame, words: int = WORDS, bits: int = BITS, id_col:
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """Of each component one row, that of the least doc_id, with its own columns; null ids lose against any id.
 
-    Rows are told apart by their place in docs, which are stored first unless they only read files.
+    Rows are told apart by their place in their file; docs are stored first unless they only read Parquet files.
     """
-    docs = in_place(docs)
-    keyed = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("key"), docs["doc_id"].alias("own_id"), docs["text"].alias("text"))
+    docs, place = row_keys(docs)
+    keyed = docs.select(F.struct("*").alias("row"), place.alias("key"), docs["doc_id"].alias("own_id"), docs["text"].alias("text"))
     fps = fingerprints(keyed.select(F.struct("key", "own_id").alias("doc_id"), "text"), words)
     slim = stored(fps.select("doc_id.key", "doc_id.own_id", "fp").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")), "fingerprints")
     found = _named(slim, F.struct(F.col("own_id").isNull(), "own_id", "key"), bits)
