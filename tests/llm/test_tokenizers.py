@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import public_tokenizers as P
 import pytest
@@ -69,12 +70,36 @@ def test_a_wrong_vocabulary_shows(monkeypatch):
     assert [d for _, d in coder.encode(["x y", "x", "y"])] == [b"? y", b"?", b"y"]
 
 
-def test_both_recursions_agree(encoding, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "ZONE", 2)
+def test_windows_agree_with_whole_words(encoding, monkeypatch):
+    """Every word of three bytes or more in windows, joined or gone on from."""
+    monkeypatch.setattr(byte_bpe, "LONG", 2)
+    for step, far in ((8, 300), (32, 512)):
+        monkeypatch.setattr(byte_bpe, "STEP", step)
+        monkeypatch.setattr(byte_bpe, "FAR", far)
+        coder = byte_bpe.ByteBpe(BYTE, P.PATTERN)
+        texts = odd_texts(30) + [w[:200] for w in long_words()]
+        for text, (ids, decoded) in zip(texts, coder.encode(texts), strict=True):
+            assert [int(x) for x in ids.split()] == encoding.encode_ordinary(text) and decoded == text.encode()
+
+
+def test_runs_of_signs(encoding):
+    """Tokens longer than a window, runs between other signs, lengths next to the bounds."""
+    r = random.Random(3)
+    mixed = "".join(r.choice("-=_*#") * r.randrange(1, 200) for _ in range(40))
+    texts = ["-" * n for n in (255, 256, 257, 5000)] + [mixed, "!?" * 999 + "-" * 3333 + "!" * 500, "\u3000" * 900, " " * 4000 + "x"]
+    coder = byte_bpe.ByteBpe(BYTE, P.PATTERN)
+    for text, (ids, decoded) in zip(texts, coder.encode(texts), strict=True):
+        assert [int(x) for x in ids.split()] == encoding.encode_ordinary(text) and decoded == text.encode()
+
+
+def test_words_of_a_million_letters(encoding):
+    """No crash within the worker's memory limit, and time in proportion to the length."""
+    r = random.Random(2)
     coder = byte_bpe.ByteBpe(BYTE, P.PATTERN)
-    assert 1 << coder.shift >= max(map(len, coder.ranks))
-    texts = odd_texts(60)
-    for text, (ids, _) in zip(texts, coder.encode(texts), strict=True):
+    for text in ("a" * 1_000_000, "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=2_000_000))):
+        begin = time.time()
+        ids, decoded = coder.encode([text])[0]
+        assert time.time() - begin < 120 and decoded == text.encode()
         assert [int(x) for x in ids.split()] == encoding.encode_ordinary(text)
 
 

@@ -6,10 +6,11 @@ word, the leftmost pair of least rank, until no word has a pair left. Decoding i
 rows are joined to the tokens' bytes and put together by an ordered aggregation. Words are remembered within bounds, so
 a frequent word is merged and decoded once for a worker; what a word decodes to is stored only where it isn't the word.
 
-A long word (an unbroken run of over `ZONE` bytes; none in ordinary prose) is contracted at many places in a turn: it is
-cut into zones that are longer than the longest token, and the least pair of a zone is contracted where neither zone
-beside it has a lesser one. What could reach that pair before its own turn would be a token that spans a zone, and there
-is none, so this gives what one pair at a time gives. Of long words only the tokens of the last turn are held.
+A long word (an unbroken run of over `LONG` bytes; none in ordinary prose) is encoded in overlapping windows by the same
+query, equal windows once. A row of tokens is the encoding of its bytes exactly if every two neighbours are what their
+joined bytes are encoded to; so two windows are joined at a token boundary that both have and where the two tokens may meet.
+Where there is none, as in runs of one sign whose tokens are longer than the overlap, a longer window goes on from the last
+token that is certain. Work and memory grow with the length of a word, not with its square.
 
 Defined results: a null or empty text has no tokens and decodes to nothing; special strings in a text are ordinary text;
 very long texts and words are encoded whole; null ids are carried; repeated rows are encoded one by one; an empty table
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,10 @@ from pyspark.sql import DataFrame
 
 from .common import id_and_text, map_text, table
 
-ZONE = 256
+#: Longer words are encoded in windows of twice STEP bytes, one every STEP bytes; where two don't meet, in one of FAR bytes.
+LONG, STEP, FAR = 256, 32, 512
+#: Squared bytes of words in one recursive query, which keeps every turn: some 100 MB.
+SQUARES = 4_000_000
 #: Words in one recursive query, and words remembered in a worker before a new generation begins, which takes over what is still met.
 CHUNK, REMEMBERED = 40_000, 250_000
 #: Texts of a task that are cut and looked up together, in bytes.
@@ -51,22 +56,6 @@ WITH RECURSIVE step(turn, key, id) AS (
 SELECT key >> 12 AS word, key & 4095 AS pos, id
 FROM step JOIN (SELECT key >> 12 AS word, max(turn) AS turn FROM step GROUP BY 1) last ON last.word = step.key >> 12 AND last.turn = step.turn
 """
-#: Of long words. The key is word << 32 | offset in bytes; a token that was contracted into the one before has the id -1.
-ENCODE_LONG = """
-WITH RECURSIVE step(key, id, len) USING KEY (key) AS (
-  SELECT key, id, 1::BIGINT FROM start
-  UNION
-  SELECT * FROM (
-    WITH pairs AS (
-      SELECT a.key, a.len, b.key AS key2, b.len AS len2, merged, a.key >> {shift} AS zone, merged << 32 | (a.key & 4294967295) AS least
-      FROM recurring.step a JOIN recurring.step b ON b.key = a.key + a.len JOIN merges ON merges.pair = (a.id << 20 | b.id)
-      WHERE a.id >= 0 AND b.id >= 0),
-    zones AS (SELECT zone, min(least) AS least FROM pairs GROUP BY 1),
-    near AS (SELECT zone, min(least) AS least FROM (SELECT zone + d AS zone, least FROM zones, (VALUES (-1), (0), (1)) v(d)) GROUP BY 1),
-    best AS (SELECT pairs.* FROM pairs JOIN near USING (zone, least))
-    SELECT key, merged, len + len2 FROM best UNION ALL SELECT key2, -1, 0 FROM best))
-SELECT key >> 32 AS word, key & 4294967295 AS pos, id FROM step WHERE id >= 0
-"""
 #: Ids and bytes of each word, in order.
 DECODE = "SELECT word, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex FROM ({encoded}) JOIN vocabulary USING (id) GROUP BY word"
 
@@ -84,7 +73,9 @@ class ByteBpe:
 
         self.ranks = read_ranks(path)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.shift = max(ZONE - 1, max(map(len, self.ranks)) - 1).bit_length()
+        self.token = {r: t for t, r in self.ranks.items()}
+        self.longest = max(map(len, self.ranks))
+        self.met: dict[tuple[int, int], bool] = {}
         self.words = regex.compile(pattern).findall
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
@@ -99,19 +90,119 @@ class ByteBpe:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
+    def _batches(self, words: list[bytes]) -> Iterator[list[int]]:
+        """Numbers of words that go into one recursive query."""
+        part, squares = [], 0
+        for i, w in enumerate(words):
+            if part and squares + len(w) ** 2 > SQUARES:
+                yield part
+                part, squares = [], 0
+            part.append(i)
+            squares += len(w) ** 2
+        if part:
+            yield part
+
+    def _start(self, words: list[bytes], part: list[int]) -> None:
+        sizes = np.array([len(words[i]) for i in part])
+        data = np.frombuffer(b"".join([words[i] for i in part]), np.uint8)
+        word, pos = np.repeat(np.array(part), sizes), np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self._table("start", pa.table({"key": pa.array(word << 12 | pos), "id": pa.array(self.byte[data])}))
+
+    def _encoded(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words of up to 4095 bytes."""
+        out: list[list[int]] = [[]] * len(words)
+        for part in self._batches(words):
+            self._start(words, part)
+            for i, ids in self.db.execute(f"SELECT word, list(id ORDER BY pos) FROM ({ENCODE}) GROUP BY word").fetchall():
+                out[i] = ids
+        return out
+
+    def _meet(self, pairs: set[tuple[int, int]]) -> None:
+        """Learns which tokens may stand side by side: those that their joined bytes are encoded to."""
+        new = [p for p in pairs if p not in self.met]
+        for p, ids in zip(new, self._encoded([self.token[a] + self.token[b] for a, b in new]), strict=True):
+            self.met[p] = ids == list(p)
+
+    def _may_meet(self, a: int, b: int) -> bool:
+        self._meet({(a, b)})
+        return self.met[a, b]
+
+    def _long(self, raw: bytes) -> list[int]:
+        """Ids of a word of any length. Tokens of which all neighbours may meet are the encoding of their bytes, whatever
+        they were found in, so windows are encoded side by side and joined at boundaries that both have."""
+        if len(self.met) > REMEMBERED:
+            self.met.clear()
+        starts = range(0, max(1, len(raw) - STEP), STEP)
+        pieces = [raw[s : s + 2 * STEP] if s != starts[-1] else raw[s:] for s in starts]
+        distinct = list(dict.fromkeys(pieces))
+        ids_of = dict(zip(distinct, self._encoded(distinct), strict=True))
+        found: dict[bytes, list[int]] = {}
+
+        def bounds(j: int) -> dict[int, int]:
+            """Places where tokens of a window start, with the token's number in it."""
+            at, out = starts[j], {}
+            for n, t in enumerate(ids_of[pieces[j]]):
+                out[at] = n
+                at += len(self.token[t])
+            return out
+
+        def shared(j: int, mine: dict[int, int], other: dict[int, int]) -> list[tuple[int, int, int]]:
+            """Places where windows j and j + 1 may be joined, with the tokens on both sides; the middle of the overlap first."""
+            middle = starts[j + 1] + STEP // 2
+            both = sorted((p for p in mine.keys() & other.keys() if mine[p]), key=lambda p: abs(p - middle))
+            return [(p, ids_of[pieces[j]][mine[p] - 1], ids_of[pieces[j + 1]][other[p]]) for p in both]
+
+        at = [bounds(j) for j in range(len(starts))]
+        joins = [shared(j, at[j], at[j + 1]) for j in range(len(starts) - 1)]
+        self._meet({(a, b) for places in joins for _, a, b in places[:2]})
+        out: list[int] = []
+        p = j = 0
+        far, reached = FAR, 0
+        while p < len(raw):
+            if p in at[j] and (not out or self._may_meet(out[-1], ids_of[pieces[j]][at[j][p]])):
+                own, first = ids_of[pieces[j]], at[j][p]
+                if j == len(starts) - 1:
+                    return out + own[first:]
+                place = next((b for b, left, right in joins[j] if b > p and self._may_meet(left, right)), None)
+                if place is not None:
+                    out += own[first : at[j][place]]
+                    p, j = place, j + 1
+                    continue
+            # the windows don't meet here: go on from p alone, back where its first token doesn't fit
+            far = FAR if p > reached else min(2 * far, 4095)
+            reached = max(reached, p)
+            window = raw[p : p + far]
+            if window not in found:
+                found[window] = self._encoded([window])[0]
+            ids = found[window]
+            if out and not self._may_meet(out[-1], ids[0]):
+                p -= len(self.token[out.pop()])
+            else:
+                end = len(raw) if p + far >= len(raw) else p + far - self.longest
+                for t in ids:
+                    if p + len(self.token[t]) > end:
+                        break
+                    out.append(t)
+                    p += len(self.token[t])
+            j = min(p // STEP, len(starts) - 1)
+        return out
+
     def _learn(self, words: list[str]) -> None:
         raw = [w.encode() for w in words]
-        for query, bits, part in ((ENCODE, 12, [i for i, x in enumerate(raw) if len(x) <= ZONE]), (ENCODE_LONG.format(shift=self.shift), 32, [i for i, x in enumerate(raw) if len(x) > ZONE])):
-            if not part:
-                continue
-            sizes = np.array([len(raw[i]) for i in part])
-            data = np.frombuffer(b"".join([raw[i] for i in part]), np.uint8)
-            word, pos = np.repeat(np.array(part), sizes), np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self._table("start", pa.table({"key": pa.array(word << bits | pos), "id": pa.array(self.byte[data])}))
-            for i, ids, text in self.db.execute(DECODE.format(encoded=query)).fetchall():
-                self.known[words[i]] = ids
-                if (decoded := bytes.fromhex(text)) != raw[i]:
-                    self.otherwise[words[i]] = decoded
+        short, long = ([i for i, x in enumerate(raw) if (len(x) > LONG) == big] for big in (False, True))
+        for part in self._batches([raw[i] for i in short]):
+            self._start(raw, [short[i] for i in part])
+            self._keep(words, raw, ENCODE)
+        for i in long:
+            ids = self._long(raw[i])
+            self._table("pieces", pa.table({"word": pa.array(np.full(len(ids), i)), "pos": pa.array(np.arange(len(ids))), "id": pa.array(ids, pa.int64())}))
+            self._keep(words, raw, "SELECT * FROM pieces")
+
+    def _keep(self, words: list[str], raw: list[bytes], encoded: str) -> None:
+        for i, ids, text in self.db.execute(DECODE.format(encoded=encoded)).fetchall():
+            self.known[words[i]] = ids
+            if (decoded := bytes.fromhex(text)) != raw[i]:
+                self.otherwise[words[i]] = decoded
 
     def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
         """For every text, its ids joined by a space, and the bytes that they decode to."""
