@@ -23,7 +23,6 @@ import hashlib
 from collections.abc import Sequence
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
