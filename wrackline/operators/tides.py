@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wrackline.operators import splines
+from wrackline.operators.nearest import nearest
 from wrackline.operators.quantiles import selected
 
 BOXES = (0.2, 0.5, 1.0)
@@ -19,38 +20,16 @@ def point_grid(sites: DataFrame, box: float, step: float) -> DataFrame:
     return rows.select("site", (F.col("lat") + F.col("i") * step).alias("lat"), (F.col("lon") + F.col("j") * step).alias("lon"))
 
 
-def _cells(rows: DataFrame, size: float, spread: int) -> DataFrame:
-    """Adds the grid cell of each point, or of it and its neighbours, so that a range join becomes an equi join."""
-    cell = lambda c: F.floor(F.col(c) / size).cast("int")
-    if not spread:
-        return rows.withColumns({"cy": cell("lat"), "cx": cell("lon")})
-    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-spread, spread + 1) for b in range(-spread, spread + 1)])
-    return rows.select("*", F.inline(around)).withColumns({"cy": cell("lat") + F.col("a"), "cx": cell("lon") + F.col("b")}).drop("a", "b")
-
-
-def _near(targets: DataFrame, nodes: DataFrame, box: float) -> DataFrame:
-    t = _cells(targets.select("target", "lat", "lon"), box, 1)
-    n = _cells(nodes.select(F.col("lat").alias("node_lat"), F.col("lon").alias("node_lon"), "lat", "lon"), box, 0).drop("lat", "lon")
-    rows = t.join(n, ["cy", "cx"]).withColumns({"dy": F.abs(F.col("node_lat") - F.col("lat")), "dx": F.abs(F.col("node_lon") - F.col("lon"))})
-    return rows.where((F.col("dy") <= box) & (F.col("dx") <= box)).withColumn("d2", F.col("dy") ** 2 + F.col("dx") ** 2)
-
-
 def nearest_point(targets: DataFrame, nodes: DataFrame, box: float) -> DataFrame:
     """The nearest valid node of each target within +- box degrees (plain degrees; least lat, then lon, among equals). Targets without one are left out."""
-    rows = _near(targets, nodes, box)
-    return rows.groupBy("target").agg(F.min(F.struct("d2", "node_lat", "node_lon")).alias("m")).select("target", "m.node_lat", "m.node_lon", "m.d2")
+    return nearest(targets, nodes, [box]).select("target", "node_lat", "node_lon", "d2")
 
 
 def nearest_probe(targets: DataFrame, nodes: DataFrame, box: float = 1.0, boxes: tuple = BOXES) -> DataFrame:
     """The same within the smallest of growing boxes that holds a valid node."""
     sizes = sorted({*boxes, box})
-    rows = _near(targets, nodes, max(sizes))
-    far = F.greatest("dy", "dx")
-    index = F.lit(len(sizes) - 1)
-    for i in reversed(range(len(sizes) - 1)):
-        index = F.when(far <= sizes[i], i).otherwise(index)
-    best = rows.withColumn("box", index).groupBy("target").agg(F.min(F.struct("box", "d2", "node_lat", "node_lon")).alias("m"))
-    return best.select("target", F.element_at(F.array(*[F.lit(float(s)) for s in sizes]), F.col("m.box") + 1).alias("box"), "m.node_lat", "m.node_lon", "m.d2")
+    size = F.element_at(F.array(*[F.lit(float(s)) for s in sizes]), F.col("box") + 1)
+    return nearest(targets, nodes, sizes).select("target", size.alias("box"), "node_lat", "node_lon", "d2")
 
 
 def predict(times: DataFrame, constituents: DataFrame, epoch: str = "2000-01-01 00:00:00", keys: tuple = ("ts",)) -> DataFrame:
