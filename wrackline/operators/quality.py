@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wrackline.functions.constants import BAD, TRANSITION, UNCERTAIN, WATER
 from wrackline.functions.expressions import share
+from wrackline.sources.tiled import meet_map
 
 
 def scene_validity(scenes: DataFrame, value: str, strict_nan: bool = True) -> DataFrame:
@@ -35,14 +36,14 @@ def filter_by_quality(scl: DataFrame, max_bad: float = 0.20, bad: tuple = BAD) -
 
 
 def with_map(scl: DataFrame, reference_map: DataFrame) -> DataFrame:
-    """Scene pixels with the map's class, cropped to their common pixels. Spark picks the join by the map's size."""
-    return scl.join(reference_map.select("y", "x", "cls"), ["y", "x"])
+    """Scene pixels with the map's class, cropped to their common pixels. Scenes of store_tiled stay in their buckets; see meet_map."""
+    return meet_map(scl, reference_map)
 
 
 def transition_quality(scl: DataFrame, reference_map: DataFrame, bad: tuple = BAD) -> DataFrame:
     """Bad fraction within the transition zone; a scene without any such pixel counts as wholly bad."""
     inside = F.coalesce(F.col("cls") == TRANSITION, F.lit(False))
-    rows = scl.join(reference_map.select("y", "x", "cls"), ["y", "x"], "left")
+    rows = meet_map(scl, reference_map, "left")
     out = rows.groupBy("scene_date").agg(F.count_if(inside).alias("n_transition"), F.count_if(inside & F.col("scl").isin(*bad)).alias("n_bad"))
     fraction = share(F.col("n_bad"), F.col("n_transition"), 1.0)
     return out.withColumns({"bad_fraction": fraction, "bad_pct": fraction * 100})
@@ -60,7 +61,7 @@ def scene_cloud_score(scl: DataFrame, reference_map: DataFrame, threshold: float
     exclude: scene dates to leave out, such as those the map was built from.
     """
     rows = scl if exclude is None else scl.join(exclude.select("scene_date"), "scene_date", "left_anti")
-    rows = rows.join(reference_map.select("y", "x", "cls"), ["y", "x"], "left")
+    rows = meet_map(rows, reference_map, "left")
     inside, is_bad = F.coalesce(F.col("cls") == TRANSITION, F.lit(False)), F.col("scl").isin(*bad)
     sums = rows.groupBy("scene_date").agg(F.count("*").alias("n"), F.count_if(is_bad).alias("n_bad"), F.count_if(inside).alias("t"), F.count_if(inside & is_bad).alias("t_bad"))
     whole = F.col("n_bad") / F.col("n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wrackline.functions.constants import BAD, CLEAR, LAND, WATER
 from wrackline.functions.expressions import share
+from wrackline.sources.tiled import pixel_keys
 
 from .quality import scene_quality
 from .spatial import Steps, near_background
@@ -14,7 +15,7 @@ from .spatial import Steps, near_background
 
 def pixel_votes(scl: DataFrame, water: int = WATER, land: tuple = LAND) -> DataFrame:
     """Votes of each pixel and their shares; shares are 0 where nobody voted."""
-    votes = scl.groupBy("y", "x").agg(F.count_if(F.col("scl") == water).alias("water_votes"), F.count_if(F.col("scl").isin(*land)).alias("land_votes"))
+    votes = scl.groupBy(*pixel_keys(scl)).agg(F.count_if(F.col("scl") == water).alias("water_votes"), F.count_if(F.col("scl").isin(*land)).alias("land_votes")).drop("ty", "tx")
     n = F.greatest(F.col("water_votes") + F.col("land_votes"), F.lit(1))
     return votes.withColumns({"p_water": F.col("water_votes") / n, "p_land": F.col("land_votes") / n})
 
@@ -64,7 +65,7 @@ def date_semi_filter(scl: DataFrame, dates: DataFrame, on_empty: str = "all") ->
 
 def water_frequency(scl: DataFrame, min_obs: int = 8, water: int = WATER, clear: tuple = CLEAR) -> DataFrame:
     """Share of clear views that show water; NULL below min_obs (1 at least) clear views."""
-    votes = scl.groupBy("y", "x").agg(F.count_if(F.col("scl") == water).alias("water_votes"), F.count_if(F.col("scl").isin(*clear)).alias("clear_votes"))
+    votes = scl.groupBy(*pixel_keys(scl)).agg(F.count_if(F.col("scl") == water).alias("water_votes"), F.count_if(F.col("scl").isin(*clear)).alias("clear_votes"))
     freq = F.when(F.col("clear_votes") >= max(1, min_obs), share(F.col("water_votes"), F.col("clear_votes")))
     return votes.select("y", "x", "clear_votes", freq.alias("water_freq"))
 

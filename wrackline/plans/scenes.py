@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wrackline.functions.expressions import decimal_hour, dms_parts
 from wrackline.operators import bands, dataset, quality, refmap
-from wrackline.sources import readers
+from wrackline.sources import readers, tiled
 from wrackline.sources.fixtures import view, with_views
 from wrackline.sources.scratch import scratch
 
@@ -46,8 +46,17 @@ def clean_map(s, d):
     return refmap.reference_map_clean(scl(s, d))
 
 
-def score(s, d):
-    return quality.scene_cloud_score(scl(s, d), clean_map(s, d))
+def with_clean_map(operator):
+    """An operator of scenes and their map. The scenes are stored once by tile; map and operator both read them there."""
+
+    def run(s, d):
+        scenes = tiled.store_tiled(scl(s, d))
+        return operator(scenes, refmap.reference_map_clean(scenes))
+
+    return run
+
+
+score = with_clean_map(quality.scene_cloud_score)
 
 
 def titled(s, d):
@@ -221,7 +230,7 @@ SELECT scene_date, 'rgb_png/rgb_' || k || '.png' AS imagen_rgb, 'scl_png/scl_' |
 SELECT y, x, c >= 8 AND w / greatest(c, 1) BETWEEN 0.10 AND 0.95 AS intertidal FROM v""",
     ),
     "correct_scl": (
-        lambda s, d: quality.correct_scl(scl(s, d), clean_map(s, d)),
+        with_clean_map(quality.correct_scl),
         f"""{SCL}{MAP} SELECT scene_date, y, x, scl, CASE WHEN scl IN (3, 8, 9, 10) AND cls = 1 THEN 6 WHEN scl IN (3, 8, 9, 10) AND cls = 2 THEN 5 ELSE scl END AS scl_corrected
 FROM scl_obs JOIN refmap USING (y, x)""",
     ),
@@ -272,7 +281,7 @@ SELECT scene_date AS fecha, strftime(dt_utc, '%H:%M:%S') AS hora_utc, strftime(d
         f"{SCL}{QUAL} SELECT scene_date FROM qual WHERE nbad / total > 0.05",
     ),
     "scene_map_join": (
-        lambda s, d: quality.with_map(scl(s, d), clean_map(s, d)).select("scene_date", "y", "x", "scl", F.col("cls").cast("int").alias("cls")),
+        lambda s, d: with_clean_map(quality.with_map)(s, d).select("scene_date", "y", "x", "scl", F.col("cls").cast("int").alias("cls")),
         f"{SCL}{MAP} SELECT scene_date, y, x, scl, cls FROM scl_obs JOIN refmap USING (y, x)",
     ),
     "dataset_assemble": (lambda s, d: r6(index(s, d), "height_m", "cloud_pct"), f"{INDEX_SQL} SELECT scene_date, dt_utc, round(height_m, 6) AS height_m, round(cloud_pct, 6) AS cloud_pct, coverage_pct FROM idx"),
@@ -289,11 +298,11 @@ SELECT scene_date AS fecha, strftime(dt_utc, '%H:%M:%S') AS hora_utc, strftime(d
 SELECT scene_date, total AS total_pixels, nbad AS bad_pixels, class_counts, round(nbad / total, 6) AS bad_fraction, round(nbad / total * 100, 6) AS bad_pct FROM qual JOIN h USING (scene_date)""",
     ),
     "transition_scene_quality": (
-        lambda s, d: r6(quality.transition_quality(scl(s, d), clean_map(s, d)), "bad_fraction", "bad_pct"),
+        lambda s, d: r6(with_clean_map(quality.transition_quality)(s, d), "bad_fraction", "bad_pct"),
         f"{SCL}{SCORE} SELECT scene_date, t AS n_transition, tb AS n_bad, round(CASE WHEN t = 0 THEN 1 ELSE tb / t END, 6) AS bad_fraction, round(CASE WHEN t = 0 THEN 1 ELSE tb / t END * 100, 6) AS bad_pct FROM sums",
     ),
     "scene_cloud_score": (score, f"{SCL}{SCORE} SELECT * FROM score"),
-    "transition_pct_by_date": (lambda s, d: r6(quality.transition_pct(scl(s, d), clean_map(s, d)), "transition_pct"), f"{SCL}{SCORE} SELECT scene_date, round(tb / greatest(t, 1) * 100, 6) AS transition_pct FROM sums"),
+    "transition_pct_by_date": (lambda s, d: r6(with_clean_map(quality.transition_pct)(s, d), "transition_pct"), f"{SCL}{SCORE} SELECT scene_date, round(tb / greatest(t, 1) * 100, 6) AS transition_pct FROM sums"),
     "pixel_votes": (
         lambda s, d: r6(refmap.pixel_votes(scl(s, d)), "p_water", "p_land"),
         f"""{SCL}, v AS (SELECT y, x, count(*) FILTER (scl = 6) AS water_votes, count(*) FILTER (scl IN (4, 5)) AS land_votes FROM scl_obs GROUP BY 1, 2)
