@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from wrackline.llm import common, simhash
@@ -61,8 +62,32 @@ def near(n=400, seed=3):
     return sorted(x - (1 << 64) if x >> 63 else x for x in out)
 
 
-def brute_roots(fps):
-    return least(fps, lambda a, b: a != b and ((a ^ b) % (1 << 64)).bit_count() <= 3)
+def brute_roots(fps, bits=3):
+    return least(fps, lambda a, b: a != b and ((a ^ b) % (1 << 64)).bit_count() <= bits)
+
+
+@pytest.mark.parametrize("bits", [0, 1, 2, 4, 5, 6])
+def test_other_distances(spark, monkeypatch, bits):
+    """Also differences of one bit in each of many bytes, which leave few bytes to share."""
+    fps = set(near(220))
+    for x in list(fps)[:40]:
+        y = x
+        for p in random.Random(x).sample(range(8), max(bits, 1)):
+            y ^= 1 << 8 * p
+        fps.add(y - (1 << 64) if y >> 63 == 1 else y)
+    fps = sorted(fps)
+    df = spark.createDataFrame([(f,) for f in fps], "fp bigint")
+    for short, middle, block in ((48, 2048, 1024), (1, 3, 4)):
+        for name, value in (("SHORT", short), ("MIDDLE", middle), ("BLOCK", block)):
+            monkeypatch.setattr(simhash, name, value)
+        roots = {f: f for f in fps} | {r.node: r.root for r in components(simhash.links(df, bits)).collect()}
+        assert roots == brute_roots(fps, bits)
+
+
+@pytest.mark.parametrize("bits", [-1, 8])
+def test_distances_that_share_no_byte(bits):
+    with pytest.raises(ValueError, match="bits"):
+        simhash.posted_sets(bits)
 
 
 def test_links_connect_what_brute_force_connects(spark, monkeypatch):

@@ -2,7 +2,7 @@
 
 A fingerprint has 8 bytes. Fingerprints that differ in at most 3 bits differ in at most 3 bytes, so they share at least 5
 bytes in place. Of any 5 of 8 positions at least 3 lie in the same half, so each fingerprint is posted under the 8
-byte triples within its halves; lists of single bytes would each hold a 256th of everything and grow with the square of
+byte triples within its halves (other distances post other sets, see posted_sets); lists of single bytes would each hold a 256th of everything and grow with the square of
 the table. Where a pair meets first, its shared positional bytes are tallied, pairs under 5 are dropped, and the rest are
 verified on their bits. Equal fingerprints are one node throughout, however many documents have them.
 
@@ -19,6 +19,8 @@ component_id; an empty table gives an empty result; other columns are not read b
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,12 +32,21 @@ from .common import anti_join, id_and_text, map_text, row_keys, stored, table
 from .components import components
 
 SEED, WORDS, BITS = 42, 3, 3
-#: Triples of byte positions, four in each half.
-TRIPLES = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3), (4, 5, 6), (4, 5, 7), (4, 6, 7), (5, 6, 7)]
 #: Fingerprints of a list, and of a list that is posted again, that are joined; fingerprints of a block.
 SHORT, MIDDLE, BLOCK, SALTS = 48, 2048, 1024, 64
 
 
+def posted_sets(bits: int = BITS) -> list[tuple[int, ...]]:
+    """The sets of byte positions that fingerprints are posted under, those of the first half first.
+
+    A pair within `bits` bits shares at least 8 - bits bytes, at least half of them (rounded up) in one half.
+    """
+    if not 0 <= bits <= 7:
+        raise ValueError("bits must be 0 to 7: fingerprints farther apart may share no byte")
+    size = -(-(8 - bits) // 2)
+    return [*combinations(range(4), size), *combinations(range(4, 8), size)]
+
+
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """Unsigned 64-bit SimHash of a text's word shingles."""
     parts = (text or "").encode().lower().split()  # bytes: lower() changes A-Z only, split() cuts at \x20 and \x09-\x0D
@@ -60,21 +71,21 @@ def fingerprints(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text
     return map_text(id_and_text(df, id_col, text_col), run, "fp bigint")
 
 
-def _mask(triple: tuple[int, ...]) -> int:
-    mask = sum(0xFF << 8 * p for p in triple)
+def _mask(places: tuple[int, ...]) -> int:
+    mask = sum(0xFF << 8 * p for p in places)
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _postings(fps: DataFrame) -> DataFrame:
-    """(list, bytes, fp): list is the triple's number, bytes the fingerprint cut to it."""
-    lists = F.array(*[F.struct(F.lit(k).alias("list"), F.col("fp").bitwiseAND(F.lit(_mask(t))).alias("bytes")) for k, t in enumerate(TRIPLES)])
+def _postings(fps: DataFrame, bits: int) -> DataFrame:
+    """(list, bytes, fp): list is the number of the set of places, bytes the fingerprint cut to it."""
+    lists = F.array(*[F.struct(F.lit(k).alias("list"), F.col("fp").bitwiseAND(F.lit(_mask(t))).alias("bytes")) for k, t in enumerate(posted_sets(bits))])
     return fps.select("fp", F.inline(lists)).select("list", "bytes", "fp")
 
 
 def _first_met(x: np.ndarray, k: int, bits: int) -> np.ndarray:
     """Which differences x belong to pairs within `bits` bits that meet in list k and in none before."""
     ok = np.bitwise_count(x) <= bits
-    for t in TRIPLES[:k]:
+    for t in posted_sets(bits)[:k]:
         ok &= (x & np.uint64(_mask(t) % (1 << 64))) != 0
     return ok
 
@@ -106,8 +117,8 @@ def _pairs(lists: DataFrame, keys: list[str], bits: int, refined: bool) -> DataF
     equal = [x.bitwiseAND(F.lit(_mask((p,)))) == zero for p in range(8)]
     shared = sum((F.when(e, 1).otherwise(0) for e in equal), F.lit(0))
     first = F.lit(False)
-    for k in reversed(range(8)):  # the first list in which the pair meets
-        first = F.when(x.bitwiseAND(F.lit(_mask(TRIPLES[k]))) == zero, F.col("l.list") == k).otherwise(first)
+    for k, places in reversed(list(enumerate(posted_sets(bits)))):  # the first list in which the pair meets
+        first = F.when(x.bitwiseAND(F.lit(_mask(places))) == zero, F.col("l.list") == k).otherwise(first)
     if refined:  # and the first byte of the other half
         lowest = F.lit(False)
         for p in reversed(range(8)):
@@ -119,15 +130,30 @@ def _pairs(lists: DataFrame, keys: list[str], bits: int, refined: bool) -> DataF
     return lists.alias("l").join(lists.alias("r"), on).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
 
 
+def _long_links(lists: DataFrame, keys: list[str], bits: int) -> DataFrame:
+    """(a, b): links within lists (keys, fp and the list's size n) of over MIDDLE fingerprints, pair of blocks by pair of blocks."""
+    long = lists.where(F.col("n") > MIDDLE).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    own = long.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = own.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    return dealt.groupBy(*keys, "i", "j").applyInPandas(lambda pdf: _block_links(pdf, bits), "a bigint, b bigint")
+
+
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """(a, b): links between different fingerprints at `bits` or fewer bits that connect all that such pairs connect. fps: distinct fp."""
-    posted = stored(_postings(fps), "postings")
+    """(a, b): links between different fingerprints at `bits` or fewer bits that connect all that such pairs connect. fps: distinct fp.
+
+    bits: 0 to 7. Beyond 3, lists are of fewer bytes and so longer, and a pair may share no byte of the other half: lists
+    over MIDDLE are compared in blocks at once.
+    """
+    posted = stored(_postings(fps, bits), "postings")
     sizes = posted.groupBy("list", "bytes").agg(F.count("*").alias("n")).where("n > 1")
     met = stored(posted.join(sizes, ["list", "bytes"]), "met")
-    near = _pairs(met.where(F.col("n") <= SHORT).select("list", "bytes", "fp"), ["list", "bytes"], bits, False)
+    again_from = SHORT if bits <= 3 else MIDDLE
+    near = _pairs(met.where(F.col("n") <= again_from).select("list", "bytes", "fp"), ["list", "bytes"], bits, False)
+    if bits > 3:
+        return near.unionByName(_long_links(met, ["list", "bytes"], bits))
 
-    # lists 0 to 3 are of bytes 0 to 3, so their other half are bytes 4 to 7
-    others = F.when(F.col("list") < 4, F.array(*[F.lit(p) for p in range(4, 8)])).otherwise(F.array(*[F.lit(p) for p in range(4)]))
+    # the first half of the lists is of bytes 0 to 3, so their other half are bytes 4 to 7
+    others = F.when(F.col("list") < len(posted_sets(bits)) // 2, F.array(*[F.lit(p) for p in range(4, 8)])).otherwise(F.array(*[F.lit(p) for p in range(4)]))
     again = met.where(F.col("n") > SHORT).select("list", "bytes", "fp", F.explode(others).alias("position"))
     again = again.withColumn("byte", F.expr("cast(shiftrightunsigned(fp, position * 8) & 255 as int)"))
     keys = ["list", "bytes", "position", "byte"]
@@ -135,10 +161,7 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     refined = stored(again.join(sizes, keys), "refined")
     near = near.unionByName(_pairs(refined.where(F.col("n") <= MIDDLE).select(*keys, "fp"), keys, bits, True))
 
-    long = refined.where(F.col("n") > MIDDLE).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = long.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = own.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    return near.unionByName(dealt.groupBy(*keys, "i", "j").applyInPandas(lambda pdf: _block_links(pdf, bits), "a bigint, b bigint"))
+    return near.unionByName(_long_links(refined, keys, bits))
 
 
 def _named(docs: DataFrame, low: Column, bits: int) -> DataFrame:
