@@ -93,6 +93,32 @@ def test_query_against_brute_force(spark, sf_dir):
         assert r.licence == name and (name is None or abs(r.score + minus) < 1e-6), r
 
 
+def test_query_inherits_within_sources(spark, tmp_path):
+    """Documents that are mostly licence text are the licence files of their sources."""
+    rows = [
+        (1, "s1", MIT),
+        (2, "s1", "the sum of one"),
+        (3, "s1/sub", "other words"),
+        (4, "s1/own", "Licensed under the Apache\n\nLicense, Version 2.0."),
+        (5, "s1/own", None),
+        (6, "s2", f"a long text of many words that are not those of any licence whatever and that tells of tides\n{MIT}"),
+        (7, "s2", "of the day"),
+        (8, None, APACHE),
+        (9, None, "of a sum"),
+        (10, "", APACHE),
+        (11, "", "the sum"),
+        (12, "s3", "the day"),
+        (None, "s1", "one day"),
+    ]
+    spark.createDataFrame(rows, "doc_id int, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.licence, r.origin, r.licensed_by) for r in __spark_entry__.queries()["op5_licences"](spark, str(tmp_path)).collect()}
+    mit, apache, none = ("MIT", "inherited", "s1"), ("Apache-2.0", "own", None), (None, "none", None)
+    assert got == {
+        1: ("MIT", "own", None), 2: mit, 3: mit, 4: apache, 5: ("Apache-2.0", "inherited", "s1/own"), 6: ("MIT", "own", None),
+        7: none, 8: apache, 9: none, 10: apache, 11: none, 12: none, None: mit,
+    }
+
+
 NEAR = [
     ("GNU LESSER GENERAL PUBLIC LICENSE\n Version 2.1, February 1999", "LGPL-2.1"),
     ("x = 1\n\nGNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999\n\ny", "LGPL-2.1"),

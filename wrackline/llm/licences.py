@@ -1,7 +1,7 @@
 """Licence scans: sparse TF-IDF cosine of passages to licence templates, then inheritance from the nearest ancestor folder.
 
 Passages are the lines, the sentences and the blocks between blank lines of every text, and the whole text of a licence
-file (LICENSE, COPYING and so on by its name). Terms are lower-case runs of letters and digits; their document frequencies
+file (LICENSE, COPYING and so on by its name) or of a row without a file name (its path ends with a slash). Terms are lower-case runs of letters and digits; their document frequencies
 are counted over all rows. Document frequencies below are those of the table at hand.
 
 Only passages that can reach `LEAST` are kept, by two bounds after Cauchy and Schwarz that drop no match: a passage without
@@ -16,10 +16,11 @@ Eclipse, Mozilla, BSD) only a template counts whose version and clause terms are
 combination that no template has, and a notice of such a licence without its version, match nothing.
 
 A row without a licence of its own takes that of the deepest ancestor folder that has a licence file with one; of several
-such files in a folder the best match counts.
+such files in a folder the best match counts. A row without a file name is a licence file if its text is mostly one: if the
+cosine of the whole text is MOSTLY or more, half of its squared length being along the template.
 
-Defined results: null and empty texts and paths have no licence of their own; very long texts are scanned whole; null ids
-are carried; repeated rows are scanned one by one; a null path inherits nothing; ties go to the first licence by name; other
+Defined results: null and empty texts have no licence of their own; very long texts are scanned whole; null ids
+are carried; repeated rows are scanned one by one; a null path inherits nothing and gives nothing; ties go to the first licence by name; other
 columns are not read, whatever their names; an empty table gives an empty result.
 """
 
@@ -38,6 +39,7 @@ from pyspark.sql import types as T
 from .common import stored, table
 
 LEAST = 0.6
+MOSTLY = math.sqrt(0.5)
 FREQUENT = 1000
 #: Folder tables are broadcast up to this many rows; beyond it the join is shuffled, with each folder dealt to SALTS keys.
 BROADCAST_FOLDERS, SALTS = 500_000, 16
@@ -175,13 +177,16 @@ def can_reach(terms: list[str], weight: dict[str, float], least: float = LEAST)
     return within >= (least - 1e-6) ** 2 * (within + without)
 
 
-def _passages(text: Column, whole: Column) -> Column:
+def _passages(text: Column, whole: Column, pattern: str) -> Column:
+    """Terms of each passage with a word of the pattern. The first is the whole text, without terms where that is no passage."""
     parts = F.concat(F.split(text, r"[\r\n]+"), F.split(text, r"[\r\n]+|(?<=[.!?;])\s+"), F.split(text, r"\r?\n[^\p{L}\p{N}\n]*\n"))
-    return F.array_distinct(F.concat(parts, F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))))
+    none = F.array().cast("array<string>")
+    parts = F.array_except(parts, F.when(whole, F.array(text)).otherwise(none))  # each passage once
+    return F.concat(F.array(F.when(whole, terms_of(text)).otherwise(none)), F.transform(F.filter(parts, lambda p: F.lower(p).rlike(pattern)), terms_of))
 
 
 def _own(base: DataFrame, frequency: DataFrame, n: int, vectors: list[dict[str, float]]) -> DataFrame:
-    """row, best (score, licence) of the rows of base with a passage that reaches LEAST."""
+    """row, best (score, licence) of the rows of base with a passage that reaches LEAST, and whole: that of the whole text."""
     spark = base.sparkSession
     one = base.select("row", F.posexplode("passages").alias("passage", "terms")).select("row", "passage", F.explode("terms").alias("term"))
     tf = one.groupBy("row", "passage", "term").agg(F.count("*").alias("tf"))
@@ -207,7 +212,8 @@ def _own(base: DataFrame, frequency: DataFrame, n: int, vectors: list[dict[str,
         cosine = F.when(alike, F.coalesce(F.col(f"t{i}") / F.col("norm"), F.lit(0.0))).otherwise(0.0)
         each.append(F.struct((-F.round(cosine, 9)).alias("minus"), F.lit(name).alias("licence")))
     cosines = F.array(*each)
-    best = dots.select("row", F.array_min(cosines).alias("best")).groupBy("row").agg(F.min("best").alias("best"))
+    best = dots.select("row", "passage", F.array_min(cosines).alias("best"))
+    best = best.groupBy("row").agg(F.min("best").alias("best"), F.min(F.when(F.col("passage") == 0, F.col("best"))).alias("whole"))
     return best.where(F.col("best.minus") <= -LEAST)
 
 
@@ -239,28 +245,37 @@ def find_licences(df: DataFrame, path: Column, id_col: str = "doc_id", text_col:
 
     name = F.element_at(F.split("path", "/"), -1)
     is_file = F.coalesce(name.rlike(LICENCE_FILE), F.lit(False))
+    nameless = F.coalesce(name == "", F.lit(False))
     folder = F.regexp_replace("path", "/?[^/]*$", "")
-    kept = F.transform(F.filter(_passages(F.col("text"), is_file), lambda p: F.lower(p).rlike(pattern)), terms_of)
     met = rows.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         folder.alias("folder"),
         is_file.alias("is_file"),
-        F.when(F.lower("text").rlike(pattern), kept).alias("passages"),
+        nameless.alias("nameless"),
+        F.when(F.lower("text").rlike(pattern), _passages(F.col("text"), is_file | nameless, pattern)).alias("passages"),
     )
 
     def reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            some = [p and ([ts for ts in p if can_reach(ts, weight)] or None) for p in b.column("passages").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(some, pa.list_(pa.list_(pa.string())))], schema.names)
+            some = [kept(p.as_py()) for p in b.column("passages")]  # a row at a time: whole texts may be long
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(some, pa.list_(pa.list_(pa.string())))], schema.names)
 
-    schema = T.StructType([*met.schema.fields[:4], T.StructField("passages", T._parse_datatype_string("array<array<string>>"))])
+    def kept(passages: list[list[str]] | None) -> list[list[str]] | None:
+        if passages is None:
+            return None
+        whole, *parts = [ts if can_reach(ts, weight) else [] for ts in passages]
+        parts = list(filter(None, parts))
+        return [whole, *parts] if whole or parts else None
+
+    schema = T.StructType([*met.schema.fields[:5], T.StructField("passages", T._parse_datatype_string("array<array<string>>"))])
     base = stored(met.mapInArrow(reaching, schema), "passages")
     best = stored(_own(base.where("passages is not null"), frequency, n, vectors), "licences")
     licensed = base.drop("passages").join(best, "row", "left")
 
     # the least (-cosine, name) of each folder's licence files, then the deepest licensed ancestor of every folder in use
-    files = stored(licensed.where("is_file and best is not null").groupBy("folder").agg(F.min("best").alias("file")), "files")
+    file = F.when(F.col("is_file"), F.col("best")).when(F.col("nameless") & (F.col("whole.minus") <= -MOSTLY), F.col("whole"))
+    files = stored(licensed.select("folder", file.alias("file")).where("folder is not null and file is not null").groupBy("folder").agg(F.min("file").alias("file")), "files")
     used = licensed.select("folder").where("folder is not null").distinct()
     parts = F.split("here", "/")
     depths = F.sequence(F.lit(0), F.when(F.col("here") == "", 0).otherwise(F.size(parts)))
@@ -280,6 +295,7 @@ def find_licences(df: DataFrame, path: Column, id_col: str = "doc_id", text_col:
 
 
 def op5_licences(spark, sf_dir: str) -> DataFrame:
-    """A document lies in the folder of its source; documents have no file names, so only a `path` could name licence files."""
+    """A document lies in the folder of its source, in none if that is null or empty. Documents have no file names, so those
+    that are mostly licence text are the licence files."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return find_licences(docs, F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    return find_licences(docs, F.concat(F.nullif("source", F.lit("")), F.lit("/")))
