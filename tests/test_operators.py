@@ -416,6 +416,18 @@ def test_verdict(spark):
     assert table.criterios == "6/6" and table.es_apta == "✓"
 
 
+def test_table_of_two_samples(spark):
+    """One bin's entropy is minus zero, one gap has no variance, and the p-value of two samples is the exact one."""
+    t = metrics.metric_table(metrics.distribution_verdict(metrics.full_metrics(heights(spark, [0.1, 0.3]), heights(spark, [0, 10])))).first()
+    assert (t.n_obs, t.entropia_norm, t.vmr_ratio, t.patron_tipo) == (2, "-0.000", "nan", "Agrupado")
+    assert t.ks_pval == f"{2 * (1 - 0.97) ** 2:.4f}" == "0.0018"
+
+
+@pytest.mark.parametrize("n", [3, 5, 7, 49, 1000])
+def test_entropy_of_one_bin(spark, n):
+    assert str(metrics.shannon_entropy(heights(spark, [0.1] * n), heights(spark, [0, 10])).first().entropia) == "-0.0"
+
+
 def test_representativeness_without_any_inside(spark):
     r = metrics.representativeness(heights(spark, [9, 10]), heights(spark, [0, 1])).first()
     assert r.representatividad == 0.0 and r.quantiles_vacios == list(range(10))

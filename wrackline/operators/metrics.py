@@ -189,6 +189,7 @@ def shannon_entropy(samples: DataFrame, reference: DataFrame | None = None, g: s
     inside = F.col("bin").isNotNull()
     totals = counts.groupBy(g).agg(F.sum(F.when(inside, F.col("n")).otherwise(0)).alias("total"), F.count_if(inside).alias("n_bins_ocupados"), F.sum(F.when(inside, F.col("n") * F.log2("n"))).alias("nlogn"))
     h = F.when(F.col("total") > 0, F.log2(F.col("total").cast("double")) - F.col("nlogn") / F.col("total")).otherwise(0.0)
+    h = F.when(F.col("n_bins_ocupados") == 1, -0.0).otherwise(h)  # minus the sum of one zero, whatever the logarithms' last digits
     most = math.log2(bins)
     return totals.select(
         g,

@@ -122,7 +122,7 @@ def rep_fixed(text: str) -> str:
 
 BASE = REF + rep_fixed(families("SELECT model AS g, model AS o, height_m AS v FROM tide_samples"))
 WINDOWED = REF + WIN + rep_fixed(families("""SELECT "window" || '|' || model AS g, model AS o, height_m AS v FROM tide_samples JOIN ws ON CAST(ts AS DATE) >= start"""))
-# The p-value of the far tail, 2 exp(-(2.000071 + 0.331 / sqrt(n) + 1.409 / n) n d^2); the tests' distances all lie there.
+# The p-value of the far tail, 2 exp(-(2.000071 + 0.331 / sqrt(n) + 1.409 / n) n d^2); the distances at sf0.01 lie there, those of windows of few samples don't.
 KS_P = "2 * exp(-(2.000071 + 0.331 / sqrt(ks.n) + 1.409 / ks.n) * ks.n * d * d)"
 KS_TEXT = f"CASE WHEN {KS_P} > 0.1 THEN 'Altamente uniforme' WHEN {KS_P} > 0.05 THEN 'Razonablemente uniforme' WHEN {KS_P} > 0.01 THEN 'Moderadamente no uniforme' ELSE 'Altamente no uniforme' END"
 # The p-value's own threshold: at 5 % the distance times the root of n (with Stephens' correction) is 1.358.
