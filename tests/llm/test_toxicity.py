@@ -151,3 +151,46 @@ def test_curve_if_its_part_lacks_a_class(spark):
     df = spark.createDataFrame(labelled_rows()[:600], "doc_id int, text string, toxic int")
     for part in (1 - F.col("toxic"), F.col("toxic"), F.lit(1)):
         assert tx.learn(df, part).curve is not None
+
+
+def test_large_tables_shuffle_no_texts(spark, tmp_path, monkeypatch):
+    """Labels and evidence beyond what is broadcast: the same scores, and neither texts nor their keys in an exchange or a stored step."""
+    rows = [(i, t, y) for i, t, y in labelled_rows(250)] + [(None, "vile", 1), (7, "", 1), (7, "vilely " * 300, 0), (500, "unlabelled vile", None)]
+    spark.createDataFrame([r[:2] for r in rows], "doc_id int, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if y is not None] + [(9, 1), (9, 1), (9, 0), (11, None)], "doc_id int, toxic int")
+    part = F.coalesce(F.col("doc_id") % 4, F.lit(1))
+    held = lambda df: sorted((r.doc_id, r.text, str(r.toxic)) for r in df.collect())
+    want = held(tx.with_labels(docs, labels))
+    few = tx.learn(tx.with_labels(docs, labels), part)
+    want_scores = sorted((str(r.doc_id), r.score) for r in tx.score(docs, few).collect())
+
+    for name, most in (("BROADCAST_LABELS", 0), ("MODEL_ROWS", 0), ("SLICE_ROWS", 40), ("BATCH_BYTES", 9000)):
+        monkeypatch.setattr(tx, name, most)
+    labelled = tx.with_labels(docs, labels)
+    assert held(labelled) == want
+    assert "Exchange hash" not in (plan := labelled._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan
+    learned = tx.learn(labelled, part)
+    names = []
+    real = tx.common.stored
+    monkeypatch.setattr(tx.common, "stored", lambda df, name: names.append((name, df.columns)) or real(df, name))
+    scored = tx.score(docs, learned)
+    assert not learned.small and len({path for *_, path in learned.files()}) > 3
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert names == [("sorted-evidence", ["kind", "key", "value"])]
+    got = sorted((str(r.doc_id), r.score) for r in scored.collect())
+    assert [i for i, _ in got] == [i for i, _ in want_scores] and np.allclose([x for _, x in got], [x for _, x in want_scores], atol=1e-9)
+
+
+def test_files_that_workers_cannot_open(spark, monkeypatch):
+    """There the table is joined to the keys of each text, with the same scores."""
+    df = spark.createDataFrame(labelled_rows(200), "doc_id int, text string, toxic int").repartition(3)
+    learned = tx.learn(df, F.col("doc_id") % 4)
+    want = sorted((r.doc_id, r.score) for r in tx.score(df, learned).collect())
+    assert tx.readable(df, [(0, 0, 0, df.sparkSession.conf.get("spark.sql.warehouse.dir"))]) is False
+    monkeypatch.setattr(tx, "readable", lambda df, parts: False)
+    learned.small = False
+    scored = tx.score(df, learned)
+    assert "Join" in scored._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.doc_id, r.score) for r in scored.collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-9)
